@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 #: A word is a maximal run of code points other than the space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SEPARATOR = r"[\x20\x09-\x0D]+"
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        found = tempfile.mkdtemp(prefix="larkspur-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if not found and app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="larkspur-")
+    return (found or _OWN[app]).rstrip("/")
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -60,7 +61,7 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, salts: int = 64) -> Dat
     written = stash(small, f"by-{key}")
     spark = big.sparkSession
     limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = int(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if 0 <= size <= limit:
         return big.join(F.broadcast(written), key, "left")
     salted = big.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
@@ -97,7 +98,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         # large star: every larger neighbour is linked to the least node of the neighbourhood
-        large = large.where("u != v").union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        large = large.where("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         # small star: every smaller neighbour, and the node itself, is linked to the least one
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
