@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from larkspur.llm import line_dedup, pfair_mix, quality_rules, slot_sharding
+from larkspur.llm import collision_vectors, line_dedup, pfair_mix, quality_rules, slot_sharding, style_tree
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_style_tree": style_tree.op3_style_tree,
     "op4_pfair_mix": pfair_mix.op4_pfair_mix,
+    "op7_collision_vectors": collision_vectors.op7_collision_vectors,
     "op10_slot_sharding": slot_sharding.op10_slot_sharding,
 }
 
@@ -15,4 +17,5 @@ ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op4_pfair_mix": pfair_mix.ORACLE,
+    "op7_collision_vectors": collision_vectors.ORACLE,
 }
