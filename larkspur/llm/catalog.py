@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import collision_vectors, line_dedup, pfair_mix, quality_rules, slot_sharding, style_tree
+from larkspur.llm import collision_vectors, line_dedup, ngram_join, pfair_mix, quality_rules, slot_sharding, style_tree
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_style_tree": style_tree.op3_style_tree,
     "op4_pfair_mix": pfair_mix.op4_pfair_mix,
     "op7_collision_vectors": collision_vectors.op7_collision_vectors,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_slot_sharding": slot_sharding.op10_slot_sharding,
 }
 
@@ -18,4 +19,5 @@ ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op4_pfair_mix": pfair_mix.ORACLE,
     "op7_collision_vectors": collision_vectors.ORACLE,
+    "op9_ngram_join": ngram_join.ORACLE,
 }
