@@ -69,7 +69,7 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, salts: int = 64) -> Dat
     return salted.join(copies, [key, "__salt"], "left").drop("__salt")
 
 
-def numbered(df: DataFrame, group: str, order: list[str], out: str, rows_a_bucket: int = 50_000) -> DataFrame:
+def numbered(df: DataFrame, group: str, order: list[str], out: str, rows_a_bucket: int = 10_000) -> DataFrame:
     """df with out: a gapless number from 0 within each group, in the order of (bucket, order). order[0] must be a
     hexadecimal digest, whose first eight digits deal the rows of each group into buckets; only a bucket is ever
     sorted, and small counts are summed over buckets, so a group may hold any share of all rows."""
