@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from larkspur.llm import collision_vectors, lexicon_toxicity, line_dedup, ngram_join, pfair_mix, quality_rules, slot_sharding, style_tree
+from larkspur.llm import collision_vectors, feistel_pii, lexicon_toxicity, line_dedup, ngram_join, pfair_mix, piece_lattice, quality_rules, slot_sharding, style_tree
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_style_tree": style_tree.op3_style_tree,
     "op4_pfair_mix": pfair_mix.op4_pfair_mix,
+    "op5_piece_lattice": piece_lattice.op5_piece_lattice,
     "op6_lexicon_toxicity": lexicon_toxicity.op6_lexicon_toxicity,
     "op7_collision_vectors": collision_vectors.op7_collision_vectors,
+    "op8_feistel_pii": feistel_pii.op8_feistel_pii,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_slot_sharding": slot_sharding.op10_slot_sharding,
 }
