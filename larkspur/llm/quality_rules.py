@@ -152,10 +152,12 @@ def judge(measured: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the base and the proven rules keep, with docs' own columns."""
-    found = stash(cutoffs(measures(docs, ["doc_id", "lang"]), labels), "rules")
-    whole = docs.select(F.struct(*docs.columns).alias("__row"), "text", "lang")
-    return judge(measures(whole, ["__row", "lang"]), found).where("kept").select("__row.*")
+    """The rows of docs that the base and the proven rules keep, with docs' own columns. Measured once: the measures
+    are written beside the rows."""
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text", "lang")
+    measured = stash(measures(whole, ["__row", "doc_id", "lang"]), "measures")
+    found = stash(cutoffs(measured.drop("__row"), labels), "rules")
+    return judge(measured, found).where("kept").select("__row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
