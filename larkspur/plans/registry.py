@@ -2,5 +2,167 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.operators import catalog, evaluate, graph, guidance, hybrid, index, lexical, usage, vector
+from larkspur.plans.sql import ORACLES as ORACLES
+from larkspur.sources import corpus
+
+RESULT = ["query_id", "page_id", "path", "role", "score", "rank"]
+DEPTH = 256
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return corpus.pages(s, d)
+
+
+def _bm25(s: SparkSession, d: str, limit: int = 8, pages: DataFrame | None = None, **more) -> DataFrame:
+    return lexical.search(_pages(s, d) if pages is None else pages, corpus.queries(s, d), limit, **more)
+
+
+def _excluded(s: SparkSession, d: str) -> DataFrame:
+    return corpus.table(s, d, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("key"))
+
+
+def _cosine(s: SparkSession, d: str) -> DataFrame:
+    """Every vector against the query vectors: those whose id is a benchmark item's."""
+    e = corpus.table(s, d, "embeddings")
+    q = e.join(F.broadcast(corpus.table(s, d, "benchmark").select(F.col("item_id").alias("vec_id"))), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    chunks = e.select(F.col("vec_id").cast("string").alias("page_id"), "label", F.lit(0).alias("ordinal"), "embedding")
+    return vector.scores(chunks, q)
+
+
+def _vector(s: SparkSession, d: str, limit: int = DEPTH) -> DataFrame:
+    return vector.top_pages(vector.best_chunks(_cosine(s, d)), _pages(s, d), limit)
+
+
+def _literal(s: SparkSession, d: str) -> DataFrame:
+    q = corpus.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("query"))
+    return lexical.literal(_pages(s, d), q)
+
+
+def _variants(s: SparkSession, d: str) -> DataFrame:
+    q = corpus.queries(s, d)
+    short = q.withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 4), " "))
+    p = _pages(s, d)
+    return lexical.fuse_variants([lexical.search(p, q, 30), lexical.search(p, short, 30)], 8)
+
+
+def _best_chunks(s: SparkSession, d: str) -> DataFrame:
+    scored = _cosine(s, d).select("query_id", F.col("label").cast("string").alias("page_id"), F.col("page_id").cast("long").alias("ordinal"), "score")
+    return vector.best_chunks(scored).withColumn("score", F.round("score", 6))
+
+
+def _related(s: SparkSession, d: str) -> DataFrame:
+    """Pages of the same group as a hub page."""
+    best = _cosine(s, d).select("query_id", "page_id", "label", "score", "ordinal")
+    seeds = best.where("page_id in ('0', '1', '2')").select("query_id", F.col("page_id").alias("seed_id"), "label")
+    pools = seeds.join(best.select("query_id", "label", "page_id"), ["query_id", "label"]).select("query_id", "seed_id", "page_id")
+    return hybrid.related(pools, best.select("query_id", "page_id", "score", "ordinal"), _pages(s, d))
+
+
+def _weighted(s: SparkSession, d: str) -> DataFrame:
+    lex, rel = _bm25(s, d, DEPTH), _related(s, d)
+    none = lex.where("false")
+    return hybrid.seeded(lex, _vector(s, d), none, rel, 8)
+
+
+def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return graph.project(_pages(s, d), corpus.page_links(s, d))
+
+
+def _seed(s: SparkSession, node: str) -> DataFrame:
+    return s.createDataFrame([(node,)], "id string")
+
+
+def _state(s: SparkSession, d: str) -> DataFrame:
+    return usage.counters(corpus.hits(s, d))
+
+
+def _priors(s: SparkSession, d: str) -> DataFrame:
+    state = _state(s, d)
+    now = state.agg(F.max("last_hit").alias("now"))
+    return usage.priors(state.crossJoin(F.broadcast(now)), F.col("now"))
+
+
+def _metrics(s: SparkSession, d: str) -> DataFrame:
+    m = evaluate.per_query(_bm25(s, d, 100).select("query_id", "page_id", "rank"), corpus.qrels(s, d))
+    return m.select("query_id", *[F.round(c, 8).alias(c) if c != "hit" else F.col(c) for c in m.columns[1:]])
+
+
+def _by_class(s: SparkSession, d: str) -> DataFrame:
+    m = evaluate.per_query(_bm25(s, d, 100).select("query_id", "page_id", "rank"), corpus.qrels(s, d))
+    classes = m.select("query_id", F.concat(F.lit("class"), (F.col("query_id") % 3).cast("string")).alias("class"))
+    out = evaluate.by_class(m, classes)
+    return out.select("class", "n_queries", *[F.round(c, 8).alias(c) for c in ("ndcg", "recall", "hit", "mrr")])
+
+
+def _tokens(s: SparkSession, d: str) -> DataFrame:
+    each = index.tokenized(_pages(s, d)).select("page_id", F.explode("tokens").alias("token")).groupBy("token", "page_id").agg(F.count(F.lit(1)).alias("tf"))
+    return each.groupBy("token").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+
+
+def _index_stats(s: SparkSession, d: str) -> DataFrame:
+    built = index.build(_pages(s, d))
+    terms = built.term_stats.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"))
+    return built.corpus_stats.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(F.broadcast(terms))
+
+
+def _validate(s: SparkSession, d: str) -> DataFrame:
+    docs, labels, vectors = (corpus.table(s, d, t) for t in ("documents", "labels", "embeddings"))
+    a = evaluate.dangling(labels.select("doc_id"), "doc_id", docs, "doc_id").select(F.lit("label").alias("kind"), F.col("doc_id").alias("id"))
+    b = evaluate.dangling(vectors.select("vec_id"), "vec_id", docs, "doc_id").select(F.lit("embedding"), "vec_id")
+    return a.union(b).union(evaluate.duplicates(docs, ["doc_id"]).select(F.lit("duplicate"), "doc_id"))
+
+
+def _orientation(s: SparkSession, d: str) -> DataFrame:
+    return usage.orientation_scores(_pages(s, d), graph.degrees(_graph(s, d)[1])).withColumn("score", F.round("score", 6))
+
+
+def _manifest(s: SparkSession, d: str) -> DataFrame:
+    return catalog.manifest(_pages(s, d), *_graph(s, d))
+
+
+def _percentiles(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.percentiles(corpus.table(s, d, "events"), ["event_type"], "value")
+
+
+QUERIES = {
+    "tokenize_terms": _tokens,
+    "index_stats": _index_stats,
+    "doc_lengths": lambda s, d: index.tokenized(_pages(s, d)).select("page_id", "dl"),
+    "bm25_topk": lambda s, d: _bm25(s, d).select(RESULT),
+    "bm25_visible": lambda s, d: _bm25(s, d, pages=lexical.visible(_pages(s, d))).select(RESULT),
+    "bm25_min_score": lambda s, d: _bm25(s, d, min_score=6.0).select(RESULT),
+    "bm25_excluded": lambda s, d: _bm25(s, d, excluded=_excluded(s, d)).select(RESULT),
+    "literal_topk": lambda s, d: _literal(s, d).select(RESULT),
+    "overview_order": lambda s, d: lexical.overview(_pages(s, d), 30),
+    "variants_rrf": _variants,
+    "cosine_topk": lambda s, d: _vector(s, d, 8).withColumn("score", F.round("score", 6)).select(RESULT),
+    "best_chunk_per_group": _best_chunks,
+    "hybrid_plain_rrf": lambda s, d: hybrid.plain(_bm25(s, d, DEPTH), _vector(s, d), 8),
+    "hybrid_seeds": lambda s, d: hybrid.seeds(_bm25(s, d, 24), _vector(s, d)).fillna(0, ["lexical_rank", "vector_rank"]),
+    "hybrid_weighted_rrf": _weighted,
+    "graph_project_nodes": lambda s, d: _graph(s, d)[0],
+    "graph_project_edges": lambda s, d: _graph(s, d)[1],
+    "graph_approved_nodes": lambda s, d: graph.approved(*_graph(s, d), _pages(s, d))[0].select("id", "label", "kind", "path"),
+    "graph_by_tag": lambda s, d: graph.by_marker(*_graph(s, d), "tag", "en"),
+    "graph_by_source_ref": lambda s, d: graph.by_marker(*_graph(s, d), "source_ref", "src1"),
+    "degree_counts": lambda s, d: graph.degrees(_graph(s, d)[1]),
+    "graph_neighborhood": lambda s, d: graph.neighborhood(corpus.relational_edges(s, d), _seed(s, "customer:1"), 3),
+    "graph_backlinks": lambda s, d: graph.neighborhood(corpus.relational_edges(s, d), _seed(s, "nation:3"), 2, "in"),
+    "graph_paths": lambda s, d: graph.paths(corpus.relational_edges(s, d), "order:1", "region:1", 4),
+    "manifest": _manifest,
+    "source_refs": lambda s, d: catalog.source_refs(lexical.visible(_pages(s, d))),
+    "read_page": lambda s, d: catalog.read(_pages(s, d), "7", include_drafts=True).select("page_id", "path", "title", "role"),
+    "sensitive_docs": lambda s, d: corpus.table(s, d, "documents").select("doc_id", guidance.sensitive(F.col("text")).alias("is_sensitive")),
+    "folder_cards": lambda s, d: guidance.folder_cards(_pages(s, d).select("page_ord", "path", F.col("tags").alias("terms"))),
+    "hit_counters": lambda s, d: _state(s, d).select("page_key", F.round("counter", 4).alias("counter"), F.round("last_hit", 3).alias("last_hit")),
+    "usage_priors": lambda s, d: _priors(s, d).select("page_key", F.round("counter", 4).alias("counter"), F.round("boost", 6).alias("boost")),
+    "orientation_scores": _orientation,
+    "eval_per_query": _metrics,
+    "eval_by_class": _by_class,
+    "percentiles": _percentiles,
+    "validate_refs": _validate,
+}
