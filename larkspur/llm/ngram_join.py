@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import components, stash, table
 
 N = 5
-BITS = 1024
+#: Bits of a signature: the power of two at or above twice the set's size, within these bounds.
+BITS = (256, 65_536)
 BINS, KEY_BINS = 32, 4
 TILE = 2048
 ORDER_SAMPLE = 20_000
@@ -105,7 +106,8 @@ def prefix_length(n: int) -> int:
 
 
 def _signature(s: np.ndarray) -> bytes:
-    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    width = min(max(1 << (2 * len(s) - 1).bit_length(), BITS[0]), BITS[1])
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % width, minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -134,7 +136,7 @@ def _features(last: np.ndarray):
                     found = (doc_id, 0, None, None, None, None, None)
                 else:
                     m = _mixed(s)
-                    late = np.isin(s, last) if len(last) else None
+                    late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else None
                     order = s if late is None or not late.any() else np.concatenate([s[~late], s[late]])
                     found = (doc_id, len(s), int(m.sum().astype(np.int64)), int(_mixed(m + np.uint64(1)).sum().astype(np.int64)), _keys(s), order[: prefix_length(len(s))].astype(np.int64), _signature(s))
                 for k, v in zip(cols, found, strict=True):
@@ -220,29 +222,81 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(pa.Table.from_batches(held)).to_batches()
 
 
-_POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
-
-
-def _tile_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs within one tile that lie in a size band, in different parts, and pass the bit bound."""
-    rows = rows.sort_values(["n", "id"], kind="stable")
-    ids, n, part, side = (rows[c].to_numpy() for c in ("id", "n", "part", "side"))
-    bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), -1)
-    end = np.searchsorted(n, (5 * n) // 4, "right")
-    out_a, out_b = [], []
-    for i in range(len(rows)):
-        j = slice(i + 1, end[i])
-        near = np.flatnonzero((part[j] != part[i]) & ((side[j] != side[i]) | (side[j] == 2))) + i + 1
-        if len(near):
-            differ = np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            # 100 * both >= 80 * union, with both <= (n1 + n2 - differ) / 2
-            total = n[near] + n[i]
-            ok = near[9 * (total - differ) >= 8 * total]
-            out_a.append(np.minimum(ids[ok], ids[i]))
-            out_b.append(np.maximum(ids[ok], ids[i]))
-    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-    return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+class _Signatures:
+    """Parity bitmaps of several widths, each a power of two; a wider one folds onto a narrower one by exclusive or."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        raw = column.to_pylist()
+        sizes = np.array([len(b) for b in raw]) // 8
+        self.words, self.place, self.tables = sizes, np.zeros(len(raw), dtype=np.int64), {}
+        for w in np.unique(sizes):
+            at = np.flatnonzero(sizes == w)
+            self.place[at] = np.arange(len(at))
+            self.tables[int(w)] = np.frombuffer(b"".join(raw[k] for k in at), dtype=np.uint64).reshape(len(at), w)
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits the signatures of i and j differ, at the narrower width."""
+        out = np.zeros(len(i), dtype=np.int64)
+        wide = np.maximum(self.words[i], self.words[j])
+        narrow = np.minimum(self.words[i], self.words[j])
+        for w, v in {(int(a), int(b)) for a, b in zip(*np.unique(np.stack([wide, narrow]), axis=1), strict=True)}:
+            where = np.flatnonzero((wide == w) & (narrow == v))
+            for part in np.array_split(where, max(1, len(where) * w // 4_000_000)):
+                sides = []
+                for k in (i[part], j[part]):
+                    x = np.zeros((len(part), v), dtype=np.uint64)
+                    for size in {w, v}:
+                        own = np.flatnonzero(self.words[k] == size)
+                        x[own] = np.bitwise_xor.reduce(self.tables[size][self.place[k[own]]].reshape(len(own), size // v, v), axis=1) if len(own) else x[own]
+                    sides.append(x)
+                out[part] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _close(rows: pa.Table) -> pa.RecordBatch:
+    """Pairs within tiles, of rows sorted by (h, l, r, n), that lie in a size band, in different parts, and pass the
+    bit bound. All tiles of a batch advance together: row i meets row i + 1, then i + 2, until its band or tile ends."""
+    h, left, right, n, ids, part, side = (rows[c].to_numpy() for c in ("h", "l", "r", "n", "id", "part", "side"))
+    signatures = _Signatures(rows["bits"])
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+    tile = np.cumsum(new)
+    out = []
+    at, step = np.arange(len(h)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(h)]
+        to = at + step
+        go = (tile[to] == tile[at]) & (4 * n[to] <= 5 * n[at])
+        at, to = at[go], to[go]
+        try_ = np.flatnonzero((part[at] != part[to]) & ((side[at] != side[to]) | (side[at] == 2)))
+        if len(try_):
+            i, j = at[try_], to[try_]
+            differ = signatures.differ(i, j)
+            total = n[i] + n[j]
+            # 100 * both >= 80 * union, with both <= (total - differ) / 2
+            ok = 9 * (total - differ) >= 8 * total
+            if ok.any():
+                out.append(np.stack([np.minimum(ids[i[ok]], ids[j[ok]]), np.maximum(ids[i[ok]], ids[j[ok]])], axis=1))
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+    return pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_close over whole tiles: the last tile of a batch waits for the next batch. A tile has 2 * TILE rows at most."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows = pa.Table.from_batches(held)
+        key = [rows[c].to_numpy() for c in ("h", "l", "r")]
+        other = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0))
+        last = int(other[-1]) + 1 if len(other) else 0
+        if last:
+            yield _close(rows.slice(0, last))
+            held = rows.slice(last).to_batches()
+    if held:
+        yield _close(pa.Table.from_batches(held))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -267,7 +321,7 @@ def link(docs: DataFrame) -> DataFrame:
     dealt = shared.join(reps.select("id", "bits"), "id").join(big, "h", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     spots = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("c", o).alias("l"), F.greatest("c", o).alias("r"), F.when(o == F.col("c"), 2).when(F.col("c") < o, 0).otherwise(1).alias("side")))
     tiles = dealt.select("h", "id", "n", "part", "bits", F.explode(spots).alias("t")).select("h", "id", "n", "part", "bits", "t.*")
-    close = tiles.groupBy("h", "l", "r").applyInPandas(_tile_pairs, "a long, b long").distinct()
+    close = tiles.repartition("h", "l", "r").sortWithinPartitions("h", "l", "r", "n").mapInArrow(_tile_pairs, "a long, b long").distinct()
     more = verified(close, docs, "tiles")
     whole = stash(components(first.union(more)), "components")
 
