@@ -1,0 +1,271 @@
+"""The retrieval engine on small hand-made tables."""
+
+import math
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from larkspur.functions import stem
+from larkspur.functions import text as X
+from larkspur.operators import catalog, chunks, evaluate, graph, guidance, hybrid, index, lexical, usage, vector
+from larkspur.sources import wiki
+
+PAGE = "page_ord long, page_id string, path string, title string, text string, summary string, role string, tags array<string>, source_refs array<string>, headings array<string>, approved boolean"
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    rows = [
+        (0, "hot", "hot.md", "Hot topics", "alpha alpha beta", "alpha", "hot", ["t1"], ["ref A"], ["H"], True),
+        (1, "index", "index.md", "Index", "beta gamma", "beta", "index", [], ["ref-A"], [], True),
+        (2, "a", "notes/a.md", "Note a", "gamma delta api.v2-client", "gamma", "topic", ["T1", "t2"], [], [], True),
+        (3, "b", "notes/b.md", "Note b", "alpha", "", "topic", [], [], [], False),
+        (4, "c", "c.md", "", "", "", "topic", [], [], [], True),
+    ]
+    return spark.createDataFrame(rows, PAGE)
+
+
+def one(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_tokens_match_a_plain_scanner(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aB9가나한. _-'’!") for _ in range(rng.randrange(0, 30))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: (r["a"], r["b"]) for r in df.select("i", X.legacy_tokens(F.col("t")).alias("a"), X.english_raw_tokens(F.col("t")).alias("b")).collect()}
+    for i, t in enumerate(texts):
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9][A-Za-z0-9_.-]*[가-힣]*|[가-힣]+", t):
+            w = m[0].lower()
+            want.append(w)
+            both = re.fullmatch("([a-z0-9]+)([가-힣]+)", w)
+            if both:
+                want += both.groups()
+            elif re.fullmatch("[가-힣]{3,}", w):
+                want += [w[k : k + 2] for k in range(len(w) - 1)]
+        assert got[i][0] == want
+        assert got[i][1] == [m.lower() for m in re.findall("[A-Za-z0-9]+(?:[가-힣]+|['’]s?)?|[가-힣]+", t)]
+
+
+def test_stems_of_the_published_sample():
+    sample = {"consigned": "consign", "consolatory": "consolatori", "knackeries": "knackeri", "kneeling": "kneel", "generates": "generat", "hopping": "hop", "hoping": "hope", "relational": "relat", "skies": "sky", "happy": "happi"}
+    assert {w: stem.stem(w) for w in sample} == sample
+    assert stem.analyzed("dog's") == ["dog"] and stem.analyzed("the") == [] and stem.analyzed("42") == ["42"]
+
+
+def test_bm25_by_hand(spark, pages):
+    seen = lexical.visible(pages)
+    q = spark.createDataFrame([(1, "alpha 42"), (2, "nothing"), (3, "")], "query_id long, query string")
+    got = one(lexical.search(seen, q))
+    docs = {r["page_id"]: r["tokens"] for r in index.tokenized(seen).collect()}
+    n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
+    tf = docs["hot"].count("alpha")
+    want = math.log(1 + (n - 1 + 0.5) / 1.5) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs["hot"]) / avg)) * 1.15
+    assert [(r[0], r[1]) for r in got] == [(1, "hot")] and got[0][4] == pytest.approx(want, abs=1e-4)
+
+
+def test_exclusion_keeps_statistics_and_ranks(spark, pages):
+    q = spark.createDataFrame([(1, "gamma beta")], "query_id long, query string")
+    all_ = {r[1]: r[4] for r in one(lexical.search(pages, q))}
+    out = spark.createDataFrame([(" notes/a.md ",), ("",)], "key string")
+    less = {r[1]: r[4] for r in one(lexical.search(pages, q, excluded=out))}
+    assert less == {k: v for k, v in all_.items() if k != "a"}
+
+
+def test_english_guard(spark, pages):
+    q = spark.createDataFrame([(1, "api.v2-client"), (2, "no.such-thing"), (3, "gammas")], "query_id long, query string")
+    got = one(lexical.search(pages, q, analyzer="english"))
+    assert [(r[0], r[1]) for r in got if r[0] < 3] == [(1, "a")] and {r[1] for r in got if r[0] == 3} == {"index", "a"}
+
+
+def test_overview_and_bands(spark, pages):
+    assert [r[0] for r in one(lexical.overview(pages, 4))] == ["hot", "index", "c", "a"]
+    rows = [(1, "p1", "p1", "topic", 1.0), (1, "p2", "p2", "topic", 0.96), (1, "p3", "p3", "topic", 0.94), (1, "p4", "p4", "topic", 0.90)]
+    res = spark.createDataFrame(rows, "query_id long, page_id string, path string, role string, score double")
+    boosts = spark.createDataFrame([("p2", 9.0), ("p4", 0.02)], "page_id string, boost double")
+    got = lexical.rerank_in_bands(res, boosts, 0.05).orderBy("rank")
+    assert [r["page_id"] for r in got.collect()] == ["p2", "p1", "p3", "p4"]
+
+
+def test_literal(spark, pages):
+    q = spark.createDataFrame([(1, "ALPHA  beta"), (2, "note")], "query_id long, query string")
+    got = one(lexical.literal(pages, q))
+    assert [r[1] for r in got if r[0] == 1] == ["hot"] and [r[1] for r in got if r[0] == 2] == ["a", "b"]
+
+
+def test_vectors(spark, pages):
+    c = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, [0.0, 2.0]), ("b", 0, [0.0, 1.0]), ("c", 0, [0.0, 0.0]), ("hot", 0, None), ("index", 0, [float("nan"), 1.0])], "page_id string, ordinal int, embedding array<double>")
+    q = spark.createDataFrame([(1, [0.0, 1.0])], "query_id long, vector array<double>")
+    best = vector.best_chunks(vector.scores(c, q))
+    assert sorted((r["page_id"], r["score"], r["ordinal"]) for r in best.collect()) == [("a", 1.0, 1), ("b", 1.0, 0)]
+    assert [r["page_id"] for r in vector.top_pages(best, pages).collect()] == ["a", "b"]
+
+
+def test_fusion(spark):
+    schema = "query_id long, page_id string, path string, role string, rank int"
+    a = spark.createDataFrame([(1, "x", "x", "topic", 1), (1, "y", "y", "topic", 2)], schema)
+    b = spark.createDataFrame([(1, "y", "y", "topic", 1), (1, "z", "z", "hot", 2)], schema)
+    got = one(hybrid.plain(a, b, 8))
+    assert [(r[1], r[4]) for r in got] == [("y", round(1 / 61 + 1 / 62, 4)), ("x", round(1 / 61, 4)), ("z", round(1 / 62, 4))]
+    req = spark.createDataFrame([(1, "z")], "query_id long, page_id string")
+    assert [(r[1], r[4]) for r in one(hybrid.plain(a, b, 8, required=req))] == [("z", round(1 / 61, 4))]
+    assert hybrid.candidate_depth(8, 1000) == 256 and hybrid.candidate_depth(400, 10_000) == 1024 and hybrid.candidate_depth(8, 10) == 10
+
+
+def test_graph(spark, pages):
+    links = spark.createDataFrame([("a", "Index"), ("a", "https://x.org/p"), ("b", "GH-12"), ("hot", "notes/a.md"), ("hot", "no page")], "page_id string, link string")
+    nodes, edges = graph.project(pages, links)
+    ids = {r["id"]: r["kind"] for r in nodes.collect()}
+    assert ids["external:https-x.org-p"] == "external_ref" and ids["external:GH-12"] == "external_issue" and ids["placeholder:no-page"] == "placeholder" and ids["heading:hot-H"] == "heading"
+    e = {tuple(r) for r in edges.collect()}
+    assert ("page:a", "page:index", "links_to") in e and ("page:hot", "page:a", "links_to") in e and ("page:a", "tag:t1", "tagged") in e and ("page:hot", "tag:t1", "tagged") in e
+    shown, kept = graph.approved(nodes, edges, pages)
+    assert "page:b" not in {r["id"] for r in shown.collect()} and "external:GH-12" not in {r["id"] for r in shown.collect()}
+    assert all("page:b" not in (r["source"], r["target"]) for r in kept.collect())
+    seeds = graph.resolved_seeds(nodes, spark.createDataFrame([("a",), ("page:hot",), ("note B",), ("zzz",)], "seed string"))
+    assert {(r["seed"], r["id"]) for r in seeds.collect()} == {("a", "page:a"), ("page:hot", "page:hot"), ("note B", "page:b")}
+    near = graph.neighborhood(edges, spark.createDataFrame([("page:index",)], "id string"), 2, "in", ["links_to"])
+    assert {(r["id"], r["depth"]) for r in near.collect()} == {("page:index", 0), ("page:a", 1), ("page:hot", 2)}
+    assert one(graph.paths(edges, "page:hot", "page:index", 3))[0] == (["page:hot", "page:a", "page:index"], 2)
+    assert one(graph.paths(edges, "page:a", "page:a", 3)) == [(["page:a"], 0)]
+    assert [r["id"] for r in graph.by_marker(nodes, edges, "tag", "t1").collect()] == ["page:a", "page:hot"]
+    assert {r["id"]: (r["inbound"], r["outbound"]) for r in graph.degrees(edges).collect()}["page:a"] == (1, 4)
+
+
+def test_hierarchy_sidecar_and_metadata(spark, pages):
+    p = spark.createDataFrame([(0, "root", "root.md", "R"), (1, "root.kid", "root.kid.md", "K")], "page_ord long, page_id string, path string, title string")
+    none = spark.createDataFrame([], "source string, target string, relation string")
+    assert one(graph.with_hierarchy(none, p)) == [("page:root.kid", "page:root", "child_of")]
+    side = spark.createDataFrame([("K", "R", "Depends On", 0.5), ("K", "else", None, None)], "source string, target string, type string, confidence double")
+    assert set(one(graph.with_sidecar(none, side, p))) == {("page:root.kid", "page:root", "depends_on"), ("page:root.kid", "placeholder:else", "related_to")}
+    m = spark.createDataFrame([("a", "b", "r", 1, {"k": "1", "z": ""}), ("a", "b", "r", 0, {"k": "2", "q": "3"})], "source string, target string, relation string, edge_ord long, metadata map<string,string>")
+    assert graph.merged_metadata(m).first()["metadata"] == {"k": ["2", "1"], "q": ["3"]}
+
+
+def test_catalog(spark, pages):
+    m = catalog.manifest(pages).first()
+    assert (m["page_count"], m["approved_count"], m["hot_path"], m["overview_path"]) == (5, 4, "hot.md", None)
+    refs = {r["label"]: r for r in catalog.source_refs(pages).collect()}
+    assert refs["ref A"]["id"] == "ref-a" and refs["ref-A"]["id"].startswith("ref-a-") and refs["ref A"]["linked_page_ids"] == ["hot"]
+    assert catalog.read(pages, "b").count() == 0 and catalog.read(pages, "notes/b.md", include_drafts=True).count() == 1
+    new = pages.where("page_id != 'c'").withColumn("text", F.when(F.col("page_id") == "a", "new").otherwise(F.col("text")))
+    assert sorted(one(catalog.changed(pages, new))) == [("c.md", "removed"), ("notes/a.md", "changed")]
+    assert catalog.content_signature(pages).first()[0] != catalog.content_signature(new).first()[0]
+    q = spark.createDataFrame([(1, "alpha beta")], "query_id long, query string")
+    pack = catalog.context_pack(lexical.search(pages, q), lexical.overview(pages, 3), pages).first()
+    assert pack["n_evidence"] == len(pack["evidence"]) and pack["evidence"][0]["rank"] == 1 and len(pack["orientation"]) == 3
+
+
+def test_usage(spark):
+    t = [0.0, 604_800.0, 604_800.0]
+    hits = spark.createDataFrame([("p", x) for x in t], "page_key string, s double").select("page_key", F.timestamp_seconds("s").alias("ts"))
+    assert one(usage.counters(hits)) == [("p", 2.5, 604_800.0)]
+    row = usage.priors(usage.counters(hits), F.lit(604_800.0 * 2)).first()
+    assert row["counter"] == pytest.approx(1.25) and row["boost"] == pytest.approx(0.05 * 0.125)
+
+
+def test_streaming_counters_equal_batch(spark, tmp_path):
+    from larkspur.streaming import hits as S
+
+    rng = random.Random(1)
+    rows = [(f"p{rng.randrange(5)}", float(rng.randrange(2_000_000))) for _ in range(200)]
+    rows.sort(key=lambda r: r[1])
+    src = str(tmp_path / "in")
+    for k in range(2):
+        part = spark.createDataFrame(rows[k * 100 : k * 100 + 100], "page_key string, s double").select("page_key", F.timestamp_seconds("s").alias("ts"))
+        part.coalesce(1).write.mode("append").parquet(src)
+        stream = S.counters(spark.readStream.schema("page_key string, ts timestamp").parquet(src))
+        S.write(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    batch = {r[0]: round(r[1], 6) for r in one(usage.counters(spark.read.parquet(src)))}
+    assert {r["page_key"]: round(r["counter"], 6) for r in S.latest(spark, str(tmp_path / "out")).collect()} == batch
+
+
+def test_evaluation(spark):
+    run = spark.createDataFrame([(1, 1, "a"), (1, 2, "x"), (1, 3, "b"), (2, 1, "x")], "query_id long, rank int, page_id string")
+    qrels = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "y", 1)], "query_id long, page_id string, relevance int")
+    m = {r["query_id"]: r for r in evaluate.per_query(run, qrels).collect()}
+    dcg, best = 1 + 3 / 2, 3 + 1 / math.log2(3)
+    assert m[1]["ndcg"] == pytest.approx(dcg / best) and m[1]["recall"] == 1 and m[1]["mrr"] == 1 and m[1]["map_all"] == pytest.approx((1 + 2 / 3) / 2)
+    assert (m[2]["ndcg"], m[2]["recall"], m[2]["hit"], m[2]["mrr"]) == (0, 0, 0, 0)
+    classes = spark.createDataFrame([(1, "c"), (2, "d")], "query_id long, class string")
+    assert {r["class"]: r["recall"] for r in evaluate.by_class(evaluate.per_query(run, qrels), classes).collect()} == {"c": 1.0, "d": 0.0, "all": 0.5}
+    cited = spark.createDataFrame([(1, ["a", "z"])], "query_id long, citation_ids array<string>")
+    assert one(evaluate.citations(cited, qrels)) == [(0.5, pytest.approx(1 / 3))]
+    deps = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 5)], "id long, needs long")
+    assert {r["id"] for r in evaluate.cyclic(deps).collect()} == {1, 2, 3}
+    vals = spark.createDataFrame([("g", float(v)) for v in (1, 2, 3, 4)], "g string, v double")
+    p = evaluate.percentiles(vals, ["g"], "v", (0.5,)).first()
+    assert (p["disc_50"], p["cont_50"]) == (2.0, 2.5)
+    ci = evaluate.paired_bootstrap(evaluate.per_query(run, qrels), evaluate.per_query(run, qrels), "ndcg", 50).first()
+    assert (ci["delta"], ci["low"], ci["high"]) == (0, 0, 0)
+    ev = spark.createDataFrame([(1, "a", 0, 3), (2, "a", 2, 9)], "evidence_id long, page_id string, start int, end int")
+    assert [r["evidence_id"] for r in evaluate.bad_locators(ev, spark.createDataFrame([("a", "text")], "page_id string, text string")).collect()] == [2]
+
+
+def test_guidance(spark, pages):
+    df = spark.createDataFrame([("password: hunter22 in /home/me/x and Bearer abcdefghijklmnop",), ("plain text",)], "t string")
+    got = one(df.select(guidance.sensitive(F.col("t")), guidance.redacted(F.col("t"))))
+    assert got[0][0] and "hunter22" not in got[0][1] and "/home/me" not in got[0][1] and "abcdefghijklmnop" not in got[0][1] and got[1] == (False, "plain text")
+    ids = spark.createDataFrame([("see IssueTracker ABC-12 v1.2.3 and src/main.py",)], "t string").select(guidance.identifiers(F.col("t"))).first()[0]
+    assert ids == ["IssueTracker", "ABC-12", "v1.2.3", "src/main.py"]
+    cards = {r["path"]: (r["page_count"], r["terms"]) for r in guidance.folder_cards(guidance.page_terms(pages).select("page_ord", "path", "terms")).collect()}
+    assert cards["notes"][0] == 2 and cards["."][0] == 3 and "Hot" in cards["."][1]
+
+
+def test_chunks(spark):
+    text = "# Top\n\nfirst para\nstill first\n\n## Sub\n\n" + "word " * 400 + "\n\n" + "x" * 3000
+    df = spark.createDataFrame([("p", "Title", text), ("e", "", ""), ("n", None, None)], "page_id string, title string, text string")
+    rows = chunks.chunks(df).orderBy("page_id", "ordinal").collect()
+    assert {r["page_id"] for r in rows} == {"p"} and rows[0]["heading"] == "Top" and rows[0]["chunk"].startswith("Title Top first para still first")
+    assert all(len(r["chunk"]) <= chunks.MAX_CHARS for r in rows) and rows[1]["heading"] == "Top > Sub"
+    spans = [(r["start"], r["end"]) for r in rows]
+    assert all(text[a:b].strip() for a, b in spans) and spans == sorted(spans)
+    assert "".join("".join(text[a:b].split()) for a, b in spans) == "".join(text.replace("# Top", "").replace("## Sub", "").replace("#", "").split())
+
+
+def test_wiki_folder(spark, tmp_path):
+    (tmp_path / "wiki" / "sub").mkdir(parents=True)
+    (tmp_path / "graph").mkdir()
+    (tmp_path / "wiki" / "index.md").write_text("---\ntitle: Start here\ntags: [One, one, two]\nsource_refs: ref 1\n---\n# Head\n\nSee [[Other Page|o]] and [x](sub/note.md#a). #topic/x #42\n")
+    (tmp_path / "wiki" / "sub" / "other-page.md").write_text("---\ndraft: yes\n---\ntags:: p, q\nBody\n")
+    (tmp_path / "wiki" / "sub" / "note.md").write_text("---\nbad: [\n---\ntext")
+    (tmp_path / "wiki" / "sub" / "skip.txt").write_text("no")
+    (tmp_path / "graph" / "graph.json").write_text('{"edges": [{"from": "a", "to": "b", "type": "Uses", "confidence": 0.5}, {"source": "c", "target": "d", "confidence": true}, {"from": ""}]}')
+    how = wiki.layout(str(tmp_path))
+    assert how.adapter == "native"
+    got = {r["path"]: r for r in wiki.pages(spark, str(tmp_path)).collect()}
+    assert set(got) == {"index.md", "sub/note.md", "sub/other-page.md"}
+    i = got["index.md"]
+    assert (i["title"], i["role"], i["tags"], i["source_refs"], i["headings"], i["approved"]) == ("Start here", "index", ["One", "two", "topic/x"], ["ref 1"], ["Head"], True)
+    assert i["links"] == ["Other Page", "sub/note"] and i["page_id"] == "index"
+    o = got["sub/other-page.md"]
+    assert (o["title"], o["approved"], o["tags"]) == ("other page", False, ["p", "q"]) and got["sub/note.md"]["text"].startswith("---")
+    assert sorted(one(wiki.sidecar_edges(spark, str(tmp_path)))) == [("a", "b", "Uses", 0.5), ("c", "d", None, None)]
+
+
+def test_layouts(tmp_path):
+    for marker, name in ((".obsidian", "obsidian"), (".foam", "foam")):
+        (tmp_path / name / marker).mkdir(parents=True)
+        assert wiki.layout(str(tmp_path / name)).adapter == name
+    (tmp_path / "l" / "pages").mkdir(parents=True)
+    (tmp_path / "l" / "journals").mkdir()
+    assert wiki.layout(str(tmp_path / "l")).adapter == "logseq" and wiki.layout(str(tmp_path / "l")).namespaced
+    (tmp_path / "q" / "content").mkdir(parents=True)
+    (tmp_path / "q" / "quartz.config.ts").write_text("")
+    assert wiki.layout(str(tmp_path / "q")).scan_roots[0].endswith("content")
+    (tmp_path / "d" / "vault").mkdir(parents=True)
+    (tmp_path / "d" / "dendron.yml").write_text("vaults:\n  - fsPath: vault\n")
+    assert wiki.layout(str(tmp_path / "d")).path_root.endswith("vault") and wiki.layout(str(tmp_path / "d")).alias_last
+    with pytest.raises(FileNotFoundError):
+        wiki.layout(str(tmp_path / "none"))
+
+
+def test_index_round_trip(spark, pages, tmp_path):
+    built = index.build(pages)
+    index.write(built, str(tmp_path / "ix"))
+    back = index.read(spark, str(tmp_path / "ix"))
+    for name in ("postings", "doc_stats", "term_stats", "corpus_stats"):
+        assert sorted(one(getattr(built, name))) == sorted(one(getattr(back, name).select(*getattr(built, name).columns)))
