@@ -1,6 +1,6 @@
 """Toxicity by a learned lexicon, misspellings and quotation context.
 
-1. Lexicon: over all training documents, words (and stems: prefixes that many forms share) are counted by label; those
+1. Lexicon: over the training documents (``MAX_TRAIN`` labelled rows at most), words (and stems: prefixes that many forms share) are counted by label; those
    whose likelihood ratio clears a Bonferroni bound over the vocabulary are candidates. Copies of one document would
    lift all its words, so a candidate must clear the bound again with its effective number of contexts (the
    exponential of the entropy of its neighbours) for its documents. ``MAX_TERMS`` terms at most.
@@ -40,6 +40,8 @@ MAX_TERMS = 2000
 MIN_STEM, MAX_STEM, MIN_FORMS = 4, 9, 8
 SPAN = 6
 TOP = 5
+#: Labelled rows that the model is fitted on.
+MAX_TRAIN = 30_000
 CUT = 0.7
 #: Nats beyond the logarithm of the vocabulary's size that a term's likelihood ratio must reach.
 SURPRISE = 5.0
@@ -152,9 +154,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training(labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic) of the rows that may be learned from."""
+    """(doc_id, toxic) of the rows that are learned from: ``MAX_TRAIN`` at most, the first by a hash of the id, so that
+    the table may be broadcast whatever the corpus."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(~held_out(F.col("doc_id")))
-    return known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    once = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    return stash(once.orderBy(F.xxhash64("doc_id")).limit(MAX_TRAIN), "training")
 
 
 def _vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,10 +198,11 @@ def _contexts(words: frozenset[str], stems: frozenset[str]):
     return run
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    known = docs.select("doc_id", "text").join(training(labels), "doc_id")
+def learn_lexicon(docs: DataFrame, train: DataFrame) -> Lexicon:
+    """train: what ``training`` returns."""
+    known = docs.select("doc_id", "text").join(F.broadcast(train), "doc_id")
     words = stash(known.mapInPandas(_vocabulary, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "vocabulary")
-    both = training(labels).agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.count(F.lit(1))).first()
+    both = train.agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.count(F.lit(1))).first()
     if not both[0] or both[0] == both[1]:
         return Lexicon(frozenset(), ())
     share = both[0] / both[1]
@@ -255,10 +260,10 @@ def _design(a: np.ndarray, w: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.stack([np.ones_like(a), a > 0, a, w > 0, w, q > 0, q], axis=1).astype(float)
 
 
-def fit(hits: DataFrame, labels: DataFrame) -> list[float]:
+def fit(hits: DataFrame, train: DataFrame) -> list[float]:
     """Weights of the logistic model from the counts of each cell of features."""
     top = [F.least(c, F.lit(TOP)).cast("int").alias(c) for c in ("n_abuse", "n_misspelled", "n_quoted")]
-    cells = hits.join(training(labels), "doc_id").groupBy(*top, "toxic").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    cells = hits.join(F.broadcast(train), "doc_id").groupBy(*top, "toxic").agg(F.count(F.lit(1)).alias("n")).toPandas()
     weights = np.zeros(7)
     if len(cells):
         x = _design(*(cells[c].to_numpy() for c in ("n_abuse", "n_misspelled", "n_quoted")))
@@ -287,8 +292,9 @@ def scored(hits: DataFrame, weights: list[float]) -> DataFrame:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_abuse, n_misspelled, n_quoted) of every row of docs."""
-    hits = stash(count_hits(docs, learn_lexicon(docs, labels)), "hits")
-    return scored(hits, fit(hits, labels))
+    train = training(labels)
+    hits = stash(count_hits(docs, learn_lexicon(docs, train)), "hits")
+    return scored(hits, fit(hits, train))
 
 
 def op6_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
