@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -34,7 +35,9 @@ from larkspur.llm.common import let, stash, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-HEAD = 200_000
+HEAD = 100_000
+#: Words that a worker remembers beside them, and rows encoded at a time.
+MEMO, ROWS = 100_000, 128
 #: From the finest cut to the coarsest; the first one that cuts no piece is used.
 CUTS = (r"▁*+[\p{L}\p{M}]++|▁*+[^\p{L}\p{M}▁]++|▁++", r"▁*+[^▁]++|▁++", r"(?s:.++)")
 
@@ -155,31 +158,36 @@ class _Batch:
     def __init__(self, pieces: Pieces, head: dict[str, list[int]]):
         self.pieces, self.head, self.memo = pieces, head, {}
         self.score = {p: (s, i) for p, s, i in pieces.rows}
+        self.best = {p: s for p, s, _ in pieces.rows}
         self.split = regex.compile(pieces.cut)
 
     def word(self, word: str) -> list[int]:
         found = self.head.get(word) or self.memo.get(word)
         if found is None:
-            if len(self.memo) > 300_000:
+            if len(self.memo) > MEMO:
                 self.memo.clear()
             found = self.memo[word] = self.fold(word)
         return found
 
     def fold(self, word: str) -> list[int]:
-        n, longest, score = len(word), self.pieces.longest, self.score
-        edges = {p: e for i in range(n) for k in range(i + 1, min(n, i + longest) + 1) if (e := score.get(p := word[i:k])) is not None}
-        parts = list(word) if n <= 2000 else None
-        if parts is None:
+        """fold_merges, the edges looked up in the piece table as neighbours meet; only the two scores beside a merge
+        change."""
+        if len(word) > 500:
             return self.long(word)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                e = edges.get(parts[i] + parts[i + 1])
-                if e is not None and (best is None or e[0] > best):
-                    best, at = e[0], i
-            if at < 0:
+        parts, best = list(word), self.best
+        none = float("-inf")
+        scores = [best.get(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+        while scores:
+            top = max(scores)
+            if top == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = scores.index(top)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = best.get(parts[i - 1] + parts[i], none)
+            if i < len(scores):
+                scores[i] = best.get(parts[i] + parts[i + 1], none)
         return self.ids(parts)
 
     def ids(self, parts: list[str]) -> list[int]:
@@ -257,9 +265,11 @@ def encode(docs: DataFrame, pieces: Pieces, head: int = HEAD) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _Batch(*shared.value)
         for batch in batches:
-            ids = [coder.text(t.as_py()) for t in batch["__text"]]
-            whole = pa.array(ids, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], whole], names=[*names, "ids"])
+            # a few rows at a time, each row's ids packed at once: Python's integers never pile up
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                ids = [None if (found := coder.text(t.as_py())) is None else np.array(found, dtype=np.int32) for t in part["__text"]]
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in names], pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
 
     names = [c for c in docs.columns if c not in ("ids", "n_tokens", "__text")]
     schema = docs.select(*names).schema.add("ids", T.ArrayType(T.IntegerType()))
@@ -267,10 +277,17 @@ def encode(docs: DataFrame, pieces: Pieces, head: int = HEAD) -> DataFrame:
 
 
 def decode(ids: Column, pieces: Pieces) -> Column:
-    """The text of an array of ids; broken byte sequences become U+FFFD."""
-    parts = F.transform(ids, lambda i: F.coalesce(F.get(F.lit(list(pieces.texts)), i), F.lit("")))
-    said = F.make_valid_utf8(F.unhex(F.array_join(parts, "")).cast("string"))
-    return F.when(F.startswith(said, F.lit(" ")), F.substring(said, F.lit(2), F.length(said))).otherwise(said)
+    """The text of an array of ids; broken byte sequences become U+FFFD. Texts without bytes beyond ASCII, nearly all,
+    are joined as they are; in others all pieces are joined as hexadecimal UTF-8."""
+    plain = [bytes.fromhex(h).decode("utf-8", "replace") for h in pieces.texts]
+    high = [i for b, i in enumerate(pieces.bytes_) if b > 127]
+    lookup = lambda table_: F.transform(ids, lambda i: F.coalesce(F.get(F.lit(table_), i), F.lit("")))
+    joined = F.array_join(lookup(plain), "")
+    if high:
+        mixed = F.make_valid_utf8(F.unhex(F.array_join(lookup(list(pieces.texts)), "")).cast("string"))
+        among = F.exists(ids, lambda i: i.between(min(high), max(high))) if max(high) - min(high) == len(high) - 1 else F.arrays_overlap(ids, F.lit(high))
+        joined = F.when(among, mixed).otherwise(joined)
+    return let(joined, lambda said: F.when(F.startswith(said, F.lit(" ")), F.substring(said, F.lit(2), F.length(said))).otherwise(said))
 
 
 def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
