@@ -12,9 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where its files come in fewer splits than there are cores; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page a document; labels give its review state and status."""
-    d, l = table(spark, sf_dir, "documents").alias("d"), table(spark, sf_dir, "labels").alias("l")
+    d, l = spread(table(spark, sf_dir, "documents")).alias("d"), table(spark, sf_dir, "labels").alias("l")
     body = F.coalesce(F.col("d.text"), F.lit(""))
     return d.join(l, F.col("d.doc_id") == F.col("l.doc_id"), "left").select(
         F.col("d.doc_id").alias("page_ord"),
@@ -42,7 +48,7 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, page_id, relevance): 2 where a page holds the whole passage, 1 where it holds its first half."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     half = F.substring("passage", F.lit(1), F.floor(F.length("passage") / 2).cast("int"))
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     # the passages are the query set: every page is held against each of them
     found = d.join(F.broadcast(b), d["text"].contains(half))
     return found.select(F.col("item_id").alias("query_id"), F.col("doc_id").cast("string").alias("page_id"), F.when(d["text"].contains(F.col("passage")), 2).otherwise(1).alias("relevance"))
