@@ -179,7 +179,8 @@ def verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     pairs = stash(pairs, f"{name}-pairs")
     linked = F.pandas_udf(_annotated(_hits), "boolean")
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # written first, so that the planner knows how many they are: few are broadcast, and then no text is shuffled
+    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
     sets = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, s array<long>")
     sets = stash(sets, f"{name}-sets")
     for side, other in (("a", "b"), ("b", "a")):

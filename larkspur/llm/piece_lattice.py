@@ -36,8 +36,8 @@ from larkspur.llm.common import let, stash, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 HEAD = 100_000
-#: Words that a worker remembers beside them, and rows encoded at a time.
-MEMO, ROWS = 100_000, 128
+#: Words and stretches between spaces that a worker remembers beside them, and rows encoded at a time.
+MEMO, PARTS, ROWS = 150_000, 250_000, 128
 #: From the finest cut to the coarsest; the first one that cuts no piece is used.
 CUTS = (r"▁*+[\p{L}\p{M}]++|▁*+[^\p{L}\p{M}▁]++|▁++", r"▁*+[^▁]++|▁++", r"(?s:.++)")
 
@@ -156,19 +156,36 @@ class _Batch:
     """Encodes what the broadcast table lacks; remembers a bounded number of words."""
 
     def __init__(self, pieces: Pieces, head: dict[str, list[int]]):
-        self.pieces, self.head, self.memo = pieces, head, {}
+        self.pieces, self.head, self.memo, self.parts = pieces, head, {}, {}
         self.score = {p: (s, i) for p, s, i in pieces.rows}
         self.best = {p: s for p, s, _ in pieces.rows}
         self.split = regex.compile(pieces.cut)
 
-    def word(self, word: str) -> list[int]:
-        found = self.head.get(word) or self.memo.get(word)
+    def rare(self, word: str) -> list[int]:
+        found = self.memo.get(word)
         if found is None:
             if len(self.memo) > MEMO:
                 self.memo.clear()
             found = self.memo[word] = self.fold(word)
         return found
 
+    def several(self, escaped_: str) -> list[int]:
+        """Ids of an escaped stretch of text, word by word."""
+        out: list[int] = []
+        head, rare = self.head.get, self.rare
+        for w in self.split.findall(escaped_):
+            out += head(w) or rare(w)
+        return out
+
+    def spaced(self, part: str) -> list[int]:
+        """Ids of what stands between two single spaces, remembered whole: words with their punctuation."""
+        if len(self.parts) > PARTS:
+            self.parts.clear()
+        found = self.several(MARK + part)
+        if len(part) < 40:
+            self.parts[part] = found
+        return found
+
     def fold(self, word: str) -> list[int]:
         """fold_merges, the edges looked up in the piece table as neighbours meet; only the two scores beside a merge
         change."""
@@ -233,10 +250,15 @@ class _Batch:
     def text(self, text: str | None) -> list[int] | None:
         if text is None:
             return None
+        if not text:
+            return []
+        # words start at single spaces, so what lies between them can be encoded by itself; runs of spaces are words too
+        if self.pieces.cut == CUTS[-1] or text[0] == " " or "  " in text or MARK in text:
+            return self.several(MARK + text.replace(" ", MARK))
         out: list[int] = []
-        if text:
-            for w in self.split.findall(MARK + text.replace(" ", MARK)):
-                out += self.word(w)
+        known, spaced = self.parts.get, self.spaced
+        for part in text.split(" "):
+            out += known(part) or spaced(part)
         return out
 
 

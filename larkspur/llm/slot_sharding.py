@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import numbered, stash, table
+from larkspur.llm.common import let, numbered, stash, table
 
 SLOTS = 8192
 SHARDS = 24
@@ -52,10 +52,12 @@ def first_map(sizes: DataFrame, shards: int = SHARDS) -> DataFrame:
     start = F.struct(F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"), F.array().cast("array<struct<vslot:int,shard:int,bytes:bigint>>").alias("out"))
 
     def deal(acc: Column, x: Column) -> Column:
-        at = _argmin(acc["loads"])
-        return F.struct(
-            F.transform(acc["loads"], lambda load, i: F.when(i == at, load - x["less"]).otherwise(load)).alias("loads"),
-            F.array_append(acc["out"], F.struct(x["vslot"].alias("vslot"), at.alias("shard"), (-x["less"]).alias("bytes"))).alias("out"),
+        return let(
+            _argmin(acc["loads"]),
+            lambda at: F.struct(
+                F.transform(acc["loads"], lambda load, i: F.when(i == at, load - x["less"]).otherwise(load)).alias("loads"),
+                F.array_append(acc["out"], F.struct(x["vslot"].alias("vslot"), at.alias("shard"), (-x["less"]).alias("bytes"))).alias("out"),
+            ),
         )
 
     # dealt in two levels, so that the array that grows in the fold stays short
@@ -92,15 +94,21 @@ def rebalanced_map(current: DataFrame, sizes: DataFrame, moves: int = 256) -> Da
     loads = rows.select("*", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + F.when(x["shard"] == k, x["bytes"]).otherwise(0))).alias("loads"))
 
     def move(acc: Column, _: Column) -> Column:
-        hi, lo = F.array_position(acc["loads"], F.array_max(acc["loads"])).cast("int") - 1, _argmin(acc["loads"])
-        gap = F.array_max(acc["loads"]) - F.array_min(acc["loads"])
-        fit = F.filter(acc["m"], lambda x: (x["shard"] == hi) & (x["bytes"] > 0) & (x["bytes"] < gap))
-        best = F.get(F.sort_array(F.transform(fit, lambda x: F.struct(F.abs(gap - 2 * x["bytes"]).alias("d"), x["vslot"].alias("vslot"), x["bytes"].alias("bytes")))), F.lit(0))
-        b = F.coalesce(best["bytes"], F.lit(0))
-        return F.struct(
-            F.transform(acc["m"], lambda x: F.struct(x["vslot"].alias("vslot"), F.when(x["vslot"] == best["vslot"], lo).otherwise(x["shard"]).alias("shard"), x["bytes"].alias("bytes"))).alias("m"),
-            F.transform(acc["loads"], lambda load, i: load + F.when(i == lo, b).otherwise(0) - F.when(i == hi, b).otherwise(0)).alias("loads"),
-        )
+        ends = F.struct((F.array_position(acc["loads"], F.array_max(acc["loads"])).cast("int") - 1).alias("hi"), _argmin(acc["loads"]).alias("lo"), (F.array_max(acc["loads"]) - F.array_min(acc["loads"])).alias("gap"))
+
+        def chosen(e: Column) -> Column:
+            fit = F.filter(acc["m"], lambda x: (x["shard"] == e["hi"]) & (x["bytes"] > 0) & (x["bytes"] < e["gap"]))
+            best = F.array_min(F.transform(fit, lambda x: F.struct(F.abs(e["gap"] - 2 * x["bytes"]).alias("d"), x["vslot"].alias("vslot"), x["bytes"].alias("bytes"))))
+            return F.struct(e["hi"].alias("hi"), e["lo"].alias("lo"), best.alias("best"))
+
+        def moved(c: Column) -> Column:
+            b = F.coalesce(c["best"]["bytes"], F.lit(0))
+            return F.struct(
+                F.transform(acc["m"], lambda x: F.struct(x["vslot"].alias("vslot"), F.when(x["vslot"] == c["best"]["vslot"], c["lo"]).otherwise(x["shard"]).alias("shard"), x["bytes"].alias("bytes"))).alias("m"),
+                F.transform(acc["loads"], lambda load, i: load + F.when(i == c["lo"], b).otherwise(0) - F.when(i == c["hi"], b).otherwise(0)).alias("loads"),
+            )
+
+        return let(let(ends, chosen), moved)
 
     done = loads.select((F.col("v") + 1).alias("version"), F.aggregate(F.sequence(F.lit(1), F.lit(moves)), F.struct("m", "loads"), move)["m"].alias("m"))
     return done.select("version", F.explode("m").alias("x")).select("version", "x.vslot", "x.shard", "x.bytes")

@@ -36,7 +36,7 @@ MIN_PAGES = 20
 #: A branch below this share of the host's largest importance goes.
 LOW = 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>|[^<]+|<", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
@@ -75,8 +75,8 @@ def _names(attrs: str) -> tuple[str, set[str], str]:
             if key.lower() == "role":
                 role = value.strip().lower()
             else:
-                parts = _PARTS.findall(_CAMEL.sub(r"\1 \2", value).lower())
-                found.update(parts)
+                parts = _PARTS.findall(value.lower())
+                found.update(parts, _PARTS.findall(_CAMEL.sub(r"\1 \2", value).lower()))
                 label = label or (parts[0].rstrip("0123456789") if parts else "")
     return label, found, role
 
