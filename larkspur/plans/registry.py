@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators import catalog, evaluate, graph, guidance, hybrid, index, lexical, usage, vector
+from larkspur.functions import text as X
+from larkspur.operators import catalog, chunks, evaluate, graph, guidance, hybrid, index, lexical, usage, vector
 from larkspur.plans.sql import ORACLES as ORACLES
 from larkspur.sources import corpus
 
@@ -128,6 +129,28 @@ def _percentiles(s: SparkSession, d: str) -> DataFrame:
     return evaluate.percentiles(corpus.table(s, d, "events"), ["event_type"], "value")
 
 
+def _banded(s: SparkSession, d: str) -> DataFrame:
+    """Ranked results re-ranked by usage within bands of score."""
+    boosts = _priors(s, d).select(F.col("page_key").alias("page_id"), "boost")
+    return lexical.rerank_in_bands(_bm25(s, d, 30).drop("rank"), boosts, 0.05)
+
+
+def _compounds(s: SparkSession, d: str) -> DataFrame:
+    each = index.exact_channel(_pages(s, d), index.authored_text())
+    return each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _context(s: SparkSession, d: str) -> DataFrame:
+    p = _pages(s, d)
+    pack = catalog.context_pack(_bm25(s, d), lexical.overview(p, 3), p)
+    return pack.select("query_id", "n_evidence", F.to_json("evidence").alias("evidence"), F.to_json("orientation").alias("orientation"))
+
+
+def _gates(s: SparkSession, d: str) -> DataFrame:
+    m = _metrics(s, d).agg(F.avg("ndcg").alias("ndcg_at_10"), F.avg("mrr").alias("mrr"))
+    return evaluate.gates(m)
+
+
 QUERIES = {
     "tokenize_terms": _tokens,
     "index_stats": _index_stats,
@@ -165,4 +188,14 @@ QUERIES = {
     "eval_by_class": _by_class,
     "percentiles": _percentiles,
     "validate_refs": _validate,
+    "bm25_english": lambda s, d: _bm25(s, d, analyzer="english").select(RESULT),
+    "compound_identifiers": _compounds,
+    "tie_band_rerank": _banded,
+    "page_chunks": lambda s, d: chunks.chunks(_pages(s, d)).select("page_id", "ordinal", "start", "end"),
+    "page_cards": lambda s, d: guidance.page_cards(_pages(s, d), corpus.queries(s, d)),
+    "redacted_docs": lambda s, d: corpus.table(s, d, "documents").select("doc_id", guidance.redacted(F.col("text")).alias("text")),
+    "context_pack": _context,
+    "content_signature": lambda s, d: catalog.content_signature(_pages(s, d)),
+    "page_summaries": lambda s, d: _pages(s, d).select("page_id", "summary", X.headings(F.col("text")).alias("headings")),
+    "quality_gates": _gates,
 }

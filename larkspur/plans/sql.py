@@ -151,4 +151,5 @@ select page_id, path, round(2.0 * coalesce(i, 0) + 0.4 * coalesce(o, 0) + 0.5 *
     "validate_refs": "select 'label' kind, doc_id id from labels where doc_id not in (select doc_id from documents) union all select 'embedding', vec_id from embeddings where vec_id not in (select doc_id from documents) union all select 'duplicate', doc_id from documents group by 2 having count(*) > 1",
     "folder_cards": f"""with {CORPUS}, f as (select regexp_extract(path, '^(.*)/', 1) folder, page_ord, page_id, lower(tags) term, tags from corpus), t as (select folder, term, count(*) n from f where term is not null and length(term) >= 2 group by 1, 2),
 r as (select *, row_number() over (partition by folder order by n desc, term) k from t) select folder path, (select count(*) from f where f.folder = g.folder) page_count, (select list(term order by k) from r where r.folder = g.folder and k <= 8) terms from (select distinct folder from f) g""",
+    "page_summaries": f"with {CORPUS} select page_id, summary, regexp_extract_all(text, '(?m)^#{{1,6}}\\s+(.+?)\\s*$', 1)[1:40] headings from corpus",
 }
