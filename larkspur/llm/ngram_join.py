@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import components, stash, table
 
 N = 5
-#: Bits of a signature: the power of two at or above twice the set's size, within these bounds.
-BITS = (256, 65_536)
+#: Bits of a signature: the power of two at or above the set's size, within these bounds.
+BITS = (128, 65_536)
 BINS, KEY_BINS = 32, 4
 TILE = 2048
 ORDER_SAMPLE = 20_000
@@ -106,7 +106,7 @@ def prefix_length(n: int) -> int:
 
 
 def _signature(s: np.ndarray) -> bytes:
-    width = min(max(1 << (2 * len(s) - 1).bit_length(), BITS[0]), BITS[1])
+    width = min(max(1 << (len(s) - 1).bit_length(), BITS[0]), BITS[1])
     odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % width, minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
