@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import components, stash, table
+from larkspur.llm.common import components, stash, table, unstash
 
 N = 5
 #: Bits of a signature: the power of two at or above the set's size, within these bounds.
@@ -176,7 +176,7 @@ def _hits(a: pd.Series, b: pd.Series) -> pd.Series:
 def verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of distinct doc_ids whose sets are similar. A doc_id in many pairs is dealt into groups of
     512 pairs, each with a copy of its set."""
-    pairs = stash(pairs, f"{name}-pairs")
+    given = pairs = stash(pairs, f"{name}-pairs")
     linked = F.pandas_udf(_annotated(_hits), "boolean")
 
     # written first, so that the planner knows how many they are: few are broadcast, and then no text is shuffled
@@ -189,7 +189,9 @@ def verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
         copies = sets.join(many, sets["id"] == many[side], "left").select("id", F.col("s").alias(f"s{side}"), F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("part"))
         dealt = pairs.join(many, side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("k", F.lit(1))).cast("int")).drop("k")
         pairs = dealt.join(copies, (dealt[side] == copies["id"]) & (dealt["part"] == copies["part"])).drop("id", "part")
-    return stash(pairs.where(linked("sa", "sb")).select("a", "b"), f"{name}-links")
+    found = stash(pairs.where(linked("sa", "sb")).select("a", "b"), f"{name}-links")
+    unstash(given, ids, sets)
+    return found
 
 
 def _annotated(f):
@@ -324,6 +326,7 @@ def link(docs: DataFrame) -> DataFrame:
     tiles = dealt.select("h", "id", "n", "part", "bits", F.explode(spots).alias("t")).select("h", "id", "n", "part", "bits", "t.*")
     close = tiles.repartition("h", "l", "r").sortWithinPartitions("h", "l", "r", "n").mapInArrow(_tile_pairs, "a long, b long").distinct()
     more = verified(close, docs, "tiles")
+    unstash(shared, big)
     whole = stash(components(first.union(more)), "components")
 
     ids = reps.select("n", "f1", "f2", "id").join(whole, F.col("id") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("root", "id").alias("component_id"))
