@@ -1,13 +1,16 @@
 """Main text of web pages through a site style tree.
 
 First pass: each page is parsed into block elements. Pages of a host are merged into one tree, whose nodes are the
-element paths (tag and leading class or id). For each node the entropy of what it holds over the host's pages
-(content) and of its child sequences (presentation) is measured, in units of the largest possible; importance is
-0.9 content + 0.1 presentation. A node far less important than the host's most important one repeats from page to
-page: it is a menu, advert or footer, and its branch is removed. Second pass: pages are parsed again without the
-removed branches, and without elements whose tag, role, class or id names a menu, header, footer, side bar, notice,
-advert, form or comment section. The first pass sends counts per (host, node, content), so a large host is spread by
-content; hosts with fewer than MIN_PAGES pages are cleaned by names alone.
+element paths (tag and leading class or id). For each node it is measured how much of which page one is on what it
+holds (content) and its child sequence (presentation) tell: the mutual information of page and value, in units of the
+logarithm of the pages that hold the path; importance is 0.9 content + 0.1 presentation. Every page counts one, shared
+evenly among its different values, so a page that repeats a block weighs no more than others. Where a node is far
+less important than the host's most important one, those of its contents that recur from page to page are a menu,
+advert or footer, and are removed; contents of one page stay. Within an article or main element a content must be on
+half of the path's pages, and the path must not occur several times a page (cells, headings). Second pass: pages are
+parsed again without these contents, and without elements whose tag, role, class or id names a menu, header, footer,
+side bar, notice, advert, form or comment section. The first pass sends counts per (host, node, content), so a large
+host is spread by content; hosts with fewer than MIN_PAGES pages are cleaned by names alone.
 
 Text: references decoded, white space of a block made one space, blocks joined by a line feed; if the page has an
 article or main element, only what lies in one counts.
@@ -20,6 +23,7 @@ through ``extract`` and a column named like a result is replaced by it.
 from __future__ import annotations
 
 import html as _html
+import math
 import re
 import zlib
 from collections import Counter
@@ -30,11 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import join_hot, table
+from larkspur.llm.common import join_hot, stash, table
 
 MIN_PAGES = 20
 #: A branch below this share of the host's largest importance goes.
 LOW = 0.5
+#: Shares of a path's pages from which a content of an unimportant branch goes: outside and inside of articles.
+RECURS, RECURS_IN_MAIN = 0.05, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>|[^<]+|<", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -59,10 +65,10 @@ SCOPES = frozenset("ul ol dl table body article section div".split())
 
 
 class _Node:
-    __slots__ = ("tag", "path", "dropped", "main", "hash", "kids", "full")
+    __slots__ = ("tag", "path", "dropped", "main", "hash", "kids", "full", "start")
 
-    def __init__(self, tag: str, path: str, dropped: bool, main: bool):
-        self.tag, self.path, self.dropped, self.main = tag, path, dropped, main
+    def __init__(self, tag: str, path: str, dropped: bool, main: bool, start: int = 0):
+        self.tag, self.path, self.dropped, self.main, self.start = tag, path, dropped, main, start
         self.hash, self.kids, self.full = 0, 0, False
 
 
@@ -82,12 +88,13 @@ def _names(attrs: str) -> tuple[str, set[str], str]:
 
 
 def parse(page: str | None, removed: frozenset[str] | set[str] = frozenset(), visit=None) -> str:
-    """The main text without the branches at the removed paths; visit(path, content, children) is called for every
-    element that held text."""
+    """The main text without the removed branches, "path content"; visit(path, content, children, main) is called for
+    every element that held text."""
     if not page:
         return ""
     stack = [_Node("", "", False, False)]
     blocks: list[tuple[bool, str]] = []
+    gone: list[tuple[int, int]] = []
     text: list[str] = []
     any_main = False
 
@@ -99,7 +106,7 @@ def parse(page: str | None, removed: frozenset[str] | set[str] = frozenset(), vi
                 top = stack[-1]
                 if not top.dropped:
                     blocks.append((top.main, said))
-                if visit:
+                if visit or removed:
                     code = said.encode("utf-8", "replace")
                     for n in stack:
                         n.hash, n.full = zlib.crc32(code, n.hash), True
@@ -107,7 +114,9 @@ def parse(page: str | None, removed: frozenset[str] | set[str] = frozenset(), vi
     def pop() -> None:
         n = stack.pop()
         if visit and n.full:
-            visit(n.path, n.hash, n.kids)
+            visit(n.path, n.hash, n.kids, n.main)
+        if removed and n.full and f"{n.path} {n.hash}" in removed:
+            gone.append((n.start, len(blocks)))
 
     at, end = 0, len(page)
     while at < end:
@@ -153,7 +162,7 @@ def parse(page: str | None, removed: frozenset[str] | set[str] = frozenset(), vi
         path = f"{top.path}/{tag}.{label}" if label else f"{top.path}/{tag}"
         main = top.main or tag in ("article", "main") or role == "main"
         noisy = tag in DROP_TAGS or role in DROP_ROLES or (tag not in ("html", "body", "main") and not names.isdisjoint(DROP_NAMES)) or (not top.main and (tag == "header" or "header" in names)) or (bool(attrs) and bool(_HIDDEN.search(attrs)))
-        node = _Node(tag, path, top.dropped or noisy or path in removed, main)
+        node = _Node(tag, path, top.dropped or noisy, main, len(blocks))
         any_main = any_main or (main and not node.dropped)
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
@@ -163,7 +172,9 @@ def parse(page: str | None, removed: frozenset[str] | set[str] = frozenset(), vi
     flush()
     while len(stack) > 1:
         pop()
-    return "\n".join(said for main, said in blocks if main or not any_main)
+    for start, stop in gone:
+        blocks[start:stop] = [(False, "")] * (stop - start)
+    return "\n".join(said for main, said in blocks if said and (main or not any_main))
 
 
 def host(url: Column) -> Column:
@@ -171,29 +182,58 @@ def host(url: Column) -> Column:
 
 
 def _seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums over pages. Kinds 0 and 1: contents and child sequences of a path, n pages, w their shares of the page; 2
+    and 3: pages that hold the path, w the logarithm of the values a page has; what: 1 in an article, 2 more if the
+    path occurs several times; 4: pages of the site."""
     for batch in batches:
         counts: Counter = Counter()
+        shares: Counter = Counter()
         for site, page in zip(batch["site"], batch["html"], strict=True):
-            parse(page, visit=lambda path, content, kids, s=site: counts.update(((s, path, 0, content), (s, path, 1, kids))))
-            counts[site, "", 2, 0] += 1
+            held: dict = {}
+
+            def visit(path, content, kids, main, held=held) -> None:
+                at = held.setdefault(path, [set(), set(), 0, 0])
+                at[0].add(content)
+                at[1].add(kids)
+                at[2] += 1
+                at[3] |= main
+
+            parse(page, visit=visit)
+            for path, (*values, times, main) in held.items():
+                for kind in (0, 1):
+                    for what in values[kind]:
+                        counts[site, path, kind, what] += 1
+                        shares[site, path, kind, what] += 1 / len(values[kind])
+                    place = site, path, 2 + kind, main + 2 * (times > 1)
+                    counts[place] += 1
+                    shares[place] += math.log(len(values[kind]))
+            counts[site, "", 4, 0] += 1
         if counts:
             keys = list(zip(*counts, strict=True))
-            yield pd.DataFrame({"site": keys[0], "path": keys[1], "kind": keys[2], "what": keys[3], "n": list(counts.values())})
+            yield pd.DataFrame({"site": keys[0], "path": keys[1], "kind": keys[2], "what": keys[3], "n": list(counts.values()), "w": [float(shares[k]) for k in counts]})
 
 
 def low_branches(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """(site, removed): for each host the paths of its unimportant branches."""
+    """(site, removed): for each host the recurring contents of its unimportant branches, "path content"."""
     seen = pages.select(host(F.col("url")).alias("site"), "html").where("site is not null and html is not null")
-    rows = seen.mapInPandas(_seen, "site string, path string, kind int, what long, n long")
-    counts = rows.groupBy("site", "path", "kind", "what").agg(F.sum("n").alias("n"))
-    sums = counts.groupBy("site", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    # entropy over log(m); a node met once tells nothing and counts as important
-    spread = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-    nodes = sums.where("kind < 2").groupBy("site", "path").agg(F.sum(F.when(F.col("kind") == 0, 0.9 * spread).otherwise(0.1 * spread)).alias("importance"), F.max("m").alias("m"))
-    sizes = sums.where("kind = 2").select("site", F.col("m").alias("pages"))
+    rows = seen.mapInPandas(_seen, "site string, path string, kind int, what long, n long, w double")
+    counts = stash(rows.groupBy("site", "path", "kind", "what").agg(F.sum("n").alias("n"), F.sum("w").alias("w")), "branches")
+    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, c).otherwise(0))
+    sums = counts.where("kind < 4").groupBy("site", "path").agg(
+        *[of(k, F.col("w") * F.log("w")).alias(f"s{k}") for k in (0, 1)], *[of(k, F.col("w")).alias(f"s{k}") for k in (2, 3)],
+        of(2, F.col("n")).alias("held"), F.max(F.when(F.col("kind") == 2, F.col("what") % 2)).alias("main"), F.sum(F.when((F.col("kind") == 2) & (F.col("what") >= 2), F.col("n")).otherwise(0)).alias("several"),
+    )
+    # entropy of the values less that within a page, over log(pages); a node of one page tells nothing and counts as important
+    spread = lambda a, b: F.when(F.col("held") > 1, (F.log("held") - (F.col(a) + F.col(b)) / F.col("held")) / F.log("held")).otherwise(1.0)
+    nodes = sums.withColumn("importance", 0.9 * spread("s0", "s2") + 0.1 * spread("s1", "s3"))
+    sizes = counts.where("kind = 4").select("site", F.col("n").alias("pages"))
     best = nodes.groupBy("site").agg(F.max("importance").alias("best"))
-    below = nodes.join(best, "site").join(sizes, "site").where((F.col("pages") >= min_pages) & (F.col("m") >= min_pages) & (F.col("importance") < low * F.col("best")))
-    return below.groupBy("site").agg(F.sort_array(F.collect_list("path")).alias("removed"))
+    below = nodes.join(best, "site").join(sizes, "site").where((F.col("pages") >= min_pages) & (F.col("held") >= min_pages) & (F.col("importance") < low * F.col("best")))
+    least = F.greatest(F.lit(2), F.col("held") * F.when(F.col("main") == 0, RECURS).otherwise(RECURS_IN_MAIN))
+    judged = below.where("main = 0 or 2 * several < held").select("site", "path", least.alias("least"))
+    # a path's contents that so many pages hold are few: as many as a page has, over the share
+    recurring = counts.where("kind = 0").join(judged, ["site", "path"]).where("n >= least")
+    return recurring.groupBy("site").agg(F.sort_array(F.collect_list(F.concat_ws(" ", "path", "what"))).alias("removed"))
 
 
 @F.pandas_udf(T.StringType())

@@ -168,6 +168,25 @@ def test_site_tree_removes_what_repeats(spark):
     assert {r["text"] for r in style_tree.extract(same).collect()} == {"same text"}
 
 
+def test_site_tree_keeps_unique_paragraphs(spark):
+    """One page that repeats a paragraph leaves the host's other paragraphs; recurring blocks go, unique ones stay."""
+    rng = random.Random(5)
+    unique = lambda n: some_text(rng, n, 10**6)
+    rows, held = [], {}
+    for i in range(20):
+        ps = ["again and again"] * 141 if i == 7 else [unique(12), unique(9)]
+        lines = [f"Part {i % 3}", f"Part {i % 2}", *ps]
+        side = f"only {unique(3)}" if i == 3 else f"Shop {i % 2}"
+        held[i] = "\n".join(lines + ([side] if i == 3 else []))
+        body = "".join(f"<h2>{x}</h2>" for x in lines[:2]) + "".join(f"<p>{p}</p>" for p in ps)
+        # the first host has articles, the second one none
+        rows += [(i, "http://farm.example.org/", f"<body><article>{body}</article></body>"), (100 + i, "http://plain.example.org/", f"<body><div class=box>{''.join(f'<p>{p}</p>' for p in ps)}</div><div class=top>{side}</div></body>")]
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i] == "\n".join(x for x in held[i].split("\n") if not x.startswith("only"))
+        assert got[100 + i] == "\n".join(x for x in held[i].split("\n") if not x.startswith("Part"))
+
+
 # -- 4 mixing
 
 
