@@ -12,8 +12,13 @@ parsed again without these contents, and without elements whose tag, role, class
 side bar, notice, advert, form or comment section. The first pass sends counts per (host, node, content), so a large
 host is spread by content; hosts with fewer than MIN_PAGES pages are cleaned by names alone.
 
-Text: references decoded, white space of a block made one space, blocks joined by a line feed; if the page has an
-article or main element, only what lies in one counts.
+A class or id names a role by a whole token ("footer", "site-footer", "sidebar-left"), not by any word in it
+("content-sidebar-wrap", "has-sidebar", "comments-open"). An element so named stays if it is or holds the page's
+article, or on pages without one most of the text. The article is the largest article or main element outside of named
+elements, or one inside of them that holds more than all text outside.
+
+Text: references decoded, white space of a block made one space, blocks joined by a line feed; if the page has a main
+element, or articles with no less text than lies outside of them (else they are teasers), only what lies in one counts.
 
 Defined results: null or empty html gives ''; a url without host belongs to no site; a page that is all removed
 gives ''; repeated pages count as pages; broken markup is closed where HTML would close it; extra columns pass
@@ -58,6 +63,9 @@ DROP_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments "
     "commentlist disqus respond reply replies discussion toolbar pagination pager skip copyright".split()
 )
+#: Words after a name that leave its element the role, and words before it that say where it stands.
+PARTS_OF = frozenset("left right top bottom list area box container wrap wrapper inner outer items item links link slot unit block bar section buttons button form text title trail primary secondary main content col column row wide small large mobile desktop toggle menu nav group panel thread".split())
+STATES = frozenset("has with no without is not hide show can js enable disable open closed single".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: An opening tag ends an open element of the same group, unless a list or table lies between.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -65,15 +73,34 @@ SCOPES = frozenset("ul ol dl table body article section div".split())
 
 
 class _Node:
-    __slots__ = ("tag", "path", "dropped", "main", "hash", "kids", "full", "start")
+    __slots__ = ("tag", "path", "dropped", "main", "hash", "kids", "full", "start", "named", "root")
 
-    def __init__(self, tag: str, path: str, dropped: bool, main: bool, start: int = 0):
+    def __init__(self, tag: str, path: str, dropped: bool, main: bool, start: int = 0, named: bool = False, root: bool = False):
         self.tag, self.path, self.dropped, self.main, self.start = tag, path, dropped, main, start
+        self.named, self.root = named, root
         self.hash, self.kids, self.full = 0, 0, False
 
 
+def _role_of(token: str) -> str:
+    """The name in DROP_NAMES, or header, that a class token or id is; else ''."""
+    for form in {token.lower(), _CAMEL.sub(r"\1-\2", token).lower()}:
+        words = [w for w in _PARTS.findall(form) if not w.isdigit()]
+        while len(words) > 1 and words[-1] in PARTS_OF and words[-1] not in DROP_NAMES:
+            # what wraps several things is no part of the last one
+            if words[-1] in ("wrap", "wrapper", "container", "inner", "outer", "content", "main") and len(words) > 2:
+                return ""
+            words.pop()
+        if not words or words[0] in STATES:
+            continue
+        if words[-1] in DROP_NAMES or words[-1] == "header":
+            return words[-1]
+        if words[0] in DROP_NAMES and all(w in PARTS_OF for w in words[1:]):
+            return words[0]
+    return ""
+
+
 def _names(attrs: str) -> tuple[str, set[str], str]:
-    """The path's label, the words of class and id, the role."""
+    """The path's label, the roles that class and id name, the role."""
     label, found, role = "", set(), ""
     if "=" in attrs:
         for key, a, b, c in _NAMED.findall(attrs):
@@ -81,12 +108,38 @@ def _names(attrs: str) -> tuple[str, set[str], str]:
             if key.lower() == "role":
                 role = value.strip().lower()
             else:
+                found.update(map(_role_of, value.split()))
                 parts = _PARTS.findall(value.lower())
-                found.update(parts, _PARTS.findall(_CAMEL.sub(r"\1 \2", value).lower()))
                 label = label or (parts[0].rstrip("0123456789") if parts else "")
+    found.discard("")
     return label, found, role
 
 
+def _kept(blocks: list[tuple[bool, str]], named: list[tuple[int, int]], roots: list[tuple[int, int, bool, bool]]) -> list[str]:
+    """The blocks that are main text. named: ranges of elements whose name is in DROP_NAMES; roots: ranges of outermost
+    article and main elements, whether main, and whether in a named one."""
+    sums = [0]
+    for _, said in blocks:
+        sums.append(sums[-1] + len(said))
+    free = [True] * len(blocks)
+    for a, b in named:
+        free[a:b] = [False] * (b - a)
+    outside = sum(len(said) for ok, (_, said) in zip(free, blocks, strict=True) if ok)
+    size = lambda r: sums[r[1]] - sums[r[0]]
+    plain = [r for r in roots if not r[3]]
+    best = max(plain or roots, key=size, default=None)
+    if best and best[3] and size(best) <= outside:
+        best = None
+    live = [True] * len(blocks)
+    for a, b in named:
+        if not (best and a <= best[0] and best[1] <= b and size(best)) and (roots or 2 * sums[b] - 2 * sums[a] <= sums[-1]):
+            live[a:b] = [False] * (b - a)
+    left = [(main, said) for ok, (main, said) in zip(live, blocks, strict=True) if ok and said]
+    inside = sum(len(said) for main, said in left if main)
+    only = any(r[2] for r in roots) or (inside and 2 * inside >= sum(len(said) for _, said in left))
+    return [said for main, said in left if main or not only]
+
+
 def parse(page: str | None, removed: frozenset[str] | set[str] = frozenset(), visit=None) -> str:
     """The main text without the removed branches, "path content"; visit(path, content, children, main) is called for
     every element that held text."""
@@ -96,7 +149,8 @@ def parse(page: str | None, removed: frozenset[str] | set[str] = frozenset(), vi
     blocks: list[tuple[bool, str]] = []
     gone: list[tuple[int, int]] = []
     text: list[str] = []
-    any_main = False
+    named: list[tuple[int, int]] = []
+    roots: list[tuple[int, int, bool, bool]] = []
 
     def flush() -> None:
         if text:
@@ -113,6 +167,10 @@ def parse(page: str | None, removed: frozenset[str] | set[str] = frozenset(), vi
 
     def pop() -> None:
         n = stack.pop()
+        if n.named and not n.dropped:
+            named.append((n.start, len(blocks)))
+        if n.root and not n.dropped:
+            roots.append((n.start, len(blocks), n.tag != "article", n.named or any(x.named for x in stack)))
         if visit and n.full:
             visit(n.path, n.hash, n.kids, n.main)
         if removed and n.full and f"{n.path} {n.hash}" in removed:
@@ -161,9 +219,9 @@ def parse(page: str | None, removed: frozenset[str] | set[str] = frozenset(), vi
         label, names, role = _names(attrs)
         path = f"{top.path}/{tag}.{label}" if label else f"{top.path}/{tag}"
         main = top.main or tag in ("article", "main") or role == "main"
-        noisy = tag in DROP_TAGS or role in DROP_ROLES or (tag not in ("html", "body", "main") and not names.isdisjoint(DROP_NAMES)) or (not top.main and (tag == "header" or "header" in names)) or (bool(attrs) and bool(_HIDDEN.search(attrs)))
-        node = _Node(tag, path, top.dropped or noisy, main, len(blocks))
-        any_main = any_main or (main and not node.dropped)
+        noisy = tag in DROP_TAGS or role in DROP_ROLES or (not top.main and tag == "header") or (bool(attrs) and bool(_HIDDEN.search(attrs)))
+        by_name = tag not in ("html", "body", "main") and not names.isdisjoint(DROP_NAMES) or not top.main and "header" in names
+        node = _Node(tag, path, top.dropped or noisy, main, len(blocks), by_name, main and not top.main)
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
             at = stop.end()
@@ -174,7 +232,9 @@ def parse(page: str | None, removed: frozenset[str] | set[str] = frozenset(), vi
         pop()
     for start, stop in gone:
         blocks[start:stop] = [(False, "")] * (stop - start)
-    return "\n".join(said for main, said in blocks if said and (main or not any_main))
+    if not named and not roots:
+        return "\n".join(said for _, said in blocks if said)
+    return "\n".join(_kept(blocks, named, roots))
 
 
 def host(url: Column) -> Column:

@@ -154,6 +154,22 @@ def test_parser():
     assert p("<p" * 50_000) is not None
 
 
+def test_parser_keeps_wrappers_of_the_article():
+    p = style_tree.parse
+    story = "<h1>Head</h1><p>long words of the story</p>"
+    for name in ("content-sidebar-wrap", "has-sidebar", "with-sidebar", "content-sidebar", "discussion", "share-price", "post comments-open"):
+        for tag in ("div", "article"):
+            inner = story if tag == "article" else f"<article>{story}</article>"
+            assert p(f"<body><{tag} class='{name}'>{inner}</{tag}><div class='sidebar'>s</div></body>") == "Head\nlong words of the story", (name, tag)
+            assert p(f"<body><{tag} id='{name.split()[-1]}'>{story}</{tag}></body>") == "Head\nlong words of the story"
+    assert p("<article>" + story + "<div class='share-price'>12.5</div><div class='share-buttons'>b</div><p class='has-comments'>q</p></article>") == "Head\nlong words of the story\n12.5\nq"
+    # named elements still go, with articles of their own too, and on pages without an article
+    assert p(f"<article>{story}</article><section id='comments'><article class='comment'>a far longer comment on the story than the story is</article></section>") == "Head\nlong words of the story"
+    assert p(f"<div>{story}</div><div class='related'><article>teaser</article></div><div class='site-footer'>f</div><div class='nav-menu'>m</div>") == "Head\nlong words of the story"
+    # teasers alone are not the text
+    assert p(f"<body><div>{story}</div><article>next</article><article>more</article></body>") == "Head\nlong words of the story\nnext\nmore"
+
+
 def test_site_tree_removes_what_repeats(spark):
     rng = random.Random(4)
     page = lambda i: f"<body><div class=top>Menu {i % 2}</div><div class=box><p>{some_text(rng, 20, 10**6)}</p><p>{some_text(rng, 9, 10**6)}</p></div></body>"
