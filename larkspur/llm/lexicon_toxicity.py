@@ -3,10 +3,15 @@
 1. Lexicon: over the training documents (``MAX_TRAIN`` labelled rows at most), words (and stems: prefixes that many forms share) are counted by label; those
    whose likelihood ratio clears a Bonferroni bound over the vocabulary are candidates. Copies of one document would
    lift all its words, so a candidate must clear the bound again with its effective number of contexts (the
-   exponential of the entropy of its neighbours) for its documents. ``MAX_TERMS`` terms at most.
-2. Matching: the terms are a trie, intersected with the Levenshtein automaton of a token (one edit from 5 letters,
-   two from 8, exchanges of neighbours included, one end of two letters intact; stems match as prefixes). Tokens that
-   clean training documents hold are never taken for misspellings.
+   exponential of the entropy of its neighbours) for its documents. A stem must clear the bound without its most
+   frequent form too, and its other forms must be toxic one by one. ``MAX_TERMS`` terms at most; a word stays one if a
+   stem covers it.
+2. Matching: words and stems are a trie, intersected with the Levenshtein automaton of a token (one edit from 5
+   letters, two from 8, exchanges of neighbours included; stems match as prefixes, their last letter intact). Tokens
+   that share no deletion with a word, and no piece with a stem, cannot match and are not looked up. Words of 4 letters
+   are also met with neighbours exchanged, a letter doubled, or a sign or digit in or for a letter, not with one letter
+   for another. Tokens that clean training documents hold are never taken for misspellings, nor for forms of a stem if
+   no more toxic documents hold them.
 3. Context: a hit within ``SPAN`` tokens of quotation marks on both sides, or after a reporting word, counts as quoted, any
    other as abuse.
 4. Score: a logistic model on the counts of abusive, misspelled and quoted hits, fitted on the counts of every cell of
@@ -52,6 +57,23 @@ MARKS = frozenset("\"“”„«»‹›‘’‚'`")
 REPORTING = frozenset("said says say called calls wrote writes quote quoted quotes word words term terms phrase insult slur sagte schrieb nannte wort begriff zitat dit écrit appelé mot terme citation dijo escribió llamó palabra término cita".split())
 
 
+def _fewer(word: str) -> set[str]:
+    """word without one letter."""
+    return {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+def _pieces(words) -> tuple[frozenset[str], ...]:
+    """Three pieces of words of 8 letters or more, so far apart that an edit touches one at most."""
+    words = list(words)
+    return tuple(frozenset(w[i : i + 2] for w in words) for i in (0, 3, 6))
+
+
+def _share(token: str, pieces: tuple[frozenset[str], ...]) -> bool:
+    """False only if no word of the pieces is within two edits."""
+    a, b, c = pieces
+    return token[:2] in a or not b.isdisjoint([token[i : i + 2] for i in range(1, 6)]) or not c.isdisjoint([token[i : i + 2] for i in range(4, 9)])
+
+
 @dataclass
 class Lexicon:
     """Terms as a trie; allowed: tokens that are no misspellings."""
@@ -68,10 +90,31 @@ class Lexicon:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = len(w)
-        self._first = {w[:2] for w in self.words}
-        self._last = {w[-2:] for w in self.words}
-        self._stem_heads = {s[:MIN_STEM] for s in self.stems}
-        self._lengths = {len(w) for w in self.words}
+        for stem in self.stems:
+            node = self._trie
+            for c in stem:
+                node = node.setdefault(c, {})
+            node[">"] = len(stem)
+        # strings left of a word by as many deletions as edits are allowed: a token within reach leaves one of them too
+        self._once, self._twice = set(), set()
+        for w in self.words:
+            if len(w) >= 5:
+                self._once.update(_fewer(w), (w,))
+            if len(w) >= 8:
+                self._twice.update(_fewer(w), (w,), *map(_fewer, _fewer(w)))
+        self._once |= self._twice
+        self._longest = max(map(len, self.words), default=0) + 2
+        self._gate = _pieces(w for w in self.words if len(w) >= 8)
+        # the same for prefixes of a token, by the stem's length
+        self._roots = {}
+        for stem in self.stems:
+            if 5 <= len(stem) < 8:
+                self._roots.setdefault(len(stem), set()).update(_fewer(stem), (stem,))
+        self._long = _pieces(x for x in self.stems if len(x) >= 8)
+
+        self._short = {w for w in self.words if len(w) == 4}
+        self._near = {x for w in self._short for x in (*(w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(3)), *(w[:i] + w[i] + w[i:] for i in range(4)))} - self._short
+        self._gaps = {w[:i] + "?" + w[i + 1 :] for w in self._short for i in range(4)}
 
     def __getstate__(self):
         return self.words, self.stems, self.allowed
@@ -91,12 +134,40 @@ class Lexicon:
     def _look(self, token: str) -> int:
         if token in self.words:
             return 1
-        if token[:MIN_STEM] in self._stem_heads and token.startswith(self.stems):
+        if token in self.allowed:
+            return 0
+        if self.stems and token.startswith(self.stems):
             return 1
-        n = len(token)
-        if n < 4 or (token[:2] not in self._first and token[-2:] not in self._last) or token in self.allowed:
+        if len(token) < 4:
             return 0
-        return 2 if self.distance(token) is not None else 0
+        return 2 if self._altered(token) or (self._possible(token) and self.distance(token) is not None) else 0
+
+    def _altered(self, token: str) -> bool:
+        """A word of 4 letters with neighbours exchanged, a letter doubled, or a sign or digit in or for a letter."""
+        if not self._short or len(token) > 5:
+            return False
+        if token in self._near:
+            return True
+        odd = [i for i, c in enumerate(token) if not c.isalpha()]
+        if len(odd) != 1:
+            return False
+        i = odd[0]
+        return token[:i] + "?" + token[i + 1 :] in self._gaps if len(token) == 4 else token[:i] + token[i + 1 :] in self._short
+
+    def _possible(self, token: str) -> bool:
+        """False only if no word and no stem is within reach."""
+        n = len(token)
+        if n <= self._longest and self._once:
+            fewer = _fewer(token)
+            if token in self._once or not self._once.isdisjoint(fewer):
+                return True
+            if self._twice and n >= 6 and _share(token, self._gate) and any(not self._twice.isdisjoint(_fewer(x)) for x in fewer):
+                return True
+        for size, roots in self._roots.items():
+            whole, longer = token[:size], token[: size + 1]
+            if token[: size - 1] in roots or whole in roots or not roots.isdisjoint(_fewer(whole)) or not roots.isdisjoint(_fewer(longer)):
+                return True
+        return bool(self._long[0]) and _share(token, self._long)
 
     def distance(self, token: str) -> int | None:
         """The least edit distance to a term within its reach, by walking the trie with the automaton's states: for
@@ -112,6 +183,13 @@ class Lexicon:
                     if row[n] <= reach and (best is None or row[n] < best):
                         best = row[n]
                     continue
+                if c == ">":
+                    reach = 2 if child >= 8 else 1 if child >= 5 else 0
+                    # the stem ends at its own last letter, which may have changed places with the one before
+                    ends = [row[j] for j in range(1, n + 1) if last in (token[j - 1], token[max(j - 2, 0)])]
+                    if ends and min(ends) <= reach and (best is None or min(ends) < best):
+                        best = min(ends)
+                    continue
                 new = [row[0] + 1]
                 for j in range(1, n + 1):
                     v = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (token[j - 1] != c))
@@ -170,11 +248,11 @@ def _vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"word": words, "pos": [counts[1][w] for w in words], "neg": [counts[0][w] for w in words]})
 
 
-def _ratio(share: float) -> Column:
+def _ratio(share: float, p: str = "pos", n: str = "neg") -> Column:
     """Log likelihood ratio of a word's labels against the overall share."""
-    total = F.col("pos") + F.col("neg")
-    neg = F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / total / (1 - share))).otherwise(0.0)
-    return F.when(F.col("pos") > 0, F.col("pos") * F.log(F.col("pos") / total / share) + neg).otherwise(0.0)
+    total = F.col(p) + F.col(n)
+    neg = F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / total / (1 - share))).otherwise(0.0)
+    return F.when(F.col(p) > 0, F.col(p) * F.log(F.col(p) / total / share) + neg).otherwise(0.0)
 
 
 def _contexts(words: frozenset[str], stems: frozenset[str]):
@@ -210,8 +288,14 @@ def learn_lexicon(docs: DataFrame, train: DataFrame) -> Lexicon:
     good = (F.col("llr") >= bar) & (F.col("pos") >= PRECISION * (F.col("pos") + F.col("neg")))
     terms = words.withColumn("llr", _ratio(share)).where(good).orderBy(F.desc("llr"), "word").limit(10 * MAX_TERMS).collect()
     cut = words.where(F.length("word") > MIN_STEM).select("pos", "neg", F.explode(F.transform(F.sequence(F.lit(MIN_STEM), F.least(F.lit(MAX_STEM), F.length("word") - 1)), lambda k: F.substring("word", F.lit(1), k))).alias("stem"))
-    stems = cut.groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count(F.lit(1)).alias("forms"))
-    rows = stems.where(F.col("forms") >= MIN_FORMS).withColumn("llr", _ratio(share)).where(good).orderBy(F.desc("llr"), "stem").limit(10 * MAX_TERMS).collect()
+    stems = cut.groupBy("stem").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count(F.lit(1)).alias("forms"),
+        F.max_by(F.struct("pos", "neg"), F.struct("pos", -F.col("neg"))).alias("top"), F.sum(F.when(F.col("pos") >= PRECISION * (F.col("pos") + F.col("neg")), 1).otherwise(0)).alias("toxic"),
+    )
+    # without its most frequent form, counted here with toxic ones, a stem must be as good, and so must most other forms
+    stems = stems.withColumn("pos2", F.col("pos") - F.col("top.pos")).withColumn("neg2", F.col("neg") - F.col("top.neg"))
+    others = (_ratio(share, "pos2", "neg2") >= bar) & (F.col("pos2") >= PRECISION * (F.col("pos2") + F.col("neg2"))) & (F.col("toxic") - 1 >= PRECISION * (F.col("forms") - 1))
+    rows = stems.where((F.col("forms") >= MIN_FORMS) & others).withColumn("llr", _ratio(share)).where(good).orderBy(F.desc("llr"), "stem").limit(10 * MAX_TERMS).collect()
     # effective contexts among toxic training documents; the bound then holds with them in the documents' place
     toxic = known.where("toxic = 1").select("text")
     places = toxic.mapInPandas(_contexts(frozenset(r["word"] for r in terms), frozenset(r["stem"] for r in rows)), "term string, kind int, place long, n long")
@@ -233,13 +317,14 @@ def learn_lexicon(docs: DataFrame, train: DataFrame) -> Lexicon:
             stem = longer
         kept.append(stem)
     single = [r["word"] for r in terms if clears(r["word"], 0, r)][:MAX_TERMS]
-    lexicon = Lexicon(frozenset(w for w in single if not (kept and w.startswith(tuple(kept)))), tuple(kept[:MAX_TERMS]))
+    lexicon = Lexicon(frozenset(single), tuple(kept[:MAX_TERMS]))
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[[lexicon.match(w) == 2 for w in batch["word"]]]
+            found = [(lexicon.match(w), w not in lexicon.words and neg >= pos) for w, pos, neg in zip(batch["word"], batch["pos"], batch["neg"], strict=True)]
+            yield batch.loc[[m == 2 or (m == 1 and other) for m, other in found], ["word"]]
 
-    clean = words.where("neg > 0").select("word").mapInPandas(similar, "word string").toPandas()["word"]
+    clean = words.where("neg > 0").mapInPandas(similar, "word string").toPandas()["word"]
     return Lexicon(lexicon.words, lexicon.stems, frozenset(clean))
 
 

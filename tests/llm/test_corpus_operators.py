@@ -294,6 +294,39 @@ def test_hits_and_quotation():
     assert lex.hits('They said "idiot" once') == (0, 0, 1) and lex.hits("the word idiot is old") == (0, 0, 1) and lex.hits(None) == lex.hits("") == (0, 0, 0)
 
 
+def test_misspelled_words_and_stems_are_looked_up():
+    lex = lexicon_toxicity.Lexicon(frozenset({"loser", "scum", "worthless"}), ("loser", "badxx"), frozenset({"badxxen"}))
+    for token, want in {"losre": 2, "lsoer": 2, "loser": 1, "loserish": 1, "lsoerish": 2, "bdaxxing": 2, "baxdxing": 2, "badxing": 2, "badyyl": 0, "badly": 0, "badxxen": 0, "loses": 2}.items():
+        assert lex.match(token) == want, token
+    # both ends changed; four letters
+    assert lex.match("wrothlses") == 2 and lex.match("owrthlses") == 2 and all(lex.match(t) == 2 for t in ("scmu", "sc0m", "scuum", "s*cum"))
+    assert lex.match("scam") == lex.match("slum") == 0
+    # what is not looked up is out of reach
+    rng = random.Random(3)
+    terms = ["".join(rng.choice("abcd") for _ in range(rng.randrange(5, 10))) for _ in range(4)]
+    lex = lexicon_toxicity.Lexicon(frozenset(terms[:2]), tuple(terms[2:]))
+    for _ in range(4000):
+        w = "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 11)))
+        assert lex._possible(w) or lex.distance(w) is None, w
+
+
+def test_stems_need_toxic_forms(spark):
+    """A stem that one toxic word carries is none: its clean forms score nothing, the word's misspellings count."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(1200):
+        words = [f"w{rng.randrange(300)}" for _ in range(30)]
+        if i % 5 == 0:
+            words[rng.randrange(30)] = "loser"
+        elif i % 60 == 1:
+            words[rng.randrange(30)] = "lose" + "abcdfghjklmnp"[i // 60 % 13] * 3
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, 1, int(i % 5 == 0)))
+    df = docs_of(spark, rows)
+    lex = lexicon_toxicity.learn_lexicon(df, lexicon_toxicity.training(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    assert lex.words == {"loser"} and lex.stems == () and lex.hits("loser losre loesr losesartaga") == (1, 2, 0)
+
+
 def test_toxicity_learns_from_training_labels_only(spark):
     rng = random.Random(9)
     rows, labels = [], []
