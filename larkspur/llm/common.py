@@ -68,7 +68,7 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, salts: int = 64) -> Dat
     """big left-joined to small, which has one row a key. Spark broadcasts small if its written size is under the
     session's threshold; beyond that both sides are dealt by (key, salt), so that a key with a third of big's rows
     is spread over many tasks."""
-    written = stash(small, f"by-{key}")
+    written = small if hasattr(small, "_stashed_at") else stash(small, f"by-{key}")
     spark = big.sparkSession
     limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -495,6 +495,40 @@ def test_ngram_join_matches_brute_force(spark, monkeypatch, tile):
     assert ngram_join.link(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("words", [15, 60, 200])
+def test_near_copies_cost_as_many_candidates_as_members(spark, monkeypatch, words):
+    """Variants of one text, of which nearly all pairs are similar."""
+    rng = random.Random(words)
+    base = some_text(rng, words, 10**6).split()
+    real, seen = ngram_join.verified, []
+
+    def counted(pairs, *rest):
+        pairs = common.stash(pairs, "seen")
+        seen.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    made = {}
+    for m in (150, 300):
+        rows = []
+        for k in range(m):
+            w = list(base)
+            w[-1 if words < 30 else rng.randrange(words)] = f"e{k}"
+            rows.append((k, " ".join(w), "s"))
+        seen.clear()
+        got = {r["component_id"] for r in ngram_join.link(docs_of(spark, rows)).collect()}
+        made[m] = sum(seen)
+        assert got == {0}
+    assert made[300] < 2.5 * made[150] and made[300] < 12 * 300, made
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    a, b = " ".join(map(str, range(20))), " ".join(map(str, range(100, 120)))
+    rows = [(1, a, "s"), (1, b, "s"), (2, b, "s"), (3, a, "s"), (None, a, "s"), (None, "x y z", "s"), (None, "x y z", "s"), (7, None, "s"), (7, None, "s")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.first_of_each(docs_of(spark, rows)).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (None, "x y z"), (7, None), (7, None)], key=str)
+
+
 def test_bit_bound_never_loses_a_pair():
     rng = np.random.default_rng(2)
     for n in (3, 40, 300, 4000):
