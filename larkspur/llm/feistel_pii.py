@@ -9,11 +9,21 @@ of one format: digits stay digits, letters stay letters of the same case, separa
 pseudonyms in every document, different values different ones, and ``restore`` undoes it with the key. Card numbers
 and IBANs get valid check digits again; dates are permuted as day numbers, addresses as 32 bits.
 
-Everything is DataFrame functions; texts without a digit, @ or = are passed on at once.
+Everything is DataFrame functions; texts without a digit or @ are passed on at once. No pattern repeats a group of
+varying length without a bound, so that no text, however long, deepens the stack of the pattern matcher.
 
-Defined results: null stays null with zero counts; empty texts stay; numbers that fail their check are left alone; dates
-outside 1900-01-01 to 2099-12-30 are left alone, others are written with leading zeros; the longest reading at the leftmost place wins; repeated rows give
-equal results; a column named like a result is replaced by it, other extra columns pass through.
+A run of digit groups may hold a card number beside other digits, and an IBAN may be followed by more groups. Where
+the whole run fails its check, shorter readings are tried at group borders: for cards from the leftmost group on the
+longest valid one of 13 to 19 digits, then once more behind it; for IBANs the longest valid one from the start. Runs
+of more than 37 digits are read in pieces of that many.
+
+The key is an argument; the query takes it from the session's ``spark.larkspur.pii.key`` and only without one uses the
+demonstration key.
+
+Defined results: null stays null with zero counts; empty texts stay; numbers that fail their check in all readings are
+left alone; dates outside 1900-01-01 to 2099-12-30 are left alone, others are written with leading zeros; the longest
+reading at the leftmost place wins, and of a run with several valid readings ``restore`` may choose another one;
+repeated rows give equal results; a column named like a result is replaced by it, other extra columns pass through.
 """
 
 from __future__ import annotations
@@ -24,7 +34,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import let, table
 
 ROUNDS = 10
-KEY = "larkspur-demonstration-key"
+DEMONSTRATION_KEY = "larkspur-demonstration-key"
 KINDS = ("email", "ip", "date", "iban", "ssn", "phone", "card", "key", "secret")
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -32,13 +42,13 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "secret": r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s?[=:]\s?[\"']?(?=[A-Za-z_/+-]*\d)[A-Za-z0-9_/+-]{8,}[\"']?)",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-](?:(?!\.\.)[A-Za-z0-9.-])*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-]|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,36}(?![\d-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -123,7 +133,44 @@ def _mod97(text: Column) -> Column:
 
 def _valid_iban(m: Column) -> Column:
     bare = F.regexp_replace(m, " ", "")
-    return _mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1
+    return F.length(bare).between(15, 34) & (_mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1)
+
+
+def _parted(m: Column, place: Column) -> Column:
+    """m cut around place, a struct (s, n) of 0-based start and length, null where nothing is valid."""
+    cut = F.struct(F.substring(m, F.lit(1), place["s"]).alias("before"), F.substring(m, place["s"] + 1, place["n"]).alias("value"), F.substring(m, place["s"] + place["n"] + 1, F.length(m)).alias("after"))
+    return F.when(place.isNotNull(), cut)
+
+
+def _iban_in(m: Column) -> Column:
+    """The longest valid IBAN from the start of m, as (before, value, after)."""
+    ends = F.filter(F.sequence(F.length(m), F.lit(15), F.lit(-1)), lambda n: (n == F.length(m)) | (F.substring(m, n + 1, F.lit(1)) == " "))
+    valid = F.filter(F.when(F.length(m) >= 15, ends), lambda n: _valid_iban(F.substring(m, F.lit(1), n)))
+    return let(F.get(valid, F.lit(0)), lambda n: _parted(m, F.when(n.isNotNull(), F.struct(F.lit(0).alias("s"), n.alias("n")))))
+
+
+def _card_in(m: Column) -> Column:
+    """The first valid card number in a run of digit groups, at group borders, as (before, value, after)."""
+
+    def places(chars: Column) -> Column:
+        digit = lambda i: F.get(chars, i).between("0", "9")
+        spots = F.sequence(F.lit(0), F.size(chars) - 1)
+        starts = F.filter(spots, lambda i: digit(i) & ((i == 0) | ~F.coalesce(digit(i - 1), F.lit(False))))
+        ends = F.filter(spots, lambda i: digit(i) & ((i == F.size(chars) - 1) | ~F.coalesce(digit(i + 1), F.lit(False))))
+        # the longest of one start first; 13 to 19 digits with single separators are 37 characters at most
+        pairs = F.flatten(F.transform(starts, lambda a: F.transform(F.reverse(F.filter(ends, lambda b: (b - a).between(12, 36))), lambda b: F.struct(a.alias("s"), (b - a + 1).alias("n")))))
+
+        def valid(p: Column) -> Column:
+            return let(_numbers(F.substring(m, p["s"] + 1, p["n"])), lambda d: F.size(d).between(13, 19) & (_luhn(d, True) == 0))
+
+        return F.get(F.filter(pairs, valid), F.lit(0))
+
+    return let(let(F.filter(F.split(m, ""), lambda c: c != ""), places), lambda p: _parted(m, p))
+
+
+def _within(found: Column, made) -> Column:
+    """The parts of found joined again, its value replaced."""
+    return F.concat(found["before"], made(found["value"]), found["after"])
 
 
 def _day(m: Column) -> Column:
@@ -194,7 +241,7 @@ def _ssn(m: Column, key: str, back: bool) -> Column:
 def kind(m: Column) -> Column:
     """The kind of a match, or null if it fails its check."""
     whole = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
-    checks = {"date": _day(m).isNotNull(), "iban": _valid_iban(m), "card": let(_numbers(m), lambda d: _luhn(d, True)) == 0}
+    checks = {"date": _day(m).isNotNull(), "iban": _iban_in(m).isNotNull(), "card": _card_in(m).isNotNull()}
     out = None
     for k in PATTERNS:
         told = F.when(checks[k], F.lit(k)) if k in checks else F.lit(k)
@@ -202,7 +249,14 @@ def kind(m: Column) -> Column:
     return out
 
 
-def pseudonym(m: Column, key: str = KEY, back: bool = False) -> Column:
+def _cards(m: Column, key: str, back: bool) -> Column:
+    """Both card numbers that a run may hold."""
+    one = lambda v: _card(v, key, back)
+    rest = lambda t: let(_card_in(t), lambda r: F.coalesce(_within(r, one), t))
+    return let(_card_in(m), lambda f: F.coalesce(F.concat(f["before"], one(f["value"]), rest(f["after"])), m))
+
+
+def pseudonym(m: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of a match; a match that fails its check as it is."""
     no = F.lit(False)
     value = F.length(F.regexp_extract(m, r"^[^=:]*[=:]\s?[\"']?", 0))
@@ -211,8 +265,8 @@ def pseudonym(m: Column, key: str = KEY, back: bool = False) -> Column:
     tld = F.length(F.regexp_extract(m, r"\.[A-Za-z]+$", 0))
     email = F.concat(permuted(F.substring(m, F.lit(1), F.length(m) - tld), F.lit(0), "email", key, no, back), F.right(m, tld))
     made = {
-        "email": email, "ip": _ip(m, key, back), "date": _date(m, key, back), "iban": _iban(m, key, back), "ssn": _ssn(m, key, back),
-        "phone": permuted(m, code, "phone", key, no, back), "card": _card(m, key, back), "key": permuted(m, F.lit(4), "key", key, no, back), "secret": secret,
+        "email": email, "ip": _ip(m, key, back), "date": _date(m, key, back), "iban": let(_iban_in(m), lambda f: _within(f, lambda v: _iban(v, key, back))), "ssn": _ssn(m, key, back),
+        "phone": permuted(m, code, "phone", key, no, back), "card": _cards(m, key, back), "key": permuted(m, F.lit(4), "key", key, no, back), "secret": secret,
     }
 
     def chosen(k: Column) -> Column:
@@ -224,7 +278,7 @@ def pseudonym(m: Column, key: str = KEY, back: bool = False) -> Column:
     return let(kind(m), chosen)
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     """docs with text replaced, and a count n_<kind> of what was replaced."""
     names = [c for c in docs.columns if c != "text" and c not in {f"n_{k}" for k in KINDS}]
     text = F.col("text")
@@ -239,10 +293,10 @@ def pseudonymize(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFra
     return done.select(*names, F.when(F.col("__new").isNull(), text).otherwise(whole).alias("text"), *counts)
 
 
-def restore(docs: DataFrame, key: str = KEY) -> DataFrame:
+def restore(docs: DataFrame, key: str) -> DataFrame:
     """The inverse of pseudonymize."""
     return pseudonymize(docs, key, back=True)
 
 
 def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get("spark.larkspur.pii.key", DEMONSTRATION_KEY))

@@ -405,6 +405,78 @@ def test_window_calibration():
 
 # -- 8 personal data
 
+KEY = "a test's key"
+
+
+def feistel(value, first, tag, radix):
+    """The network over the letters and digits of value from place first on, written a second time."""
+    import hashlib
+    import string
+
+    at = [i for i, c in enumerate(value) if i >= first and c.isascii() and c.isalnum()]
+    index = [int(value[i]) if value[i].isdigit() else string.ascii_lowercase.index(value[i].lower()) for i in at]
+    base = [10 if value[i].isdigit() else radix for i in at]
+    h = len(at) // 2
+    left, right, bases = index[:h], index[h:], (base[:h], base[h:])
+    for r in range(feistel_pii.ROUNDS):
+        other = right if r % 2 == 0 else left
+        ks = hashlib.sha512(f"{KEY}|{tag}|{r}|{','.join(map(str, other))}".encode()).hexdigest()
+        shift = [int(ks[4 * (i % 32) : 4 * (i % 32) + 4], 16) for i in range(max(h, len(at) - h))]
+        if r % 2 == 0:
+            left = [(x + s) % b for x, s, b in zip(left, shift, bases[0])]
+        else:
+            right = [(x + s) % b for x, s, b in zip(right, shift, bases[1])]
+    out = list(value)
+    for i, v in zip(at, left + right):
+        c = value[i]
+        out[i] = str(v) if c.isdigit() else string.ascii_uppercase[v] if c.isupper() else string.ascii_lowercase[v]
+    return "".join(out)
+
+
+def luhn(digits):
+    return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(map(int, reversed(digits)))) % 10
+
+
+def card_pseudonym(card):
+    body = feistel(card[:-1], 1, "card", 26)
+    return body + next(c for c in "0123456789" if luhn(re.sub(r"\D", "", body + c)) == 0)
+
+
+def test_pseudonyms_match_a_second_network(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(60):
+        digits = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        card = next(digits + c for c in "0123456789" if luhn(digits + c) == 0)
+        card = card if i % 3 else " ".join(card[k : k + 4] for k in range(0, 16, 4))
+        mail = "".join(rng.choice("abcXYZ019._") for _ in range(7)).strip(".") + f"@h{rng.randrange(99)}.sub-{i}.example"
+        phone = f"({rng.randrange(200, 999)}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
+        kept = "".join(rng.choice("0123456789") for _ in range(12))
+        rows.append((i, f"a {card} b {mail}, c {phone} d {kept} e."))
+        want[i] = f"a {card_pseudonym(card)} b {feistel(mail[: -len('.example')], 0, 'email', 26)}.example, c {feistel(phone, 0, 'phone', 26)} d {kept} e."
+    got = {r["doc_id"]: r for r in feistel_pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    for i, w in want.items():
+        assert got[i]["text"] == w and (got[i]["n_card"], got[i]["n_email"], got[i]["n_phone"]) == (1, 1, 1), i
+
+
+def test_valid_numbers_beside_other_digits(spark):
+    card = "4111 1111 1111 1111"
+    bare = card.replace(" ", "")
+    rows = [(1, f"{card} 05/27"), (2, f"{bare} 123"), (3, f"12 {bare}"), (4, f"{bare} {bare}"), (5, f"{bare}9"), (6, "BE68 5390 0754 7034 2024"), (7, f"1234567 {bare}")]
+    got = {r["doc_id"]: (r["text"], r["n_card"] + r["n_iban"]) for r in feistel_pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    new = card_pseudonym(bare)
+    assert got[1] == (f"{card_pseudonym(card)} 05/27", 1) and got[2] == (f"{new} 123", 1) and got[3] == (f"12 {new}", 1)
+    assert got[4] == (f"{new} {new}", 1) and got[5] == (f"{bare}9", 0) and got[7] == (f"1234567 {new}", 1)
+    assert "5390" not in got[6][0] and got[6][0].endswith(" 2024") and got[6][1] == 1
+
+
+def test_long_runs_end(spark):
+    """Texts of a million characters of each pattern's own alphabet, of single characters and of short repeats."""
+    units = ["a", "1", "A", ".", "-", "@", "a.", "a@b.", ".c1", "1 ", "1-", "1.", "+1 ", "AB12 ", "token=", "a=1", "(1", "12/", "_a", "%"]
+    rows = [(k, ("a@b" if u == ".c1" else "") + u * (1_000_000 // len(u))) for k, u in enumerate(units)]
+    got = feistel_pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), KEY).select("doc_id", F.length("text").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {k: len(t) for k, t in rows}
+
 
 def test_pseudonyms(spark):
     rows = [
@@ -417,7 +489,7 @@ def test_pseudonyms(spark):
         (6, "x " * 20_000 + "4041894974608795"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_email", F.lit("clash"))
-    done = feistel_pii.pseudonymize(df).cache()
+    done = feistel_pii.pseudonymize(df, KEY).cache()
     got = {(r["doc_id"], len(r["text"] or "")): r for r in done.collect()}
     by = {k[0]: r["text"] for k, r in got.items() if k[1] < 1000}
     assert by[2] is None and by[3] == ""
@@ -429,16 +501,16 @@ def test_pseudonyms(spark):
     assert re.search(r"mail (\S+)", by[1])[1] in by[6]
     iban = re.search(r"IBAN (DE[\d ]+\d)", by[4])[1].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
-    back = {(r["doc_id"], len(r["text"] or "")): r["text"] for r in feistel_pii.restore(done).collect()}
+    back = {(r["doc_id"], len(r["text"] or "")): r["text"] for r in feistel_pii.restore(done, KEY).collect()}
     assert sorted(str(v) for v in back.values()) == sorted(str(t) for _, t in rows)
-    assert feistel_pii.pseudonymize(df.where("false")).count() == 0
+    assert feistel_pii.pseudonymize(df.where("false"), KEY).count() == 0
     other = {r["doc_id"]: r["text"] for r in feistel_pii.pseudonymize(df.where("doc_id = 1"), key="other").collect()}
     assert other[1] != by[1]
 
 
 def test_dates_are_permuted_without_loss(spark):
     days = spark.sql("select explode(sequence(date'1990-01-01', date'1999-12-31')) d").select(F.date_format("d", "yyyy-MM-dd").alias("text"))
-    got = feistel_pii.pseudonymize(days.withColumn("doc_id", F.lit(1).cast("long")))
+    got = feistel_pii.pseudonymize(days.withColumn("doc_id", F.lit(1).cast("long")), KEY)
     assert got.select("text").distinct().count() == days.count() and got.where(F.try_to_timestamp("text", F.lit("yyyy-MM-dd")).isNull()).count() == 0
 
 
