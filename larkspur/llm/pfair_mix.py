@@ -1,32 +1,37 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's rows are cut into blocks. With weight w, block k of a source has release floor(k / w) and deadline
-ceil((k + 1) / w); in every time slot the released block with the earliest deadline runs, ties by the source's
-place. Weights are whole multiples of 1 / period (largest remainders), so the schedule repeats every ``period``
-slots: one period is simulated by a fold, and all blocks of all periods are placed by arithmetic. Until the first
-source runs out (``in_mix``), after t slots every source has had between w * t - 1 and w * t + 1 blocks, exclusive.
-Afterwards the remaining sources keep their slots, so order and relative weights stay, and no row is lost.
+A source's rows are cut into blocks. With weight w, a share of the whole, block k of a source has release floor(k / w)
+and deadline ceil((k + 1) / w); in every time slot the released block with the earliest deadline runs, ties by the
+source's place. Weights are whole numbers W of parts in 10^9, so releases and deadlines are exact: until the first
+source runs out (``in_mix``), after t slots every source has had more than w * t - 1 and fewer than w * t + 1 blocks.
+The schedule is a fold over the slots up to that point, never periodic, so no rounding adds up. Afterwards the blocks
+left come by deadline and place; each one's slot is the number of blocks before it, a sum over the sources.
+
+The fold has a step a slot, and its result a row a block. So that both stay bounded at any size, a block has ``BLOCK``
+rows or, where that would be more than ``SLOTS`` blocks, a SLOTS-th of all rows.
 
 Rows are ordered within a source by the MD5 of their doc_id, and numbered over buckets (common.numbered), so a source
-with a third of all rows is sorted in many tasks. The period and the fold grow with the number of sources only.
+with a third of all rows is sorted in many tasks.
 
-Defined results: a null source is the source ''; null doc_ids come in the order of ''; repeated rows keep places of
-their own; empty texts count like others; an empty table gives an empty result; a column named like a result is
-replaced by it, other extra columns pass through.
+Defined results: a null source is the source ''; a source without a weight, or one of zero or less, has the least
+weight, 10^-9; a weight whose source has no rows is left out; null doc_ids come in the order of ''; repeated rows keep
+places of their own; empty texts count like others; an empty table gives an empty result; a column named like a result
+is replaced by it, other extra columns pass through.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from larkspur.llm.common import numbered, stash, table
+from larkspur.llm.common import let, numbered, stash, table
 
 BLOCK = 32
-PERIOD = 1000
+SLOTS = 100_000
+UNIT = 1_000_000_000
 #: Target weights: rows to this power, so that large sources are damped.
 DAMPING = 0.5
+CHUNK = 128
 
 
 def damped_weights(docs: DataFrame, power: float = DAMPING) -> DataFrame:
@@ -34,62 +39,106 @@ def damped_weights(docs: DataFrame, power: float = DAMPING) -> DataFrame:
     return docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(power)).alias("weight"))
 
 
-def quotas(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source, place, quota, period): whole quotas of at least 1 that sum to the period, by largest remainders. The
-    period grows with the number of sources, so that each can have a share."""
-    sums = weights.agg(F.sum("weight").alias("total"), F.greatest(F.lit(period), 10 * F.count(F.lit(1))).alias("period"), F.count(F.lit(1)).alias("n"))
-    shares = weights.crossJoin(F.broadcast(sums)).withColumn("share", 1 + F.col("weight") / F.col("total") * (F.col("period") - F.col("n")))
-    # one row a source: a bounded table
-    listed = shares.agg(F.sort_array(F.collect_list(F.struct("source", "share"))).alias("s"), F.max("period").alias("period"))
-    spare = F.col("period") - F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.floor(x["share"]))
-    order = F.sort_array(F.transform("s", lambda x, i: F.struct((F.floor(x["share"]) - x["share"]).alias("r"), i.alias("i"))))
-    ranked = listed.withColumn("spare", spare).withColumn("order", F.transform(order, lambda x: x["i"]))
-    given = F.transform("s", lambda x, i: F.struct(x["source"].alias("source"), i.alias("place"), (F.floor(x["share"]) + F.when(F.array_position("order", i) <= F.col("spare"), 1).otherwise(0)).cast("long").alias("quota")))
-    return ranked.select("period", F.explode(given).alias("g")).select("g.source", "g.place", "g.quota", "period")
-
-
-def one_period(quota: DataFrame) -> DataFrame:
-    """(place, k, slot): the slot of each source's k-th block within a period, by earliest deadline among released."""
-    listed = quota.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "quota"))), lambda x: x["quota"]).alias("q"), F.max("period").alias("period"))
-    zero = F.transform("q", lambda _: F.lit(0).cast("long"))
-    start = F.struct(zero.alias("k"), F.array().cast("array<struct<place:int,k:bigint,slot:bigint>>").alias("out"))
-
-    def run(acc: Column, t: Column) -> Column:
-        # k * period / quota, in whole numbers: the release rounds down, the deadline up
-        due = F.transform(acc["k"], lambda k, i: F.when(F.floor(k * F.col("period") / F.get("q", i)) <= t, F.ceil((k + 1) * F.col("period") / F.get("q", i))))
-        return F.aggregate(
-            F.array(F.array_position(due, F.array_min(due)).cast("int") - 1),
-            acc,
-            lambda a, at: F.struct(
-                F.transform(a["k"], lambda k, i: F.when(i == at, k + 1).otherwise(k)).alias("k"),
-                F.array_append(a["out"], F.struct(at.alias("place"), F.get(a["k"], at).alias("k"), t.alias("slot"))).alias("out"),
-            ),
-        )
-
-    slots = F.sequence(F.lit(0).cast("long"), F.col("period") - 1)
-    return listed.select(F.explode(F.aggregate(slots, start, run)["out"]).alias("x")).select("x.place", "x.k", "x.slot")
-
-
-def mix(docs: DataFrame, weights: DataFrame, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def sources(docs: DataFrame, weights: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
+    """(source, place, w, whole, n, block): every source's whole weight of the sum ``whole``, its number of blocks, and
+    the rows of a block."""
+    held = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("rows"))
+    given = weights.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum("weight").alias("weight"))
+    both = held.join(given, "source", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
+    sums = both.agg(F.sum("weight").alias("total"), F.greatest(F.lit(block), F.ceil(F.sum("rows") / slots)).alias("block"))
+    whole = F.greatest(F.coalesce(F.round(F.try_divide("weight", "total") * UNIT), F.lit(1)).cast("long"), F.lit(1))
+    each = both.crossJoin(F.broadcast(sums)).select("source", whole.alias("w"), F.ceil(F.col("rows") / F.col("block")).cast("long").alias("n"), F.col("block").cast("long").alias("block"))
+    # one row a source; the places come from the sorted list
+    listed = each.agg(F.sort_array(F.collect_list(F.struct("source", "w", "n", "block"))).alias("s"))
+    out = listed.select(F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["w"]).alias("whole"), F.posexplode("s").alias("place", "x"))
+    return out.select("x.source", "place", "x.w", "whole", "x.n", "x.block")
+
+
+def _deadline(k: Column, w: Column, whole: Column) -> Column:
+    return _div((k + 1) * whole + w - 1, w)
+
+
+def _div(a: Column, b: Column) -> Column:
+    """Whole division of longs, exact."""
+    return F.call_function("div", a, b)
+
+
+def schedule(listed: DataFrame) -> DataFrame:
+    """(place, k, slot, in_mix) for every block: earliest deadline first among the released until a source runs out,
+    the rest by deadline."""
+    all_ = listed.agg(F.sort_array(F.collect_list(F.struct("place", "w", "n"))).alias("s"), F.max("whole").alias("whole"))
+    # the fold must end when the first source's missing block is due
+    ends = F.array_min(F.transform("s", lambda x: _deadline(x["n"], x["w"], F.col("whole"))))
+    all_ = all_.where("size(s) > 0").withColumn("steps", F.least(ends, F.aggregate("s", F.lit(1).cast("long"), lambda a, x: a + x["n"])))
+    out_type = "array<struct<place:int,k:bigint,slot:bigint>>"
+    zero = F.transform("s", lambda _: F.lit(0).cast("long"))
+    start = lambda out: F.struct(zero.alias("k"), F.lit(True).alias("going"), out.alias("out"))
+
+    def step(acc: Column, t: Column) -> Column:
+        def due(k: Column, i: Column) -> Column:
+            x = F.get("s", i)
+            return F.when(_div(k * F.col("whole"), x["w"]) <= t, _deadline(k, x["w"], F.col("whole")))
+
+        def ran(at: Column) -> Column:
+            goes = acc["going"] & (F.get(acc["k"], at) < F.get("s", at)["n"])
+            one = F.struct(at.alias("place"), F.get(acc["k"], at).alias("k"), t.alias("slot"))
+            return F.struct(
+                F.when(goes, F.transform(acc["k"], lambda k, i: F.when(i == at, k + 1).otherwise(k))).otherwise(acc["k"]).alias("k"),
+                goes.alias("going"),
+                F.when(goes, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"),
+            )
+
+        first = let(F.transform(acc["k"], due), lambda d: F.array_position(d, F.array_min(d)).cast("int") - 1)
+        return let(first, ran)
+
+    # dealt in two levels, so that the array that grows in the fold stays short
+    chunks = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("steps") - 1) / CHUNK)), lambda c: F.sequence(c * CHUNK, F.least(c * CHUNK + CHUNK, F.col("steps")) - 1))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["k"].alias("k"), acc["going"].alias("going"), F.array().cast(out_type).alias("out")), step)
+        return let(inner, lambda x: F.struct(x["k"].alias("k"), x["going"].alias("going"), F.array_append(acc["out"], x["out"]).alias("out")))
+
+    done = all_.select("s", "whole", F.aggregate(chunks, start(F.array().cast(f"array<{out_type}>")), chunk).alias("d"))
+    done = stash(done.select("s", "whole", F.col("d.k").alias("k"), F.flatten("d.out").alias("out")), "fold")
+    mixed = done.select(F.explode("out").alias("x")).select("x.place", "x.k", "x.slot", F.lit(True).alias("in_mix"))
+
+    left = done.select("s", "whole", F.col("k").alias("had"), F.size("out").cast("long").alias("end"), F.explode("s").alias("own"))
+    left = left.withColumn("first", F.get("had", F.col("own.place"))).where("first < own.n").withColumn("k", F.explode(F.sequence(F.col("first"), F.col("own.n") - 1)))
+    due = _deadline(F.col("k"), F.col("own.w"), F.col("whole"))
+
+    def before(d: Column) -> Column:
+        """How many blocks of all sources come earlier: those due before, or at the same time with an earlier place."""
+
+        def of(x: Column, i: Column) -> Column:
+            until = F.when(i < F.col("own.place"), d).otherwise(d - 1)
+            had = F.get("had", i)
+            # no later than the source's last deadline, so that the product stays small
+            until = F.least(until, _div(x["n"] * F.col("whole") + x["w"] - 1, x["w"]))
+            others = F.least(F.greatest(_div(until * x["w"], F.col("whole")), had), x["n"]) - had
+            return F.when(i == F.col("own.place"), F.col("k") - F.col("first")).otherwise(others)
+
+        return F.aggregate(F.transform("s", of), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    rest = left.select(F.col("own.place").alias("place"), "k", (F.col("end") + let(due, before)).alias("slot"), F.lit(False).alias("in_mix"))
+    return mixed.union(rest)
+
+
+def mix(docs: DataFrame, weights: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
     """docs with block (of the source), in_block, slot (of the block, unique) and in_mix; sort by (slot, in_block)
     for the mixed order."""
     out = ("block", "in_block", "slot", "in_mix")
     names = [c for c in docs.columns if c not in out]
-    quota = stash(quotas(weights, period), "quotas")
-    plan = stash(one_period(quota), "period")
+    listed = stash(sources(docs, weights, block, slots), "sources")
+    # a row a block, SLOTS of them and one more a source at most
+    plan = stash(schedule(listed).join(listed.select("place", "source", F.col("block").alias("__size")), "place").select(F.col("source").alias("__source"), F.col("k").alias("block"), "slot", "in_mix"), "plan")
+    sizes = listed.select(F.col("source").alias("__source"), F.col("block").alias("__size"))
     keyed = docs.select(
         F.coalesce("source", F.lit("")).alias("__source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("__key"),
         F.xxhash64(*names).alias("__tie"), F.struct(*names).alias("__row"),
     )
-    ranked = numbered(keyed, "__source", ["__key", "__tie"], "__rank")
-    blocks = ranked.withColumn("block", F.floor(F.col("__rank") / block)).withColumn("in_block", (F.col("__rank") % block).cast("int"))
-    # quotas and plan have a row a source and a slot of the period: bounded by the number of sources
-    held = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    ends = quota.join(held, "source").select("place", "quota", "period", F.ceil(F.col("n") / block).alias("n"))
-    last = ends.withColumn("k", F.col("n") % F.col("quota")).join(plan, ["place", "k"]).agg(F.min(F.floor(F.col("n") / F.col("quota")) * F.col("period") + F.col("slot")).alias("__end"))
-    placed = blocks.join(F.broadcast(quota), F.col("__source") == quota["source"]).withColumn("k", F.col("block") % F.col("quota")).join(F.broadcast(plan), ["place", "k"])
-    slotted = placed.withColumn("__slot", F.floor(F.col("block") / F.col("quota")) * F.col("period") + F.col("slot")).crossJoin(F.broadcast(last))
-    return slotted.select("__row.*", F.col("block").cast("long").alias("block"), "in_block", F.col("__slot").cast("long").alias("slot"), (F.col("__slot") < F.col("__end")).alias("in_mix"))
+    ranked = numbered(keyed, "__source", ["__key", "__tie"], "__rank").join(F.broadcast(sizes), "__source")
+    blocks = ranked.withColumn("block", _div(F.col("__rank"), F.col("__size"))).withColumn("in_block", (F.col("__rank") % F.col("__size")).cast("int"))
+    return blocks.join(F.broadcast(plan), ["__source", "block"]).select("__row.*", "block", "in_block", "slot", "in_mix")
 
 
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,21 +148,24 @@ def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 with recursive d as (select doc_id, coalesce(source, '') source, md5(coalesce(doc_id::varchar, '')) key from documents),
-w as (select source, pow(count(*)::double, {DAMPING}) weight, count(*) n from d group by 1),
-s as (select *, 1 + weight / (select sum(weight) from w) * (greatest({PERIOD}, 10 * (select count(*) from w)) - (select count(*) from w)) share,
-        greatest({PERIOD}, 10 * (select count(*) from w)) period, row_number() over (order by source) - 1 place from w),
-q as (select source, place, n, period, (floor(share) + case when row_number() over (order by floor(share) - share, place) <= period - (select sum(floor(share)) from s) then 1 else 0 end)::bigint quota from s),
-qs as (select list(quota order by place) q, max(period) period from q),
-step(t, ks, pl, k) as (
-  select -1::bigint, list_transform(q, lambda x: 0::bigint), null::bigint, null::bigint from qs
+h as (select source, count(*) c, pow(count(*)::double, {DAMPING}) weight from d group by 1),
+b as (select greatest({BLOCK}, ceil(sum(c) / {SLOTS}))::bigint block, sum(weight) total from h),
+q as (select source, row_number() over (order by source) place, greatest(round(weight / total * {UNIT}), 1)::bigint w, ceil(c / block)::bigint n, block from h, b),
+qs as (select list(w order by place) w, list(n order by place) n, sum(w)::bigint whole from q),
+step(t, ks, going, pl, k) as (
+  select -1::bigint, list_transform(w, lambda x: 0::bigint), true, null::bigint, null::bigint from qs
   union all
-  select t + 1, list_transform(ks, lambda x, i: case when i = j then x + 1 else x end), j - 1, ks[j] from (
+  select t + 1, case when ks[j] < n[j] then list_transform(ks, lambda x, i: case when i = j then x + 1 else x end) else ks end, ks[j] < n[j], j, ks[j] from (
     select *, list_position(due, list_min(due)) j from (
-      select t, ks, list_transform(ks, lambda x, i: case when (x * period) // q[i] <= t + 1 then ((x + 1) * period + q[i] - 1) // q[i] end) due
-      from step, qs where t + 1 < period))),
-plan as (select pl place, k, t slot from step where t >= 0),
-r as (select d.*, row_number() over (partition by source order by key) - 1 rank from d),
-last as (select min(n2 // quota * period + slot) fin from (select *, (n + {BLOCK} - 1) // {BLOCK} n2 from q) e join plan on plan.place = e.place and plan.k = n2 % quota)
-select doc_id, nullif(r.source, '') source, rank // {BLOCK} as block, (rank % {BLOCK})::int in_block,
-  (rank // {BLOCK}) // quota * period + slot as slot, (rank // {BLOCK}) // quota * period + slot < (select fin from last) in_mix
-from r join q on r.source = q.source join plan on plan.place = q.place and plan.k = (rank // {BLOCK}) % quota"""
+      select t, ks, n, list_transform(ks, lambda x, i: case when (x * whole) // w[i] <= t + 1 then ((x + 1) * whole + w[i] - 1) // w[i] end) due
+      from step, qs where going))),
+mixed as (select pl place, k, t slot from step where t >= 0 and going),
+fin as (select count(*) e from mixed),
+had as (select place, w, n, (select count(*) from mixed where mixed.place = q.place) had, whole from q, qs),
+lefts as (select place, w, whole, had, unnest(range(had, n)) k from had),
+due as (select *, ((k + 1) * whole + w - 1) // w d from lefts),
+tail as (select place, k, e + row_number() over (order by d, place, k) - 1 slot from due, fin),
+plan as (select *, true in_mix from mixed union all select *, false from tail),
+r as (select d.*, row_number() over (partition by source order by key) - 1 rank from d)
+select doc_id, nullif(r.source, '') source, rank // block as block, (rank % block)::int in_block, plan.slot, plan.in_mix
+from r join q on r.source = q.source join plan on plan.place = q.place and plan.k = rank // q.block"""

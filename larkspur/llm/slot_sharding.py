@@ -1,7 +1,8 @@
 """Sharding through fixed virtual slots.
 
-Every record is hashed by its doc_id into one of ``SLOTS`` virtual slots, a number that never changes. Bytes are
-summed per slot, and a slot map, a table of ``SLOTS`` rows (version, vslot, shard, bytes), says which shard holds
+Every record is hashed by its doc_id, size and checksum into one of ``SLOTS`` virtual slots, a number that never
+changes. Equal records are told apart by number: of more than ``SAME`` of them, every SAME get a hash of their own, so
+that no key, not even a null one, fills a slot. Bytes are summed per slot, and a slot map, a table of ``SLOTS`` rows (version, vslot, shard, bytes), says which shard holds
 each slot; only the map is edited when shards are added or drift apart, so no record is ever hashed anew.
 ``first_map`` deals slots, largest first, to the lightest shard. ``grown_map`` adds a shard and moves slots into it
 alone. ``rebalanced_map`` moves slots from the heaviest to the lightest shard while that brings them closer.
@@ -11,7 +12,7 @@ that constant. A record's place in its shard is its slot's start plus its rank i
 a whole.
 
 Defined results: a null text has size 8 and checksum 0; null doc_ids hash as ''; repeated rows are records of their
-own with places of their own; equal doc_ids share a virtual slot; an empty table gives an empty result and a map of
+own with places of their own; an empty table gives an empty result and a map of
 zero bytes; extra columns pass through ``assign``, and a column named like a result is replaced by it.
 """
 
@@ -20,15 +21,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import let, numbered, stash, table
+from larkspur.llm.common import join_hot, let, numbered, stash, table
 
 SLOTS = 8192
 SHARDS = 24
+SAME = 256
 
 
-def vslot(doc_id: Column) -> Column:
-    """The virtual slot: the first 13 bits of the id's MD5."""
-    return F.shiftright(F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 4), 16, 10).cast("int"), 3)
+def vslot(key: Column) -> Column:
+    """The virtual slot: the first 13 bits of a record's key, a hexadecimal digest."""
+    return F.shiftright(F.conv(F.substring(key, 1, 4), 16, 10).cast("int"), 3)
+
+
+def records(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, size, text_crc32, key, vslot) and the columns named, for every row of docs."""
+    given = docs.select(*[c for c in dict.fromkeys(("doc_id", *more))], record_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long").alias("text_crc32"))
+    told = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_crc32")
+    keyed = given.withColumn("key", F.md5(told.cast("binary")))
+    many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("parts")).where(F.col("parts") > SAME).withColumn("parts", F.ceil(F.col("parts") / SAME))
+    part = F.pmod(F.monotonically_increasing_id(), F.col("parts"))
+    own = join_hot(keyed, many, "key").withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.md5(F.concat_ws("|", "key", part).cast("binary"))))
+    return own.select(*given.columns, "key", vslot(F.col("key")).alias("vslot"))
 
 
 def record_size(text: Column) -> Column:
@@ -37,7 +50,7 @@ def record_size(text: Column) -> Column:
 
 def slot_bytes(docs: DataFrame) -> DataFrame:
     """(vslot, bytes) for every slot, empty ones too."""
-    held = docs.groupBy(vslot(F.col("doc_id")).alias("vslot")).agg(F.sum(record_size(F.col("text"))).alias("bytes"))
+    held = records(docs).groupBy("vslot").agg(F.sum("size").alias("bytes"))
     every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("vslot"))
     return every.join(held, "vslot", "left").select("vslot", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
 
@@ -128,19 +141,13 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
 def assign(docs: DataFrame, slot_map: DataFrame) -> DataFrame:
     """docs with vslot and shard by the map, which is small by construction (SLOTS rows)."""
     names = [c for c in docs.columns if c not in ("vslot", "shard")]
-    return docs.select(*names, vslot(F.col("doc_id")).alias("vslot")).join(F.broadcast(slot_map.select("vslot", "shard")), "vslot").select(*names, "vslot", "shard")
+    given = docs.select("doc_id", "text", F.struct(*names).alias("__row"))
+    return records(given, "__row").join(F.broadcast(slot_map.select("vslot", "shard")), "vslot").select("__row.*", "vslot", "shard")
 
 
 def op10_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = docs.select(
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
-        "doc_id",
-        record_size(F.col("text")).alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
-        vslot(F.col("doc_id")).alias("vslot"),
-    )
-    rows = stash(rows, "records")
+    rows = stash(records(docs), "records")
     held = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     sizes = spark.range(SLOTS).select(F.col("id").cast("int").alias("vslot")).join(held, "vslot", "left").select("vslot", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("n", F.lit(0)).alias("n"))
     sizes = stash(sizes.coalesce(1), "sizes")

@@ -206,27 +206,56 @@ def test_site_tree_keeps_unique_paragraphs(spark):
 # -- 4 mixing
 
 
-def test_pfair_deviation_and_whole_result(spark):
-    rows = [(i, "t", s) for i, s in enumerate(["big"] * 900 + ["mid"] * 250 + ["small"] * 60 + [None] * 5)] + [(None, None, "mid")] * 2
+def edf(w, n):
+    """The whole schedule by simulation: (place, block) in order, and how many are in the mix."""
+    total = sum(w)
+    k, order, t = [0] * len(w), [], 0
+    while True:
+        free = [i for i in range(len(w)) if k[i] * total // w[i] <= t]
+        i = min(free, key=lambda i: (-(-(k[i] + 1) * total // w[i]), i))
+        if k[i] == n[i]:
+            break
+        order.append((i, k[i]))
+        k[i] += 1
+        t += 1
+    rest = sorted((-(-(b + 1) * total // w[i]), i, b) for i in range(len(w)) for b in range(k[i], n[i]))
+    return order + [(i, b) for _, i, b in rest], len(order)
+
+
+@pytest.mark.parametrize("weights", [{"big": 3.0, "mid": 2.0, "small": 1.0, "": 0.1}, {"big": 1.0, "mid": 1.0, "small": 1.0, "": 1.0}, {"big": 0.97, "mid": 0.02, "none": 5.0}])
+def test_pfair_deviation_and_whole_result(spark, weights):
+    rows = [(i, "t", s) for i, s in enumerate(["big"] * 2900 + ["mid"] * 250 + ["small"] * 60 + [None] * 5)] + [(None, None, "mid")] * 2
     df = docs_of(spark, rows).withColumn("slot", F.lit("clash"))
-    w = spark.createDataFrame([("big", 3.0), ("mid", 2.0), ("small", 1.0), ("", 0.1)], "source string, weight double")
-    got = pfair_mix.mix(df, w, block=4, period=60).collect()
+    w = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    got = pfair_mix.mix(df, w, block=4).collect()
     assert len(got) == len(rows)
-    quota = {r["source"]: r["quota"] for r in pfair_mix.quotas(w, 60).collect()}
-    assert sum(quota.values()) == 60
+    listed = sorted(pfair_mix.sources(df, w, 4).collect(), key=lambda r: r["place"])
+    assert [r["source"] for r in listed] == ["", "big", "mid", "small"]
+    order, mixed = edf([r["w"] for r in listed], [r["n"] for r in listed])
     blocks = {}
     for r in got:
-        blocks.setdefault(r["slot"], (r["source"] or "", r["in_mix"], set()))[2].add(r["in_block"])
-    assert all(b == set(range(len(b))) for _, _, b in blocks.values())
-    end = min((s for s, b in blocks.items() if not b[1]), default=None)
-    sizes = collections.Counter()
-    t = 0
-    while t in blocks and blocks[t][1]:
-        sizes[blocks[t][0]] += 1
-        t += 1
-        assert all(abs(sizes[s] - q * t / 60) < 1 for s, q in quota.items())
-    assert t > 20 and (end is None or end >= t)
-    assert pfair_mix.mix(df.where("false"), w).count() == 0
+        blocks.setdefault(r["slot"], (r["source"] or "", r["block"], r["in_mix"], set()))[3].add(r["in_block"])
+    assert all(b[3] == set(range(len(b[3]))) for b in blocks.values())
+    assert [(blocks[t][0], blocks[t][1], blocks[t][2]) for t in range(len(blocks))] == [(listed[i]["source"], k, t < mixed) for t, (i, k) in enumerate(order)]
+    # against the weights passed in, shares of the sources that have rows
+    total = sum(v for s, v in weights.items() if s != "none")
+    had = collections.Counter()
+    for t in range(mixed):
+        had[blocks[t][0]] += 1
+        assert all(abs(had[s] - weights.get(s, 0) / total * (t + 1)) < 1 + 1e-5 for s in ("", "big", "mid", "small"))
+    assert mixed > 0
+
+
+def test_pfair_many_sources_and_bounds(spark):
+    rng = random.Random(7)
+    n = [rng.randrange(1, 400) for _ in range(60)]
+    rows = [(i, "t", f"s{s:02d}") for s, c in enumerate(n) for i in range(c)]
+    df = docs_of(spark, rows)
+    got = pfair_mix.mix(df, pfair_mix.damped_weights(df), block=2, slots=500).collect()
+    assert len(got) == len(rows) and max(r["slot"] for r in got) < 500 + 60
+    blocks = {(r["slot"], r["source"], r["block"]) for r in got}
+    assert sorted(b[0] for b in blocks) == list(range(len(blocks)))
+    assert pfair_mix.mix(df.where("false"), pfair_mix.damped_weights(df)).count() == 0
 
 
 # -- 5 pieces
@@ -637,6 +666,20 @@ def test_slots_and_maps(spark, tmp_path):
     assert slot_sharding.assign(df, first).count() == len(rows)
 
 
+def test_hot_and_null_ids_are_spread(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randrange(300), "s") for i in range(3000)] + [(None, f"n{i}" * 40, "s") for i in range(1500)] + [(5, "same " * 30, "s")] * 1500 + [(9, "y" * 6000, "s")]
+    docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = slot_sharding.op10_slot_sharding(spark, str(tmp_path)).collect()
+    load, places = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        load[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    mean = sum(load.values()) / 24
+    assert len(got) == len(rows) and max(load.values()) - min(load.values()) < 0.05 * mean, load
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+
+
 def test_op10_query(spark, tmp_path):
     rows = [(i, "x" * (i % 90), "s") for i in range(400)] + [(None, None, "s"), (3, "xxx", "s")]
     docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
