@@ -161,8 +161,8 @@ step(t, ks, going, pl, k) as (
       from step, qs where going))),
 mixed as (select pl place, k, t slot from step where t >= 0 and going),
 fin as (select count(*) e from mixed),
-had as (select place, w, n, (select count(*) from mixed where mixed.place = q.place) had, whole from q, qs),
-lefts as (select place, w, whole, had, unnest(range(had, n)) k from had),
+began as (select place, q.w, q.n, (select count(*) from mixed where mixed.place = q.place) had, whole from q, qs),
+lefts as (select place, w, whole, unnest(range(had, n)) k from began),
 due as (select *, ((k + 1) * whole + w - 1) // w d from lefts),
 tail as (select place, k, e + row_number() over (order by d, place, k) - 1 slot from due, fin),
 plan as (select *, true in_mix from mixed union all select *, false from tail),
