@@ -9,7 +9,9 @@ again (leftmost of equals). Characters without a piece become bytes.
 
 Documents are then encoded by word. Words that occur often, ``HEAD`` at most, come from the table of the relational
 lattice, which is broadcast; its size is bounded by that parameter. The rest, each too rare for the table, go through
-the same fold over the same edges within the Arrow batch that holds them, so no occurrence is ever shuffled.
+the same fold over the same edges within the Arrow batch that holds them, so no occurrence is ever shuffled. A batch is
+cut at single spaces and dictionary-encoded by column functions: Python sees each distinct stretch of ``BYTES`` of text
+once, and the ids of all occurrences are taken from theirs as arrays.
 
 Decoding is DataFrame functions only: pieces are looked up in a constant array, byte pieces included, and joined.
 
@@ -22,10 +24,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +40,8 @@ from larkspur.llm.common import let, stash, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 HEAD = 100_000
-#: Words and stretches between spaces that a worker remembers beside them, and rows encoded at a time.
-MEMO, PARTS, ROWS = 150_000, 250_000, 128
+#: Words and stretches between spaces that a worker remembers beside them, and bytes of text encoded at a time.
+MEMO, PARTS, BYTES = 150_000, 250_000, 4_000_000
 #: From the finest cut to the coarsest; the first one that cuts no piece is used.
 CUTS = (r"▁*+[\p{L}\p{M}]++|▁*+[^\p{L}\p{M}▁]++|▁++", r"▁*+[^▁]++|▁++", r"(?s:.++)")
 
@@ -248,23 +252,42 @@ class _Batch:
         return self.ids([p for p in parts if p is not None])
 
     def text(self, text: str | None) -> list[int] | None:
-        if text is None:
-            return None
         if not text:
-            return []
-        # words start at single spaces, so what lies between them can be encoded by itself; runs of spaces are words too
-        if self.pieces.cut == CUTS[-1] or text[0] == " " or "  " in text or MARK in text:
-            return self.several(MARK + text.replace(" ", MARK))
-        out: list[int] = []
+            return text if text is None else []
+        return self.several(MARK + text.replace(" ", MARK))
+
+    def column(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text. Words start at single spaces, so what lies between them is encoded by itself, each
+        distinct stretch once; runs of spaces are words too, so texts that hold any are encoded one by one, as are
+        those that hold the mark itself."""
+        plain = pc.and_kleene(pc.greater(pc.binary_length(texts), 0), pc.invert(pc.or_(pc.starts_with(texts, " "), pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)))))
+        plain = plain.fill_null(False).to_numpy(zero_copy_only=False) & (self.pieces.cut != CUTS[-1])
+        parts = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        coded = parts.flatten().dictionary_encode()
         known, spaced = self.parts.get, self.spaced
-        for part in text.split(" "):
-            out += known(part) or spaced(part)
-        return out
+        found = [known(p) or spaced(p) for p in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        at = coded.indices.to_numpy()
+        each = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        begins = np.concatenate([[0], np.cumsum(sizes)])[at]
+        values = ids[np.repeat(begins - ends[:-1], each) + np.arange(ends[-1])]
+        edges = ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()] if len(parts) else np.zeros(1, dtype=np.int64)
+        done = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
+        if plain.all():
+            return done
+        rest = [None if (x := self.text(t)) is None else np.array(x, dtype=np.int32) for t in texts.filter(pa.array(~plain)).to_pylist()]
+        order = np.empty(len(plain), dtype=np.int64)
+        order[plain], order[~plain] = np.arange(len(done)), len(done) + np.arange(len(rest))
+        return pa.concat_arrays([done, pa.array(rest, pa.list_(pa.int32()))]).take(pa.array(order))
 
 
 def frequent_words(docs: DataFrame, pieces: Pieces, most: int = HEAD) -> DataFrame:
     """(word): the words whose count is at or above the least count that leaves at most ``most`` words."""
-    counts = docs.where("text is not null").select(F.explode(words(F.col("text"), pieces)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # counted first as they stand between spaces, so that the pattern runs once on each distinct stretch
+    parts = docs.where("text is not null").select(F.explode(F.split("text", " ")).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    counts = parts.select(F.explode(words(F.col("part"), pieces)).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stash(counts.where("n > 1 and length(word) <= 200"), "words")
     # by eighths of powers of two: a few hundred levels, whatever the corpus
     levels = {r["l"]: r["c"] for r in counts.groupBy(F.floor(8 * F.log2("n")).alias("l")).agg(F.count(F.lit(1)).alias("c")).collect()}
@@ -287,11 +310,12 @@ def encode(docs: DataFrame, pieces: Pieces, head: int = HEAD) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _Batch(*shared.value)
         for batch in batches:
-            # a few rows at a time, each row's ids packed at once: Python's integers never pile up
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                ids = [None if (found := coder.text(t.as_py())) is None else np.array(found, dtype=np.int32) for t in part["__text"]]
-                yield pa.RecordBatch.from_arrays([*[part[c] for c in names], pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
+            # cut where another BYTES of text have gone by
+            gone = np.cumsum(pc.binary_length(batch["__text"]).fill_null(0).to_numpy(zero_copy_only=False)) // BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(gone)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in names], coder.column(part["__text"])], names=[*names, "ids"])
 
     names = [c for c in docs.columns if c not in ("ids", "n_tokens", "__text")]
     schema = docs.select(*names).schema.add("ids", T.ArrayType(T.IntegerType()))
