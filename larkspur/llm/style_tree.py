@@ -10,7 +10,8 @@ advert or footer, and are removed; contents of one page stay. Within an article
 half of the path's pages, and the path must not occur several times a page (cells, headings). Second pass: pages are
 parsed again without these contents, and without elements whose tag, role, class or id names a menu, header, footer,
 side bar, notice, advert, form or comment section. The first pass sends counts per (host, node, content), so a large
-host is spread by content; hosts with fewer than MIN_PAGES pages are cleaned by names alone.
+host is spread by content; a host needs MIN_PAGES pages and a content LEAST of them to be told as recurring, others are
+cleaned by names alone. ``extract(names=False)`` leaves the names out and shows what the tree does by itself.
 
 A class or id names a role by a whole token ("footer", "site-footer", "sidebar-left"), not by any word in it
 ("content-sidebar-wrap", "has-sidebar", "comments-open"). An element so named stays if it is or holds the page's
@@ -41,7 +42,9 @@ from pyspark.sql import types as T
 
 from larkspur.llm.common import join_hot, stash, table
 
-MIN_PAGES = 20
+MIN_PAGES = 5
+#: Pages that a content must be on at least to count as recurring.
+LEAST = 3
 #: A branch below this share of the host's largest importance goes.
 LOW = 0.5
 #: Shares of a path's pages from which a content of an unimportant branch goes: outside and inside of articles.
@@ -49,7 +52,6 @@ RECURS, RECURS_IN_MAIN = 0.05, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>|[^<]+|<", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
@@ -57,6 +59,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 DROP_TAGS = frozenset("head script style noscript template nav footer aside form button select option textarea iframe svg canvas object menu dialog title fieldset".split())
+#: Elements without text of the page, dropped with names or without.
+UNSEEN = frozenset("head script style noscript template textarea iframe svg canvas object title".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog form menu menubar toolbar".split())
 DROP_NAMES = frozenset(
     "nav navigation navbar menu menubar breadcrumb breadcrumbs masthead footer sidebar aside widget ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored "
@@ -140,9 +144,9 @@ def _kept(blocks: list[tuple[bool, str]], named: list[tuple[int, int]], roots: l
     return [said for main, said in left if main or not only]
 
 
-def parse(page: str | None, removed: frozenset[str] | set[str] = frozenset(), visit=None) -> str:
+def parse(page: str | None, removed: frozenset[str] | set[str] = frozenset(), visit=None, names: bool = True) -> str:
     """The main text without the removed branches, "path content"; visit(path, content, children, main) is called for
-    every element that held text."""
+    every element that held text. Without names, no tag, role, class or id tells what goes."""
     if not page:
         return ""
     stack = [_Node("", "", False, False)]
@@ -216,11 +220,11 @@ def parse(page: str | None, removed: frozenset[str] | set[str] = frozenset(), vi
             while len(stack) > 1 and stack[-1].tag != "html":
                 pop()
             top = stack[-1]
-        label, names, role = _names(attrs)
+        label, roles, role = _names(attrs)
         path = f"{top.path}/{tag}.{label}" if label else f"{top.path}/{tag}"
         main = top.main or tag in ("article", "main") or role == "main"
-        noisy = tag in DROP_TAGS or role in DROP_ROLES or (not top.main and tag == "header") or (bool(attrs) and bool(_HIDDEN.search(attrs)))
-        by_name = tag not in ("html", "body", "main") and not names.isdisjoint(DROP_NAMES) or not top.main and "header" in names
+        noisy = tag in UNSEEN or names and (tag in DROP_TAGS or role in DROP_ROLES or (not top.main and tag == "header"))
+        by_name = names and (tag not in ("html", "body", "main") and not roles.isdisjoint(DROP_NAMES) or not top.main and "header" in roles)
         node = _Node(tag, path, top.dropped or noisy, main, len(blocks), by_name, main and not top.main)
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
@@ -289,23 +293,26 @@ def low_branches(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW)
     sizes = counts.where("kind = 4").select("site", F.col("n").alias("pages"))
     best = nodes.groupBy("site").agg(F.max("importance").alias("best"))
     below = nodes.join(best, "site").join(sizes, "site").where((F.col("pages") >= min_pages) & (F.col("held") >= min_pages) & (F.col("importance") < low * F.col("best")))
-    least = F.greatest(F.lit(2), F.col("held") * F.when(F.col("main") == 0, RECURS).otherwise(RECURS_IN_MAIN))
+    least = F.greatest(F.lit(LEAST), F.col("held") * F.when(F.col("main") == 0, RECURS).otherwise(RECURS_IN_MAIN))
     judged = below.where("main = 0 or 2 * several < held").select("site", "path", least.alias("least"))
     # a path's contents that so many pages hold are few: as many as a page has, over the share
     recurring = counts.where("kind = 0").join(judged, ["site", "path"]).where("n >= least")
     return recurring.groupBy("site").agg(F.sort_array(F.collect_list(F.concat_ws(" ", "path", "what"))).alias("removed"))
 
 
-@F.pandas_udf(T.StringType())
-def _text(page: pd.Series, removed: pd.Series) -> pd.Series:
-    return pd.Series([parse(p, frozenset(r) if r is not None else frozenset()) for p, r in zip(page, removed, strict=True)], dtype=object)
+def _text(names: bool):
+    def run(page: pd.Series, removed: pd.Series) -> pd.Series:
+        return pd.Series([parse(p, frozenset(r) if r is not None else frozenset(), names=names) for p, r in zip(page, removed, strict=True)], dtype=object)
 
+    run.__annotations__ = {"page": pd.Series, "removed": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, T.StringType())
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW, names: bool = True) -> DataFrame:
     """pages with text and n_chars."""
-    names = [c for c in pages.columns if c not in ("text", "n_chars")]
+    kept = [c for c in pages.columns if c not in ("text", "n_chars")]
     joined = join_hot(pages.withColumn("site", host(F.col("url"))), low_branches(pages, min_pages, low), "site")
-    done = joined.select(*names, _text("html", "removed").alias("text"))
+    done = joined.select(*kept, _text(names)("html", "removed").alias("text"))
     return done.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -203,6 +203,30 @@ def test_site_tree_keeps_unique_paragraphs(spark):
         assert got[100 + i] == "\n".join(x for x in held[i].split("\n") if not x.startswith("Part"))
 
 
+def test_the_tree_alone_removes_what_recurs(spark):
+    """Without names, on hosts of few pages too: menus, adverts and footers go, every word of the articles stays."""
+    rng = random.Random(9)
+    unique = lambda n: some_text(rng, n, 10**6)
+    for wrap in ("<article>{}</article>", "<div class=x>{}</div>"):
+        rows, story = [], {}
+        for i in range(60):
+            site = i % 6
+            ps = [unique(rng.randrange(3, 40)) for _ in range(rng.randrange(2, 6))]
+            story[i] = "\n".join(ps)
+            body = wrap.format("".join(f"<p>{p}</p>" for p in ps))
+            menu = "".join(f"<li><a href=/{k}>item {site} {k}</a></li>" for k in range(5))
+            rows.append((i, f"https://s{site}.example.org/{i}", f"<html><body><nav><ul>{menu}</ul></nav><div class=ad>buy {(i // 6) % 3}</div>{body}<footer>site {site}</footer></body></html>"))
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in style_tree.extract(df, names=False).collect()}
+        assert got == story
+
+
+def test_nothing_else_goes():
+    p = style_tree.parse
+    assert p("<article><p>a</p><p hidden>b</p><div style='display:none'>c</div><section class='related-work'><p>d</p></section></article>") == "a\nb\nc\nd"
+    assert p("<article class='post comments-open'><p>story</p></article>") == "story" and p("<div id=page class='has-sidebar'><p>story</p></div>") == "story"
+
+
 # -- 4 mixing
 
 
