@@ -4,16 +4,19 @@
    whose likelihood ratio clears a Bonferroni bound over the vocabulary are candidates. Copies of one document would
    lift all its words, so a candidate must clear the bound again with its effective number of contexts (the
    exponential of the entropy of its neighbours) for its documents. A stem must clear the bound without its most
-   frequent form too, and its other forms must be toxic one by one. ``MAX_TERMS`` terms at most; a word stays one if a
-   stem covers it.
+   frequent form too, and its other forms must be toxic one by one. A word stays a term if a stem covers it. The
+   terms come from the vocabulary of the training documents, so their number is bounded as these are.
 2. Matching: words and stems are a trie, intersected with the Levenshtein automaton of a token (one edit from 5
    letters, two from 8, exchanges of neighbours included; stems match as prefixes, their last letter intact). Tokens
    that share no deletion with a word, and no piece with a stem, cannot match and are not looked up. Words of 4 letters
    are also met with neighbours exchanged, a letter doubled, or a sign or digit in or for a letter, not with one letter
    for another. Tokens that clean training documents hold are never taken for misspellings, nor for forms of a stem if
    no more toxic documents hold them.
-3. Context: a hit within ``SPAN`` tokens of quotation marks on both sides, or after a reporting word, counts as quoted, any
-   other as abuse.
+3. Context: a hit counts as quoted if, within ``SPAN`` tokens, the nearest mark before it opens and the nearest one behind
+   it closes a quotation, or if one of three words before it is a reporting word (a fixed list in four languages); any
+   other is abuse. A mark opens where no letter stands before it and no space behind it, and closes the other way round;
+   between two letters it is an apostrophe. Words spaced letter by letter are not joined, and a sign in front of a word
+   is no part of it.
 4. Score: a logistic model on the counts of abusive, misspelled and quoted hits, fitted on the counts of every cell of
    these features over all training documents (a table of a few hundred rows, whatever the corpus).
 
@@ -41,7 +44,6 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import stash, table
 
-MAX_TERMS = 2000
 MIN_STEM, MAX_STEM, MIN_FORMS = 4, 9, 8
 SPAN = 6
 TOP = 5
@@ -57,6 +59,22 @@ MARKS = frozenset("\"“”„«»‹›‘’‚'`")
 REPORTING = frozenset("said says say called calls wrote writes quote quoted quotes word words term terms phrase insult slur sagte schrieb nannte wort begriff zitat dit écrit appelé mot terme citation dijo escribió llamó palabra término cita".split())
 
 
+def _edge(text: str, i: int) -> str:
+    """What the mark at place i does: "opens", "closes", or nothing as an apostrophe or between spaces."""
+    before, after = text[i - 1 : i] if i else "", text[i + 1 : i + 2]
+    if before.isalnum() and after.isalnum():
+        return ""
+    if not before.isalnum() and after and not after.isspace():
+        return "opens"
+    return "closes" if before and not before.isspace() else ""
+
+
+def quotes(text: str, first: int, start: int, end: int, last: int) -> bool:
+    """Whether text[start:end] stands in quotation marks, looked for from first to last."""
+    left = next((e for i in range(start - 1, first - 1, -1) if text[i] in MARKS and (e := _edge(text, i))), "")
+    return left == "opens" and next((e for i in range(end, last) if text[i] in MARKS and (e := _edge(text, i))), "") == "closes"
+
+
 def _fewer(word: str) -> set[str]:
     """word without one letter."""
     return {word[:i] + word[i + 1 :] for i in range(len(word))}
@@ -216,9 +234,8 @@ class Lexicon:
             if t not in found:
                 continue
             a, b = places[max(0, k - SPAN)].start(), places[min(len(places) - 1, k + SPAN)].end()
-            before, after = low[a : m.start()], low[m.end() : b]
-            inside = any(c in MARKS for c in before) and any(c in MARKS for c in after)
-            if inside or any(p[0] in REPORTING for p in places[max(0, k - 3) : k]):
+            # the marks around the outermost words belong to the window
+            if quotes(low, max(0, a - 1), m.start(), m.end(), min(len(low), b + 1)) or any(p[0] in REPORTING for p in places[max(0, k - 3) : k]):
                 quoted += 1
             elif self.match(t) == 1:
                 abuse += 1
@@ -286,7 +303,7 @@ def learn_lexicon(docs: DataFrame, train: DataFrame) -> Lexicon:
     share = both[0] / both[1]
     bar = math.log(max(words.count(), 2)) + SURPRISE
     good = (F.col("llr") >= bar) & (F.col("pos") >= PRECISION * (F.col("pos") + F.col("neg")))
-    terms = words.withColumn("llr", _ratio(share)).where(good).orderBy(F.desc("llr"), "word").limit(10 * MAX_TERMS).collect()
+    terms = words.withColumn("llr", _ratio(share)).where(good).orderBy(F.desc("llr"), "word").collect()
     cut = words.where(F.length("word") > MIN_STEM).select("pos", "neg", F.explode(F.transform(F.sequence(F.lit(MIN_STEM), F.least(F.lit(MAX_STEM), F.length("word") - 1)), lambda k: F.substring("word", F.lit(1), k))).alias("stem"))
     stems = cut.groupBy("stem").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count(F.lit(1)).alias("forms"),
@@ -295,7 +312,7 @@ def learn_lexicon(docs: DataFrame, train: DataFrame) -> Lexicon:
     # without its most frequent form, counted here with toxic ones, a stem must be as good, and so must most other forms
     stems = stems.withColumn("pos2", F.col("pos") - F.col("top.pos")).withColumn("neg2", F.col("neg") - F.col("top.neg"))
     others = (_ratio(share, "pos2", "neg2") >= bar) & (F.col("pos2") >= PRECISION * (F.col("pos2") + F.col("neg2"))) & (F.col("toxic") - 1 >= PRECISION * (F.col("forms") - 1))
-    rows = stems.where((F.col("forms") >= MIN_FORMS) & others).withColumn("llr", _ratio(share)).where(good).orderBy(F.desc("llr"), "stem").limit(10 * MAX_TERMS).collect()
+    rows = stems.where((F.col("forms") >= MIN_FORMS) & others).withColumn("llr", _ratio(share)).where(good).orderBy(F.desc("llr"), "stem").collect()
     # effective contexts among toxic training documents; the bound then holds with them in the documents' place
     toxic = known.where("toxic = 1").select("text")
     places = toxic.mapInPandas(_contexts(frozenset(r["word"] for r in terms), frozenset(r["stem"] for r in rows)), "term string, kind int, place long, n long")
@@ -316,8 +333,8 @@ def learn_lexicon(docs: DataFrame, train: DataFrame) -> Lexicon:
         while (longer := max((s for s in found if len(s) == len(stem) + 1 and s.startswith(stem)), key=found.get, default=None)) and found[longer] >= 0.95 * found[stem]:
             stem = longer
         kept.append(stem)
-    single = [r["word"] for r in terms if clears(r["word"], 0, r)][:MAX_TERMS]
-    lexicon = Lexicon(frozenset(single), tuple(kept[:MAX_TERMS]))
+    single = [r["word"] for r in terms if clears(r["word"], 0, r)]
+    lexicon = Lexicon(frozenset(single), tuple(kept))
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -347,6 +347,15 @@ def test_hits_and_quotation():
     assert lex.hits('They said "idiot" once') == (0, 0, 1) and lex.hits("the word idiot is old") == (0, 0, 1) and lex.hits(None) == lex.hits("") == (0, 0, 0)
 
 
+def test_quotation_marks_are_paired():
+    lex = lexicon_toxicity.Lexicon(frozenset({"idiot"}), ())
+    abuse, quoted = (1, 0, 0), (0, 0, 1)
+    assert lex.hits("it's you idiot don't come here") == abuse and lex.hits("you idiot come here") == abuse
+    assert lex.hits("the dogs' idiot owner's 'new' car") == abuse and lex.hits('"Hello," idiot, "bye"') == abuse
+    assert lex.hits("as 'an idiot', he left") == quoted and lex.hits("«un idiot»") == quoted and lex.hits("„der Idiot“ kam") == quoted and lex.hits('"idiot"') == quoted
+    assert lex.hits("idiot 'x'") == abuse and lex.hits("'x' idiot") == abuse
+
+
 def test_misspelled_words_and_stems_are_looked_up():
     lex = lexicon_toxicity.Lexicon(frozenset({"loser", "scum", "worthless"}), ("loser", "badxx"), frozenset({"badxxen"}))
     for token, want in {"losre": 2, "lsoer": 2, "loser": 1, "loserish": 1, "lsoerish": 2, "bdaxxing": 2, "baxdxing": 2, "badxing": 2, "badyyl": 0, "badly": 0, "badxxen": 0, "loses": 2}.items():
