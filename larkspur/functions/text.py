@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Patterns, weights and limits that the results depend on.
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9_.-]*(?:[가-힣]+)?|[가-힣]+"
 ENGLISH_TOKEN = r"[A-Za-z0-9]+(?:[가-힣]+|['’]s?)?|[가-힣]+"
-COMPOUND = r"(?<![A-Za-z0-9가-힣])[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)+[가-힣]*(?![A-Za-z0-9가-힣])"
+# the groups after the first as single characters, no two separators in a row: a repeated group would deepen the stack
+COMPOUND = r"(?<![A-Za-z0-9가-힣])[A-Za-z0-9]++[._-][A-Za-z0-9](?:(?![._-]{2})[A-Za-z0-9._-])*(?<=[A-Za-z0-9])[가-힣]*(?![A-Za-z0-9가-힣])"
 STOPWORDS = (
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these",
     "they", "this", "to", "was", "will", "with",

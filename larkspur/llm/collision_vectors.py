@@ -7,14 +7,20 @@ threshold, so its count is binomial, and the pairs whose count reaches the ``MIS
 verified by cosine in double precision: a pair at the threshold is lost with probability ``MISSED``, a closer one
 with less.
 
+Within a tile the projections are whole numbers of a fine grid, a window's ends rounded outwards, so that a block of
+pairs is counted by a few operations on short integers a direction.
+
 Exact copies are one class before anything else. Classes of a label are dealt into tiles of at most ``TILE`` by
 ``TILE`` vectors by a hash, after a cut into cells along one direction, wide enough that only neighbouring cells can
 hold links; each tile returns sums per vector and a spanning forest, never its pairs. A label with any share of the
-rows is thus spread over many tasks of bounded size.
+rows is thus spread over many tasks of bounded size. The work grows with the square of a cell's size: in 64 dimensions
+a projection tells so little that cells keep most of a label together (see README for figures).
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components, and vectors with a null
 label, link with nothing; vectors of different lengths do not link; copies link with each other; rows with a null
-vec_id count as copies but have a null component; repeated rows are copies; an empty table gives an empty result.
+vec_id count as copies, are linked like others and get the component's least vec_id, null if it has none; repeated rows
+are copies, rows of one vec_id with different vectors or labels are linked each by its own; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +33,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import components, join_hot, stash, table
+from larkspur.llm.common import components, hash_pair, join_hot, stash, table
 
 THRESHOLD = 0.93
 DIRECTIONS = 64
 INSIDE = 0.9
 MISSED = 1e-6
 TILE = 2048
+#: Steps of the grid in a window's half-width, and rows that are counted at a time.
+GRID, ROWS = 512, 256
 
 
 def directions(dim: int, m: int = DIRECTIONS) -> np.ndarray:
@@ -59,14 +67,19 @@ def _links(left: np.ndarray, right: np.ndarray, same: bool, threshold: float) ->
     dim = left.shape[1]
     width, least = calibration(dim, threshold)
     along = directions(dim)
-    p, q = left @ along, right @ along
+    # both roundings move a value by half a step at most, so windows are a step wider; values wrap round at 2^16
+    step = width / GRID
+    p, q = (np.rint((x @ along).T / step).astype(np.int64).astype(np.uint16) for x in (left, right))
     counts = np.zeros((len(left), len(right)), dtype=np.uint8)
-    for k in range(p.shape[1]):
-        order = np.argsort(q[:, k], kind="stable")
-        line = q[order, k]
-        lo, hi = np.searchsorted(line, p[:, k] - width, "left"), np.searchsorted(line, p[:, k] + width, "right")
-        for i in range(len(left)):
-            counts[i, order[lo[i] : hi[i]]] += 1
+    gap, meet = np.empty((ROWS, len(right)), dtype=np.uint16), np.empty((ROWS, len(right)), dtype=bool)
+    for start in range(0, len(left), ROWS):
+        block = counts[start : start + ROWS]
+        g, m = gap[: len(block)], meet[: len(block)]
+        for k in range(len(p)):
+            # q - (p - w), taken modulo 2^16, is at most 2 w inside the window alone
+            np.subtract(q[k], (p[k, start : start + ROWS] - np.uint16(GRID + 1))[:, None], out=g)
+            np.less_equal(g, np.uint16(2 * GRID + 2), out=m)
+            block += m.view(np.uint8)
     a, b = np.nonzero(counts >= least)
     if same:
         a, b = a[a < b], b[a < b]
@@ -81,7 +94,7 @@ def _tile(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         raw = np.vstack(rows["embedding"].to_numpy()).astype(np.float64)
         unit = raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
-        ids, copies, side = rows["rep"].to_numpy(), rows["copies"].to_numpy(), rows["side"].to_numpy()
+        ids, copies, side = rows["id"].to_numpy(), rows["copies"].to_numpy(), rows["side"].to_numpy()
         same = bool((side == 2).all())
         li, ri = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         out_n = np.zeros(len(ids), dtype=np.int64)
@@ -103,7 +116,7 @@ def _tile(threshold: float):
             while not np.array_equal(root, root[root]):
                 root = root[root]
         some = out_n > 0
-        return pd.DataFrame({"rep": ids[some], "n": out_n[some], "to": ids[root[some]]})
+        return pd.DataFrame({"id": ids[some], "n": out_n[some], "to": ids[root[some]]})
 
     return run
 
@@ -116,8 +129,9 @@ def _sound(df: DataFrame) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label)."""
-    given = vectors.select("vec_id", "embedding", "label")
-    classes = stash(_sound(given).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes").where("rep is not null")
+    given = vectors.select("vec_id", "embedding", "label", hash_pair("label", "embedding").alias("key"))
+    found = _sound(given).groupBy("key").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = stash(found.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     first = F.pandas_udf(_first_cell(math.sqrt(2 - 2 * threshold)), "int")
     dealt = classes.withColumn("dim", F.size("embedding")).withColumn("cell", first("embedding"))
@@ -126,7 +140,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     ahead = sizes.select("label", "dim", (F.col("cell") - 1).alias("cell"), F.col("chunks").alias("next_chunks"))
     behind = sizes.select("label", "dim", (F.col("cell") + 1).alias("cell"), F.col("chunks").alias("last_chunks"))
     plan = sizes.join(ahead, ["label", "dim", "cell"], "left").join(behind, ["label", "dim", "cell"], "left")
-    at = dealt.join(plan, ["label", "dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    at = dealt.join(plan, ["label", "dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
 
     def spot(lc, left, rc, right, side):
         return F.struct(lc.alias("lc"), left.cast("int").alias("l"), rc.alias("rc"), right.cast("int").alias("r"), side.cast("int").alias("side"))
@@ -136,21 +150,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     none = F.array().cast("array<int>")
     up = F.transform(F.when(F.col("next_chunks").isNotNull(), F.sequence(F.lit(0), F.col("next_chunks") - 1)).otherwise(none), lambda o: spot(c, ch, c + 1, o, F.lit(0)))
     down = F.transform(F.when(F.col("last_chunks").isNotNull(), F.sequence(F.lit(0), F.col("last_chunks") - 1)).otherwise(none), lambda o: spot(c - 1, o, c, ch, F.lit(1)))
-    tiles = at.select("label", "dim", "rep", "copies", "embedding", F.explode(F.concat(own, up, down)).alias("t")).select("label", "dim", "rep", "copies", "embedding", "t.*")
-    found = stash(tiles.groupBy("label", "dim", "lc", "l", "rc", "r").applyInPandas(_tile(threshold), "rep long, n long, to long"), "links")
-
-    joined = stash(components(found.select(F.col("rep").alias("a"), F.col("to").alias("b"))), "components")
-    sums = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    reps = classes.join(sums, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    reps = reps.select(F.struct("label", "embedding").alias("key"), "rep", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "rep").alias("root"))
-    reps = stash(reps, "reps")
-    # copies find their class by value, single vectors by id: a frequent vector never meets itself in one task
-    many = reps.where("copies > 1").select("key", F.col("links").alias("many_links"), F.col("root").alias("many_root"))
-    single = reps.where("copies = 1").select(F.col("rep").alias("vec_id"), "links", "root")
-    marked = join_hot(given.select("vec_id", F.struct("label", "embedding").alias("key")), many, "key", salts=16)
-    done = marked.select("vec_id", "many_links", "many_root").join(single, "vec_id", "left")
-    root = F.when(F.col("vec_id").isNotNull(), F.coalesce("many_root", "root", "vec_id"))
-    return done.select("vec_id", F.coalesce("many_links", "links", F.lit(0)).cast("long").alias("n_links"), root.cast("long").alias("component_id"), F.coalesce(root == F.col("vec_id"), F.lit(False)).alias("kept"))
+    tiles = at.select("label", "dim", "id", "copies", "embedding", F.explode(F.concat(own, up, down)).alias("t")).select("label", "dim", "id", "copies", "embedding", "t.*")
+    found = stash(tiles.groupBy("label", "dim", "lc", "l", "rc", "r").applyInPandas(_tile(threshold), "id long, n long, to long"), "links")
+
+    joined = components(found.select(F.col("id").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "id")
+    sums = found.groupBy("id").agg(F.sum("n").alias("n"))
+    light = classes.select("key", "id", "rep", "copies").join(sums, "id", "left").join(joined, "id", "left")
+    light = stash(light.select("key", "rep", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "id").alias("root")), "linked")
+    least = join_hot(light, light.groupBy("root").agg(F.min("rep").alias("least")), "root").select("key", "copies", "links", "least")
+    reps = stash(least, "reps")
+    # a class of several rows may be a third of all; the others have one row each
+    many = reps.where("copies > 1").select("key", F.col("links").alias("many_links"), F.col("least").alias("many_least"), F.lit(True).alias("many"))
+    single = reps.where("copies = 1").select("key", "links", "least")
+    done = join_hot(given.select("vec_id", "key"), many, "key", salts=16).join(single, "key", "left")
+    linked = F.coalesce("many_links", "links", F.lit(0)).cast("long")
+    root = F.when(F.coalesce("many", F.lit(False)), F.col("many_least")).otherwise(F.coalesce("least", "vec_id")).cast("long")
+    return done.select("vec_id", linked.alias("n_links"), root.alias("component_id"), F.coalesce(root == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
 def _first_cell(width: float):
