@@ -1,14 +1,58 @@
-"""Lineage cuts for loops: a reliable checkpoint in the folder the session names."""
+"""Tables in the folder that driver and executors share: lineage cuts for loops, and tables kept between queries."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
 
-def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="larkspur-"))
-    return df.checkpoint()
+
+def shared_dir(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names. Without it a temporary folder serves a local session; a cluster has none that
+    all its machines see, so there it is an error."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", "")
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not found and sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="larkspur-")
+    return (found or _OWN[sc.applicationId]).rstrip("/")
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df written and read again: lineage is cut, and the planner knows its true size."""
+    path = f"{shared_dir(df.sparkSession)}/larkspur/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def signature(spark: SparkSession, *paths: str) -> str:
+    """A digest of the files under the paths: names, sizes and times of change."""
+    seen = []
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath()}\t{f.getLen()}\t{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:32]
+
+
+def persisted(spark: SparkSession, name: str, inputs: list[str], build: Callable[[str], None], fresh: bool = False) -> str:
+    """The folder of tables that build(path) wrote from the inputs as they are now; it is built once for each state of
+    the inputs, into a folder of its own, which counts only once it is whole."""
+    root = f"{shared_dir(spark)}/larkspur/{name}-{signature(spark, *inputs)}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fresh:
+        fs.delete(path, True)
+    if not fs.exists(path):
+        draft = f"{root}-{uuid.uuid4().hex}"
+        build(draft)
+        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(draft), path)
+    return root

@@ -152,7 +152,8 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, direction: str
     """(id, depth) of the nodes within depth moves of the seeds (id), level by level: each frontier joins the edges and
     leaves out what has been seen."""
     depth = max(0, min(depth, MAX_DEPTH))
-    moves = steps(edges, direction, relations)
+    # read at every level, so written once
+    moves = cut(steps(edges, direction, relations), "moves")
     seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier = seen.select("id")
     for level in range(1, depth + 1):
@@ -169,7 +170,7 @@ def paths(edges: DataFrame, start: str, target: str, max_depth: int, limit: int
     spark = edges.sparkSession
     if start == target:
         return spark.createDataFrame([([start], 0)], "path array<string>, length int")
-    moves = steps(edges, direction, relations).distinct()
+    moves = cut(steps(edges, direction, relations).distinct(), "moves")
     # breadth first from the target against the moves
     near = cut(spark.createDataFrame([(target, 0)], "id string, left int"))
     frontier = near
@@ -190,11 +191,13 @@ def paths(edges: DataFrame, start: str, target: str, max_depth: int, limit: int
     return (done if done is not None else empty).orderBy("length", "path").limit(limit)
 
 
-def by_marker(nodes: DataFrame, edges: DataFrame, kind: str, value: str, limit: int = 100) -> DataFrame:
-    """(id) of the pages that cite a source or carry a tag, found by node id, bare id or label."""
+def by_marker(nodes: DataFrame, edges: DataFrame, kind: str, value: str, limit: int | None = None) -> DataFrame:
+    """(id) of the pages that cite a source or carry a tag, found by node id, bare id or label; all of them, or the
+    first by id."""
     prefix, relation = {"source_ref": ("source:", "cites"), "tag": ("tag:", "tagged")}[kind]
     marks = nodes.where((F.col("kind") == kind) & ((F.col("id") == value) | (F.col("id") == prefix + value) | (F.col("label") == value))).select(F.col("id").alias("target"))
-    return edges.where(F.col("relation") == relation).join(marks, "target", "left_semi").select(F.col("source").alias("id")).distinct().orderBy("id").limit(limit)
+    found = edges.where(F.col("relation") == relation).join(marks, "target", "left_semi").select(F.col("source").alias("id")).distinct().orderBy("id")
+    return found if limit is None else found.limit(limit)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

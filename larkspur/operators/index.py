@@ -38,10 +38,26 @@ def tokenized(pages: DataFrame, analyzer: str = "legacy") -> DataFrame:
 
 @dataclass
 class Index:
-    postings: DataFrame  # token, page_id, tf
-    doc_stats: DataFrame  # page_id, dl
-    term_stats: DataFrame  # token, df
-    corpus_stats: DataFrame  # n, avgdl
+    """postings: token, page_id, tf, dl, approved; doc_stats: page_id, path, role, dl, approved, page_ord; term_stats:
+    token, df; corpus_stats: n, avgdl; compound and metadata: token, page_id, tf, approved, of the english analyzer."""
+
+    postings: DataFrame
+    doc_stats: DataFrame
+    term_stats: DataFrame
+    corpus_stats: DataFrame
+    analyzer: str = "legacy"
+    compound: DataFrame | None = None
+    metadata: DataFrame | None = None
+
+    def visible(self) -> Index:
+        """The index of the approved pages: statistics come from the postings left."""
+        seen = lambda t: t.where("approved") if t is not None else None
+        postings, docs = seen(self.postings), seen(self.doc_stats)
+        return Index(postings, docs, frequencies(postings), totals(docs), self.analyzer, seen(self.compound), seen(self.metadata))
+
+
+#: Tokens of a query set up to which they are pushed into the scan of the postings.
+PUSHED = 1000
 
 
 def totals(tokens: DataFrame) -> DataFrame:
@@ -49,23 +65,63 @@ def totals(tokens: DataFrame) -> DataFrame:
     return tokens.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
 
 
+def frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
 def build(pages: DataFrame, analyzer: str = "legacy") -> Index:
-    tokens = tokenized(pages, analyzer).select("page_id", "dl", "tokens")
-    postings = tokens.select("page_id", F.explode("tokens").alias("token")).groupBy("token", "page_id").agg(F.count(F.lit(1)).alias("tf"))
-    return Index(postings, tokens.select("page_id", "dl"), postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")), totals(tokens))
+    """A page's terms are counted within the page's own row, so postings need no shuffle."""
+    given = pages if "approved" in pages.columns else pages.withColumn("approved", F.lit(True))
+    given = given if "page_ord" in given.columns else given.withColumn("page_ord", F.lit(None).cast("long"))
+    tokens = tokenized(given, analyzer).select("page_id", "path", "role", "dl", "approved", "page_ord", "tokens")
+    sorted_ = tokens.select("page_id", "dl", "approved", F.array_sort("tokens").alias("t"))
+    # in sorted tokens a term ends where the next token differs; how many there are is the distance between ends
+    ends = F.filter(F.transform("t", lambda x, i: F.when(F.coalesce(F.get("t", i + 1) != x, F.lit(True)), i)), lambda i: i.isNotNull())
+    counted = sorted_.select("page_id", "dl", "approved", "t", ends.alias("e"))
+    terms = F.transform("e", lambda at, k: F.struct(F.get("t", at).alias("token"), (at - F.coalesce(F.when(k > 0, F.get("e", k - 1)), F.lit(-1))).cast("long").alias("tf")))
+    postings = counted.select("page_id", "dl", "approved", F.explode(terms).alias("x")).select("x.token", "page_id", "x.tf", "dl", "approved")
+    docs = tokens.drop("tokens")
+    extra = {}
+    if analyzer == "english":
+        extra = {"compound": exact_channel(given, authored_text()), "metadata": exact_channel(given, metadata_text())}
+    return Index(postings, docs, frequencies(postings), totals(docs), analyzer, **extra)
+
+
+def metadata_text() -> Column:
+    return F.concat_ws(" ", "path", F.array_join("source_refs", " "))
 
 
 def exact_channel(pages: DataFrame, text: Column) -> DataFrame:
-    """(token, page_id, tf): identifiers of several parts, each once a page."""
-    return pages.select("page_id", F.explode(X.compound_tokens(text)).alias("token")).withColumn("tf", F.lit(1).cast("long"))
+    """(token, page_id, tf, approved): identifiers of several parts, each once a page."""
+    found = pages.select("page_id", "approved", F.explode(X.compound_tokens(text)).alias("token"))
+    return found.select("token", "page_id", F.lit(1).cast("long").alias("tf"), "approved")
+
+
+def only(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The postings of the tokens in wanted (token). Few tokens become a filter that reaches the scan and, where
+    postings are clustered by token, skips row groups; more are a join."""
+    few = [r["token"] for r in wanted.select("token").distinct().limit(PUSHED + 1).collect()]
+    if len(few) <= PUSHED:
+        return postings.where(F.col("token").isin(few))
+    return postings.join(wanted.select("token").distinct(), "token", "left_semi")
+
+
+TABLES = ("postings", "doc_stats", "term_stats", "corpus_stats")
 
 
 def write(index: Index, path: str) -> None:
-    """The four tables under path, postings clustered by token so that a query's tokens prune row groups."""
+    """The tables under path, postings clustered by token so that a query's tokens prune row groups. Statistics come
+    from what was written, so pages are tokenized for the postings and for the lengths only."""
+    spark = index.postings.sparkSession
     index.postings.repartitionByRange("token").sortWithinPartitions("token", "page_id").write.mode("overwrite").parquet(f"{path}/postings")
-    for name in ("doc_stats", "term_stats", "corpus_stats"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+    frequencies(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/term_stats")
+    totals(spark.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+    for name in ("compound", "metadata"):
+        if getattr(index, name) is not None:
+            getattr(index, name).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def read(spark, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "doc_stats", "term_stats", "corpus_stats")))
+def read(spark, path: str, analyzer: str = "legacy") -> Index:
+    extra = {name: spark.read.parquet(f"{path}/{name}") for name in ("compound", "metadata")} if analyzer == "english" else {}
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in TABLES), analyzer, **extra)

@@ -62,59 +62,90 @@ def query_tokens(queries: DataFrame, analyzer: str = "legacy") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens)).alias("token")).withColumn("weight", X.token_weight(F.col("token")))
 
 
-def text_scores(pages: DataFrame, queries: DataFrame, analyzer: str = "legacy") -> DataFrame:
-    """(query_id, page_id, role, path, text_score) of every page that holds a query token; statistics are those of
-    the given pages."""
-    wanted = query_tokens(queries, analyzer)
-    docs = I.tokenized(pages, analyzer).select("page_id", "role", "path", "dl", "tokens")
-    vocabulary = wanted.select("token").distinct()
-    tf = docs.select("page_id", "role", "path", "dl", F.explode("tokens").alias("token")).join(vocabulary, "token", "left_semi").groupBy("page_id", "role", "path", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weighted = wanted.join(df, "token").crossJoin(F.broadcast(I.totals(docs)))
-    terms = tf.join(weighted, "token").select("query_id", "page_id", "role", "path", (idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl")) * F.col("weight")).alias("s"))
-    return terms.groupBy("query_id", "page_id", "role", "path").agg(F.sum("s").alias("text_score"))
-
-
-def exact_scores(pages: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def text_scores(index: I.Index, queries: DataFrame) -> DataFrame:
+    """(query_id, page_id, text_score) of every page that holds a query token; statistics are those of the index."""
+    wanted = query_tokens(queries, index.analyzer)
+    postings = I.only(index.postings, wanted)
+    weighted = wanted.join(I.only(index.term_stats, wanted), "token").crossJoin(F.broadcast(index.corpus_stats))
+    score = idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl")) * F.col("weight")
+    return postings.join(weighted, "token").select("query_id", "page_id", score.alias("s")).groupBy("query_id", "page_id").agg(F.sum("s").alias("text_score"))
+
+
+def exact_scores(index: I.Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scores of the identifier channels, and for queries that are one identifier the pages that hold it, as
     (query_id, page_id); such queries are listed with a null page where no page does."""
-    compound = I.exact_channel(pages, I.authored_text())
-    metadata = I.exact_channel(pages, F.concat_ws(" ", "path", F.array_join("source_refs", " ")))
-    total = pages.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))
-    found = queries.select("query_id", F.regexp_extract_all("query", F.lit(X.COMPOUND), F.lit(0)).alias("all"), F.regexp_replace("query", X.COMPOUND, "").alias("rest"))
-    single = found.where((F.size("all") == 1) & (F.regexp_replace(F.trim("rest"), r"^[\"'`“”‘’()\[\]{}.,;:!?\s]+|[\"'`“”‘’()\[\]{}.,;:!?\s]+$", "") == "")).select("query_id", F.lower(F.col("all")[0]).alias("token"))
-    every = found.select("query_id", F.explode(F.array_distinct(F.transform("all", lambda t: F.lower(t)))).alias("token"))
+    total = index.corpus_stats.select("n")
+    single = single_identifiers(queries)
+    every = queries.select("query_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit(X.COMPOUND), F.lit(0)), lambda t: F.lower(t)))).alias("token"))
 
     def channel(postings: DataFrame, wanted: DataFrame, weight: float) -> DataFrame:
-        near = postings.join(wanted.select("token").distinct(), "token", "left_semi")
-        df = near.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        near = I.only(postings, wanted)
         score = idf(F.col("n"), F.col("df")) * (1 + F.log1p("tf")) * weight
-        return near.join(wanted.join(df, "token"), "token").crossJoin(F.broadcast(total)).select("query_id", "page_id", score.alias("s"))
+        return near.join(wanted.join(I.frequencies(near), "token"), "token").crossJoin(F.broadcast(total)).select("query_id", "page_id", score.alias("s"))
 
-    scores = channel(compound, single, COMPOUND_WEIGHT).union(channel(metadata, every, METADATA_WEIGHT))
-    holders = single.join(compound.union(metadata).select("token", "page_id").distinct(), "token", "left").select("query_id", "page_id")
-    return scores, holders
+    scores = channel(index.compound, single, COMPOUND_WEIGHT).union(channel(index.metadata, every, METADATA_WEIGHT))
+    held = I.only(index.compound, single).union(I.only(index.metadata, single)).select("token", "page_id").distinct()
+    return scores, single.join(held, "token", "left").select("query_id", "page_id")
 
 
-def search(pages: DataFrame, queries: DataFrame, limit: int = 8, analyzer: str = "legacy", min_score: float | None = None, excluded: DataFrame | None = None) -> DataFrame:
-    """(query_id, page_id, path, role, score, rank). Exclusion and the least score come after scoring and change no
-    statistics; the least score looks at the score before it is rounded."""
-    scored = text_scores(pages, queries, analyzer)
-    if analyzer == "english":
-        extra, holders = exact_scores(pages, queries)
-        place = pages.select("page_id", "role", "path")
+def single_identifiers(queries: DataFrame) -> DataFrame:
+    """(query_id, token) of the queries that are one identifier and marks only."""
+    found = queries.select("query_id", F.regexp_extract_all("query", F.lit(X.COMPOUND), F.lit(0)).alias("all"), F.regexp_replace("query", X.COMPOUND, "").alias("rest"))
+    bare = F.regexp_replace(F.trim("rest"), r"^[\"'`“”‘’()\[\]{}.,;:!?\s]+|[\"'`“”‘’()\[\]{}.,;:!?\s]+$", "")
+    return found.where((F.size("all") == 1) & (bare == "")).select("query_id", F.lower(F.col("all")[0]).alias("token"))
+
+
+def search(source: DataFrame | I.Index, queries: DataFrame, limit: int = 8, analyzer: str = "legacy", min_score: float | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """(query_id, page_id, path, role, score, rank) over an index, or over pages, which are indexed for this search.
+    Exclusion and the least score come after scoring and change no statistics; the least score looks at the score
+    before it is rounded. A query of one identifier finds only pages that hold it."""
+    index = source if isinstance(source, I.Index) else I.build(source, analyzer)
+    scored = text_scores(index, queries)
+    if index.analyzer == "english":
+        extra, holders = exact_scores(index, queries)
         both = scored.select("query_id", "page_id", F.col("text_score").alias("s")).union(extra).groupBy("query_id", "page_id").agg(F.sum("s").alias("text_score"))
         bound = holders.select("query_id").distinct().withColumn("bound", F.lit(True))
-        guarded = both.join(bound, "query_id", "left")
         held = holders.where("page_id is not null").withColumn("holds", F.lit(True))
-        guarded = guarded.join(held, ["query_id", "page_id"], "left").where("bound is null or holds")
-        scored = guarded.join(place, "page_id").select("query_id", "page_id", "role", "path", "text_score")
-    whole = scored.where("text_score > 0").withColumn("whole", F.col("text_score") * role_multiplier(F.col("role")))
+        scored = both.join(bound, "query_id", "left").join(held, ["query_id", "page_id"], "left").where("bound is null or holds").select("query_id", "page_id", "text_score")
+    placed = scored.where("text_score > 0").join(index.doc_stats.select("page_id", "path", "role"), "page_id")
+    whole = placed.withColumn("whole", F.col("text_score") * role_multiplier(F.col("role")))
     if min_score is not None:
         whole = whole.where(F.col("whole") >= min_score)
     return ranked(without(whole, excluded).withColumn("score", F.round("whole", DIGITS)), limit).select("query_id", "page_id", "path", "role", "score", "rank")
 
 
+RESULT = ("query_id", "page_id", "path", "role", "score", "rank")
+
+
+def answered(source: DataFrame | I.Index, queries: DataFrame, limit: int = 8, analyzer: str = "legacy", min_score: float | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """search, and the overview for queries that say nothing: blank ones, and with the legacy analyzer those without a
+    token too. An english query of stop words alone finds nothing."""
+    index = source if isinstance(source, I.Index) else I.build(source, analyzer)
+    found = search(index, queries, limit, min_score=min_score, excluded=excluded)
+    says = F.trim("query") != "" if index.analyzer == "english" else F.size(X.legacy_tokens(F.col("query"))) > 0
+    silent = queries.where(~F.coalesce(says, F.lit(False))).select("query_id")
+    head = overview(index.doc_stats, limit, excluded)
+    if min_score is not None:
+        head = head.where(F.col("score") >= min_score)
+    # a few rows for each silent query
+    return found.union(silent.join(F.broadcast(head)).select(*RESULT))
+
+
+FIELDS = ("page_id", "path", "title", "role", "score", "snippet", "summary", "tags", "source_refs")
+
+
+def projected(results: DataFrame, pages: DataFrame, queries: DataFrame, fields: list[str] | None = None, snippet: int = X.SNIPPET_LIMIT) -> DataFrame:
+    """results with page fields in FIELDS' order, page_id always among them; the snippet is the window round the first
+    query token. Unknown names are an error."""
+    wanted = list(FIELDS) if fields is None else [f for f in FIELDS if f in {"page_id", *fields}]
+    if fields is not None and not set(fields) <= set(FIELDS):
+        raise ValueError(f"fields are {FIELDS}")
+    own = results.select("query_id", "rank", "page_id", "score")
+    shown = own.join(pages.select("page_id", "path", "title", "role", "text", "summary", "tags", "source_refs"), "page_id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    cut = X.snippet(F.col("text"), F.array_distinct(X.legacy_tokens(F.col("query"))), snippet)
+    return shown.withColumn("snippet", cut).select("query_id", "rank", *wanted)
+
+
 def literal(pages: DataFrame, queries: DataFrame, limit: int = 8, min_score: float | None = None) -> DataFrame:
     """(query_id, page_id, path, role, score, rank): pages that hold the query's words as one string, case folded."""
     needles = queries.select("query_id", X.folded(X.clean(F.col("query"))).alias("needle")).where("needle != ''")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
 from larkspur.operators import catalog, chunks, evaluate, graph, guidance, hybrid, index, lexical, usage, vector
+from larkspur.operators.cut import persisted
 from larkspur.plans.sql import ORACLES as ORACLES
 from larkspur.sources import corpus
 
@@ -18,8 +19,16 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
     return corpus.pages(s, d)
 
 
-def _bm25(s: SparkSession, d: str, limit: int = 8, pages: DataFrame | None = None, **more) -> DataFrame:
-    return lexical.search(_pages(s, d) if pages is None else pages, corpus.queries(s, d), limit, **more)
+def _index(s: SparkSession, d: str, analyzer: str = "legacy", fresh: bool = False) -> index.Index:
+    """The stored index of the pages as their files are now."""
+    files = [f"{d}/{t}.parquet" for t in ("documents", "labels")]
+    path = persisted(s, f"index-{analyzer}", files, lambda to: index.write(index.build(_pages(s, d), analyzer), to), fresh)
+    return index.read(s, path, analyzer)
+
+
+def _bm25(s: SparkSession, d: str, limit: int = 8, visible: bool = False, analyzer: str = "legacy", **more) -> DataFrame:
+    built = _index(s, d, analyzer)
+    return lexical.search(built.visible() if visible else built, corpus.queries(s, d), limit, **more)
 
 
 def _excluded(s: SparkSession, d: str) -> DataFrame:
@@ -46,8 +55,8 @@ def _literal(s: SparkSession, d: str) -> DataFrame:
 def _variants(s: SparkSession, d: str) -> DataFrame:
     q = corpus.queries(s, d)
     short = q.withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 4), " "))
-    p = _pages(s, d)
-    return lexical.fuse_variants([lexical.search(p, q, 30), lexical.search(p, short, 30)], 8)
+    built = _index(s, d)
+    return lexical.fuse_variants([lexical.search(built, q, 30), lexical.search(built, short, 30)], 8)
 
 
 def _best_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -110,6 +119,13 @@ def _index_stats(s: SparkSession, d: str) -> DataFrame:
     return built.corpus_stats.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(F.broadcast(terms))
 
 
+def _index_build(s: SparkSession, d: str) -> DataFrame:
+    """Builds and stores the index anew; the sizes of its tables."""
+    built = _index(s, d, fresh=True)
+    sizes = [getattr(built, t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("n_rows")) for t in ("postings", "doc_stats", "term_stats")]
+    return sizes[0].union(sizes[1]).union(sizes[2])
+
+
 def _validate(s: SparkSession, d: str) -> DataFrame:
     docs, labels, vectors = (corpus.table(s, d, t) for t in ("documents", "labels", "embeddings"))
     a = evaluate.dangling(labels.select("doc_id"), "doc_id", docs, "doc_id").select(F.lit("label").alias("kind"), F.col("doc_id").alias("id"))
@@ -154,9 +170,10 @@ def _gates(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "tokenize_terms": _tokens,
     "index_stats": _index_stats,
+    "index_build": _index_build,
     "doc_lengths": lambda s, d: index.tokenized(_pages(s, d)).select("page_id", "dl"),
     "bm25_topk": lambda s, d: _bm25(s, d).select(RESULT),
-    "bm25_visible": lambda s, d: _bm25(s, d, pages=lexical.visible(_pages(s, d))).select(RESULT),
+    "bm25_visible": lambda s, d: _bm25(s, d, visible=True).select(RESULT),
     "bm25_min_score": lambda s, d: _bm25(s, d, min_score=6.0).select(RESULT),
     "bm25_excluded": lambda s, d: _bm25(s, d, excluded=_excluded(s, d)).select(RESULT),
     "literal_topk": lambda s, d: _literal(s, d).select(RESULT),

@@ -93,6 +93,7 @@ state as (select page_key, arg_max(counter, r) counter, max(at) last_hit from fo
 ORACLES = {
     "tokenize_terms": f"with {CORPUS} select token, count(*) n, count(distinct page_id) df from (select page_id, unnest({tokens(FULL)}) token from corpus) group by 1",
     "index_stats": f"with {CORPUS}, t as (select page_id, {tokens(FULL)} t from corpus), p as (select page_id, unnest(t) token from t) select (select count(*) from t) n, round((select avg(len(t)) from t), 6) avgdl, (select count(distinct token) from p) n_terms, (select count(*) from (select distinct page_id, token from p)) n_postings",
+    "index_build": f"with {CORPUS}, t as (select page_id, unnest({tokens(FULL)}) token from corpus) select 'postings' as name, count(*) n_rows from (select distinct page_id, token from t) union all select 'doc_stats', count(*) from corpus union all select 'term_stats', count(distinct token) from t",
     "doc_lengths": f"with {CORPUS} select page_id, len({tokens(FULL)})::bigint dl from corpus",
     "bm25_topk": f"{BASE} select {COLS} from {top('whole', 8)}",
     "bm25_visible": f"with recursive {CORPUS}, {QUERIES}, seen as (select * from corpus where approved), {bm25('seen')} select {COLS} from {top('whole', 8)}",
@@ -131,8 +132,8 @@ select query_id, page_id, path, role, round(fused, 4) score, rank from r where r
     "graph_approved_nodes": f"""with {CORPUS}, {PROJECTED}, good as (select 'page:' || page_id id, path from corpus where approved),
 keep as (select id from good union select id from nodes where id not like 'page:%' and path in (select path from good)
   union select target from pedges where source in (select id from good) and target not like 'page:%') select id, label, kind, path from nodes where id in (select id from keep)""",
-    "graph_by_tag": f"with {CORPUS}, {PROJECTED} select source id from pedges where relation = 'tagged' and target = 'tag:en' group by 1 order by 1 limit 100",
-    "graph_by_source_ref": f"with {CORPUS}, {PROJECTED} select source id from pedges where relation = 'cites' and target = 'source:src1' group by 1 order by 1 limit 100",
+    "graph_by_tag": f"with {CORPUS}, {PROJECTED} select source id from pedges where relation = 'tagged' and target = 'tag:en' group by 1",
+    "graph_by_source_ref": f"with {CORPUS}, {PROJECTED} select source id from pedges where relation = 'cites' and target = 'source:src1' group by 1",
     "degree_counts": f"with {CORPUS}, {PROJECTED} select coalesce(a.id, b.id) id, coalesce(i, 0) inbound, coalesce(o, 0) outbound from (select target id, count(*) i from pedges where target like 'page:%' group by 1) a full join (select source id, count(*) o from pedges where source like 'page:%' group by 1) b on a.id = b.id",
     "graph_neighborhood": f"with recursive {EDGES}, mv as (select source a, target b from edges union all select target, source from edges), bfs(id, depth) as (select 'customer:1', 0 union select b, depth + 1 from bfs join mv on a = id where depth < 3) select id, min(depth) depth from bfs group by 1",
     "graph_backlinks": f"with recursive {EDGES}, bfs(id, depth) as (select 'nation:3', 0 union select source, depth + 1 from bfs join edges on target = id where depth < 2) select id, min(depth) depth from bfs group by 1",
