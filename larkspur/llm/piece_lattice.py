@@ -11,7 +11,8 @@ Documents are then encoded by word. Words that occur often, ``HEAD`` at most, co
 lattice, which is broadcast; its size is bounded by that parameter. The rest, each too rare for the table, go through
 the same fold over the same edges within the Arrow batch that holds them, so no occurrence is ever shuffled. A batch is
 cut at single spaces and dictionary-encoded by column functions: Python sees each distinct stretch of ``BYTES`` of text
-once, and the ids of all occurrences are taken from theirs as arrays.
+once, and the ids of all occurrences are taken from theirs as arrays. The batch's new words are folded together, as
+arrays: every round joins the best neighbours of each word.
 
 Decoding is DataFrame functions only: pieces are looked up in a constant array, byte pieces included, and joined.
 
@@ -40,8 +41,10 @@ from larkspur.llm.common import let, stash, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 HEAD = 100_000
-#: Words and stretches between spaces that a worker remembers beside them, and bytes of text encoded at a time.
-MEMO, PARTS, BYTES = 150_000, 250_000, 4_000_000
+#: Bytes of text encoded at a time.
+BYTES = 8_000_000
+#: Characters up to which a word is folded among others; a longer one goes through a queue.
+TOGETHER = 200
 #: From the finest cut to the coarsest; the first one that cuts no piece is used.
 CUTS = (r"▁*+[\p{L}\p{M}]++|▁*+[^\p{L}\p{M}▁]++|▁++", r"▁*+[^▁]++|▁++", r"(?s:.++)")
 
@@ -156,39 +159,117 @@ def encode_words(distinct: DataFrame, pieces: Pieces, fold=fold_merges) -> DataF
     return plain.select("word", fold(F.col("word"), F.col("edges"), pieces).alias("ids"))
 
 
+def _ragged(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of flat one after another, and where each ends, from 0 on."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
+class _Words:
+    """Encoded words: the row of each, all ids one after another, where each row ends, from 0 on."""
+
+    def __init__(self, rows: dict[str, int], flat: np.ndarray, ends: np.ndarray):
+        self.rows, self.flat, self.ends = rows, flat, ends
+
+    @staticmethod
+    def of(words: list[str], ids: list[list[int]]) -> _Words:
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]).astype(np.int64)
+        return _Words({w: k for k, w in enumerate(words)}, np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1])), ends)
+
+
 class _Batch:
-    """Encodes what the broadcast table lacks; remembers a bounded number of words."""
+    """Encodes texts; what the broadcast table lacks it folds, and remembers until the next stretch of text."""
 
-    def __init__(self, pieces: Pieces, head: dict[str, list[int]]):
-        self.pieces, self.head, self.memo, self.parts = pieces, head, {}, {}
+    def __init__(self, pieces: Pieces, head: _Words | None = None):
+        self.pieces, self.head, self.memo = pieces, head or _Words.of([], []), _Words.of([], [])
         self.score = {p: (s, i) for p, s, i in pieces.rows}
         self.best = {p: s for p, s, _ in pieces.rows}
         self.split = regex.compile(pieces.cut)
-
-    def rare(self, word: str) -> list[int]:
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            found = self.memo[word] = self.fold(word)
-        return found
-
-    def several(self, escaped_: str) -> list[int]:
-        """Ids of an escaped stretch of text, word by word."""
-        out: list[int] = []
-        head, rare = self.head.get, self.rare
-        for w in self.split.findall(escaped_):
-            out += head(w) or rare(w)
-        return out
-
-    def spaced(self, part: str) -> list[int]:
-        """Ids of what stands between two single spaces, remembered whole: words with their punctuation."""
-        if len(self.parts) > PARTS:
-            self.parts.clear()
-        found = self.several(MARK + part)
-        if len(part) < 40:
-            self.parts[part] = found
-        return found
+        # what two pieces that meet make, by piece numbers of their own
+        number = {p: k for k, (p, _, _) in enumerate(pieces.rows)}
+        self.size = len(number) + 1
+        made = [(number[p[:i]] * self.size + number[p[i:]], number[p]) for p in number for i in range(1, len(p)) if p[:i] in number and p[i:] in number]
+        made.sort()
+        self.keys = np.array([k for k, _ in made] or [-1], dtype=np.int64)
+        self.makes = np.array([n for _, n in made] or [0], dtype=np.int32)
+        self.scores = np.array([s for _, s, _ in pieces.rows] or [0.0])
+        self.own = np.array([i for _, _, i in pieces.rows] or [0], dtype=np.int32)
+        # characters by code point; those without a piece have none
+        self.single = np.full(0x110000, -1, dtype=np.int32)
+        for p, k in number.items():
+            if len(p) == 1:
+                self.single[ord(p)] = k
+
+    def together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """fold of many words at once, the ids one after another and each word's number of them. All words' pieces stand
+        in one array, with each one's score with the next; a round joins the best neighbours of every word, the first
+        of equals, and words without any are done."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        long_ = sizes > TOGETHER
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        at = np.repeat(np.arange(len(words)), sizes)
+        part = self.single[codes].astype(np.int64)
+        # alone: long words, and those with a character that has no piece
+        alone = long_.copy()
+        alone[at[part < 0]] = True
+        own = [(k, self.long(words[k]) if long_[k] else self.fold(words[k])) for k in np.flatnonzero(alone).tolist()]
+        ids, of = [np.array([i for _, x in own for i in x], dtype=np.int32)], [np.array([k for k, x in own for _ in x], dtype=np.int64)]
+        part, at = part[~alone[at]], at[~alone[at]]
+
+        def beside(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Score and result of pieces i and i + 1, none at the end of a word."""
+            j = np.minimum(i + 1, len(part) - 1)
+            key = part[i] * self.size + part[j]
+            spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            makes = self.makes[spot]
+            return np.where((self.keys[spot] == key) & (at[i] == at[j]) & (i != j), self.scores[makes], -np.inf), makes
+
+        score, makes = beside(np.arange(len(part)))
+        while len(part):
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            top = np.repeat(np.maximum.reduceat(score, starts), np.diff(np.append(starts, len(at))))
+            over = top == -np.inf
+            if over.any():
+                ids.append(self.own[part[over]])
+                of.append(at[over])
+                part, at, score, makes, top = part[~over], at[~over], score[~over], makes[~over], top[~over]
+                if not len(part):
+                    break
+            best = np.flatnonzero(score == top)
+            best = best[np.concatenate([[True], at[best[1:]] != at[best[:-1]]])]
+            part[best] = makes[best]
+            rest = np.ones(len(part), dtype=bool)
+            rest[best + 1] = False
+            new = best - np.arange(len(best))
+            part, at, score, makes = part[rest], at[rest], score[rest], makes[rest]
+            for i in (new, new[new > 0] - 1):
+                score[i], makes[i] = beside(i)
+        whose = np.concatenate(of)
+        return np.concatenate(ids)[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(words))
+
+    def several(self, stretches: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of an escaped text, where each of its words ends among them, and which words start with the mark."""
+        found = pa.array(self.split.findall(stretches), pa.string())
+        coded = found.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        head, memo = self.head, self.memo
+        row = np.fromiter((head.rows.get(w, -1) for w in words), np.int64, len(words))
+        rare = np.flatnonzero(row < 0)
+        again = np.fromiter((memo.rows.get(words[k], -1) for k in rare.tolist()), np.int64, len(rare))
+        new = rare[again < 0]
+        flat, sizes = self.together([words[k] for k in new.tolist()])
+        begins, size = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        start = 0
+        for at, rows, table in ((np.flatnonzero(row >= 0), row[row >= 0], head), (rare[again >= 0], again[again >= 0], memo)):
+            begins[at], size[at] = start + table.ends[rows], table.ends[rows + 1] - table.ends[rows]
+            start += len(table.flat)
+        begins[new], size[new] = start + np.cumsum(sizes) - sizes, sizes
+        pool = np.concatenate([head.flat, memo.flat, flat])
+        kept, ends = _ragged(pool, begins[rare], size[rare])
+        self.memo = _Words({words[k]: n for n, k in enumerate(rare.tolist())}, kept, ends)
+        each = coded.indices.to_numpy()
+        ids, ends = _ragged(pool, begins[each], size[each])
+        return ids, ends, pc.starts_with(found, MARK).to_numpy(zero_copy_only=False)
 
     def fold(self, word: str) -> list[int]:
         """fold_merges, the edges looked up in the piece table as neighbours meet; only the two scores beside a merge
@@ -251,10 +332,10 @@ class _Batch:
                 offer(left[i])
         return self.ids([p for p in parts if p is not None])
 
-    def text(self, text: str | None) -> list[int] | None:
+    def text(self, text: str | None) -> np.ndarray | None:
         if not text:
-            return text if text is None else []
-        return self.several(MARK + text.replace(" ", MARK))
+            return text if text is None else np.zeros(0, dtype=np.int32)
+        return self.several(MARK + text.replace(" ", MARK))[0]
 
     def column(self, texts: pa.Array) -> pa.ListArray:
         """The ids of each text. Words start at single spaces, so what lies between them is encoded by itself, each
@@ -264,23 +345,23 @@ class _Batch:
         plain = plain.fill_null(False).to_numpy(zero_copy_only=False) & (self.pieces.cut != CUTS[-1])
         parts = pc.split_pattern(texts.filter(pa.array(plain)), " ")
         coded = parts.flatten().dictionary_encode()
-        known, spaced = self.parts.get, self.spaced
-        found = [known(p) or spaced(p) for p in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-        at = coded.indices.to_numpy()
-        each = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        begins = np.concatenate([[0], np.cumsum(sizes)])[at]
-        values = ids[np.repeat(begins - ends[:-1], each) + np.arange(ends[-1])]
-        edges = ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()] if len(parts) else np.zeros(1, dtype=np.int64)
-        done = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
+        distinct = coded.dictionary.to_pylist()
+        # an empty stretch, behind a last space, would run into the next one's mark: it comes last
+        empty = np.array([not p for p in distinct], dtype=bool)
+        place = np.empty(len(distinct), dtype=np.int64)
+        place[~empty], place[empty] = np.arange((~empty).sum()), len(distinct) - 1
+        ids, ends, marks = self.several("".join([*(MARK + p for p in distinct if p), *([MARK] if empty.any() else [])]))
+        edges = np.append(ends[:-1][marks], ends[-1])
+        at = place[coded.indices.to_numpy()]
+        values, ends = _ragged(ids, edges[at], edges[at + 1] - edges[at]) if len(at) else (ids[:0], np.zeros(1, dtype=np.int64))
+        offsets = ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()] if len(parts) else np.zeros(1, dtype=np.int64)
+        done = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
         if plain.all():
             return done
-        rest = [None if (x := self.text(t)) is None else np.array(x, dtype=np.int32) for t in texts.filter(pa.array(~plain)).to_pylist()]
+        rest = pa.array([self.text(t) for t in texts.filter(pa.array(~plain)).to_pylist()], pa.list_(pa.int32()))
         order = np.empty(len(plain), dtype=np.int64)
         order[plain], order[~plain] = np.arange(len(done)), len(done) + np.arange(len(rest))
-        return pa.concat_arrays([done, pa.array(rest, pa.list_(pa.int32()))]).take(pa.array(order))
+        return pa.concat_arrays([done, rest]).take(pa.array(order))
 
 
 def frequent_words(docs: DataFrame, pieces: Pieces, most: int = HEAD) -> DataFrame:
@@ -305,7 +386,7 @@ def encode(docs: DataFrame, pieces: Pieces, head: int = HEAD) -> DataFrame:
     spark = docs.sparkSession
     known = stash(encode_words(frequent_words(docs, pieces, head), pieces), "head").toPandas()
     # at most ``head`` words of at most 200 characters
-    shared = spark.sparkContext.broadcast((pieces, dict(zip(known["word"], [list(map(int, x)) for x in known["ids"]], strict=True))))
+    shared = spark.sparkContext.broadcast((pieces, _Words.of(known["word"].tolist(), known["ids"].tolist())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _Batch(*shared.value)

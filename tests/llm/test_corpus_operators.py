@@ -309,10 +309,15 @@ def test_pieces_equal_the_library(spark, pieces):
 
 
 def test_both_folds(spark, pieces):
-    words = spark.createDataFrame([(w,) for w in {x for t in TEXTS if t and len(t) < 100 for x in piece_lattice._Batch(pieces, {}).split.findall("▁" + t.replace(" ", "▁"))}], "word string")
-    coder = piece_lattice._Batch(pieces, {})
+    words = spark.createDataFrame([(w,) for w in {x for t in TEXTS if t and len(t) < 100 for x in piece_lattice._Batch(pieces).split.findall("▁" + t.replace(" ", "▁"))}], "word string")
+    coder = piece_lattice._Batch(pieces)
     for r in piece_lattice.encode_words(words, pieces).collect():
         assert r["ids"] == coder.fold(r["word"]) == coder.long(r["word"])
+    rng = random.Random(5)
+    parts = [p for p, _, _ in pieces.rows if 1 < len(p) < 6]
+    many = ["".join(rng.choice(parts) if rng.random() < 0.7 else rng.choice("aeinrst▁xqü😀") for _ in range(rng.randrange(1, 90 if k % 50 == 0 else 9))) for k in range(20_000)]
+    ids, sizes = coder.together(many)
+    assert ids.tolist() == [i for w in many for i in coder.fold(w)] and sizes.tolist() == [len(coder.fold(w)) for w in many]
     tiny = piece_lattice.Pieces((("a", -3.0, 0), ("b", -3.0, 1), ("ab", -4.0, 2), ("abc", -9.0, 3), ("c", -4.5, 4)), (), ("", "", "", "", ""), 9, 3, r"(?s:.++)")
     words = spark.createDataFrame([("abc",), ("ab",), ("cabx",)], "word string")
     got = {r["word"]: r["ids"] for r in piece_lattice.encode_words(words, tiny, piece_lattice.fold_viterbi).collect()}
