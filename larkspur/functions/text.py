@@ -19,6 +19,10 @@ SUMMARY_LIMIT = 360
 HEADING = r"(?m)^(#{1,6})\s+(.+?)\s*$"
 WIKILINK = r"\[\[([^\]]+)\]\]"
 MARKDOWN_LINK = r"\[[^\]]+\]\(([^)]+?\.(?:md|org))(?:#[^)]+)?\)"
+# what a relation label is made of, and the links a text names it by
+LABEL_TOKEN = r"[0-9A-Za-z]+|[가-힣]+"
+NAMED_WIKILINK = r"\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|[^\]]*)?\]\]"
+NAMED_LINK = r"\[[^\]\n]*\]\(([^)\s]+)(?:\s+[\"'][^)]*[\"'])?\)"
 INLINE_TAG = r"(?U)(?<![\w/])#([A-Za-z0-9가-힣][A-Za-z0-9가-힣_./-]*)"
 TAGS_LINE = r"(?im)^\s*tags::\s*(.+?)\s*$"
 
@@ -160,3 +164,56 @@ def relation(value: Column) -> Column:
     """A relation's canonical name; blank ones are ``related_to``."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(value, F.lit("")))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     return F.when(bare == "", F.lit("related_to")).otherwise(bare)
+
+
+def inline(text: Column, limit: int) -> Column:
+    """White space and null characters to one space, the whole within limit, its cut marked by three dots."""
+    bare = clean(F.replace(text, F.lit("\x00"), F.lit(" ")))
+    return F.when(F.length(bare) <= limit, bare).otherwise(F.concat(F.rtrim(F.substring(bare, 1, max(0, limit - 3))), F.lit("...")))
+
+
+def nfc(text: Column) -> Column:
+    """Composed Unicode; an Arrow function, for short tables such as labels."""
+    import unicodedata
+
+    import pandas as pd
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))
+
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(text)
+
+
+def relation_key(label: Column) -> Column:
+    """A label without case, marks and extension, for comparison."""
+    return F.regexp_replace(folded(F.regexp_replace(label, r"\.md$", "")), "[^a-z0-9가-힣]+", "")
+
+
+def label_forms(label: Column) -> Column:
+    """What a label may be called: itself without extension, and its last part with and without extension."""
+    bare = F.regexp_replace(F.trim(label), r"\.md$", "")
+    last = F.element_at(F.split(bare, "/"), -1)
+    return F.array_distinct(F.array(bare, last, F.regexp_replace(last, r"(?<=[^.])\.[^.]*$", "")))
+
+
+def labels_named(text: Column) -> Column:
+    """Keys of the labels that the text's links name."""
+    wiki = F.regexp_extract_all(text, F.lit(NAMED_WIKILINK), F.lit(1))
+    plain = F.transform(F.regexp_extract_all(text, F.lit(NAMED_LINK), F.lit(1)), lambda t: F.regexp_extract(F.regexp_replace(t, "^[<>]+|[<>]+$", ""), "^[^#?]*", 0))
+    return F.filter(F.array_distinct(F.transform(F.flatten(F.transform(F.concat(wiki, plain), label_forms)), relation_key)), lambda k: k != "")
+
+
+def phrase_stands_in(label: Column, text: Column) -> Column:
+    """Whether the label's tokens stand in the text one after another, with nothing but marks between them, from a
+    token's start to a token's end."""
+    parts = F.transform(F.regexp_extract_all(label, F.lit(LABEL_TOKEN), F.lit(0)), folded)
+    bare = F.concat(F.lit(" "), F.regexp_replace(folded(text), "[^0-9a-z가-힣]+", " "), F.lit(" "))
+    return (F.size(parts) > 0) & F.regexp_like(bare, F.concat(F.lit(" "), F.array_join(parts, " ?"), F.lit(" ")))
+
+
+def label_visible(label: Column, text: Column) -> Column:
+    """Whether a text names a label: by a link, or in words."""
+    forms = label_forms(label)
+    linked = F.arrays_overlap(F.filter(F.transform(forms, relation_key), lambda k: k != ""), labels_named(text))
+    return (F.trim(text) != "") & F.coalesce(linked | F.exists(forms, lambda f: phrase_stands_in(f, text)), F.lit(False))

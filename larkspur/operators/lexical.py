@@ -95,10 +95,10 @@ def single_identifiers(queries: DataFrame) -> DataFrame:
     return found.where((F.size("all") == 1) & (bare == "")).select("query_id", F.lower(F.col("all")[0]).alias("token"))
 
 
-def search(source: DataFrame | I.Index, queries: DataFrame, limit: int = 8, analyzer: str = "legacy", min_score: float | None = None, excluded: DataFrame | None = None) -> DataFrame:
+def search(source: DataFrame | I.Index, queries: DataFrame, limit: int = 8, analyzer: str = "legacy", min_score: float | None = None, excluded: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
     """(query_id, page_id, path, role, score, rank) over an index, or over pages, which are indexed for this search.
-    Exclusion and the least score come after scoring and change no statistics; the least score looks at the score
-    before it is rounded. A query of one identifier finds only pages that hold it."""
+    Exclusion, the pages (page_id) allowed within, and the least score come after scoring and change no statistics; the
+    least score looks at the score before it is rounded. A query of one identifier finds only pages that hold it."""
     index = source if isinstance(source, I.Index) else I.build(source, analyzer)
     scored = text_scores(index, queries)
     if index.analyzer == "english":
@@ -111,6 +111,8 @@ def search(source: DataFrame | I.Index, queries: DataFrame, limit: int = 8, anal
     whole = placed.withColumn("whole", F.col("text_score") * role_multiplier(F.col("role")))
     if min_score is not None:
         whole = whole.where(F.col("whole") >= min_score)
+    if within is not None:
+        whole = whole.join(within.select("page_id"), "page_id", "left_semi")
     return ranked(without(whole, excluded).withColumn("score", F.round("whole", DIGITS)), limit).select("query_id", "page_id", "path", "role", "score", "rank")
 
 

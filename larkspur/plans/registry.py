@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
 from larkspur.operators import catalog, chunks, evaluate, graph, guidance, hybrid, index, lexical, usage, vector
-from larkspur.operators.cut import persisted
+from larkspur.operators.cut import cut, persisted
 from larkspur.plans.sql import ORACLES as ORACLES
 from larkspur.sources import corpus
 
@@ -64,18 +64,29 @@ def _best_chunks(s: SparkSession, d: str) -> DataFrame:
     return vector.best_chunks(scored).withColumn("score", F.round("score", 6))
 
 
-def _related(s: SparkSession, d: str) -> DataFrame:
-    """Pages of the same group as a hub page."""
-    best = _cosine(s, d).select("query_id", "page_id", "label", "score", "ordinal")
-    seeds = best.where("page_id in ('0', '1', '2')").select("query_id", F.col("page_id").alias("seed_id"), "label")
-    pools = seeds.join(best.select("query_id", "label", "page_id"), ["query_id", "label"]).select("query_id", "seed_id", "page_id")
-    return hybrid.related(pools, best.select("query_id", "page_id", "score", "ordinal"), _pages(s, d))
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    """The queries, each naming a source."""
+    return corpus.queries(s, d).withColumn("query", F.concat_ws(" ", "query", F.concat(F.lit("src"), (F.col("query_id") % 3).cast("string"))))
 
 
-def _weighted(s: SparkSession, d: str) -> DataFrame:
-    lex, rel = _bm25(s, d, DEPTH), _related(s, d)
-    none = lex.where("false")
-    return hybrid.seeded(lex, _vector(s, d), none, rel, 8)
+def _seeds(s: SparkSession, d: str) -> DataFrame:
+    """The hub pages that lead each query, ranked among hub pages."""
+    pages, asked = _pages(s, d), _asked(s, d)
+    hubs = pages.where(hybrid.HUB)
+    lex = lexical.search(_index(s, d), asked, hybrid.SEED_DEPTH, within=hubs)
+    vec = vector.top_pages(vector.best_chunks(_cosine(s, d)), hubs, hybrid.SEED_DEPTH)
+    return cut(hybrid.seeds(lex, vec, hybrid.evidence(lex, vec, pages, asked)), "seeds")
+
+
+def _related(s: SparkSession, d: str, seeds: DataFrame) -> DataFrame:
+    pools = hybrid.pools(seeds, _pages(s, d), corpus.page_links(s, d), _asked(s, d))
+    return hybrid.related(pools, vector.best_chunks(_cosine(s, d)), _pages(s, d))
+
+
+def _seeded(s: SparkSession, d: str) -> DataFrame:
+    pages, asked, seeds = _pages(s, d), _asked(s, d), _seeds(s, d)
+    lex = lexical.search(_index(s, d), asked, DEPTH)
+    return hybrid.answered(cut(lex, "lexical"), cut(_vector(s, d), "vector"), seeds, cut(_related(s, d, seeds), "related"), pages, asked, 8)
 
 
 def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -182,8 +193,9 @@ QUERIES = {
     "cosine_topk": lambda s, d: _vector(s, d, 8).withColumn("score", F.round("score", 6)).select(RESULT),
     "best_chunk_per_group": _best_chunks,
     "hybrid_plain_rrf": lambda s, d: hybrid.plain(_bm25(s, d, DEPTH), _vector(s, d), 8),
-    "hybrid_seeds": lambda s, d: hybrid.seeds(_bm25(s, d, 24), _vector(s, d)).fillna(0, ["lexical_rank", "vector_rank"]),
-    "hybrid_weighted_rrf": _weighted,
+    "hybrid_seeds": lambda s, d: _seeds(s, d).fillna(0, ["lexical_rank", "vector_rank"]),
+    "hybrid_related": lambda s, d: _related(s, d, _seeds(s, d)).withColumn("score", F.round("score", 6)),
+    "hybrid_seeded": _seeded,
     "graph_project_nodes": lambda s, d: _graph(s, d)[0],
     "graph_project_edges": lambda s, d: _graph(s, d)[1],
     "graph_approved_nodes": lambda s, d: graph.approved(*_graph(s, d), _pages(s, d))[0].select("id", "label", "kind", "path"),

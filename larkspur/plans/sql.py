@@ -90,6 +90,33 @@ fold(page_key, r, counter, at) as (select page_key, r, 1.0::double, t from h whe
   union all select h.page_key, h.r, least({usage.CAP}, fold.counter * pow(0.5, greatest(0, h.t - fold.at) / {usage.HALF_LIFE}) + 1.0), greatest(fold.at, h.t) from fold join h on h.page_key = fold.page_key and h.r = fold.r + 1),
 state as (select page_key, arg_max(counter, r) counter, max(at) last_hit from fold group by 1)""".replace(" at)", " moment)").replace("fold.at", "fold.moment").replace("max(at)", "max(moment)")
 
+RELATION = "regexp_replace(lower(regexp_replace({0}, '\\.md$', '')), '[^a-z0-9가-힣]+', '', 'g')"
+NAMES = "[page_id, title, path, split_part(path, '/', -1), regexp_replace(split_part(path, '/', -1), '(.)\\.[^.]*$', '\\1')]"
+CLEAN = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+# forms of a label; what a text says in words (links are looked for too: none of these texts holds one)
+FORMS = "[b, split_part(b, '/', -1), regexp_replace(split_part(b, '/', -1), '(.)\\.[^.]*$', '\\1')]"
+IN_WORDS = "len(list_filter(f, lambda x: len(regexp_extract_all(x, '[0-9A-Za-z]+|[가-힣]+')) > 0 and regexp_matches(' ' || regexp_replace(lower({0}), '[^0-9a-z가-힣]+', ' ', 'g') || ' ', ' ' || array_to_string(list_transform(regexp_extract_all(x, '[0-9A-Za-z]+|[가-힣]+'), lambda y: lower(y)), ' ?') || ' '))) > 0"
+SEEDED = f"""with recursive {CORPUS}, {QUERIES}, qx as (select query_id, list_append(toks, 'src' || (query_id % 3)) toks from qs), {bm25('corpus', 'qx', 'x')}, {COSINE}, {VECTOR},
+lh as (select * from (select query_id, page_id, path, role, row_number() over (partition by query_id order by round(whole, 4) desc, {ROLE_RANK}, path) rank from wholex where role <> 'topic') where rank <= 24),
+vh as (select * from (select query_id, page_id, path, role, row_number() over (partition by query_id order by score desc, {ROLE_RANK}, path, page_id) rank from cos join corpus using (page_id) where role <> 'topic') where rank <= 24),
+ea as (select query_id, page_id, text, list_min(list_filter(list_transform(toks, lambda x: strpos(lower(text), x)), lambda x: x > 0)) p from lh join qx using (query_id) join corpus using (page_id)),
+la as (select query_id, page_id, {CLEAN.format("case when p is null then text else substr(text, greatest(1, p - 100), 280) end")} a from ea),
+lb as (select query_id, page_id, {CLEAN.format("case when text <> '' then text else summary end")} b from vh join corpus using (page_id)),
+clip as (select query_id, page_id, case when len(a) <= 280 then a else rtrim(left(a, 279)) || '...' end a, case when len(b) <= 280 then b else rtrim(left(b, 279)) || '...' end b from la full join lb using (query_id, page_id)),
+ev as (select query_id, page_id, array_to_string(list_filter([a, b], lambda x: x is not null and x <> ''), ' ') evidence from clip),
+j as (select coalesce(lh.query_id, vh.query_id) query_id, coalesce(lh.page_id, vh.page_id) page_id, coalesce(lh.path, vh.path) path, coalesce(lh.role, vh.role) role, lh.rank lexical_rank, vh.rank vector_rank from lh full join vh on lh.query_id = vh.query_id and lh.page_id = vh.page_id),
+seeds as (select * from (select j.*, evidence, row_number() over (partition by query_id order by least(coalesce(lexical_rank, 25), coalesce(vector_rank, 25)), coalesce(lexical_rank, 25), coalesce(vector_rank, 25), {ROLE_RANK}, path, page_id) rank from j join ev using (query_id, page_id) where evidence <> '') where rank <= 3),
+{PROJECTED.split(',' + chr(10) + 'keys as')[0]},
+lab as (select page_id, 'link' kind, link as label from lk join corpus using (page_id) where role <> 'topic' union select page_id, 'source', source_refs from corpus where role <> 'topic' and source_refs is not null union select page_id, 'tag', tags from corpus where role <> 'topic' and tags is not null),
+told as (select seeds.query_id, seeds.page_id seed_id, kind, label, evidence, array_to_string(toks, ' ') query, {FORMS} f from (select *, regexp_replace(trim(label), '\\.md$', '') b from lab) lab join seeds using (page_id) join qx using (query_id)),
+seen as (select distinct query_id, seed_id, kind, {RELATION.format("label")} k from told where {IN_WORDS.format("evidence")} or {IN_WORDS.format("query")}),
+targets as (select 'link' kind, k, arg_min(page_id, page_ord) page_id from (select page_id, page_ord, unnest(list_distinct(list_transform({NAMES}, lambda x: {RELATION.format("x")}))) k from corpus) where k <> '' group by k
+  union all select 'source', {RELATION.format("source_refs")}, page_id from corpus where source_refs is not null union all select 'tag', {RELATION.format("tags")}, page_id from corpus where tags is not null),
+pool as (select distinct query_id, seed_id, page_id from seen join targets using (kind, k) where page_id <> seed_id),
+ps as (select query_id, seed_id, page_id, path, role, score from pool join (select query_id, page_id, score from cos) using (query_id, page_id) join corpus using (page_id)),
+p16 as (select distinct query_id, page_id, path, role, score from (select *, row_number() over (partition by query_id, seed_id order by score desc, {ROLE_RANK}, path, page_id) k from ps) where k <= {hybrid.RELATED_PER_SEED}),
+rel as (select *, row_number() over (partition by query_id order by score desc, {ROLE_RANK}, path, page_id) rank from p16 qualify rank <= {hybrid.RELATED})"""
+
 ORACLES = {
     "tokenize_terms": f"with {CORPUS} select token, count(*) n, count(distinct page_id) df from (select page_id, unnest({tokens(FULL)}) token from corpus) group by 1",
     "index_stats": f"with {CORPUS}, t as (select page_id, {tokens(FULL)} t from corpus), p as (select page_id, unnest(t) token from t) select (select count(*) from t) n, round((select avg(len(t)) from t), 6) avgdl, (select count(distinct token) from p) n_terms, (select count(*) from (select distinct page_id, token from p)) n_postings",
@@ -113,18 +140,18 @@ r as (select *, row_number() over (partition by query_id order by round(fused, 1
     "hybrid_plain_rrf": f"""{BASE}, {COSINE}, {VECTOR}, ch as (select query_id, page_id, path, role, rank from {top('whole', 256)} union all select query_id, page_id, path, role, rank from vtop),
 f as (select query_id, page_id, path, role, sum(1.0 / ({RRF} + rank)) fused from ch group by all), r as (select *, row_number() over (partition by query_id order by round(fused, 12) desc, {ROLE_RANK}, path, page_id) rank from f)
 select query_id, page_id, path, role, round(fused, 4) score, rank from r where rank <= 8""",
-    "hybrid_seeds": f"""{BASE}, {COSINE}, {VECTOR}, a as (select * from {top('whole', 24)} where role <> 'topic'), b as (select * from vtop where role <> 'topic' and rank <= 24),
-j as (select coalesce(a.query_id, b.query_id) query_id, coalesce(a.page_id, b.page_id) page_id, coalesce(a.path, b.path) path, coalesce(a.role, b.role) role, a.rank lexical_rank, b.rank vector_rank from a full join b on a.query_id = b.query_id and a.page_id = b.page_id),
-r as (select *, row_number() over (partition by query_id order by least(coalesce(lexical_rank, 1000000), coalesce(vector_rank, 1000000)), coalesce(lexical_rank, 1000000), coalesce(vector_rank, 1000000), {ROLE_RANK}, path, page_id) rank from j)
-select query_id, page_id, path, role, coalesce(lexical_rank, 0) lexical_rank, coalesce(vector_rank, 0) vector_rank, rank from r where rank <= 3""",
-    "hybrid_weighted_rrf": f"""{BASE}, {COSINE}, {VECTOR}, lx as (select query_id, page_id, path, role, rank from {top('whole', 256)}),
-pool as (select c2.query_id, c1.page_id seed_id, c1b.page_id from (select query_id, label, page_id from cos where page_id in ('0', '1', '2')) c1 join cos c1b on c1.query_id = c1b.query_id and c1.label = c1b.label join (select distinct query_id from cos) c2 on c2.query_id = c1.query_id),
-ps as (select distinct pool.query_id, seed_id, page_id, path, role, score from pool join cos using (query_id, page_id) join corpus using (page_id)),
-p16 as (select distinct query_id, page_id, path, role, score from (select *, row_number() over (partition by query_id, seed_id order by score desc, {ROLE_RANK}, path, page_id) k from ps) where k <= {hybrid.RELATED_PER_SEED}),
-rel as (select *, row_number() over (partition by query_id order by score desc, {ROLE_RANK}, path, page_id) rank from p16 qualify rank <= {hybrid.RELATED}),
-gp as (select rel.query_id, rel.page_id, rel.path, rel.role, row_number() over (partition by rel.query_id order by score desc, coalesce(lx.rank, 1000000), case rel.role when 'hot' then 0 when 'index' then 1 when 'overview' then 2 else 3 end, rel.path, rel.page_id) rank from rel left join lx on lx.query_id = rel.query_id and lx.page_id = rel.page_id),
-ch as (select query_id, page_id, path, role, {hybrid.WEIGHTS['lexical']} / ({RRF} + rank) s from lx union all select query_id, page_id, path, role, {hybrid.WEIGHTS['related']} / ({RRF} + rank) from rel
-  union all select query_id, page_id, path, role, {hybrid.WEIGHTS['vector']} / ({RRF} + rank) from vtop union all select query_id, page_id, path, role, {hybrid.WEIGHTS['graph']} / ({RRF} + rank) from gp),
+    "hybrid_seeds": f"{SEEDED} select query_id, page_id, path, role, coalesce(lexical_rank, 0) lexical_rank, coalesce(vector_rank, 0) vector_rank, evidence, rank from seeds",
+    "hybrid_related": f"{SEEDED} select query_id, page_id, path, role, round(score, 6) score, rank from rel",
+    "hybrid_seeded": f"""{SEEDED}, rich as (select distinct query_id from seeds intersect select distinct query_id from rel),
+named as (select query_id, page_id from qx, corpus where role <> 'topic' and list_contains(list_transform({NAMES}, lambda x: {RELATION.format("x")}), {RELATION.format("array_to_string(toks, ' ')")})),
+lx as (select query_id, page_id, path, role, row_number() over (partition by query_id order by rank) rank from {top('wholex', 256)} where role = 'topic' or (query_id, page_id) in (select (query_id, page_id) from named)),
+vx as (select query_id, page_id, path, role, row_number() over (partition by query_id order by rank) rank from vtop where role = 'topic' or (query_id, page_id) in (select (query_id, page_id) from named)),
+sx as (select query_id, page_id, path, role, row_number() over (partition by query_id order by rank) rank from seeds where (query_id, page_id) in (select (query_id, page_id) from named)),
+rx as (select rel.query_id, rel.page_id, rel.path, rel.role, row_number() over (partition by rel.query_id order by score desc, coalesce(lx.rank, 1000000), {ROLE_RANK.replace('role', 'rel.role')}, rel.path, rel.page_id) rank from rel left join lx using (query_id, page_id)
+  where rel.role = 'topic' or (rel.query_id, rel.page_id) in (select (query_id, page_id) from named)),
+ch as (select query_id, page_id, path, role, {hybrid.WEIGHTS['lexical']} / ({RRF} + rank) s from lx where query_id in (from rich) union all select query_id, page_id, path, role, {hybrid.WEIGHTS['related'] + hybrid.WEIGHTS['graph']} / ({RRF} + rank) from rx where query_id in (from rich)
+  union all select query_id, page_id, path, role, {hybrid.WEIGHTS['vector']} / ({RRF} + rank) from vx where query_id in (from rich) union all select query_id, page_id, path, role, {hybrid.WEIGHTS['orientation']} / ({RRF} + rank) from sx where query_id in (from rich)
+  union all select query_id, page_id, path, role, 1.0 / ({RRF} + rank) from lx where query_id not in (from rich) union all select query_id, page_id, path, role, 1.0 / ({RRF} + rank) from vx where query_id not in (from rich)),
 f as (select query_id, page_id, path, role, sum(s) fused from ch group by all), r as (select *, row_number() over (partition by query_id order by round(fused, 12) desc, {ROLE_RANK}, path, page_id) rank from f)
 select query_id, page_id, path, role, round(fused, 4) score, rank from r where rank <= 8""",
     "graph_project_nodes": f"with {CORPUS}, {PROJECTED} select id, label, kind, path from nodes",

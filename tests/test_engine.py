@@ -285,3 +285,50 @@ def test_index_round_trip(spark, pages, tmp_path):
     back = index.read(spark, str(tmp_path / "ix"))
     for name in ("postings", "doc_stats", "term_stats", "corpus_stats"):
         assert sorted(one(getattr(built, name))) == sorted(one(getattr(back, name).select(*getattr(built, name).columns)))
+
+
+def test_labels_are_visible_in_words_and_links(spark):
+    rows = [("api-v2", "the api v2 client"), ("api-v2", "apiv2 client"), ("api-v2", "myapi v2"), ("notes/Alpha.md", "see [[Alpha]]"), ("notes/Alpha.md", "alphabet"), ("Alpha", "x [go](notes/alpha.md#top) y"), ("", "text"), ("Größe", "GRÖSSE"), ("a", " ")]
+    got = [r[0] for r in spark.createDataFrame(rows, "l string, t string").select(X.label_visible(F.col("l"), F.col("t"))).collect()]
+    assert got == [True, True, False, True, False, True, False, False, False]
+    assert [r[0] for r in spark.createDataFrame([("é",), (None,)], "t string").select(X.nfc(F.col("t"))).collect()] == ["é", None]
+
+
+def test_seeded_hybrid_by_hand(spark):
+    pages = spark.createDataFrame(
+        [(0, "hub", "index.md", "Start", "see [[Target]] and more", "", "index", ["x"], ["s1"]), (1, "t", "n/target.md", "Target", "beta", "", "topic", [], []), (2, "u", "n/u.md", "U", "alpha", "", "topic", [], ["s1"]), (3, "v", "n/v.md", "V", "gamma", "", "topic", ["x"], [])],
+        "page_ord long, page_id string, path string, title string, text string, summary string, role string, tags array<string>, source_refs array<string>",
+    )
+    place = {r["page_id"]: (r["path"], r["role"]) for r in pages.collect()}
+    channel = lambda rows: spark.createDataFrame([(q, p, *place[p], k) for q, p, k in rows], "query_id long, page_id string, path string, role string, rank int")
+    asked = spark.createDataFrame([(1, "alpha"), (2, "start"), (3, "other")], "query_id long, query string")
+    lex, vec = channel([(1, "hub", 1), (1, "u", 2), (2, "hub", 1), (3, "v", 1)]), channel([(1, "v", 1), (1, "hub", 2), (3, "hub", 1)])
+    hub_lex, hub_vec = channel([(1, "hub", 1), (2, "hub", 1)]), channel([(1, "hub", 1)])
+    shown = hybrid.evidence(hub_lex, hub_vec, pages, asked)
+    seeds = hybrid.seeds(hub_lex, hub_vec, shown)
+    assert {(r["query_id"], r["page_id"]) for r in seeds.collect()} == {(1, "hub"), (2, "hub")}
+    links = spark.createDataFrame([("hub", "Target"), ("hub", "U")], "page_id string, link string")
+    pools = hybrid.pools(seeds, pages, links, asked)
+    # the evidence names the target, neither the other link nor the source nor the tag
+    assert {tuple(r) for r in pools.collect()} == {(1, "hub", "t"), (2, "hub", "t")}
+    best = spark.createDataFrame([(q, p, 0.5, 0) for q in (1, 2) for p in place], "query_id long, page_id string, score double, ordinal int")
+    got = hybrid.answered(lex, vec, seeds, hybrid.related(pools, best, pages), pages, asked, 8).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by.setdefault(r["query_id"], []).append((r["page_id"], r["score"]))
+    # the hub is an answer only to the query that names it; a query without seeds has lexical and vector alone
+    assert by[1] == [("t", round(1.25 / 61, 4)), ("u", round(1 / 61, 4)), ("v", round(0.75 / 61, 4))]
+    assert by[2] == [("hub", round(1.35 / 61, 4)), ("t", round(1.25 / 61, 4))] and by[3] == [("v", round(1 / 61, 4))]
+
+
+def test_silent_queries_get_the_overview(spark, pages):
+    asked = spark.createDataFrame([(1, "alpha"), (2, "  "), (3, "!?")], "query_id long, query string")
+    got = one(lexical.answered(lexical.visible(pages), asked, 3))
+    assert {r[0] for r in got} == {1, 2, 3} and [r[1] for r in sorted(got, key=lambda r: r[5]) if r[0] == 2] == ["hot", "index", "c"]
+    shown = lexical.projected(lexical.search(lexical.visible(pages), asked), pages, asked, ["snippet", "title"])
+    assert shown.columns == ["query_id", "rank", "page_id", "title", "snippet"] and "alpha" in shown.first()["snippet"]
+    with pytest.raises(ValueError):
+        lexical.projected(shown, pages, asked, ["nothing"])
+    # the same answers from a stored index as from the pages
+    ix = index.build(pages)
+    assert sorted(one(lexical.search(ix.visible(), asked))) == sorted(one(lexical.search(lexical.visible(pages), asked)))
