@@ -135,9 +135,11 @@ def link_target(value: Column) -> Column:
 
 def links(body: Column, alias_last: bool = False) -> Column:
     """Targets of wiki links, then of Markdown links to pages."""
-    wiki = F.regexp_extract_all(body, F.lit(WIKILINK), F.lit(1))
+    # without a closing mark every opening one would be followed to the end
+    wiki = F.when(body.contains("]]"), F.regexp_extract_all(body, F.lit(WIKILINK), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    plain = F.when(body.contains("]("), F.regexp_extract_all(body, F.lit(MARKDOWN_LINK), F.lit(1))).otherwise(F.array().cast("array<string>"))
     target = (lambda v: F.regexp_replace(v, r"^[^|]*\|", "")) if alias_last else (lambda v: F.regexp_extract(v, r"^[^|]*", 0))
-    both = F.concat(F.transform(wiki, lambda v: link_target(target(v))), F.transform(F.regexp_extract_all(body, F.lit(MARKDOWN_LINK), F.lit(1)), lambda v: link_target(v)))
+    both = F.concat(F.transform(wiki, lambda v: link_target(target(v))), F.transform(plain, lambda v: link_target(v)))
     return first_spelling(both)
 
 

@@ -332,3 +332,104 @@ def test_silent_queries_get_the_overview(spark, pages):
     # the same answers from a stored index as from the pages
     ix = index.build(pages)
     assert sorted(one(lexical.search(ix.visible(), asked))) == sorted(one(lexical.search(lexical.visible(pages), asked)))
+
+
+def test_patterns_survive_long_runs(spark):
+    """A hundred thousand characters of each pattern's own alphabet, as single characters and short repeats: no stack
+    overflow and no quadratic scan."""
+    units = ["a", "A", "1", "_", ".", "-", "a.", "a-", "a_", "a/", "1.", "A1", "[[", "](", "token", "Bearer ", "x=", "# ", "/a"]
+    df = spark.createDataFrame([(k, u * (100_000 // len(u))) for k, u in enumerate(units)], "k int, t string").repartition(4)
+    t = F.col("t")
+    made = df.select("k", X.compound_tokens(t).alias("a"), guidance.sensitive(t).alias("b"), F.length(guidance.redacted(t)).alias("c"), F.size(X.legacy_tokens(t)).alias("d"), F.size(X.links(t)).alias("e"), F.size(X.inline_tags(t)).alias("f"), X.summary(t).alias("g"))
+    got = {r["k"]: r for r in made.collect()}
+    assert len(got) == len(units) and got[6]["a"] == ["a." * 49_999 + "a"]
+    assert [r[0] for r in spark.createDataFrame([("x a.b.c y a.b한 q.w.e한x 1-2_3. a..b",)], "t string").select(X.compound_tokens(t)).collect()] == [["a.b.c", "a.b한", "q.w", "1-2_3"]]
+
+
+def test_identifiers_and_paths(spark):
+    rows = ["see IssueTracker ABC-12 v1.2.3 and src/main.py", "foo_bar é/ü a--b x.y-.z 2.0-rc.1 HTTPServer", "password=x1 token a.b"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(guidance.identifiers(F.col("t"))).collect()]
+    assert got == [["IssueTracker", "ABC-12", "v1.2.3", "src/main.py"], ["foo_bar", "é/ü", "x.y-.z", "2.0-rc.1", "HTTPServer"], ["a.b"]]
+    paths = {"a/b.md": "a/b.md", "a\\b.md": "a/b.md", "/a": None, "a/../b": None, "": None, "c:/x": None, "a/token.md": None, "s3://x": None, "a//b": None, "x/ session-id.md": "x/ session-id.md", "session-id.md": None}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", guidance.safe_path(F.col("p"))).collect()} == paths
+    texts = {"# Head\n- one [two](x) [[Three|3]] [[Four]]\n```\ncode\n```\n| a | b |\n1. five <b>six</b>": "Head one two 3 Four five six", "x" * 300: "x" * 237 + "...", "~~~\nopen": ""}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(p,) for p in texts], "p string").select("p", guidance.plain_inline(F.col("p"), 240)).collect()} == texts
+
+
+GUIDED = "page_ord long, page_id string, path string, title string, text string, summary string, role string, tags array<string>, source_refs array<string>, headings array<string>"
+
+
+def guided_pages(spark, hub):
+    rng = random.Random(11)
+    word = lambda: rng.choice("alpha beta gamma delta omega kappa sigma lambda theta".split())
+    rows = []
+    for i in range(40):
+        text = "\n\n".join(rng.choice(["toc", "short", "password: abc and much more", "A paragraph about " + " ".join(word() for _ in range(6)) + f" see api.v{i}"]) for _ in range(3))
+        rows.append((i, f"p{i}", f"d{i % 5}/p{i}.md" if i != 7 else "d0/secret.md", f"{word().title()} {word()}", text, "", "index" if hub and i == 3 else "topic", [word()], [f"ref{i % 4}"], [f"{word()} head"]))
+    return rows, spark.createDataFrame(rows, GUIDED)
+
+
+def test_guidance_rows_match_a_plain_version(spark):
+    rows, df = guided_pages(spark, False)
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "nothing shared"), (3, "kappa Sigma about")], "query_id long, query string")
+    common = set(guidance.COMMON)
+    first = lambda values, n: list({v.casefold(): v for v in reversed(values)}[k] for k in dict.fromkeys(v.casefold() for v in values))[:n]
+    words = lambda t: first([m for m in re.findall(r"[^\W\d_][\w-]{1,119}", t) if m.casefold() not in common], 32)
+
+    def shown(r):
+        paras = [" ".join(p.split()) for p in r[4].split("\n\n")]
+        paras = [p if len(p) <= 240 else p[:237].rstrip() + "..." for p in paras]
+        return next((p for p in paras if len(p) >= 16 and not p.casefold().startswith(guidance.BOILERPLATE) and "password:" not in p), None)
+
+    page_words = {r[1]: first([*words(r[3]), *words(r[9][0]), *words(r[7][0])], 12) for r in rows}
+    folders = {}
+    for r in rows:
+        if "secret" not in r[2]:
+            folders.setdefault(r[2].split("/")[0], []).append(page_words[r[1]])
+    cards = {}
+    for name, lists in folders.items():
+        counts, spelled = {}, {}
+        for w in (w for x in lists for w in x):
+            counts[w.lower()] = counts.get(w.lower(), 0) + 1
+            spelled.setdefault(w.lower(), w)
+        cards[name] = (len(lists), [spelled[k] for k in sorted(counts, key=lambda k: (-counts[k], k))][:8])
+    got = {r["query_id"]: r for r in guidance.guidance(df, asked, budget=10**6).collect()}
+    for q, text in ((1, "alpha beta"), (2, "nothing shared"), (3, "kappa Sigma about")):
+        want = set(words(text))
+        best = sorted(rows, key=lambda r: (-len(set(page_words[r[1]]) & want), r[2]))[:24]
+        pick = [r for r in best if shown(r) and "secret" not in r[2]][:12]
+        assert got[q]["orientation_source"] == "projection_extractive" and [c["page_id"] for c in got[q]["page_cards"]] == [r[1] for r in pick]
+        assert [(c["excerpt"], c["terms"], c["headings"]) for c in got[q]["page_cards"]] == [(shown(r), page_words[r[1]], r[9]) for r in pick]
+        order = sorted(cards, key=lambda f: (-len(set(cards[f][1]) & want), -cards[f][0], f))[:8]
+        assert [(c["path"], c["page_count"], c["terms"]) for c in got[q]["folder_cards"]] == [(f, *cards[f]) for f in order]
+        assert got[q]["suggested_terms"] == first([*words(text), *[w for r in pick for w in page_words[r[1]]], *[w for f in order for w in cards[f][1]]], 16)
+    # the budget takes page cards first, one by one, then folder cards, terms, identifiers
+    whole = guidance.guidance(df, asked, budget=10**6).where("query_id = 1")
+    lists = ("page_cards", "folder_cards", "suggested_terms", "exact_identifiers")
+    size = lambda r: whole.sparkSession.createDataFrame([r], whole.schema).select(F.length(F.to_json(F.struct("orientation_source", *lists, "fallback_modes")))).first()[0]
+    full = whole.first()
+    for budget in (6000, 4000, 1500, 700, 300, 60):
+        r = guidance.trimmed(whole, budget).first()
+        assert all(r[c] == full[c][: len(r[c])] for c in lists) and (size(r) <= budget or not any(r[c] for c in lists))
+        cut = [c for c in lists if len(r[c]) < len(full[c])]
+        assert cut == list(lists[: len(cut)]) and all(not r[c] for c in cut[:-1])
+        if cut:
+            more = tuple(full[c][: len(r[c]) + 1] if c == cut[-1] else r[c] for c in lists)
+            assert size((r["query_id"], r["orientation_source"], *more, r["fallback_modes"])) > budget
+
+
+def test_guidance_prefers_hubs(spark):
+    _, df = guided_pages(spark, True)
+    asked = spark.createDataFrame([(1, "alpha")], "query_id long, query string")
+    r = guidance.guidance(df, asked, fallback_modes=("literal",)).first()
+    assert r["orientation_source"] == "authored" and [c["page_id"] for c in r["page_cards"]] in (["p3"], []) and r["fallback_modes"] == ["literal"]
+    assert guidance.guidance(df.where("role = 'topic'"), asked, generic=False).first()["orientation_source"] == "none"
+
+
+def test_nested_redaction_and_findings(spark):
+    df = spark.sql("select 1 id, 'Bearer abc' text, 'x' api_key, named_struct('session', 'y', 'ok', array('/tmp/a', 'b /srv/wiki/x')) s, map('token', 'z', 'note', 'basic dXNlcjpw') m, 5 n")
+    got = guidance.redacted_table(df, ("/srv/wiki",)).first()
+    assert got["text"] == "Bearer [REDACTED]" and got["api_key"] == "[REDACTED]" and got["s"]["session"] == "[REDACTED]" and got["s"]["ok"] == ["[REDACTED_LOCAL_ROOT]", "b [REDACTED_LOCAL_ROOT]/x"]
+    assert got["m"] == {"token": "[REDACTED]", "note": "Basic [REDACTED]"} and got["n"] == 5
+    found = guidance.privacy_findings(spark.createDataFrame([(1, "fine", "at /home/u/x"), (2, "fine", "fine")], "id long, a string, b string"), "id").collect()
+    assert [(r["id"], r["column"]) for r in found] == [(1, "b")]
