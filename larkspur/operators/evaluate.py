@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 # The gates.
 GATES = {"recall_at_5": 0.90, "mrr": 0.75, "ndcg_at_10": 0.85, "citation_precision": 0.95, "citation_recall": 0.85}
 MAX_FALSE_POSITIVE, MIN_QUERIES = 0.05, 50
+THRESHOLDS = {"recall_at_5": (">=", 0.90), "mrr": (">=", 0.75), "ndcg_at_10": (">=", 0.85), "citation_precision": (">=", 0.95), "citation_recall": (">=", 0.85), "negative_false_positive_rate": ("<=", 0.05)}
+CONTEXT_RATIO, MATERIAL_GAIN = 1.20, 0.05
+TELEMETRY = ("surface", "payload_tokens", "payload_bytes", "latency_ms", "source_bytes_scanned")
+QUERY_CLASSES = ("global-map", "known-item", "topical", "multi-hop", "negative", "korean-numeric", "citation", "plain-markdown")
 
 
 def judged(run: DataFrame, qrels: DataFrame, threshold: int = 1) -> DataFrame:
@@ -121,6 +125,113 @@ def gates(metrics: DataFrame) -> DataFrame:
     return metrics.select(rows).select("g.*").withColumn("passed", F.col("value") >= F.col("threshold"))
 
 
+def quality_gates(runs: DataFrame, baseline: str | None = None) -> DataFrame:
+    """(run_id, gate, value, threshold, passed): every gate of every run. runs has a row a run: run_id, query_count,
+    judged_query_count, the metrics of THRESHOLDS, context_tokens_p95, telemetry_only. A metric that is missing fails;
+    a run that is telemetry only has no gates of its own. Query counts are those of the run with the fewest. Tokens
+    may exceed the baseline's by CONTEXT_RATIO unless recall or citation recall gain MATERIAL_GAIN."""
+    real = runs.where("not telemetry_only")
+    counts = real.agg(F.coalesce(F.min("query_count"), F.lit(0)).alias("q"), F.coalesce(F.min("judged_query_count"), F.lit(0)).alias("j"))
+    row = lambda gate, value, bar, ok: F.struct(F.lit(gate).alias("gate"), value.cast("double").alias("value"), F.lit(float(bar)).alias("threshold"), F.coalesce(ok, F.lit(False)).alias("passed"))
+    own = [row(n, F.col(n), bar, F.col(n) >= bar if op == ">=" else F.col(n) <= bar) for n, (op, bar) in THRESHOLDS.items()]
+    common = [row("query_count", F.col("q"), MIN_QUERIES, F.col("q") >= MIN_QUERIES), row("judged_query_count", F.col("j"), MIN_QUERIES, F.col("j") >= MIN_QUERIES)]
+    out = real.select("run_id", F.explode(F.array(*own)).alias("g")).union(runs.select("run_id").join(F.broadcast(counts)).select("run_id", F.explode(F.array(*common)).alias("g")))
+    if baseline is not None:
+        base = real.where(F.col("run_id") == baseline).select(*[F.col(c).alias(f"base_{c}") for c in ("context_tokens_p95", "recall_at_5", "citation_recall")])
+        # at most one row: the baseline run's
+        j = real.where(F.col("run_id") != baseline).join(F.broadcast(base.limit(1)))
+        ratio = F.when(F.col("base_context_tokens_p95") > 0, F.col("context_tokens_p95") / F.col("base_context_tokens_p95"))
+        gain = F.coalesce(F.col("recall_at_5") - F.col("base_recall_at_5") >= MATERIAL_GAIN, F.lit(False)) | F.coalesce(F.col("citation_recall") - F.col("base_citation_recall") >= MATERIAL_GAIN, F.lit(False))
+        out = out.union(j.select("run_id", row("context_tokens_p95_ratio", ratio, CONTEXT_RATIO, ratio.isNull() | (ratio <= CONTEXT_RATIO) | gain)))
+    return out.select("run_id", "g.*")
+
+
+def varying(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(keys, field, n): fields that should have one value a group of keys and have n."""
+    counts = rows.groupBy(*keys).agg(*[F.count_distinct(F.coalesce(F.col(f).cast("string"), F.lit("\0"))).alias(f) for f in fields])
+    each = counts.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("n")) for f in fields])).alias("x"))
+    return each.select(*keys, "x.field", "x.n").where("n > 1")
+
+
+def bad_run_groups(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """(run_id, query_id, problem): runs of several surfaces, ranks that are not 1 to n, telemetry that differs among a
+    query's rows, queries that a run lacks. rows: (run_id, query_id, rank, surface, and those of TELEMETRY)."""
+    groups = rows.groupBy("run_id", "query_id").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.count(F.lit(1)).alias("n"), F.count_distinct("rank").alias("d"))
+    ranks = groups.where("low != 1 or high != n or d != n").select("run_id", "query_id", F.lit("ranks").alias("problem"))
+    surfaces = varying(rows, ["run_id"], ["surface"]).select("run_id", F.lit(None).cast(rows.schema["query_id"].dataType).alias("query_id"), F.lit("surface").alias("problem"))
+    telemetry = varying(rows, ["run_id", "query_id"], [c for c in TELEMETRY if c in rows.columns]).select("run_id", "query_id", F.col("field").alias("problem"))
+    wanted = rows.select("run_id").distinct().join(queries.select("query_id").distinct())  # runs are few: each must answer every query
+    missing = wanted.join(groups, ["run_id", "query_id"], "left_anti").select("run_id", "query_id", F.lit("missing").alias("problem"))
+    return ranks.union(surfaces).union(telemetry).union(missing)
+
+
+def bad_tables(corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """(table, id, problem) of an evaluation bundle: required fields, formats, enumerations, keys, references."""
+    def told(df: DataFrame, name: str, key: str, checks: dict[str, Column]) -> DataFrame:
+        each = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(p)) for p, ok in checks.items()]), lambda x: x.isNotNull())
+        return df.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("id"), F.explode(each).alias("problem"))
+
+    filled = lambda *cs: {c: F.trim(F.col(c).cast("string")) != "" for c in cs}
+    path = F.col("path")
+    safe = (path != "") & ~path.startswith("/") & ~path.contains("\\") & ~path.contains("://") & ~F.exists(F.split(path, "/"), lambda x: x.isin("", ".", ".."))
+    rows = told(corpus, "corpus", "doc_id", filled("doc_id", "title", "adapter", "role", "license", "public_source") | {"path": safe, "sha256": F.col("sha256").rlike("^[0-9a-fA-F]{64}$"), "approved": F.col("approved")})
+    rows = rows.union(told(queries, "queries", "query_id", filled("query_id", "text", "locale") | {"class": F.col("class").isin(*QUERY_CLASSES) | F.col("class").startswith("native-"), "expected_behavior": F.col("expected_behavior").isin("answerable", "unanswerable")}))
+    rows = rows.union(told(qrels, "qrels", "query_id", {"relevance": F.col("relevance").between(0, 3)}))
+    again = lambda df, name, keys: duplicates(df, keys).select(F.lit(name), F.col(keys[0]).cast("string"), F.lit("duplicate"))
+    rows = rows.union(again(corpus, "corpus", ["doc_id"])).union(again(queries, "queries", ["query_id"])).union(again(qrels, "qrels", ["query_id", "doc_id"]))
+    lost = lambda c, known: dangling(qrels, c, known, c).select(F.lit("qrels"), F.col(c).cast("string"), F.lit(f"unknown {c}"))
+    return rows.union(lost("query_id", queries)).union(lost("doc_id", corpus))
+
+
+def hash_mismatches(corpus: DataFrame, root: str) -> DataFrame:
+    """(doc_id, path, problem): files under root that are missing or whose SHA-256 is not the one listed."""
+    spark = corpus.sparkSession
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("file"), F.sha2("content", 256).alias("found"))
+    base = root.rstrip("/") + "/"
+    named = files.select(F.substring("file", F.locate(base, F.col("file")) + len(base), F.length("file")).alias("path"), "found")
+    j = corpus.select("doc_id", "path", F.lower("sha256").alias("told")).join(named, "path", "left")
+    problem = F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("told"), "changed")
+    return j.select("doc_id", "path", problem.alias("problem")).where("problem is not null")
+
+
+def corpus_bundle(pages: DataFrame, adapter: str, implementation: str) -> DataFrame:
+    """(corpus_id, title, text, metadata) of the approved pages, by path and id. An id is the page's safe id and part of
+    its path's digest."""
+    safe = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), "[^A-Za-z0-9._-]+", "-"), "^[-.]+|[-.]+$", "")
+    base = F.coalesce(F.nullif(safe(F.col("page_id")), F.lit("")), safe(F.regexp_replace("path", r"\.[^./]*$", "")))
+    kept = pages.where("approved").orderBy("path", "page_id")
+    meta = F.struct(F.lit(adapter).alias("adapter"), F.lit(True).alias("approved_for_serving"), F.lit(implementation).alias("implementation"), "role", F.col("path").alias("source_path"))
+    return kept.select(F.concat(base, F.lit("-"), F.substring(F.sha2("path", 256), 1, 10)).alias("corpus_id"), "title", "text", meta.alias("metadata"))
+
+
+def original_ids(results: DataFrame, pages: DataFrame) -> DataFrame:
+    """results with corpus_id by path. Two pages of one path, or of one corpus id, are an error."""
+    twice = duplicates(pages, ["path"]).limit(1).count() + duplicates(pages, ["corpus_id"]).limit(1).count()
+    if twice:
+        raise ValueError("paths and corpus ids name one page each")
+    return results.join(pages.select("path", "corpus_id"), "path")
+
+
+def first_seen_fusion(channels: list[DataFrame], limit: int, k: int = 60) -> DataFrame:
+    """(query_id, page_id, score, rank): reciprocal ranks summed; of equals the one seen first, by channel and rank."""
+    rows = None
+    for n, c in enumerate(channels):
+        part = c.select("query_id", "page_id", "rank", F.lit(n).alias("channel"))
+        rows = part if rows is None else rows.unionByName(part)
+    fused = rows.groupBy("query_id", "page_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min(F.struct("channel", "rank")).alias("seen"))
+    w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "seen", "page_id")
+    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "page_id", "score", "rank")
+
+
+def score_separation(positive: DataFrame, other: DataFrame) -> DataFrame:
+    """One row of differences between percentiles of the scores (score) of relevant results and of the best results of
+    queries without any; null where either is empty."""
+    law = lambda df, n: df.agg(*[F.expr(f"percentile_cont({p}) within group (order by score)").alias(f"{n}{int(100 * p)}") for p in (0.5, 0.95)])
+    both = law(positive, "a").crossJoin(law(other, "b"))
+    gap = lambda x, y, n: F.round(F.col(x) - F.col(y), 6).alias(n)
+    return both.select(gap("a50", "b50", "p50_minus_p50"), gap("a50", "b95", "p50_minus_p95"), gap("a95", "b95", "p95_minus_p95"), (F.col("a50") - F.col("b50")).isNotNull().alias("available"))
+
+
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

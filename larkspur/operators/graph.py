@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
@@ -124,6 +125,24 @@ def approved(nodes: DataFrame, edges: DataFrame, pages: DataFrame) -> tuple[Data
     return shown, closed(edges, shown)
 
 
+def shown_metadata(nodes: DataFrame, edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """nodes (id, path, metadata map<string,string>) as approved pages show them: a node that is no page has the path of
+    the first approved page next to it, by the order of edges, and metadata that name a path which is not approved are
+    taken out. Which entry holds which path is a search of one string in another, so the entries of nodes that are no
+    pages, a small part of a graph, meet every path that is not approved."""
+    good = pages.where("approved").select(page_node(F.col("page_id")).alias("p"), F.col("path").alias("near"))
+    order = F.struct(*_order(edges))
+    out = edges.join(good, edges["source"] == good["p"]).where(~F.col("target").startswith("page:")).select(F.col("target").alias("id"), F.struct(order.alias("o"), F.lit(0).alias("s")).alias("o"), "near")
+    into = edges.join(good, edges["target"] == good["p"]).where(~F.col("source").startswith("page:")).select(F.col("source").alias("id"), F.struct(order.alias("o"), F.lit(1).alias("s")).alias("o"), "near")
+    first = out.union(into).groupBy("id").agg(F.min_by("near", "o").alias("near"))
+    hidden = pages.where("not approved and path != ''").select(F.col("path").alias("hidden")).distinct()
+    entries = nodes.select("id", F.explode("metadata").alias("k", "v")).where(~F.col("id").startswith("page:"))
+    named = entries.join(hidden, F.col("v").contains(F.col("hidden")), "left_semi").groupBy("id").agg(F.collect_set("k").alias("bad"))
+    j = nodes.join(first, "id", "left").join(named, "id", "left")
+    page = F.col("id").startswith("page:")
+    return j.withColumn("path", F.when(page, F.col("path")).otherwise(F.coalesce("near", "path"))).withColumn("metadata", F.map_filter("metadata", lambda k, v: page | ~F.coalesce(F.array_contains("bad", k), F.lit(False)))).select(*nodes.columns)
+
+
 def resolved_seeds(nodes: DataFrame, seeds: DataFrame, most: int = 10) -> DataFrame:
     """(seed, id): by id, by page id, by page slug, else up to ten nodes whose id, label or path has the same key."""
     n = nodes.select("id", key(F.col("id")).alias("k1"), key(F.col("label")).alias("k2"), key(F.col("path")).alias("k3"))
@@ -132,8 +151,6 @@ def resolved_seeds(nodes: DataFrame, seeds: DataFrame, most: int = 10) -> DataFr
     best = direct.groupBy("seed").agg(F.min_by("id", "p").alias("id"))
     loose = s.join(best, "seed", "left_anti").where("k != ''")
     keyed = n.select("id", F.explode(F.array_distinct(F.array("k1", "k2", "k3"))).alias("k"))
-    from pyspark.sql import Window as W
-
     fuzzy = loose.join(keyed, "k").select("seed", "id").distinct().withColumn("r", F.row_number().over(W.partitionBy("seed").orderBy("id"))).where(F.col("r") <= most)
     return best.unionByName(fuzzy.select("seed", "id"))
 
@@ -163,14 +180,82 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, direction: str
     return seen if limit is None else seen.orderBy("depth", "id").limit(limit)
 
 
-def paths(edges: DataFrame, start: str, target: str, max_depth: int, limit: int = MAX_PATHS, direction: str = "out", relations: list[str] | None = None) -> DataFrame:
-    """(path, length): simple paths from start to target, shortest first, then by their nodes. Only prefixes that can
-    still reach the target in the moves left are extended: distances to it are found first, from its side."""
+def require_nodes(nodes: DataFrame, *ids: str) -> None:
+    """An error if a node is not known."""
+    known = {r["id"] for r in nodes.where(F.col("id").isin(*ids)).select("id").collect()}
+    if lost := [i for i in ids if i not in known]:
+        raise ValueError(f"unknown node {lost[0]!r}")
+
+
+def _order(edges: DataFrame) -> list[str]:
+    """Edges stand in the order of edge_ord if they have it, else of their own values."""
+    return ["edge_ord"] if "edge_ord" in edges.columns else ["source", "target", "relation"]
+
+
+def _ordered_steps(edges: DataFrame, direction: str, relations: list[str] | None) -> DataFrame:
+    """(a, b, key, source, target, relation): moves with the place of their edge, an edge's own direction first."""
+    if direction not in DIRECTIONS:
+        raise ValueError(f"direction is one of {DIRECTIONS}")
+    used = edges if not relations else edges.where(F.col("relation").isin(relations))
+    order = _order(edges)
+    side = lambda a, b, n: used.select(F.col(a).alias("a"), F.col(b).alias("b"), F.struct(*order, F.lit(n).alias("side")).alias("key"), "source", "target", "relation")
+    out, into = side("source", "target", 0), side("target", "source", 1)
+    return out if direction == "out" else into if direction == "in" else out.union(into)
+
+
+def neighbors(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, direction: str = "both", relations: list[str] | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Breadth first from a node, in the order in which a queue would meet nodes: by the place of the node they are met
+    from, then by the place of the edge. Nodes (id, depth, place), limit at most, and the edges looked at on the way
+    that have both ends among them, (place, source, target, relation), in the order they were looked at."""
+    require_nodes(nodes, start)
+    spark, limit, depth = edges.sparkSession, max(1, min(limit, MAX_PATHS)), max(0, min(depth, MAX_DEPTH))
+    known = nodes.select(F.col("id").alias("b"))
+    moves = cut(_ordered_steps(edges, direction, relations).join(known, "b", "left_semi"), "moves")
+    seen = spark.createDataFrame([(start, 0, 0)], "id string, depth int, place int")
+    looked, count, frontier = None, 1, seen
+    for level in range(1, depth + 1):
+        # the frontier has limit rows at most
+        met = moves.join(F.broadcast(frontier.select(F.col("id").alias("a"), "place")), "a").select("b", F.struct("place", "key").alias("at"), "source", "target", "relation")
+        met = cut(met, "met")
+        first = met.join(F.broadcast(seen.select(F.col("id").alias("b"))), "b", "left_anti").groupBy("b").agg(F.min("at").alias("at"))
+        new = first.orderBy("at").limit(limit - count).withColumn("place", F.row_number().over(W.orderBy("at")) + (count - 1))  # limit rows
+        new = cut(new, "frontier")
+        n = new.count()
+        # the walk stops at the move that fills the limit
+        stop = new.agg(F.max("at").alias("stop")) if count + n >= limit else None
+        part = met if stop is None else met.join(F.broadcast(stop)).where("at <= stop").drop("stop")
+        part = part.select(F.struct(F.lit(level).alias("level"), "at").alias("at"), "source", "target", "relation")
+        looked = part if looked is None else looked.union(part)
+        frontier = new.select(F.col("b").alias("id"), F.lit(level).alias("depth"), "place")
+        seen = cut(seen.union(frontier), "seen")
+        count += n
+        if not n or count >= limit:
+            break
+    if looked is None:
+        return seen, spark.createDataFrame([], "place int, source string, target string, relation string")
+    once = looked.groupBy("source", "target", "relation").agg(F.min("at").alias("at"))
+    ids = seen.select("id")
+    shut = once.join(F.broadcast(ids), once["source"] == ids["id"], "left_semi").join(F.broadcast(ids), once["target"] == ids["id"], "left_semi")
+    return seen, shut.withColumn("place", F.row_number().over(W.orderBy("at"))).select("place", "source", "target", "relation")  # edges among limit nodes
+
+
+def paths(edges: DataFrame, start: str, target: str, max_depth: int, limit: int = MAX_PATHS, direction: str = "out", relations: list[str] | None = None, nodes: DataFrame | None = None, detail: bool = False) -> DataFrame:
+    """(path, length), in detail with the relations passed as a third column: simple paths from start to target, shortest first, then by the places of their edges,
+    as a queue would meet them; parallel edges are different paths, and the target is never passed. Only prefixes that
+    can still reach the target in the moves left are extended: distances to it are found first, from its side. nodes,
+    if given, must hold both ends, and are the only ones passed."""
     max_depth, limit = max(0, min(max_depth, MAX_PATH)), max(1, min(limit, MAX_PATHS))
     spark = edges.sparkSession
+    if nodes is not None:
+        require_nodes(nodes, start, target)
+    shown = ["path", "length", "relations"] if detail else ["path", "length"]
+    schema = "path array<string>, length int, relations array<string>"
     if start == target:
-        return spark.createDataFrame([([start], 0)], "path array<string>, length int")
-    moves = cut(steps(edges, direction, relations).distinct(), "moves")
+        return spark.createDataFrame([([start], 0, [])], schema).select(*shown)
+    moves = _ordered_steps(edges, direction, relations)
+    if nodes is not None:
+        moves = moves.join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
+    moves = cut(moves.select("a", "b", "key", "relation").distinct(), "moves")
     # breadth first from the target against the moves
     near = cut(spark.createDataFrame([(target, 0)], "id string, left int"))
     frontier = near
@@ -178,17 +263,19 @@ def paths(edges: DataFrame, start: str, target: str, max_depth: int, limit: int
         back = moves.join(frontier, moves["b"] == frontier["id"], "left_semi").select(F.col("a").alias("id")).distinct()
         frontier = cut(back.join(near, "id", "left_anti").withColumn("left", F.lit(level)))
         near = near.union(frontier)
-    open_ = spark.createDataFrame([([start], start)], "path array<string>, at string")
+    none = f"array<{moves.schema['key'].dataType.simpleString()}>"
+    open_ = spark.createDataFrame([([start], start)], "path array<string>, at string").select("path", F.array().cast("array<string>").alias("relations"), F.array().cast(none).alias("keys"), "at")
     done = None
     for level in range(1, max_depth + 1):
         grown = open_.join(moves, F.col("at") == F.col("a")).where(~F.array_contains("path", F.col("b")))
         grown = grown.join(near, F.col("b") == F.col("id")).where(F.col("left") <= max_depth - level)
-        grown = cut(grown.select(F.array_append("path", F.col("b")).alias("path"), F.col("b").alias("at")))
-        hit = grown.where(F.col("at") == target).select("path", F.lit(level).alias("length"))
+        grown = cut(grown.select(F.array_append("path", F.col("b")).alias("path"), F.array_append("relations", F.col("relation")).alias("relations"), F.array_append("keys", F.col("key")).alias("keys"), F.col("b").alias("at")))
+        hit = grown.where(F.col("at") == target).select("path", "relations", "keys", F.lit(level).alias("length"))
         done = hit if done is None else done.union(hit)
         open_ = grown.where(F.col("at") != target)
-    empty = spark.createDataFrame([], "path array<string>, length int")
-    return (done if done is not None else empty).orderBy("length", "path").limit(limit)
+    if done is None:
+        return spark.createDataFrame([], schema).select(*shown)
+    return done.orderBy("length", "keys").limit(limit).select(*shown)
 
 
 def by_marker(nodes: DataFrame, edges: DataFrame, kind: str, value: str, limit: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import stem
 from larkspur.functions import text as X
-from larkspur.operators import catalog, chunks, evaluate, graph, guidance, hybrid, index, lexical, usage, vector
+from larkspur.operators import catalog, chunks, evaluate, graph, guidance, hybrid, index, lexical, managed, snapshots, usage, vector
 from larkspur.sources import wiki
 
 PAGE = "page_ord long, page_id string, path string, title string, text string, summary string, role string, tags array<string>, source_refs array<string>, headings array<string>, approved boolean"
@@ -433,3 +433,137 @@ def test_nested_redaction_and_findings(spark):
     assert got["m"] == {"token": "[REDACTED]", "note": "Basic [REDACTED]"} and got["n"] == 5
     found = guidance.privacy_findings(spark.createDataFrame([(1, "fine", "at /home/u/x"), (2, "fine", "fine")], "id long, a string, b string"), "id").collect()
     assert [(r["id"], r["column"]) for r in found] == [(1, "b")]
+
+
+def queue_walk(nodes, edges, start, depth, direction, limit):
+    """Breadth first with a plain queue."""
+    seen, looked, todo = [start], [], [(start, 0)]
+    while todo and len(seen) < limit:
+        at, d = todo.pop(0)
+        if d >= depth:
+            continue
+        for k, (a, b, _) in enumerate(edges):
+            for ok, x, y in ((direction != "in", a, b), (direction != "out", b, a)):
+                if ok and x == at and y in nodes and len(seen) < limit:
+                    if k not in looked:
+                        looked.append(k)
+                    if y not in seen:
+                        seen.append(y)
+                        todo.append((y, d + 1))
+    return seen, [edges[k] for k in looked if edges[k][0] in seen and edges[k][1] in seen]
+
+
+def test_neighbors_match_a_queue(spark):
+    rng = random.Random(3)
+    names = [f"n{i}" for i in range(12)]
+    edges = list(dict.fromkeys((rng.choice(names), rng.choice([*names, "ghost"]), rng.choice("xy")) for _ in range(30)))
+    nodes = spark.createDataFrame([(n,) for n in names], "id string")
+    df = spark.createDataFrame([(*e, k) for k, e in enumerate(edges)], "source string, target string, relation string, edge_ord int")
+    start = edges[0][0]
+    for direction, limit, depth in (("both", 50, 2), ("out", 5, 3), ("in", 4, 2), ("both", 1, 2)):
+        got, used = graph.neighbors(nodes, df, start, depth, direction, limit=limit)
+        want, links = queue_walk(names, edges, start, depth, direction, limit)
+        assert [r["id"] for r in got.orderBy("place").collect()] == want, (direction, limit)
+        assert [(r["source"], r["target"], r["relation"]) for r in used.orderBy("place").collect()] == links, (direction, limit)
+    with pytest.raises(ValueError):
+        graph.neighbors(nodes, df, "nobody")
+
+    # simple paths as a queue meets them, parallel edges apart
+    goal = queue_walk(names, edges, start, 3, "out", 50)[0][-1]
+    found, todo = [], [([start], [])]
+    while todo:
+        path, rel = todo.pop(0)
+        for a, b, r in edges if len(rel) < 4 else ():
+            if a == path[-1] and b in names and b not in path:
+                (found if b == goal else todo).append(([*path, b], [*rel, r]))
+    got = graph.paths(df, start, goal, 4, nodes=nodes, detail=True).collect()
+    assert [(r["path"], r["relations"]) for r in got] == found
+
+
+def test_metadata_of_hidden_pages(spark):
+    pages = spark.createDataFrame([("a", "a.md", True), ("b", "b.md", True), ("c", "secret/c.md", False)], "page_id string, path string, approved boolean")
+    edges = spark.createDataFrame([("page:b", "tag:x", "tagged", 0), ("page:a", "tag:x", "tagged", 1), ("page:c", "tag:y", "tagged", 2)], "source string, target string, relation string, edge_ord int")
+    nodes = spark.createDataFrame([("tag:x", "secret/c.md", {"from": "see secret/c.md now", "ok": "a.md"}), ("page:a", "a.md", {"from": "secret/c.md"}), ("tag:y", "y", None)], "id string, path string, metadata map<string,string>")
+    got = {r["id"]: (r["path"], r["metadata"]) for r in graph.shown_metadata(nodes, edges, pages).collect()}
+    assert got == {"tag:x": ("b.md", {"ok": "a.md"}), "page:a": ("a.md", {"from": "secret/c.md"}), "tag:y": ("y", None)}
+
+
+def test_snapshots_are_whole_or_nothing(spark, tmp_path):
+    key = {k: k for k in snapshots.KEY}
+    nodes, edges = spark.createDataFrame([("a", "A"), ("b", None), ("b", None)], "id string, label string"), spark.createDataFrame([("a", "b", "r")], "source string, target string, relation string")
+    assert snapshots.get(spark, str(tmp_path), key) is None
+    where = snapshots.put(nodes, edges, str(tmp_path), key)
+    got = snapshots.get(spark, str(tmp_path), key)
+    assert sorted(map(str, one(got[0]))) == sorted(map(str, one(nodes))) and one(got[1]) == one(edges)
+    assert snapshots.get(spark, str(tmp_path), key | {"source": "other"}) is None
+    assert snapshots.digest(nodes).first() == snapshots.digest(nodes.repartition(3)).first() != snapshots.digest(nodes.distinct()).first()
+    edges.write.mode("append").parquet(f"{where}/edges")
+    assert snapshots.get(spark, str(tmp_path), key) is None
+    with pytest.raises(ValueError):
+        snapshots.put(nodes, edges, str(tmp_path), {"source": "x"})
+
+
+def test_managed_orientation(spark, pages):
+    import hashlib
+    import hmac
+
+    scope = managed.Scope("ns", "src", "generic-markdown", "p1", "s1")
+    keys = {r["page_id"]: r["k"] for r in pages.select("page_id", managed.page_key(F.col("page_id"), scope, "s3cret").alias("k")).collect()}
+    assert keys["a"] == "pk_" + hmac.new(b"s3cret", (scope.digest() + "\0a").encode(), hashlib.sha256).hexdigest() and len(set(keys.values())) == len(keys)
+    empty = spark.createDataFrame([], "scope string, page_key string, counter double, last_hit double, generation long")
+    hits = spark.createDataFrame([("a", "search"), ("a", "search"), ("b", "search"), ("c", "other")], "page_id string, route string")
+    seen = lexical.visible(pages)
+    first = managed.recorded(empty, hits, seen, scope, "s3cret", 1000.0)
+    assert [(r["page_key"], r["counter"], r["last_hit"], r["generation"]) for r in first.collect()] == [(keys["a"], 1.0, 1000.0, 1)]
+    # a week later one half is left; a late hit counts at the state's own time
+    later = managed.recorded(first, hits, seen, scope, "s3cret", 1000.0 + 7 * 86400).first()
+    assert (later["counter"], later["generation"]) == (1.5, 2) and managed.recorded(first, hits, seen, scope, "s3cret", 5.0).first()["last_hit"] == 1000.0
+    assert managed.sound(first, managed.Scope("ns", "src", "generic-markdown", "p2", "s1")).count() == 0
+    bad = spark.createDataFrame([(scope.digest(), "pk_x", float("nan"), 1.0, 1), (scope.digest(), "pk_y", -1.0, 1.0, 1), (scope.digest(), "zz", 1.0, 1.0, 1)], first.schema)
+    assert managed.sound(bad, scope).count() == 0
+    plain = seen.where("role = 'topic'")
+    assert managed.applies(plain, "generic-markdown") and not managed.applies(seen, "generic-markdown") and not managed.applies(plain, "other")
+    edges = spark.createDataFrame([("page:a", "page:c", "links_to")], "source string, target string, relation string")
+    assert [r["page_id"] for r in managed.orientation(plain, edges).orderBy("rank").collect()] == ["c", "a"]
+    asked = spark.createDataFrame([(1, "the gamma"), (2, "a of the"), (3, " ")], "query_id long, query string")
+    evidence = spark.createDataFrame([(1, "a", 0.5), (1, "c", 0.1), (2, "a", 0.9)], "query_id long, page_id string, score double")
+    got = managed.orientation(plain, edges, queries=asked, evidence=evidence).collect()
+    assert sorted((r["query_id"], r["rank"], r["page_id"]) for r in got) == [(1, 1, "c"), (1, 2, "a"), (3, 1, "c"), (3, 2, "a")]
+
+
+def test_run_and_bundle_checks(spark, tmp_path):
+    runs = spark.createDataFrame([("r1", "q1", 1, "s", 5), ("r1", "q1", 3, "s", 5), ("r1", "q2", 1, "s", 5), ("r1", "q2", 2, "s", 6), ("r2", "q1", 1, "s", 5), ("r2", "q1", 2, "t", 5)], "run_id string, query_id string, rank int, surface string, payload_tokens int")
+    asked = spark.createDataFrame([("q1",), ("q2",)], "query_id string")
+    assert {tuple(r) for r in evaluate.bad_run_groups(runs, asked).collect()} == {("r1", "q1", "ranks"), ("r1", "q2", "payload_tokens"), ("r2", None, "surface"), ("r2", "q1", "surface"), ("r2", "q2", "missing")}
+    import hashlib
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.md").write_text("one")
+    (tmp_path / "b.md").write_text("two")
+    sha = hashlib.sha256(b"one").hexdigest()
+    corpus = spark.createDataFrame([("1", "d/a.md", sha.upper()), ("2", "b.md", sha), ("3", "no.md", sha)], "doc_id string, path string, sha256 string")
+    assert {tuple(r) for r in evaluate.hash_mismatches(corpus, str(tmp_path)).collect()} == {("2", "b.md", "changed"), ("3", "no.md", "missing")}
+    full = corpus.select("doc_id", F.when(F.col("doc_id") == "2", "../x").otherwise(F.col("path")).alias("path"), "sha256", F.lit("t").alias("title"), F.lit("a").alias("adapter"), F.lit("topic").alias("role"), F.lit("MIT").alias("license"), F.lit("x").alias("public_source"), (F.col("doc_id") != "3").alias("approved"))
+    q = spark.createDataFrame([("q1", "t", "en", "topical", "answerable"), ("q1", "t", "en", "odd", None)], "query_id string, text string, locale string, class string, expected_behavior string")
+    rel = spark.createDataFrame([("q1", "1", 4), ("q9", "8", 1)], "query_id string, doc_id string, relevance int")
+    assert {tuple(r) for r in evaluate.bad_tables(full, q, rel).collect()} == {
+        ("corpus", "2", "path"), ("corpus", "3", "approved"), ("queries", "q1", "class"), ("queries", "q1", "expected_behavior"), ("queries", "q1", "duplicate"), ("qrels", "q1", "relevance"), ("qrels", "q9", "unknown query_id"), ("qrels", "8", "unknown doc_id"),
+    }
+    a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id long, page_id string, rank int")
+    b = spark.createDataFrame([(1, "y", 1), (1, "x", 2), (1, "z", 3)], "query_id long, page_id string, rank int")
+    assert [r["page_id"] for r in evaluate.first_seen_fusion([a, b], 3).orderBy("rank").collect()] == ["x", "y", "z"]
+    s = lambda *v: spark.createDataFrame([(float(x),) for x in v], "score double")
+    assert tuple(evaluate.score_separation(s(1, 2, 3), s(0, 1)).first()) == (1.5, 1.05, 1.95, True) and evaluate.score_separation(s(1), s().where("false")).first()["available"] is False
+    schema = "run_id string, query_count int, judged_query_count int, recall_at_5 double, mrr double, ndcg_at_10 double, citation_precision double, citation_recall double, negative_false_positive_rate double, context_tokens_p95 double, telemetry_only boolean"
+    rows = [("base", 60, 60, 0.95, 0.8, 0.9, 0.96, 0.9, 0.01, 100.0, False), ("fat", 60, 40, 0.95, 0.8, 0.9, None, 0.9, 0.09, 130.0, False), ("tel", 1, 1, None, None, None, None, None, None, None, True)]
+    failed = {(r["run_id"], r["gate"]) for r in evaluate.quality_gates(spark.createDataFrame(rows, schema), "base").where("not passed").collect()}
+    assert failed == {("base", "judged_query_count"), ("tel", "judged_query_count"), ("fat", "judged_query_count"), ("fat", "citation_precision"), ("fat", "negative_false_positive_rate"), ("fat", "context_tokens_p95_ratio")}
+
+
+def test_corpus_bundle(spark, pages):
+    got = evaluate.corpus_bundle(pages, "generic", "spark").collect()
+    assert [r["metadata"]["source_path"] for r in got] == ["c.md", "hot.md", "index.md", "notes/a.md"] and all(re.fullmatch(r"[\w.-]+-[0-9a-f]{10}", r["corpus_id"]) for r in got)
+    named = pages.select("path", F.col("page_id").alias("corpus_id"))
+    assert evaluate.original_ids(named.select("path"), named).count() == 5
+    with pytest.raises(ValueError):
+        evaluate.original_ids(named.select("path"), named.union(named.limit(1)))
