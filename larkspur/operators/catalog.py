@@ -59,11 +59,22 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("path", change.alias("change")).where("change is not null")
 
 
-def context_pack(evidence: DataFrame, orientation: DataFrame, pages: DataFrame, snippet: Column | None = None) -> DataFrame:
-    """(query_id, evidence, orientation, n_evidence): one row a query, its results as ordered arrays of structs."""
-    shown = evidence.join(pages.select("page_id", "title", "text", "source_refs"), "page_id")
-    body = snippet if snippet is not None else X.clipped(X.clean(F.substring("text", 1, X.SNIPPET_LIMIT)), X.SNIPPET_LIMIT)
-    rows = shown.select("query_id", F.struct("rank", "page_id", "path", "score", "title", body.alias("snippet"), "source_refs").alias("e"))
+def context_pack(evidence: DataFrame, orientation: DataFrame, pages: DataFrame, queries: DataFrame | None = None, limit: int = X.SNIPPET_LIMIT) -> DataFrame:
+    """(query_id, evidence, orientation, n_evidence): one row a query, its results as ordered arrays of structs, each
+    with the window of its text round the first token of its query (query_id, query), or the start of its text."""
+    asked = evidence.select("query_id").distinct() if queries is None else queries.select("query_id", "query")
+    words = F.array().cast("array<string>") if queries is None else F.array_distinct(X.legacy_tokens(F.col("query")))
+    asked = asked.select("query_id", words.alias("tokens"))
+    shown = evidence.join(pages.select("page_id", "title", "text", "source_refs"), "page_id").join(F.broadcast(asked), "query_id")
+    rows = shown.select("query_id", F.struct("rank", "page_id", "path", "score", "title", X.snippet(F.col("text"), F.col("tokens"), limit).alias("snippet"), "source_refs").alias("e"))
     packs = rows.groupBy("query_id").agg(F.sort_array(F.collect_list("e")).alias("evidence"))
     head = orientation.agg(F.sort_array(F.collect_list(F.struct("rank", "page_id", "path", "score"))).alias("orientation"))
     return packs.crossJoin(F.broadcast(head)).withColumn("n_evidence", F.size("evidence").cast("long"))
+
+
+def bundle(pages: DataFrame, title: str, adapter: str, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """One row: the source's id and title, its manifest, and its references as an ordered array."""
+    refs = source_refs(pages.where("approved")).agg(F.sort_array(F.collect_list(F.struct("id", "label", "n_pages", "linked_pages", "linked_page_ids"))).alias("source_refs"))
+    own = F.lower(X.slug(F.lit(title)))
+    row = manifest(pages, nodes, edges).crossJoin(F.broadcast(refs))
+    return row.select(own.alias("source_id"), F.concat(own, F.lit(":"), F.lit(adapter)).alias("bundle_id"), F.lit(title).alias("title"), F.struct(*[c for c in row.columns if c != "source_refs"]).alias("manifest"), "source_refs")

@@ -81,10 +81,6 @@ def false_positive_rate(run: DataFrame, negatives: DataFrame) -> DataFrame:
     return negatives.join(got, "query_id", "left").agg(F.coalesce(F.avg(F.coalesce("got", F.lit(0.0))), F.lit(0.0)).alias("fpr"))
 
 
-def nearest_rank(value: Column, p: float) -> Column:
-    return F.expr(f"percentile_disc({p}) within group (order by {value._jc.toString()})")
-
-
 def percentiles(df: DataFrame, group: list[str], column: str, ps: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Both laws: the nearest rank (disc_) and linear interpolation (cont_)."""
     out = []

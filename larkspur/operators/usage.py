@@ -16,15 +16,28 @@ def decayed(counter: Column, seconds: Column, half_life: float = HALF_LIFE) -> C
     return counter * F.pow(F.lit(0.5), F.greatest(seconds, F.lit(0.0)) / half_life)
 
 
+#: Seconds of the spans that hits are folded over, one after another; the last fold is over all of a key's spans.
+SPANS = (1, 3600)
+
+
 def counters(hits: DataFrame, half_life: float = HALF_LIFE) -> DataFrame:
-    """(page_key, counter, last_hit): each key's hits folded in order of time: decay, add, cap. A late hit counts at
-    the record's own time. Decay and cap do not commute, so a key's hits are one fold; keys are spread, and a key's
-    array holds times only."""
+    """(page_key, counter, last_hit): each key's hits in order of time: decay, add, cap. A late hit counts at the
+    record's own time. What a run of hits makes of a counter x is min(c, a * x + b), and so is what two runs make one
+    after the other. So hits at one time are counted, and folded over seconds, then hours, then all: no array holds
+    more than a key's hits of one second, or 3,600 spans, or a key's hours."""
     seconds = F.col("ts").cast("double")
-    lists = hits.groupBy("page_key").agg(F.sort_array(F.collect_list(seconds)).alias("t"))
-    start = F.struct(F.lit(0.0).alias("c"), F.get("t", F.lit(0)).alias("at"))
-    step = lambda a, x: F.struct(F.least(F.lit(CAP), decayed(a["c"], x - a["at"], half_life) + INCREMENT).alias("c"), F.greatest(a["at"], x).alias("at"))
-    return lists.select("page_key", F.aggregate("t", start, step).alias("f")).select("page_key", F.col("f.c").alias("counter"), F.col("f.at").alias("last_hit"))
+    n = F.count(F.lit(1)).cast("double")
+    runs = hits.groupBy("page_key", seconds.alias("t0")).agg(n.alias("b")).select("page_key", "t0", F.col("t0").alias("t1"), F.lit(1.0).alias("a"), "b", F.lit(CAP).alias("c"))
+
+    def after(x: Column, y: Column) -> Column:
+        d = y["a"] * F.pow(F.lit(0.5), F.greatest(y["t0"] - x["t1"], F.lit(0.0)) / half_life)
+        return F.struct(x["t0"].alias("t0"), F.greatest(x["t1"], y["t1"]).alias("t1"), (d * x["a"]).alias("a"), (d * x["b"] + y["b"]).alias("b"), F.least(y["c"], d * x["c"] + y["b"]).alias("c"))
+
+    for span in (*SPANS, None):
+        keys = ["page_key"] if span is None else ["page_key", F.floor(F.col("t0") / span).alias("span")]
+        lists = runs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t0", "t1", "a", "b", "c"))).alias("r"))
+        runs = lists.select("page_key", F.aggregate(F.slice("r", F.lit(2), F.size("r")), F.get("r", F.lit(0)), after).alias("f")).select("page_key", "f.*")
+    return runs.select("page_key", F.least("b", "c", F.lit(CAP)).alias("counter"), F.col("t1").alias("last_hit"))
 
 
 def priors(state: DataFrame, now: Column) -> DataFrame:

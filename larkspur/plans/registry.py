@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
-from larkspur.operators import catalog, chunks, evaluate, graph, guidance, hybrid, index, lexical, usage, vector
+from larkspur.operators import catalog, chunks, evaluate, graph, guidance, hybrid, index, lexical, managed, usage, vector
 from larkspur.operators.cut import cut, persisted
 from larkspur.plans.sql import ORACLES as ORACLES
 from larkspur.sources import corpus
@@ -169,13 +169,47 @@ def _compounds(s: SparkSession, d: str) -> DataFrame:
 
 def _context(s: SparkSession, d: str) -> DataFrame:
     p = _pages(s, d)
-    pack = catalog.context_pack(_bm25(s, d), lexical.overview(p, 3), p)
-    return pack.select("query_id", "n_evidence", F.to_json("evidence").alias("evidence"), F.to_json("orientation").alias("orientation"))
+    pack = catalog.context_pack(_bm25(s, d), lexical.overview(p, 3), p, corpus.queries(s, d))
+    each = pack.select("query_id", "n_evidence", F.transform("orientation", lambda x: x["page_id"]).alias("orientation"), F.explode("evidence").alias("e"))
+    return each.select("query_id", "n_evidence", "orientation", "e.rank", "e.page_id", "e.score", "e.title", "e.snippet")
+
+
+def _dispatched(s: SparkSession, d: str) -> DataFrame:
+    """The queries, a blank one and one of marks only."""
+    silent = s.createDataFrame([(-1, " "), (-2, "?!")], "query_id long, query string")
+    return lexical.answered(_index(s, d), corpus.queries(s, d).union(silent)).select(RESULT)
+
+
+def _fields(s: SparkSession, d: str) -> DataFrame:
+    return lexical.projected(_bm25(s, d), _pages(s, d), corpus.queries(s, d), ["snippet", "title", "path"])
 
 
 def _gates(s: SparkSession, d: str) -> DataFrame:
-    m = _metrics(s, d).agg(F.avg("ndcg").alias("ndcg_at_10"), F.avg("mrr").alias("mrr"))
-    return evaluate.gates(m)
+    """The gates of one run, and of one that is telemetry only."""
+    run, rel = _bm25(s, d, 100).select("query_id", "page_id", "rank"), corpus.qrels(s, d)
+    ten, five = evaluate.per_query(run, rel), evaluate.per_query(run, rel, k=5).select("query_id", F.col("recall").alias("r5"))
+    m = ten.join(five, "query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("r5").alias("recall_at_5"), F.avg("mrr").alias("mrr"), F.avg("ndcg").alias("ndcg_at_10"))
+    none = [F.lit(None).cast("double").alias(c) for c in ("citation_precision", "citation_recall", "negative_false_positive_rate", "context_tokens_p95")]
+    names = [F.col(c) for c in ("recall_at_5", "mrr", "ndcg_at_10")]
+    real = m.select(F.lit("bm25").alias("run_id"), F.col("n").alias("query_count"), F.col("n").alias("judged_query_count"), *names, *none, F.lit(False).alias("telemetry_only"))
+    rows = real.union(m.select(F.lit("telemetry"), "n", "n", *names, *none, F.lit(True)))
+    return evaluate.quality_gates(rows, "bm25").withColumn("value", F.round("value", 8))
+
+
+def _neighbors(s: SparkSession, d: str) -> DataFrame:
+    edges = corpus.relational_edges(s, d)
+    nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
+    return graph.neighbors(nodes, edges, "nation:3", 1, "both", limit=500)[0]
+
+
+def _managed(s: SparkSession, d: str) -> DataFrame:
+    """The leading pages of the corpus without its hub pages."""
+    plain = _pages(s, d).where("role = 'topic'")
+    return managed.orientation(plain, _graph(s, d)[1]).select("page_id", "path", "score", "snippet", "rank")
+
+
+def _bundle(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.corpus_bundle(_pages(s, d), "generic", "larkspur").select("corpus_id", "title", F.col("metadata.source_path").alias("source_path"), F.sha2("text", 256).alias("sha256"))
 
 
 QUERIES = {
@@ -227,4 +261,10 @@ QUERIES = {
     "content_signature": lambda s, d: catalog.content_signature(_pages(s, d)),
     "page_summaries": lambda s, d: _pages(s, d).select("page_id", "summary", X.headings(F.col("text")).alias("headings")),
     "quality_gates": _gates,
+    "query_dispatch": _dispatched,
+    "result_fields": _fields,
+    "graph_neighbors": _neighbors,
+    "managed_orientation": _managed,
+    "corpus_bundle": _bundle,
+    "guidance_rows": lambda s, d: guidance.guidance(_pages(s, d).where("role = 'topic'"), corpus.queries(s, d)),
 }

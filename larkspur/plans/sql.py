@@ -96,6 +96,9 @@ CLEAN = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 # forms of a label; what a text says in words (links are looked for too: none of these texts holds one)
 FORMS = "[b, split_part(b, '/', -1), regexp_replace(split_part(b, '/', -1), '(.)\\.[^.]*$', '\\1')]"
 IN_WORDS = "len(list_filter(f, lambda x: len(regexp_extract_all(x, '[0-9A-Za-z]+|[가-힣]+')) > 0 and regexp_matches(' ' || regexp_replace(lower({0}), '[^0-9a-z가-힣]+', ' ', 'g') || ' ', ' ' || array_to_string(list_transform(regexp_extract_all(x, '[0-9A-Za-z]+|[가-힣]+'), lambda y: lower(y)), ' ?') || ' '))) > 0"
+SHOWN = f"""su as (select t.*, title, text, list_min(list_filter(list_transform(toks, lambda x: strpos(lower(text), x)), lambda x: x > 0)) p from {top('whole', 8)} t join corpus using (page_id, path, role) join qs using (query_id)),
+sv as (select *, {CLEAN.format("case when p is null then text else substr(text, greatest(1, p - 100), 280) end")} c from su),
+shown as (select *, case when len(c) <= 280 then c else rtrim(left(c, 279)) || '...' end snippet from sv)"""
 SEEDED = f"""with recursive {CORPUS}, {QUERIES}, qx as (select query_id, list_append(toks, 'src' || (query_id % 3)) toks from qs), {bm25('corpus', 'qx', 'x')}, {COSINE}, {VECTOR},
 lh as (select * from (select query_id, page_id, path, role, row_number() over (partition by query_id order by round(whole, 4) desc, {ROLE_RANK}, path) rank from wholex where role <> 'topic') where rank <= 24),
 vh as (select * from (select query_id, page_id, path, role, row_number() over (partition by query_id order by score desc, {ROLE_RANK}, path, page_id) rank from cos join corpus using (page_id) where role <> 'topic') where rank <= 24),
@@ -179,5 +182,25 @@ select page_id, path, round(2.0 * coalesce(i, 0) + 0.4 * coalesce(o, 0) + 0.5 *
     "validate_refs": "select 'label' kind, doc_id id from labels where doc_id not in (select doc_id from documents) union all select 'embedding', vec_id from embeddings where vec_id not in (select doc_id from documents) union all select 'duplicate', doc_id from documents group by 2 having count(*) > 1",
     "folder_cards": f"""with {CORPUS}, f as (select regexp_extract(path, '^(.*)/', 1) folder, page_ord, page_id, lower(tags) term, tags from corpus), t as (select folder, term, count(*) n from f where term is not null and length(term) >= 2 group by 1, 2),
 r as (select *, row_number() over (partition by folder order by n desc, term) k from t) select folder path, (select count(*) from f where f.folder = g.folder) page_count, (select list(term order by k) from r where r.folder = g.folder and k <= 8) terms from (select distinct folder from f) g""",
+    "query_dispatch": f"{BASE}, h as (select *, row_number() over (order by {ROLE_RANK}, path) rank from corpus) select {COLS} from {top('whole', 8)} union all select q, page_id, path, role, round(1.0::double - (rank - 1) * 0.01::double, 4), rank from h, (values (-1), (-2)) v(q) where rank <= 8",
+    "result_fields": f"{BASE}, {SHOWN} select query_id, rank, page_id, path, title, snippet from shown",
+    "context_pack": f"{BASE}, {SHOWN} select query_id, (select count(*) from shown y where y.query_id = x.query_id) n_evidence, (select list(page_id order by {ROLE_RANK}, path) from corpus where role <> 'topic') orientation, rank, page_id, score, title, snippet from shown x",
+    "tie_band_rerank": f"""with recursive {CORPUS}, {QUERIES}, {bm25()}, {HITS}, now as (select max(last_hit) now from state),
+bo as (select page_key page_id, {usage.BOOST} * least(c, {usage.CAP}) / {usage.CAP} boost from (select page_key, least({usage.CAP}, counter * pow(0.5, greatest(0, now - last_hit) / {usage.HALF_LIFE})) c from state, now) where c > {usage.FLOOR}),
+rr as (select t.*, least(greatest(coalesce(boost, 0), 0), 0.05) b from {top('whole', 30)} t left join bo using (page_id)),
+bands(query_id, rank, top, band) as (select query_id, rank, score, 0 from rr where rank = 1 union all select rr.query_id, rr.rank, case when top - score > 0.05 then score else top end, case when top - score > 0.05 then band + 1 else band end from bands join rr on rr.query_id = bands.query_id and rr.rank = bands.rank + 1)
+select rr.query_id, page_id, path, role, score, row_number() over (partition by rr.query_id order by band, score + b desc, score desc, {ROLE_RANK}, path) rank from rr join bands on bands.query_id = rr.query_id and bands.rank = rr.rank""",
+    "content_signature": f"with {CORPUS}, e as (select path, path || chr(9) || sha256(text) l from corpus), p as (select left(sha256(path), 4) b, sha256(array_to_string(list(l order by l), chr(10))) d from e group by 1) select sha256(array_to_string(list(b || chr(9) || d order by b || chr(9) || d), chr(10))) signature from p",
+    "quality_gates": f"""{BASE}, {QRELS}, {EVAL}, r5 as (select query_id, coalesce(sum(hit) filter (where rank <= 5), 0) h from need left join sf using (query_id) group by 1),
+m as (select count(*) n, avg(h / n_relevant) r5, avg(mrr) mrr, avg(ndcg) ndcg from pq join r5 using (query_id) join need using (query_id)),
+g as (select 'bm25' run_id, unnest([{{'gate': 'recall_at_5', 'value': r5, 'threshold': 0.9::double, 'passed': r5 >= 0.9}}, {{'gate': 'mrr', 'value': mrr, 'threshold': 0.75::double, 'passed': mrr >= 0.75}}, {{'gate': 'ndcg_at_10', 'value': ndcg, 'threshold': 0.85::double, 'passed': ndcg >= 0.85}},
+  {{'gate': 'citation_precision', 'value': null, 'threshold': 0.95::double, 'passed': false}}, {{'gate': 'citation_recall', 'value': null, 'threshold': 0.85::double, 'passed': false}}, {{'gate': 'negative_false_positive_rate', 'value': null, 'threshold': 0.05::double, 'passed': false}}]) x from m
+  union all select run_id, unnest([{{'gate': 'query_count', 'value': n::double, 'threshold': 50.0::double, 'passed': n >= 50}}, {{'gate': 'judged_query_count', 'value': n::double, 'threshold': 50.0::double, 'passed': n >= 50}}]) from m, (values ('bm25'), ('telemetry')) v(run_id))
+select run_id, x.gate, round(x.value, 8) "value", x.threshold, x.passed from g""",
+    "graph_neighbors": f"with {EDGES}, m as (select target id, source, target, relation, 0 side from edges where source = 'nation:3' union all select source, source, target, relation, 1 from edges where target = 'nation:3'), f as (select id, min((source, target, relation, side)) k from m where id <> 'nation:3' group by 1) select 'nation:3' id, 0 depth, 0 place union all select id, 1, place from (select id, row_number() over (order by k) place from f) where place < 500",
+    "managed_orientation": f"""with {CORPUS}, {PROJECTED}, i as (select target id, count(*) i from pedges where target like 'page:%' group by 1), o as (select source id, count(*) o from pedges where source like 'page:%' group by 1),
+l as (select page_id, path, {CLEAN.format('text')} t, row_number() over (order by 2.0::double * coalesce(i, 0) + 0.4::double * coalesce(o, 0) + 0.5::double * (source_refs is not null)::int + 1.0::double / len(string_split(path, '/')) desc, path) rank from corpus left join i on i.id = 'page:' || page_id left join o on o.id = 'page:' || page_id where role = 'topic')
+select page_id, path, round(1.0::double - (rank - 1) * 0.01::double, 4) score, case when len(t) <= 160 then t else rtrim(left(t, 159)) || '...' end snippet, rank from l where rank <= 3""",
+    "corpus_bundle": f"with {CORPUS} select page_id || '-' || left(sha256(path), 10) corpus_id, title, path source_path, sha256(text) sha256 from corpus where approved",
     "page_summaries": f"with {CORPUS} select page_id, summary, regexp_extract_all(text, '(?m)^#{{1,6}}\\s+(.+?)\\s*$', 1)[1:40] headings from corpus",
 }
