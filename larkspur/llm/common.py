@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temporary one serves a local session
+    (tests); a cluster has none that all its machines see, so there it is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     app = spark.sparkContext.applicationId
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found and app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="larkspur-")
     return (found or _OWN[app]).rstrip("/")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import let, stash, table
+from larkspur.llm.common import let, stash, table, unstash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -364,8 +364,9 @@ class _Batch:
         return pa.concat_arrays([done, rest]).take(pa.array(order))
 
 
-def frequent_words(docs: DataFrame, pieces: Pieces, most: int = HEAD) -> DataFrame:
-    """(word): the words whose count is at or above the least count that leaves at most ``most`` words."""
+def frequent_words(docs: DataFrame, pieces: Pieces, most: int = HEAD) -> tuple[DataFrame, DataFrame]:
+    """The stashed counts (word, n), and of them (word) those whose count is at or above the least count that leaves at
+    most ``most`` words."""
     # counted first as they stand between spaces, so that the pattern runs once on each distinct stretch
     parts = docs.where("text is not null").select(F.explode(F.split("text", " ")).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     counts = parts.select(F.explode(words(F.col("part"), pieces)).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
@@ -378,13 +379,16 @@ def frequent_words(docs: DataFrame, pieces: Pieces, most: int = HEAD) -> DataFra
         if total > most:
             break
         least = level
-    return counts.where(F.floor(8 * F.log2("n")) >= least).select("word")
+    return counts, counts.where(F.floor(8 * F.log2("n")) >= least).select("word")
 
 
 def encode(docs: DataFrame, pieces: Pieces, head: int = HEAD) -> DataFrame:
     """docs with ids and n_tokens."""
     spark = docs.sparkSession
-    known = stash(encode_words(frequent_words(docs, pieces, head), pieces), "head").toPandas()
+    counts, frequent = frequent_words(docs, pieces, head)
+    encoded = stash(encode_words(frequent, pieces), "head")
+    known = encoded.toPandas()
+    unstash(counts, encoded)
     # at most ``head`` words of at most 200 characters
     shared = spark.sparkContext.broadcast((pieces, _Words.of(known["word"].tolist(), known["ids"].tolist())))
 

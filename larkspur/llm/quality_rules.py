@@ -96,8 +96,12 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+SPAN = 4096
+
+
 def binomial_tail(k: Column, n: Column, rate: float) -> Column:
-    """P(X <= k) for X binomial(n, rate), summed term by term in logarithms; 1 where k is at or over the mean."""
+    """P(X <= k) for X binomial(n, rate), summed term by term in logarithms, SPAN terms at a time; 1 where k is at or
+    over the mean."""
     import math
 
     odds = math.log(rate / (1 - rate))
@@ -107,8 +111,9 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
         t = acc["t"] + F.log((n - i + 1) / i) + odds
         return F.struct(t.alias("t"), (F.greatest(t, acc["s"]) + F.log1p(F.exp(-F.abs(t - acc["s"])))).alias("s"))
 
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.when(k >= n * rate, F.lit(1.0)).otherwise(F.exp(F.aggregate(steps, start, add)["s"]))
+    spans = F.when(k > 0, F.sequence(F.lit(0).cast("long"), F.floor((k - 1) / SPAN))).otherwise(F.array().cast("array<bigint>"))
+    total = F.aggregate(spans, start, lambda acc, s: F.aggregate(F.sequence(s * SPAN + 1, F.least(s * SPAN + SPAN, k)), acc, add))
+    return F.when(k >= n * rate, F.lit(1.0)).otherwise(F.exp(total["s"]))
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:

@@ -120,6 +120,16 @@ def test_measures_match_brute_force(spark):
 
 
 def test_binomial_tail_is_exact(spark):
+    # more terms than are summed at a time
+    n, k = 600_000, 11_700
+    got = spark.range(1).select(quality_rules.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), 0.02)).first()[0]
+    t = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(0.02) + (n - k) * math.log(0.98)
+    want, term = 0.0, math.exp(t)
+    for i in range(k, k - 4000, -1):
+        want += term
+        term *= i * 0.98 / ((n - i + 1) * 0.02)
+    assert abs(got / want - 1) < 1e-6
+
     cases = [(0, 10), (1, 50), (3, 400), (7, 1500), (40, 100), (0, 0), (12, 90_000)]
     df = spark.createDataFrame(cases, "k long, n long")
     for r in df.select("k", "n", quality_rules.binomial_tail(F.col("k"), F.col("n"), 0.02).alias("p")).collect():
@@ -787,3 +797,17 @@ def test_pipeline(spark, tmp_path):
     texts = {r["doc_id"]: r["text"] for r in seen["pfair_mix"].collect()}
     assert all(r["ids"] == m.encode(texts[r["doc_id"]]) for r in seen["piece_lattice"].collect())
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    long_ = " ".join(f"w{i}" for i in range(30_000))
+    odd = [(None, long_, None), (None, long_, None), (1, long_ + " more", "s"), (2, None, "s"), (2, "", "s"), (3, "é " * 30, None)]
+    for name, rows, labels in (("empty", [], []), ("odd", odd, [(None, None, None), (1, 1, 0), (1, 0, 0)])):
+        docs_of(spark, rows).write.parquet(str(tmp_path / f"{name}/documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / f"{name}/labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    # the long text has one class and a near copy, which has the least doc_id; the other repeats its words
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert [r["doc_id"] for r in got] == [1] and got[0]["n_tokens"] > 30_000
