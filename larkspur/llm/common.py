@@ -82,6 +82,28 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, salts: int = 64) -> Dat
     return salted.join(copies, [key, "__salt"], "left").drop("__salt")
 
 
+SIEVE_BITS = 24
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """(word, bits): a bitmap of 2^SIEVE_BITS places with those of the 64-bit hashes in ``key`` set, as 64-bit words. It
+    has 2^18 rows at most, whatever the number of keys, so it may be broadcast."""
+    place = F.pmod(F.col(key), F.lit(1 << SIEVE_BITS))
+    bit = keys.select(F.shiftright(place, 6).cast("int").alias("word"), (place % 64).cast("int").alias("bit"))
+    return stash(bit.select("word", F.expr("shiftleft(1L, bit)").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")), "sieve")
+
+
+def sifted(df: DataFrame, key: Column, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose hash ``key`` cannot be among those of the sieve, and the others: all that are, and of those
+    that are not a share that nears one as the keys outnumber the places. Whatever is joined to the others exactly
+    gives the same result for any share; the first need not be shuffled for it."""
+    place = F.pmod(key, F.lit(1 << SIEVE_BITS))
+    at = df.withColumn("__word", F.shiftright(place, 6).cast("int")).withColumn("__bit", (place % 64).cast("int"))
+    seen = at.join(F.broadcast(held.withColumnsRenamed({"word": "__word", "bits": "__bits"})), "__word", "left")
+    marked = seen.withColumn("__in", F.coalesce(F.expr("shiftright(__bits, __bit) & 1L") == 1, F.lit(False)))
+    return tuple(marked.where(w).select(*[F.col(f"`{c}`") for c in df.columns]) for w in (~F.col("__in"), F.col("__in")))
+
+
 def numbered(df: DataFrame, group: str, order: list[str], out: str, rows_a_bucket: int = 10_000) -> DataFrame:
     """df with out: a gapless number from 0 within each group, in the order of (bucket, order). order[0] must be a
     hexadecimal digest, whose first eight digits deal the rows of each group into buckets; only a bucket is ever

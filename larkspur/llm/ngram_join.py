@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import components, hash_pair, join_hot, stash, table, unstash
+from larkspur.llm.common import components, hash_pair, join_hot, sieve, sifted, stash, table, unstash
 
 N = 5
 #: Bits of a signature: the power of two at or above the set's size, within these bounds.
@@ -206,11 +206,13 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> D
     given = pairs = stash(pairs, f"{name}-pairs")
     linked = F.pandas_udf(_annotated(_hits), "boolean")
 
-    # written first, so that the planner knows how many they are: few are broadcast, and then no text is shuffled
+    # written first, so that the planner knows how many they are; no text is shuffled but of documents that may be theirs
     ids = stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(reps.select("id", "r1", "r2"), "id"), f"{name}-ids")
-    sets = docs.join(ids, ["r1", "r2"]).select("id", "text").dropDuplicates(["id"]).mapInArrow(_sets, "id long, s array<long>")
+    held = sieve(ids, "r1")
+    perhaps = sifted(docs, F.col("r1"), held)[1]
+    sets = perhaps.join(ids, ["r1", "r2"]).select("id", "text").dropDuplicates(["id"]).mapInArrow(_sets, "id long, s array<long>")
     sets = stash(sets, f"{name}-sets")
-    spent = [given, ids, sets]
+    spent = [given, ids, held, sets]
     for side, other in (("a", "b"), ("b", "a")):
         shares = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / 512).cast("int").alias("k"))
         many = stash(shares.where("k > 1"), f"{name}-many")
@@ -451,12 +453,12 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     told = stash(named.groupBy(F.col("r1").alias("__r1"), F.col("r2").alias("__r2")).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("c")), "told")
     gone, twice = (stash(told.where(w).select("__r1", "__r2"), "keys") for w in ("not stays", "stays and c > 1"))
     marked = docs.withColumn("__r", hash_pair(F.col("doc_id"), F.col("text")))
+    sure, perhaps = sifted(marked, F.col("__r.a"), sieve(gone.union(twice), "__r1"))
     same = (F.col("__r.a") == F.col("__r1")) & (F.col("__r.b") == F.col("__r2"))
-    left = marked.join(gone, same, "left_anti")
-    if twice.isEmpty():
-        return left.drop("__r")
-    once = left.join(twice, same, "left_anti").drop("__r")
-    return once.union(left.join(twice, same, "left_semi").dropDuplicates(["__r"]).drop("__r"))
+    left = perhaps.join(gone, same, "left_anti")
+    if not twice.isEmpty():
+        left = left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["__r"]))
+    return sure.union(left).drop("__r")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,20 @@ def test_join_hot_salts_beyond_the_threshold(spark):
 # -- 1 line dedup
 
 
+@pytest.mark.parametrize("bits", [8, 24])
+def test_sieve_loses_no_key(spark, monkeypatch, bits):
+    # fewer places than keys, and more
+    monkeypatch.setattr(common, "SIEVE_BITS", bits)
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("h"), F.lit(1).alias("word"))
+    sure, perhaps = common.sifted(rows, F.col("h"), common.sieve(rows.where("id % 4 = 0"), "h"))
+    assert sure.columns == perhaps.columns == rows.columns
+    out, held = ({r["id"] for r in x.collect()} for x in (sure, perhaps))
+    assert out.isdisjoint(held) and out | held == set(range(3000)) and {i for i in held if i % 4 == 0} == set(range(0, 3000, 4))
+    assert bits == 8 or len(out) == 2250
+    none = common.sieve(rows.where("false"), "h")
+    assert [x.count() for x in common.sifted(rows, F.col("h"), none)] == [3000, 0]
+
+
 def test_line_dedup(spark):
     rows = [(i, f"own line {i}\n  Cookie notice \n\nlast {i}", "h") for i in range(10)] + [(10, None, "h"), (11, "", "h"), (12, "Cookie notice", "h"), (12, "Cookie notice", "h"), (13, "Cookie notice", None), (14, "Cookie notice\nx", "other"), (15, "own line 1\n" * 2000, "h")]
     df = docs_of(spark, rows).withColumn("n_lines", F.lit("clash"))
