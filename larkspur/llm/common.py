@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 #: A word is a maximal run of code points other than the space and U+0009 to U+000D.
@@ -62,6 +63,15 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SEPARATOR))
 
 
+def utf8_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a batch's texts, end to end, and the offset of each text with one more at the end; null is empty."""
+    if column.null_count:
+        column = column.fill_null("")
+    _, offsets, data = column.cast(pa.large_string()).buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, dtype=np.int64)
+    return np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8), at
+
+
 def hash_pair(*cols) -> Column:
     """A 128-bit hash as one struct of two longs."""
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit("second"), *cols).alias("b"))
@@ -147,6 +157,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     leaves = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-LONG = T.LongType()

@@ -1,0 +1,268 @@
+"""Benchmark windows, collocations and vector codes against brute force, with nulls, empty and long texts, ties, repeated
+rows, empty tables and clashing columns."""
+
+import collections
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from larkspur.llm import bench_windows, collocations, vector_codes
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, rows, lang="en"):
+    return spark.createDataFrame([(i, t, lang, "s", 0) for i, t in rows], DOCS)
+
+
+# -- 11 benchmark windows
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def item_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+
+
+def windows_by_hand(docs, items, window):
+    found = {}
+    for item, text in items:
+        w = item_words(text)
+        for s in range(max(len(w) - window, 0) + 1 if w else 0):
+            found.setdefault(tuple(w[s : s + window]), set()).add(item)
+    out = []
+    for i, t in docs:
+        w, hit, got = item_words(t), set(), set()
+        for k in {len(x) for x in found}:
+            for s in range(len(w) - k + 1):
+                if (own := found.get(tuple(w[s : s + k]))) is not None:
+                    hit |= set(range(s, s + k))
+                    got |= own
+        out.append((i, len(w), len(hit), tuple(sorted(hit)), tuple(sorted(map(str, got)))))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("table_bytes", [2_000_000, 400])
+def test_windows_are_found_wherever_they_stand(spark, table_bytes):
+    rng = random.Random(11)
+    vocabulary = ["a", "É", "straße", "x1", "the", "of", "thing", "élan", "word", "ÉCOLE", "日本", "b"]
+
+    def prose(n):
+        return "".join(rng.choice(vocabulary) + rng.choice([" ", ", ", "\n", " -- ", "\x00", "'"]) for _ in range(n))
+
+    items = [(k, prose(rng.choice([1, 2, 5, 9, 10, 11, 30, 60]))) for k in range(40)]
+    items += [(7, prose(14)), (3, items[3][1]), (50, None), (51, ""), (52, "?!"), (None, "only of nameless " + prose(12)), (None, "second nameless thing"), (60, "b"), (61, "zz")]
+    docs = []
+    for k in range(120):
+        parts = [prose(rng.randrange(40))]
+        for _ in range(rng.randrange(3)):
+            t = rng.choice([t for _, t in items if t])
+            parts += [t.upper() if rng.random() < 0.3 else t, prose(rng.randrange(9))]
+        docs.append((k, rng.choice(["\n", " ", "..."]).join(parts)))
+    docs += [(200, None), (201, ""), (202, " \n"), (5, docs[5][1]), (5, docs[5][1]), (203, prose(30_000) + items[2][1]), (204, "zz" * 5), (205, "zz"), (None, items[7][1])]
+    table = spark.createDataFrame(items, "item_id long, text string").withColumn("n_words", F.lit("clash"))
+    given = docs_of(spark, docs).withColumns({"item_id": F.lit("clash"), "items": F.lit(1), "spans": F.lit(2)}).repartition(3)
+    got = bench_windows.occurrences(given, table, keep=("doc_id",), table_bytes=table_bytes)
+    rows = []
+    for r in got.collect():
+        hit = tuple(sorted({w for s in r["spans"] for w in range(s["start"], s["stop"])}))
+        assert len(hit) == r["n_hit"] and len(set(r["items"])) == len(r["items"])
+        rows.append((r["doc_id"], r["n_words"], r["n_hit"], hit, tuple(sorted(map(str, r["items"])))))
+    assert sorted(rows, key=repr) == windows_by_hand(docs, items, bench_windows.WINDOW)
+    assert len([r for r in rows if r[2]]) > 30
+
+
+def test_windows_with_empty_tables(spark):
+    docs, items = docs_of(spark, [(1, "some text here")]), spark.createDataFrame([(1, "some text")], "item_id long, text string")
+    assert [tuple(r) for r in bench_windows.occurrences(docs, items.where("false")).collect()] == [(1, 3, 0, [], [])]
+    assert bench_windows.occurrences(docs.where("false"), items).collect() == []
+    r = bench_windows.occurrences(docs, items).first()
+    assert (r["n_hit"], r["items"], [tuple(s) for s in r["spans"]]) == (2, ["1"], [(0, 2)])
+
+
+def test_long_items_are_cut_into_stretches_that_hold_each_window_once(spark, monkeypatch):
+    monkeypatch.setattr(bench_windows, "STRETCH", 7)
+    for n in (1, 9, 10, 11, 16, 17, 23, 24, 25, 100):
+        text = " ".join(f"w{k}" for k in range(n))
+        got = [r["stretch"].split() for r in bench_windows._stretches(spark.createDataFrame([(1, text)], "item_id long, text string"), 10).collect()]
+        windows = [tuple(s[k : k + 10]) for s in got for k in range(max(len(s) - 10, 0) + 1)]
+        whole = text.split()
+        assert sorted(windows) == sorted(tuple(whole[k : k + 10]) for k in range(max(n - 10, 0) + 1))
+
+
+def test_a_window_repeated_in_one_text_and_across_edges(spark):
+    # neighbouring rows must not form an occurrence together, and overlapping occurrences count a word once
+    items = spark.createDataFrame([(1, "a a a"), (2, "p q r")], "item_id long, text string")
+    rows = [(1, "p q"), (2, "r"), (3, "a a a a a"), (4, "aa a a"), (5, "a a a b a a a")]
+    got = {r["doc_id"]: (r["n_hit"], [tuple(s) for s in r["spans"]]) for r in bench_windows.occurrences(docs_of(spark, rows).coalesce(1), items).collect()}
+    assert got == {1: (0, []), 2: (0, []), 3: (5, [(0, 5)]), 4: (0, []), 5: (6, [(0, 3), (4, 7)])}
+
+
+# -- 12 collocations
+
+
+def collocations_by_hand(docs, max_words, min_count, top, shadow):
+    grams = collections.defaultdict(collections.Counter)
+    for lang, text in docs:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for k in range(1, max_words + 1):
+                for s in range(len(w) - k + 1):
+                    grams["und" if lang is None else lang][tuple(w[s : s + k])] += 1
+    out = []
+    for lang, f in grams.items():
+        n = sum(c for g, c in f.items() if len(g) == 1)
+        found = {g: a for g, a in f.items() if len(g) > 1 and a >= min_count}
+        rows = []
+        for g, a in found.items():
+            score, k = min((1_000_000 * a * a // (f[g[:k]] * f[g[k:]]), k) for k in range(1, len(g)))
+            inside = any(len(h) > len(g) and 100 * b >= shadow * a and any(h[s : s + len(g)] == g for s in range(len(h) - len(g) + 1)) for h, b in found.items())
+            if not inside:
+                rows.append((-score, -a, " ".join(g).encode(), f[g[:k]], f[g[k:]]))
+        out += [(lang, i, p.decode(), -a, left, right, n, -s) for i, (s, a, p, left, right) in enumerate(sorted(rows)[:top], 1)]
+    return sorted(out)
+
+
+def some_docs(rng, n):
+    langs = ["en", "de", None, "und", ""]
+    words = ["the", "The", "of", "new", "york", "city", "é", "Ü", "a\x00b", "日本", "x", "y", "in", "hot", "dog"]
+    common = ["New York City", "hot\tdog", "of the", "x x x x"]
+    rows = []
+    for _ in range(n):
+        parts = [rng.choice(common) if rng.random() < 0.4 else rng.choice(words) for _ in range(rng.randrange(25))]
+        rows.append((rng.choice(langs), "".join(p + rng.choice([" ", "  ", " \t", ". ", ",", "\n", "\r\n", " ; "]) for p in parts)))
+    return rows
+
+
+@pytest.mark.parametrize(("max_words", "min_count", "top"), [(3, 3, 2000), (4, 2, 20), (2, 5, 7)])
+def test_collocations(spark, max_words, min_count, top):
+    rng = random.Random(max_words)
+    rows = some_docs(rng, 300)
+    rows += [rows[3]] * 40 + [("en", None), ("en", ""), (None, " \t "), ("en", "...!"), ("fr", "so " * 30_000), ("es", "rara vez")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    docs = docs.withColumns({"piece": F.lit(1), "n": F.lit("clash"), "words": F.lit("clash"), "rank": F.lit(None)}).repartition(3)
+    got = collocations.collocations(docs, max_words, min_count, top)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, got.collect())) == collocations_by_hand(rows, max_words, min_count, top, collocations.SHADOW)
+
+
+def test_collocations_of_nothing(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert collocations.collocations(empty).collect() == []
+    assert collocations.collocations(spark.createDataFrame([(1, None, "en")], empty.schema)).collect() == []
+
+
+def test_a_crowded_bitmap_and_long_texts_change_nothing(spark, monkeypatch):
+    # a few places for all n-grams, and one text at a time
+    monkeypatch.setattr(collocations, "TOGETHER", 1)
+    rows = some_docs(random.Random(1), 200)
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    whole = collocations_by_hand(rows, 3, 3, 50, collocations.SHADOW)
+    assert sorted(map(tuple, collocations.collocations(docs, 3, 3, 50).collect())) == whole
+    monkeypatch.setattr(collocations, "MOST_BITS", 7)
+    assert sorted(map(tuple, collocations.collocations(docs, 3, 3, 50).collect())) == whole
+
+
+def test_scores_are_exact_beyond_64_bits(spark):
+    # the product of two counts of 10^10, and the square of one with six digits more
+    a, left, right = 9_999_999_967, 10_000_000_019, 9_999_999_967
+    wide = lambda v: F.lit(v).cast("decimal(18,0)")
+    got = spark.range(1).select(F.call_function("div", wide(a) * wide(a) * F.lit(1_000_000).cast("decimal(7,0)"), wide(left) * wide(right)).alias("s")).first()["s"]
+    assert got == 1_000_000 * a * a // (left * right)
+
+
+# -- 13 vector codes
+
+
+def codes_by_hand(rows, scale, parts, entries, rounds):
+    whole = [(i, lab, [math.floor(scale * x) for x in e]) for i, e, lab in rows]
+    dim = len(whole[0][2])
+    w = dim // parts
+    first = {}
+    for i, _, e in whole:
+        if i is not None:
+            first[i] = min(first.get(i, e), e)
+    starts = [first[i] for i in sorted(first)[:entries]]
+    books = [[s[p * w : (p + 1) * w] for s in starts] for p in range(parts)]
+
+    def near(e, p):
+        x = e[p * w : (p + 1) * w]
+        return min((sum((a - b) ** 2 for a, b in zip(x, b)), k) for k, b in enumerate(books[p]))
+
+    for _ in range(rounds):
+        sums = [collections.defaultdict(list) for _ in range(parts)]
+        for _, _, e in whole:
+            for p in range(parts):
+                sums[p][near(e, p)[1]].append(e[p * w : (p + 1) * w])
+        books = [[[sum(c) // len(sums[p][k]) for c in zip(*sums[p][k])] if k in sums[p] else b for k, b in enumerate(books[p])] for p in range(parts)]
+    out = []
+    for i, lab, e in whole:
+        found = [near(e, p) for p in range(parts)]
+        out.append((i, lab, "".join(f"{k:02x}" for _, k in found), sum(d for d, _ in found)))
+    by = collections.Counter()
+    for _, lab, _, error in out:
+        by[lab] += error
+    return sorted(((i, lab, c, e, by[lab]) for i, lab, c, e in out), key=repr), books
+
+
+@pytest.mark.parametrize(("entries", "rounds", "spread"), [(64, 2, 1.0), (64, 2, 0.02), (256, 1, 0.3), (5, 3, 1.0), (1, 2, 1.0)])
+def test_codes(spark, entries, rounds, spread):
+    rng = np.random.default_rng(entries + rounds)
+    # a small spread gives many equal distances
+    rows = [(k, [float(x) for x in np.float32(rng.normal(0, spread, 32))], rng.integers(0, 4).item() if k % 7 else None) for k in range(400)]
+    rows += [rows[9]] * 30 + [(9, rows[20][1], 1), (None, rows[5][1], 2), (None, rows[6][1], None), (1000, [0.0] * 32, 0), (-4, [x * 300 for x in rows[0][1]], 3)]
+    bad = [(2000, None, 1), (2001, [float("nan")] * 32, 1), (-9, [float("inf")] + [0.0] * 31, 1), (2003, [None] + [0.0] * 31, 1), (2004, [], 1), (-5, [1.0] * 31, 1), (2006, [1e30] * 32, 1)]
+    table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int").withColumns({"code": F.lit(1), "dim": F.lit("x"), "error": F.lit("x")}).repartition(3)
+    got = vector_codes.compress(table, entries=entries, rounds=rounds)
+    want, books = codes_by_hand([(i, e, lab) for i, e, lab in rows], 256, 16, entries, rounds)
+    found = got.collect()
+    assert sorted(((r["vec_id"], r["label"], r["code"], r["error"], r["label_error"]) for r in found), key=repr) == want
+    trained = np.array(books)
+    assert {r["codebooks_sha256"] for r in found} == {vector_codes.digest(trained)}
+    r = next(r for r in found if r["vec_id"] == 1000)
+    assert int((vector_codes.decode(r["code"], trained) ** 2).sum()) == r["error"]
+
+
+def test_codes_of_nothing_and_of_two_lengths(spark):
+    schema = "vec_id long, embedding array<float>, label int"
+    assert vector_codes.compress(spark.createDataFrame([], schema)).collect() == []
+    assert vector_codes.compress(spark.createDataFrame([(1, None, 1)], schema)).collect() == []
+    rng = np.random.default_rng(3)
+    short, long = ([(k, [float(x) for x in np.float32(rng.normal(size=n))], 1) for k in range(70)] for n in (16, 48))
+    both = vector_codes.compress(spark.createDataFrame(short + long, schema)).collect()
+    want = [codes_by_hand(x, 256, 16, 64, 2)[0] for x in (short, long)]
+    assert sorted((r["vec_id"], r["code"], r["error"]) for r in both) == sorted((i, c, e) for x in want for i, _, c, e, _ in x)
+    assert len({r["codebooks_sha256"] for r in both}) == 2 and {r["label_error"] for r in both} == {want[0][0][4] + want[1][0][4]}
+    nameless = vector_codes.compress(spark.createDataFrame([(None, [1.0] * 16, 1)], schema)).collect()
+    assert [(r["vec_id"], r["code"], r["error"], r["label_error"]) for r in nameless] == [(None, None, None, None)]
+
+
+def test_the_tree_is_a_full_search_at_any_size_of_numbers():
+    rng = np.random.default_rng(0)
+    for n, width, reach in ((1, 4, 5), (2, 1, 3), (9, 4, 2), (64, 4, 2), (64, 4, 300), (256, 3, 20_000_000), (64, 1, 6)):
+        entries, points = rng.integers(-reach, reach + 1, (n, width)), rng.integers(-reach, reach + 1, (3000, width))
+        number, square = vector_codes.nearest(vector_codes.Ball(entries, np.arange(n)), points)
+        every = ((points[:, None] - entries[None]) ** 2).sum(axis=2)
+        assert (number == every.argmin(axis=1)).all() and (square == every.min(axis=1)).all()
+
+
+def test_the_tree_passes_over_balls():
+    rng = np.random.default_rng(1)
+    centres = rng.integers(-5000, 5000, (8, 4))
+    entries = np.concatenate([c + rng.integers(-20, 21, (8, 4)) for c in centres])
+    seen = []
+    real = vector_codes._squares
+    try:
+        vector_codes._squares = lambda p, o: seen.append(len(p)) or real(p, o)
+        tree = vector_codes.Ball(entries, np.arange(64))
+        seen.clear()
+        vector_codes.nearest(tree, np.repeat(entries, 50, axis=0))
+    finally:
+        vector_codes._squares = real
+    assert sum(seen) < 0.5 * 64 * 3200
