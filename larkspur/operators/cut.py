@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,18 +40,3 @@ def signature(spark: SparkSession, *paths: str) -> str:
             f = files.next()
             seen.append(f"{f.getPath()}\t{f.getLen()}\t{f.getModificationTime()}")
     return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:32]
-
-
-def persisted(spark: SparkSession, name: str, inputs: list[str], build: Callable[[str], None], fresh: bool = False) -> str:
-    """The folder of tables that build(path) wrote from the inputs as they are now; it is built once for each state of
-    the inputs, into a folder of its own, which counts only once it is whole."""
-    root = f"{shared_dir(spark)}/larkspur/{name}-{signature(spark, *inputs)}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fresh:
-        fs.delete(path, True)
-    if not fs.exists(path):
-        draft = f"{root}-{uuid.uuid4().hex}"
-        build(draft)
-        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(draft), path)
-    return root

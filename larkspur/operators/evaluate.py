@@ -3,12 +3,13 @@ relevance)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # The gates.
-GATES = {"recall_at_5": 0.90, "mrr": 0.75, "ndcg_at_10": 0.85, "citation_precision": 0.95, "citation_recall": 0.85}
 MAX_FALSE_POSITIVE, MIN_QUERIES = 0.05, 50
 THRESHOLDS = {"recall_at_5": (">=", 0.90), "mrr": (">=", 0.75), "ndcg_at_10": (">=", 0.85), "citation_precision": (">=", 0.95), "citation_recall": (">=", 0.85), "negative_false_positive_rate": ("<=", 0.05)}
 CONTEXT_RATIO, MATERIAL_GAIN = 1.20, 0.05
@@ -98,27 +99,23 @@ def rank_delta(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def paired_bootstrap(base: DataFrame, candidate: DataFrame, metric: str, samples: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
-    """(delta, low, high): the mean difference and its interval over resamples of queries. A query's weight in a
-    resample is its Poisson count from a hash, so resamples need no shuffle of queries."""
-    d = base.select("query_id", F.col(metric).alias("x")).join(candidate.select("query_id", F.col(metric).alias("y")), "query_id").select("query_id", (F.col("y") - F.col("x")).alias("d"))
-    u = F.pmod(F.xxhash64("query_id", "s", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight, tail = F.lit(0), 0.0
-    from math import exp, factorial
-
-    for k in range(8):
-        tail += exp(-1) / factorial(k)
-        weight = weight + F.when(u >= tail, 1).otherwise(0)
-    drawn = d.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("w", weight)
-    means = drawn.groupBy("s").agg((F.sum(F.col("d") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
+    """(delta, low, high, n_queries): the mean difference and its interval over resamples of as many queries as there
+    are, drawn with replacement. What a draw takes is a hash of (seed, sample, draw) modulo the number of queries, so
+    samples are dealt to tasks at will and the result depends on the seed alone. Both runs must have the same queries.
+    The differences are the query set's: they go to every task as one array. Without queries all is null."""
+    if samples < 1:
+        raise ValueError("samples is at least 1")
+    x, y = base.select("query_id", F.col(metric).alias("x")), candidate.select(F.col("query_id").alias("other"), F.col(metric).alias("y"))
+    both = x.join(y, x["query_id"].eqNullSafe(y["other"]), "full")
+    if not both.where(F.col("x").isNull() | F.col("y").isNull()).isEmpty():
+        raise ValueError("both runs need one value for each query of either")
+    told = both.agg(F.transform(F.sort_array(F.collect_list(F.struct("query_id", (F.col("y") - F.col("x")).alias("d")))), lambda r: r["d"]).alias("d"), F.avg(F.col("y") - F.col("x")).alias("delta"), F.count(F.lit(1)).alias("n"))
+    drawn = base.sparkSession.range(samples).withColumnRenamed("id", "s").join(F.broadcast(told))
+    draw = lambda total, k: total + F.get("d", F.pmod(F.xxhash64(F.lit(seed), "s", k), F.col("n")).cast("int"))
+    mean = F.when(F.col("n") > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)).cast("int")), F.lit(0.0), draw) / F.col("n"))
     a = (1 - confidence) / 2
-    return means.agg(F.expr(f"percentile_cont({a}) within group (order by m)").alias("low"), F.expr(f"percentile_cont({1 - a}) within group (order by m)").alias("high")).crossJoin(d.agg(F.avg("d").alias("delta")))
-
-
-def gates(metrics: DataFrame) -> DataFrame:
-    """(gate, value, threshold, passed) of a row of metrics."""
-    names = [n for n in GATES if n in metrics.columns]
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), F.col(n).cast("double").alias("value"), F.lit(GATES[n]).alias("threshold")) for n in names])).alias("g")
-    return metrics.select(rows).select("g.*").withColumn("passed", F.col("value") >= F.col("threshold"))
+    means = drawn.select("delta", "n", mean.alias("m"))
+    return means.agg(F.first("delta").alias("delta"), F.expr(f"percentile_cont({a}) within group (order by m)").alias("low"), F.expr(f"percentile_cont({1 - a}) within group (order by m)").alias("high"), F.first("n").alias("n_queries"))
 
 
 def quality_gates(runs: DataFrame, baseline: str | None = None) -> DataFrame:
@@ -161,8 +158,9 @@ def bad_run_groups(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return ranks.union(surfaces).union(telemetry).union(missing)
 
 
-def bad_tables(corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFrame:
-    """(table, id, problem) of an evaluation bundle: required fields, formats, enumerations, keys, references."""
+def bad_tables(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, classes: tuple[str, ...] = QUERY_CLASSES) -> DataFrame:
+    """(table, id, problem) of an evaluation bundle: required fields, formats, enumerations, keys, references. The
+    classes of queries are a closed list."""
     def told(df: DataFrame, name: str, key: str, checks: dict[str, Column]) -> DataFrame:
         each = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(p)) for p, ok in checks.items()]), lambda x: x.isNotNull())
         return df.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("id"), F.explode(each).alias("problem"))
@@ -171,7 +169,7 @@ def bad_tables(corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataF
     path = F.col("path")
     safe = (path != "") & ~path.startswith("/") & ~path.contains("\\") & ~path.contains("://") & ~F.exists(F.split(path, "/"), lambda x: x.isin("", ".", ".."))
     rows = told(corpus, "corpus", "doc_id", filled("doc_id", "title", "adapter", "role", "license", "public_source") | {"path": safe, "sha256": F.col("sha256").rlike("^[0-9a-fA-F]{64}$"), "approved": F.col("approved")})
-    rows = rows.union(told(queries, "queries", "query_id", filled("query_id", "text", "locale") | {"class": F.col("class").isin(*QUERY_CLASSES) | F.col("class").startswith("native-"), "expected_behavior": F.col("expected_behavior").isin("answerable", "unanswerable")}))
+    rows = rows.union(told(queries, "queries", "query_id", filled("query_id", "text", "locale") | {"class": F.col("class").isin(*classes), "expected_behavior": F.col("expected_behavior").isin("answerable", "unanswerable")}))
     rows = rows.union(told(qrels, "qrels", "query_id", {"relevance": F.col("relevance").between(0, 3)}))
     again = lambda df, name, keys: duplicates(df, keys).select(F.lit(name), F.col(keys[0]).cast("string"), F.lit("duplicate"))
     rows = rows.union(again(corpus, "corpus", ["doc_id"])).union(again(queries, "queries", ["query_id"])).union(again(qrels, "qrels", ["query_id", "doc_id"]))
@@ -179,17 +177,77 @@ def bad_tables(corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataF
     return rows.union(lost("query_id", queries)).union(lost("doc_id", corpus))
 
 
-def hash_mismatches(corpus: DataFrame, root: str) -> DataFrame:
-    """(doc_id, path, problem): files under root that are missing or whose SHA-256 is not the one listed."""
-    spark = corpus.sparkSession
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("file"), F.sha2("content", 256).alias("found"))
+def canonical_digest(content: Column) -> Column:
+    """The SHA-256 of text as it is on any platform: without byte order mark, lines ended by \\n; null where the bytes
+    are no UTF-8."""
+    text = F.try_validate_utf8(content.cast("string"))
+    bare = F.when(text.startswith("\ufeff"), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
+    return F.sha2(F.replace(F.replace(bare, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), 256)
+
+
+def _contents(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of the files below root."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
-    named = files.select(F.substring("file", F.locate(base, F.col("file")) + len(base), F.length("file")).alias("path"), "found")
+    return files.select(F.substring("path", F.locate(base, F.col("path")) + len(base), F.length("path")).alias("path"), "content")
+
+
+def hash_mismatches(corpus: DataFrame, root: str) -> DataFrame:
+    """(doc_id, path, problem): paths that lead out of root, files that are missing, no UTF-8, or whose canonical
+    SHA-256 is not the one listed."""
+    named = _contents(corpus.sparkSession, root).select("path", F.lit(True).alias("there"), canonical_digest(F.col("content")).alias("found"))
     j = corpus.select("doc_id", "path", F.lower("sha256").alias("told")).join(named, "path", "left")
-    problem = F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("told"), "changed")
+    out = F.col("path").startswith("/") | F.array_contains(F.split("path", "/"), "..")
+    problem = F.when(out, "escapes").when(F.col("there").isNull(), "missing").when(F.col("found").isNull(), "not utf-8").when(F.col("found") != F.col("told"), "changed")
     return j.select("doc_id", "path", problem.alias("problem")).where("problem is not null")
 
 
+#: Folders that a tree's digest leaves out.
+TREE_EXCLUDED = (".git", ".hg", ".mypy_cache", ".pytest_cache", ".ruff_cache", "__pycache__")
+
+
+def tree_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, digest) of the files below root that count."""
+    kept = _contents(spark, root).where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, TREE_EXCLUDED))))
+    return kept.select("path", F.sha2("content", 256).alias("digest"))
+
+
+def tree_digests(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of files (path, digest) every folder's digest (folder, digest), '' being the root, and what they are made of:
+    entries (folder, name, digest, is_folder). A folder's digest is that of its entries' names and digests; folders are
+    folded from the deepest level up, first by shares of their entries, so that a folder of any size is spread."""
+    from larkspur.operators.cut import cut
+
+    parts = F.split("path", "/")
+    at = files.select(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("folder"), F.element_at(parts, -1).alias("name"), "digest", F.lit(False).alias("is_folder"), (F.size(parts) - 1).alias("depth"))
+    entries = cut(at, "tree")
+    deepest = entries.agg(F.max("depth").alias("d")).first()["d"]
+    folders, made = None, entries
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        own = made.where(F.col("depth") == depth)
+        listed = F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws("\0", "name", "digest", F.col("is_folder").cast("string")))), "\n"), 256)
+        shares = own.groupBy("folder", F.substring(F.sha2("name", 256), 1, 2).alias("share")).agg(listed.alias("digest"))
+        level = cut(shares.groupBy("folder").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("share", "digest"))), "\n"), 256).alias("digest")), "level")
+        folders = level if folders is None else folders.union(level)
+        up = F.split("folder", "/")
+        above = level.where("folder != ''").select(F.array_join(F.slice(up, F.lit(1), F.size(up) - 1), "/").alias("folder"), F.element_at(up, -1).alias("name"), "digest", F.lit(True).alias("is_folder"), F.lit(depth - 1).alias("depth"))
+        made = made.union(above)
+    none = files.sparkSession.createDataFrame([("", hashlib.sha256(b"").hexdigest())], "folder string, digest string")
+    return (none if folders is None else folders), made.drop("depth")
+
+
+def least_differing(a: DataFrame, b: DataFrame) -> str | None:
+    """The deepest folder that holds all differences between two trees of files (path, digest), None where they are
+    equal: from the root down for as long as the only entry that differs is a folder of both."""
+    x, y = tree_digests(a)[1], tree_digests(b)[1]
+    both = x.select("folder", "name", "digest", F.col("is_folder").alias("fx")).join(y.select("folder", "name", F.col("digest").alias("other"), F.col("is_folder").alias("fy")), ["folder", "name"], "full")
+    differ = both.where(~F.col("digest").eqNullSafe(F.col("other"))).groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce(F.col("fx") & F.col("fy"), F.lit(False))).alias("deeper"))
+    ends = differ.where("n > 1 or not deeper")
+    depth = F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/")))
+    row = ends.orderBy(depth, "folder").first()
+    return None if row is None else row["folder"]
+
+
 def corpus_bundle(pages: DataFrame, adapter: str, implementation: str) -> DataFrame:
     """(corpus_id, title, text, metadata) of the approved pages, by path and id. An id is the page's safe id and part of
     its path's digest."""

@@ -69,18 +69,27 @@ def frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def build(pages: DataFrame, analyzer: str = "legacy") -> Index:
-    """A page's terms are counted within the page's own row, so postings need no shuffle."""
+def complete(pages: DataFrame) -> DataFrame:
+    """pages with the columns that an index takes: all approved where none says, none with a place of its own."""
     given = pages if "approved" in pages.columns else pages.withColumn("approved", F.lit(True))
-    given = given if "page_ord" in given.columns else given.withColumn("page_ord", F.lit(None).cast("long"))
-    tokens = tokenized(given, analyzer).select("page_id", "path", "role", "dl", "approved", "page_ord", "tokens")
-    sorted_ = tokens.select("page_id", "dl", "approved", F.array_sort("tokens").alias("t"))
+    return given if "page_ord" in given.columns else given.withColumn("page_ord", F.lit(None).cast("long"))
+
+
+def counted(pages: DataFrame, analyzer: str = "legacy") -> DataFrame:
+    """pages with dl and terms (token, tf): a page's terms are counted within its own row."""
+    sorted_ = tokenized(pages, analyzer).withColumn("tokens", F.array_sort("tokens"))
     # in sorted tokens a term ends where the next token differs; how many there are is the distance between ends
-    ends = F.filter(F.transform("t", lambda x, i: F.when(F.coalesce(F.get("t", i + 1) != x, F.lit(True)), i)), lambda i: i.isNotNull())
-    counted = sorted_.select("page_id", "dl", "approved", "t", ends.alias("e"))
-    terms = F.transform("e", lambda at, k: F.struct(F.get("t", at).alias("token"), (at - F.coalesce(F.when(k > 0, F.get("e", k - 1)), F.lit(-1))).cast("long").alias("tf")))
-    postings = counted.select("page_id", "dl", "approved", F.explode(terms).alias("x")).select("x.token", "page_id", "x.tf", "dl", "approved")
-    docs = tokens.drop("tokens")
+    ends = F.filter(F.transform("tokens", lambda x, i: F.when(F.coalesce(F.get("tokens", i + 1) != x, F.lit(True)), i)), lambda i: i.isNotNull())
+    terms = F.transform("__ends", lambda at, k: F.struct(F.get("tokens", at).alias("token"), (at - F.coalesce(F.when(k > 0, F.get("__ends", k - 1)), F.lit(-1))).cast("long").alias("tf")))
+    return sorted_.withColumn("__ends", ends).withColumn("terms", terms).drop("tokens", "__ends")
+
+
+def build(pages: DataFrame, analyzer: str = "legacy") -> Index:
+    """The index of pages, without storing it; postings need no shuffle."""
+    given = complete(pages)
+    rows = counted(given, analyzer).select("page_id", "path", "role", "dl", "approved", "page_ord", "terms")
+    postings = rows.select("page_id", "dl", "approved", F.explode("terms").alias("x")).select("x.token", "page_id", "x.tf", "dl", "approved")
+    docs = rows.drop("terms")
     extra = {}
     if analyzer == "english":
         extra = {"compound": exact_channel(given, authored_text()), "metadata": exact_channel(given, metadata_text())}
@@ -91,9 +100,14 @@ def metadata_text() -> Column:
     return F.concat_ws(" ", "path", F.array_join("source_refs", " "))
 
 
+def exact_tokens(text: Column) -> Column:
+    """A text's identifiers of several parts."""
+    return X.compound_tokens(text)
+
+
 def exact_channel(pages: DataFrame, text: Column) -> DataFrame:
     """(token, page_id, tf, approved): identifiers of several parts, each once a page."""
-    found = pages.select("page_id", "approved", F.explode(X.compound_tokens(text)).alias("token"))
+    found = pages.select("page_id", "approved", F.explode(exact_tokens(text)).alias("token"))
     return found.select("token", "page_id", F.lit(1).cast("long").alias("tf"), "approved")
 
 
@@ -104,24 +118,3 @@ def only(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     if len(few) <= PUSHED:
         return postings.where(F.col("token").isin(few))
     return postings.join(wanted.select("token").distinct(), "token", "left_semi")
-
-
-TABLES = ("postings", "doc_stats", "term_stats", "corpus_stats")
-
-
-def write(index: Index, path: str) -> None:
-    """The tables under path, postings clustered by token so that a query's tokens prune row groups. Statistics come
-    from what was written, so pages are tokenized for the postings and for the lengths only."""
-    spark = index.postings.sparkSession
-    index.postings.repartitionByRange("token").sortWithinPartitions("token", "page_id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-    frequencies(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/term_stats")
-    totals(spark.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(f"{path}/corpus_stats")
-    for name in ("compound", "metadata"):
-        if getattr(index, name) is not None:
-            getattr(index, name).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def read(spark, path: str, analyzer: str = "legacy") -> Index:
-    extra = {name: spark.read.parquet(f"{path}/{name}") for name in ("compound", "metadata")} if analyzer == "english" else {}
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in TABLES), analyzer, **extra)

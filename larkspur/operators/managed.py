@@ -16,7 +16,7 @@ from larkspur.operators.lexical import role_rank
 
 # Limits, names and words without meaning for a query.
 ORIENTATION, QUERY_ORIENTATION, SNIPPET_CHARS, MIN_EVIDENCE = 3, 2, 160, 0.2
-HUB_NAMES = ("hot.md", "index.md", "overview.md")
+HUB_NAMES = ("hot.md", "index.md", "overview.md", "quickstart.md")
 ROUTES = ("search", "literal", "vector", "hybrid", "read")
 STOPWORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "can", "could", "for", "from", "how", "i", "in", "is", "it", "of", "on", "or", "please", "show", "tell", "that", "the", "this", "to", "was", "what",
@@ -38,19 +38,24 @@ class Scope:
         return hashlib.sha256("\0".join((self.namespace, self.source, self.adapter, self.projection_signature, self.source_signature)).encode()).hexdigest()
 
 
-def applies(pages: DataFrame, adapter: str) -> bool:
-    """For generic sources without authored hub pages."""
+def applies(pages: DataFrame, adapter: str, implementation: str = "generic-markdown") -> bool:
+    """For generic sources, read by the generic implementation, without authored hub pages."""
     named = pages.where(F.col("role").isin("hot", "index", "overview") & F.lower(F.element_at(F.split("path", "/"), -1)).isin(*HUB_NAMES))
-    return adapter == "generic-markdown" and named.isEmpty()
+    return adapter == implementation == "generic-markdown" and named.isEmpty()
 
 
 def page_key(page_id: Column, scope: Scope, secret: str) -> Column:
-    """An opaque key of a page within a scope: HMAC-SHA256 over both, as DataFrame functions."""
+    """An opaque key of a page within a scope."""
+    return page_key_in(page_id, F.lit(scope.digest()), secret)
+
+
+def page_key_in(page_id: Column, digest: Column, secret: str) -> Column:
+    """The key within the scope of a digest: HMAC-SHA256 over both, as DataFrame functions."""
     key = secret.encode()
     key = hashlib.sha256(key).digest() if len(key) > 64 else key
     key = key.ljust(64, b"\0")
     inner, outer = (F.unhex(F.lit(bytes(b ^ pad for b in key).hex())) for pad in (0x36, 0x5C))
-    said = F.concat(F.lit(scope.digest() + "\0"), page_id).cast("binary")
+    said = F.concat(digest, F.lit("\0"), page_id).cast("binary")
     return F.concat(F.lit("pk_"), F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, said), 256))), 256))
 
 

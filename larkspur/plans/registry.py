@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
-from larkspur.operators import catalog, chunks, evaluate, graph, guidance, hybrid, index, lexical, managed, usage, vector
-from larkspur.operators.cut import cut, persisted
+from larkspur.operators import catalog, chunks, embedding, evaluate, graph, guidance, hybrid, index, lexical, managed, stored, usage, vector, vector_store
+from larkspur.operators.cut import cut, shared_dir, signature
 from larkspur.plans.sql import ORACLES as ORACLES
 from larkspur.sources import corpus
 
@@ -21,9 +23,7 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
 
 def _index(s: SparkSession, d: str, analyzer: str = "legacy", fresh: bool = False) -> index.Index:
     """The stored index of the pages as their files are now."""
-    files = [f"{d}/{t}.parquet" for t in ("documents", "labels")]
-    path = persisted(s, f"index-{analyzer}", files, lambda to: index.write(index.build(_pages(s, d), analyzer), to), fresh)
-    return index.read(s, path, analyzer)
+    return stored.opened(s, "index", [f"{d}/{t}.parquet" for t in ("documents", "labels")], _pages(s, d), analyzer, fresh)
 
 
 def _bm25(s: SparkSession, d: str, limit: int = 8, visible: bool = False, analyzer: str = "legacy", **more) -> DataFrame:
@@ -137,6 +137,33 @@ def _index_build(s: SparkSession, d: str) -> DataFrame:
     return sizes[0].union(sizes[1]).union(sizes[2])
 
 
+def _refreshed(s: SparkSession, d: str) -> DataFrame:
+    """Searches in an index that was built of the pages as they once were and then followed them."""
+    path = f"{shared_dir(s)}/larkspur/refreshed-{uuid.uuid4().hex}"
+    stored.refresh(s, path, corpus.earlier_pages(s, d))
+    stored.refresh(s, path, _pages(s, d))
+    return lexical.search(stored.read(s, path), corpus.queries(s, d)).select(RESULT)
+
+
+def _changes(s: SparkSession, d: str) -> DataFrame:
+    return stored.compared(stored.listing(corpus.earlier_pages(s, d)), stored.listing(_pages(s, d)))
+
+
+def _vectors(s: SparkSession, d: str) -> tuple[str, dict]:
+    """The stored vectors of the pages' chunks as the files are now, and what they depend on."""
+    about = embedding.identity(embedding.HashedProjection(), chunker="paragraphs-1")
+    path = f"{shared_dir(s)}/larkspur/vectors-{signature(s, f'{d}/documents.parquet')}"
+    if vector_store.manifest(s, path, about) is None:
+        vector_store.write(embedding.embedded(chunks.chunks(_pages(s, d)), "chunk"), path, about)
+    return path, about
+
+
+def _semantic(s: SparkSession, d: str, within: DataFrame | None = None) -> DataFrame:
+    path, about = _vectors(s, d)
+    asked = embedding.embedded(corpus.queries(s, d), "query", out="vector")
+    return vector_store.search(s, path, about, asked, _pages(s, d), within=within).withColumn("score", F.round("score", 6))
+
+
 def _validate(s: SparkSession, d: str) -> DataFrame:
     docs, labels, vectors = (corpus.table(s, d, t) for t in ("documents", "labels", "embeddings"))
     a = evaluate.dangling(labels.select("doc_id"), "doc_id", docs, "doc_id").select(F.lit("label").alias("kind"), F.col("doc_id").alias("id"))
@@ -216,6 +243,8 @@ QUERIES = {
     "tokenize_terms": _tokens,
     "index_stats": _index_stats,
     "index_build": _index_build,
+    "index_refresh": _refreshed,
+    "index_changes": _changes,
     "doc_lengths": lambda s, d: index.tokenized(_pages(s, d)).select("page_id", "dl"),
     "bm25_topk": lambda s, d: _bm25(s, d).select(RESULT),
     "bm25_visible": lambda s, d: _bm25(s, d, visible=True).select(RESULT),
@@ -226,6 +255,8 @@ QUERIES = {
     "variants_rrf": _variants,
     "cosine_topk": lambda s, d: _vector(s, d, 8).withColumn("score", F.round("score", 6)).select(RESULT),
     "best_chunk_per_group": _best_chunks,
+    "semantic_topk": _semantic,
+    "semantic_within": lambda s, d: _semantic(s, d, _bm25(s, d).select("page_id")),
     "hybrid_plain_rrf": lambda s, d: hybrid.plain(_bm25(s, d, DEPTH), _vector(s, d), 8),
     "hybrid_seeds": lambda s, d: _seeds(s, d).fillna(0, ["lexical_rank", "vector_rank"]),
     "hybrid_related": lambda s, d: _related(s, d, _seeds(s, d)).withColumn("score", F.round("score", 6)),

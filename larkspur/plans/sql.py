@@ -125,6 +125,9 @@ ORACLES = {
     "index_stats": f"with {CORPUS}, t as (select page_id, {tokens(FULL)} t from corpus), p as (select page_id, unnest(t) token from t) select (select count(*) from t) n, round((select avg(len(t)) from t), 6) avgdl, (select count(distinct token) from p) n_terms, (select count(*) from (select distinct page_id, token from p)) n_postings",
     "index_build": f"with {CORPUS}, t as (select page_id, unnest({tokens(FULL)}) token from corpus) select 'postings' as name, count(*) n_rows from (select distinct page_id, token from t) union all select 'doc_stats', count(*) from corpus union all select 'term_stats', count(distinct token) from t",
     "doc_lengths": f"with {CORPUS} select page_id, len({tokens(FULL)})::bigint dl from corpus",
+    "index_refresh": f"{BASE} select {COLS} from {top('whole', 8)}",
+    "index_changes": f"""with {CORPUS} select page_id, case when status = 'blocked' then 'added' else 'changed' end change from corpus
+      where status = 'blocked' or review_state = 'draft' and (text <> title or summary <> title) union all select 'item-' || item_id, 'removed' from benchmark""",
     "bm25_topk": f"{BASE} select {COLS} from {top('whole', 8)}",
     "bm25_visible": f"with recursive {CORPUS}, {QUERIES}, seen as (select * from corpus where approved), {bm25('seen')} select {COLS} from {top('whole', 8)}",
     "bm25_min_score": f"{BASE}, m as (select * from whole where whole >= 6.0) select {COLS} from {top('m', 8)}",

@@ -38,6 +38,20 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def earlier_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as they once were: drafts had their title alone, blocked ones were not there, and each benchmark
+    passage was a page of its own that has gone since."""
+    now = pages(spark, sf_dir)
+    stub = F.col("review_state") == "draft"
+    before = now.where("status != 'blocked'").withColumns({c: F.when(stub, F.col("title")).otherwise(F.col(c)) for c in ("text", "summary")})
+    item = F.concat(F.lit("item-"), F.col("item_id").cast("string"))
+    own = table(spark, sf_dir, "benchmark").select(
+        F.lit(None).cast("long").alias("page_ord"), item.alias("page_id"), F.concat(F.lit("benchmark/"), item, F.lit(".md")).alias("path"), F.lit("").alias("title"), F.col("text"), X.summary(F.col("text")).alias("summary"),
+        F.lit("topic").alias("role"), F.array(F.lit("en")).alias("tags"), F.array(F.lit("benchmark")).alias("source_refs"), F.lit("").alias("status"), F.lit("unknown").alias("review_state"), F.lit(True).alias("approved"),
+    )
+    return before.unionByName(own)
+
+
 def queries(spark: SparkSession, sf_dir: str, most: int = 8) -> DataFrame:
     """(query_id, query): the first distinct tokens of each benchmark passage."""
     tokens = F.slice(F.array_distinct(X.legacy_tokens(F.col("text"))), 1, most)

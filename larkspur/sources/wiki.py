@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions import text as X
+from larkspur.sources import folder
 
 try:
     import yaml
@@ -20,7 +21,11 @@ except ImportError:
 
 # What marks a layout, what is never read, what is not served.
 QUARTZ = ("quartz.config.ts", "quartz.config.js", "quartz.config.yaml", "quartz.config.yml")
-IGNORED = (".git", "node_modules", ".venv", "__pycache__", ".obsidian", ".foam", ".trash")
+IGNORED = (".git", ".obsidian", ".foam", "node_modules", ".venv", "__pycache__", "dist", "build")
+NATIVE_ROOTS = ("wiki", "openwiki")
+HUB_FILES = ("index.md", "overview.md", "hot.md", "critical_facts.md", "quickstart.md")
+TYPED_FOLDERS = ("concepts", "entities", "sources", "queries", "comparisons", "synthesis", "syntheses", "projects", "categories", "questions")
+MARKER = ".wiki-compiler.json"
 BLOCKED = ("draft", "proposed", "needs_review", "blocked", "unpublished", "private", "hidden", "embargoed", "confidential", "internal", "withheld")
 STATES = ("approved", "reviewed", "verified", "draft", "proposed", "needs_review")
 WITHHELD_STATES = ("draft", "proposed", "needs_review")
@@ -48,33 +53,104 @@ def _dendron_vaults(root: str) -> list[str]:
     return [p for n in names if n and os.path.isdir(p := os.path.join(root, n))]
 
 
-def layout(root: str) -> Layout:
-    """The first layout that the folder's markers show, in the fixed order of the adapters."""
+# -- what folders hold
+
+
+def included(files: DataFrame) -> DataFrame:
+    """The files (path, folder, name, extension) that may count at all: none in folders that are never read, and no
+    pages among an editor's settings."""
+    parts = F.split("path", "/")
+    ignored = F.arrays_overlap(parts, F.array(*map(F.lit, IGNORED)))
+    return files.where(~ignored & ~(F.array_contains(parts, ".vscode") & F.col("extension").isin(".md", ".org")))
+
+
+def signals(files: DataFrame) -> DataFrame:
+    """(folder, marker, hubs, typed) for every folder that has any sign of being a wiki's root: a marker file, hub pages
+    by name, pages anywhere below one of its typed folders. Each file tells its own folder, and a page below a typed
+    folder tells the one above that, so one aggregation serves all folders of a tree of any depth."""
+    page, name = F.col("extension") == ".md", F.lower("name")
+    sign = lambda at, marker, hub, typed: F.struct(at.alias("folder"), marker.alias("marker"), hub.alias("hub"), F.lit(typed).alias("typed"))
+    hub = F.when(page & name.isin(*HUB_FILES), name)
+    own = sign(F.col("folder"), F.col("name") == MARKER, hub, False)
+    inside = F.split("folder", "/")
+    places = F.filter(F.sequence(F.lit(1), F.size(inside)), lambda k: page & F.element_at(inside, k).isin(*TYPED_FOLDERS))
+    above = F.transform(places, lambda k: sign(F.array_join(F.slice(inside, F.lit(1), k - 1), "/"), F.lit(False), F.lit(None).cast("string"), True))
+    told = files.select(F.explode(F.concat(F.array(own), above)).alias("s")).select("s.*").where("marker or hub is not null or typed")
+    return told.groupBy("folder").agg(F.max("marker").alias("marker"), F.sort_array(F.collect_set("hub")).alias("hubs"), F.max("typed").alias("typed"))
+
+
+class _Signs:
+    """The signals of the root ('') and its own folders, as the layouts ask for them."""
+
+    def __init__(self, rows) -> None:
+        self.of = {r["folder"]: (r["marker"], frozenset(r["hubs"]), r["typed"]) for r in rows}
+
+    def native(self, folder: str, name: str) -> bool:
+        """Whether the folder, of this name, is the root of a native wiki."""
+        marker, hubs, typed = self.of.get(folder, (False, frozenset(), False))
+        if marker or (folder and (hubs or typed)):
+            return True
+        return not folder and (self._named(name, hubs) or ("hot.md" in hubs and bool(hubs & {"index.md", "overview.md"})) or (bool(hubs) and typed))
+
+    def nested(self, folder: str) -> bool:
+        """Whether a folder below the root is likely to be a wiki of its own."""
+        marker, hubs, typed = self.of.get(folder, (False, frozenset(), False))
+        return marker or typed or self._named(folder, hubs) or len(hubs) >= 2
+
+    def _named(self, name: str, hubs: frozenset[str]) -> bool:
+        return name.casefold() in NATIVE_ROOTS and "quickstart.md" in hubs
+
+    def source_root(self, name: str) -> str | None:
+        """Of a native wiki the folder with its pages, '' being the root itself."""
+        below = next((n for n in NATIVE_ROOTS if n in self.of and self.native(n, n)), None)
+        return below if below is not None else "" if self.native("", name) else None
+
+    def hub_roots(self) -> tuple[str, ...]:
+        """Folders in which hub names count too."""
+        first = [n for n in NATIVE_ROOTS if n in self.of and self.native(n, n)]
+        rest = [f for f in sorted(self.of) if f and f not in NATIVE_ROOTS and f not in IGNORED and f != ".vscode" and self.nested(f)]
+        return (*first, *rest)
+
+
+def layout(root: str, spark: SparkSession | None = None) -> Layout:
+    """The first layout that the folder's markers show, in the fixed order of the adapters. With a session, the folder's
+    contents decide which folder is a native wiki's root and in which folders hub names count; else folder names do."""
     root = os.path.abspath(root)
     if not os.path.isdir(root):
         raise FileNotFoundError(f"no such wiki folder: {root}")
-    has = lambda *p: os.path.exists(os.path.join(root, *p))
-    sub = lambda p: os.path.join(root, p)
+
+    def own(*p: str) -> bool:
+        path = os.path.join(root, *p)
+        return os.path.exists(path) and not os.path.islink(path) and os.path.realpath(path).startswith(os.path.realpath(root))
+
+    def signs(at: str) -> _Signs:
+        if spark is None:
+            return _Signs([])
+        # the root's own folders only, however deep the tree
+        return _Signs(signals(included(folder.files(spark, at, contents=False))).where(~F.contains("folder", F.lit("/"))).collect())
+
+    has, sub = own, lambda p: os.path.join(root, p)
     if has(".obsidian"):
-        return Layout("obsidian", root, (root,), root)
+        return Layout("obsidian", root, (root,), root, hub_roots=signs(root).hub_roots())
     if has("logseq", "config.edn") or (os.path.isdir(sub("pages")) and os.path.isdir(sub("journals"))):
         return Layout("logseq", root, tuple(sub(p) for p in ("pages", "journals") if os.path.isdir(sub(p))), root, namespaced=True, extensions=(".md", ".org"))
     if has("dendron.yml"):
         vaults = _dendron_vaults(root)
         return Layout("dendron", root, tuple(vaults) or (root,), vaults[0] if len(vaults) == 1 else root, alias_last=True)
     if has(".foam"):
-        return Layout("foam", root, (root,), root)
+        return Layout("foam", root, (root,), root, hub_roots=signs(root).hub_roots())
     if has(".vscode", "extensions.json"):
         with open(sub(".vscode/extensions.json"), encoding="utf-8") as f:
             if "foam" in f.read().lower():
-                return Layout("foam", root, (root,), root)
+                return Layout("foam", root, (root,), root, hub_roots=signs(root).hub_roots())
     if any(has(q) for q in QUARTZ):
-        content = sub("content") if os.path.isdir(sub("content")) else root
-        return Layout("quartz", root, (content,), content)
-    for name in ("wiki", "openwiki"):
-        if os.path.isdir(sub(name)):
-            return Layout("native", root, (sub(name),), sub(name))
-    return Layout("markdown", root, (root,), root)
+        content = sub("content") if has("content") and os.path.isdir(sub("content")) else root
+        return Layout("quartz", root, (content,), content, hub_roots=signs(content).hub_roots())
+    found = signs(root)
+    source = found.source_root(os.path.basename(root)) if spark is not None else next((n for n in NATIVE_ROOTS if os.path.isdir(sub(n))), None)
+    if source is not None:
+        return Layout("native", root, (sub(source) if source else root,), sub(source) if source else root)
+    return Layout("markdown", root, (root,), root, hub_roots=found.hub_roots())
 
 
 @F.pandas_udf(T.StringType())
@@ -142,18 +218,37 @@ def parsed(raw: DataFrame, alias_last: bool = False, namespaced: bool = False) -
 
 
 def pages(spark: SparkSession, root: str) -> DataFrame:
-    """The pages of a wiki folder in the order of their paths; page_ord grows with it."""
-    how = layout(root)
-    names = F.col("_metadata.file_path")
-    raw = spark.read.text(list(how.scan_roots), wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("raw"), F.url_decode(F.replace(F.regexp_replace(names, "^file:/*", "/"), F.lit("+"), F.lit("%2B"))).alias("file"))
-    inside = raw.where(F.lower(F.regexp_extract("file", r"\.[^./]*$", 0)).isin(*how.extensions)).withColumn("path", F.substring("file", F.lit(len(how.path_root) + 2), F.length("file")))
-    parts = F.split("path", "/")
-    kept = inside.where(~F.arrays_overlap(parts, F.array(*map(F.lit, (*IGNORED, ".vscode")))))
-    hub = ~F.col("path").contains("/")
-    out = parsed(kept.select("path", "raw", hub.alias("hub")), how.alias_last, how.namespaced)
+    """The pages of a wiki folder in the order of their paths; page_ord grows with it. A folder without pages is an
+    error when it is read by the first action that needs a row: see ``checked``."""
+    how = layout(root, spark)
+    below = os.path.relpath(how.path_root, how.root)
+    cut = 0 if below == "." else len(below) + 1
+    scan = ["" if r == how.root else os.path.relpath(r, how.root) for r in how.scan_roots]
+    found = included(folder.files(spark, how.root, below=scan, extensions=how.extensions))
+    rows = found.select(F.substring("path", F.lit(cut + 1), F.length("path")).alias("path"), F.substring("folder", F.lit(cut + 1), F.length("folder")).alias("folder"), "raw")
+    hub = F.col("folder").isin("", *how.hub_roots)
+    out = parsed(rows.select("path", "raw", hub.alias("hub")), how.alias_last, how.namespaced)
     return out.orderBy("path").withColumn("page_ord", F.monotonically_increasing_id())
 
 
+def checked(spark: SparkSession, root: str) -> DataFrame:
+    """pages, or an error where there are none."""
+    found = pages(spark, root)
+    if found.isEmpty():
+        raise FileNotFoundError(f"no supported wiki files under {root}")
+    return found
+
+
+def described(spark: SparkSession, root: str) -> tuple[str, str]:
+    """The wiki's title and description: those that its first index page names, or its first overview page; else that
+    page's own title, else the folder's name."""
+    hubs = pages(spark, root).where("role in ('index', 'overview')")
+    first = hubs.orderBy(F.when(F.col("role") == "index", 0).otherwise(1), "page_ord").select("title", _entry(F.col("frontmatter"), "wiki_title").alias("wiki"), _entry(F.col("frontmatter"), "description").alias("said")).first()
+    if first is None:
+        return os.path.basename(os.path.abspath(root)), ""
+    return first["wiki"] or first["title"], first["said"] or ""
+
+
 EDGE = "struct<from:string,source:string,to:string,target:string,type:string,relation:string,confidence:string>"
 
 

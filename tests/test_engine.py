@@ -279,14 +279,6 @@ def test_layouts(tmp_path):
         wiki.layout(str(tmp_path / "none"))
 
 
-def test_index_round_trip(spark, pages, tmp_path):
-    built = index.build(pages)
-    index.write(built, str(tmp_path / "ix"))
-    back = index.read(spark, str(tmp_path / "ix"))
-    for name in ("postings", "doc_stats", "term_stats", "corpus_stats"):
-        assert sorted(one(getattr(built, name))) == sorted(one(getattr(back, name).select(*getattr(built, name).columns)))
-
-
 def test_labels_are_visible_in_words_and_links(spark):
     rows = [("api-v2", "the api v2 client"), ("api-v2", "apiv2 client"), ("api-v2", "myapi v2"), ("notes/Alpha.md", "see [[Alpha]]"), ("notes/Alpha.md", "alphabet"), ("Alpha", "x [go](notes/alpha.md#top) y"), ("", "text"), ("Größe", "GRÖSSE"), ("a", " ")]
     got = [r[0] for r in spark.createDataFrame(rows, "l string, t string").select(X.label_visible(F.col("l"), F.col("t"))).collect()]
