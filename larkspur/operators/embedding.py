@@ -14,9 +14,9 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Provider(Protocol):
@@ -75,8 +75,9 @@ _LOADED: dict[Callable[[], Provider], Provider] = {}
 
 
 def loaded(make: Callable[[], Provider]) -> Provider:
-    """The worker's own instance of a provider."""
+    """The worker's own instance of a provider; the last one made is kept."""
     if make not in _LOADED:
+        _LOADED.clear()
         _LOADED[make] = make()
     return _LOADED[make]
 
@@ -85,13 +86,17 @@ def embedded(texts: DataFrame, column: str, make: Callable[[], Provider] = Hashe
     """texts with the vector of a column; a null text is empty. A vector of another length than the provider's
     dimension, or one that is not finite, is an error, as everything compared with it would be wrong."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    names = [c for c in texts.columns if c != out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = loaded(make)
         for batch in batches:
-            made = np.asarray(provider.embed(["" if t is None else t for t in batch]), dtype=np.float32)
-            if made.shape != (len(batch), provider.dimension) or not np.isfinite(made).all():
-                raise ValueError(f"{provider.provider_id} must give {len(batch)} finite vectors of {provider.dimension}")
-            yield pd.Series(list(made), dtype=object)
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return texts.withColumn(out, F.pandas_udf(run, "array<float>")(F.col(column)))
+            said = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            made = np.asarray(provider.embed(["" if t is None else t for t in said]), dtype=np.float32)
+            if made.shape != (len(said), provider.dimension) or not np.isfinite(made).all():
+                raise ValueError(f"{provider.provider_id} must give {len(said)} finite vectors of {provider.dimension}")
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(made.reshape(-1)), provider.dimension).cast(pa.list_(pa.float32()))
+            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in names), vectors], names=[*names, out])
+
+    schema = T.StructType([*texts.select(*names).schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
+    return texts.mapInArrow(run, schema)

@@ -5,8 +5,7 @@ folders by bucket of the page's hash. Every block carries the digest of its iden
 bytes and places. A manifest that differs is a miss; a block is checked when a task reads it, and one that does not hold
 is left out of results and listed by ``bad_blocks``; ``repaired`` embeds the pages of such buckets again and writes
 these buckets anew. ``search`` scores a block against the whole query set at once, in double precision, and lets
-only the pages out that can be among a query's first ones. With candidates, the buckets that hold none are never read:
-what is broadcast for that is at most a number a bucket.
+only the pages out that can be among a query's first ones. With candidates, the buckets that hold none are never read.
 
 Defined results: chunks whose vector is null, of another length, zero or not finite are not stored; a store without
 vectors finds nothing; a zero or null query vector finds nothing; equal scores are told apart by role, path and page.
@@ -133,11 +132,12 @@ def repaired(spark: SparkSession, path: str, chunks: DataFrame, about: dict, mak
 
 
 def _near(blocks: DataFrame, candidates: DataFrame | None, buckets: int) -> DataFrame:
-    """The blocks of buckets that hold a candidate; the others' files are not opened."""
+    """The blocks of buckets that hold a candidate: a filter on the folders, so that the others' files are not listed.
+    The driver sees at most a number a bucket."""
     if candidates is None:
         return blocks
-    wanted = candidates.select(bucket_of(F.col("page_id"), buckets).alias("bucket")).distinct()
-    return blocks.join(F.broadcast(wanted), "bucket", "left_semi")
+    wanted = [r["bucket"] for r in candidates.select(bucket_of(F.col("page_id"), buckets).alias("bucket")).distinct().collect()]
+    return blocks.where(F.col("bucket").isin(wanted))
 
 
 def gathered(spark: SparkSession, path: str, about: dict, candidates: DataFrame | None = None) -> DataFrame:
