@@ -12,18 +12,23 @@ and IBANs get valid check digits again; dates are permuted as day numbers, addre
 Everything is DataFrame functions; texts without a digit or @ are passed on at once. No pattern repeats a group of
 varying length without a bound, so that no text, however long, deepens the stack of the pattern matcher.
 
-A run of digit groups may hold a card number beside other digits, and an IBAN may be followed by more groups. Where
-the whole run fails its check, shorter readings are tried at group borders: for cards from the leftmost group on the
-longest valid one of 13 to 19 digits, then once more behind it; for IBANs the longest valid one from the start. Runs
-of more than 37 digits are read in pieces of that many.
+Each kind is sought in a pass of its own (card numbers in two: those grouped as on cards come before phone numbers), over what the passes before it have left open. A match that fails its check
+becomes part of the open text again, together with what stands on both sides, and so does whatever lies before or behind
+the value inside a match: no failed or longer match can hide another kind. A run of digit groups may hold a card number
+beside other digits, and an IBAN may be followed by more groups. Where the whole run fails its check, shorter readings
+are tried at group borders: for cards from the leftmost group on the longest valid one of 13 to 19 digits, then once more
+behind it; for IBANs the longest valid one from the start. Runs of more than 37 digits are read in pieces of that many.
+
+A date with slashes is read as month/day, or as day/month where only that is a date; either reading is permuted within
+the dates that are read so and written the same way, so that different dates stay different.
 
 The key is an argument; the query takes it from the session's ``spark.larkspur.pii.key`` and only without one uses the
 demonstration key.
 
 Defined results: null stays null with zero counts; empty texts stay; numbers that fail their check in all readings are
-left alone; dates outside 1900-01-01 to 2099-12-30 are left alone, others are written with leading zeros; the longest
-reading at the leftmost place wins, and of a run with several valid readings ``restore`` may choose another one;
-repeated rows give equal results; a column named like a result is replaced by it, other extra columns pass through.
+left alone; dates outside 1900-01-01 to 2099-12-30 are left alone, others are written with leading zeros; where kinds
+overlap the one that comes first in PASSES wins, within a kind the longest reading at the leftmost place, and of a run
+with several valid readings ``restore`` may choose another one; repeated rows give equal results; a column named like a result is replaced by it, other extra columns pass through.
 """
 
 from __future__ import annotations
@@ -35,22 +40,26 @@ from larkspur.llm.common import let, table
 
 ROUNDS = 10
 DEMONSTRATION_KEY = "larkspur-demonstration-key"
-KINDS = ("email", "ip", "date", "iban", "ssn", "phone", "card", "key", "secret")
+KINDS = ("secret", "key", "email", "ip", "date", "iban", "ssn", "phone", "card")
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: In the order in which they are tried at a place.
 PATTERNS = {
     "secret": r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s?[=:]\s?[\"']?(?=[A-Za-z_/+-]*\d)[A-Za-z0-9_/+-]{8,}[\"']?)",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-](?:(?!\.\.)[A-Za-z0-9.-])*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
-    "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-]|\.\d)",
+    "date": r"(?<![\d./])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?!\d|[./]\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
+    "ssn": r"(?<!\d)(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?!\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,36}(?![\d-])",
+    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,36}(?!\d|-\d)",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A card number grouped as cards are, which no phone number before it may take a group from.
+GROUPED = r"(?<![\d.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|3\d{3}([ -])\d{6}\2\d{5}|\d{13,19})(?!\d|-\d)"
+#: The passes, in their order: a kind and what it is found by. What was found as one IBAN may hold another behind it.
+PASSES = [(k, PATTERNS[k]) for k in ("secret", "key", "email", "ip", "date", "iban", "iban")] + [("card", GROUPED)] + [(k, PATTERNS[k]) for k in ("ssn", "phone", "card")]
+#: What a text must hold to be read for a kind at all.
+SIGNS = {"secret": "[=:]", "key": "AKIA|ASIA", "email": "@", "ip": r"\d\.\d", "date": r"\d[-./]\d", "iban": r"[A-Z]{2}\d\d", "phone": r"\d{3}", "ssn": r"\d-\d", "card": r"\d[ -]?\d"}
 
 _DIGITS, _LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: Days from 1900-01-01; 184 * 397 of them are permuted.
@@ -143,10 +152,13 @@ def _parted(m: Column, place: Column) -> Column:
 
 
 def _iban_in(m: Column) -> Column:
-    """The longest valid IBAN from the start of m, as (before, value, after)."""
-    ends = F.filter(F.sequence(F.length(m), F.lit(15), F.lit(-1)), lambda n: (n == F.length(m)) | (F.substring(m, n + 1, F.lit(1)) == " "))
-    valid = F.filter(F.when(F.length(m) >= 15, ends), lambda n: _valid_iban(F.substring(m, F.lit(1), n)))
-    return let(F.get(valid, F.lit(0)), lambda n: _parted(m, F.when(n.isNotNull(), F.struct(F.lit(0).alias("s"), n.alias("n")))))
+    """The longest valid IBAN at the first place in m where one begins, at group borders, as (before, value, after)."""
+    spots = F.sequence(F.lit(1), F.length(m) - 14)
+    starts = F.filter(F.when(F.length(m) >= 15, spots), lambda i: ((i == 1) | (F.substring(m, i - 1, F.lit(1)) == " ")) & F.substring(m, i, F.lit(4)).rlike("^[A-Z]{2}[0-9]{2}$"))
+    ends = lambda a: F.filter(F.sequence(F.length(m), a + 14, F.lit(-1)), lambda e: (e == F.length(m)) | (F.substring(m, e + 1, F.lit(1)) == " "))
+    places = F.flatten(F.transform(starts, lambda a: F.transform(ends(a), lambda e: F.struct((a - 1).alias("s"), (e - a + 1).alias("n")))))
+    valid = F.filter(places, lambda p: _valid_iban(F.substring(m, p["s"] + 1, p["n"])))
+    return let(F.get(valid, F.lit(0)), lambda p: _parted(m, p))
 
 
 def _card_in(m: Column) -> Column:
@@ -173,14 +185,23 @@ def _within(found: Column, made) -> Column:
     return F.concat(found["before"], made(found["value"]), found["after"])
 
 
+def _number_of(day: Column) -> Column:
+    number = F.datediff(F.to_date(day), F.lit("1900-01-01").cast("date"))
+    return F.when((number >= 0) & (number < _DAY_A * _DAY_B), number)
+
+
 def _day(m: Column) -> Column:
+    """The number of a date's day, null where it is none."""
     iso = F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))
     dotted = F.try_to_timestamp(m, F.lit("d.M.yyyy"))
     slashed = F.try_to_timestamp(m, F.lit("M/d/yyyy"))
     other = F.try_to_timestamp(m, F.lit("d/M/yyyy"))
-    day = F.when(m.contains("-"), iso).when(m.contains("."), dotted).otherwise(F.coalesce(slashed, other))
-    number = F.datediff(F.to_date(day), F.lit("1900-01-01").cast("date"))
-    return F.when((number >= 0) & (number < _DAY_A * _DAY_B), number)
+    return _number_of(F.when(m.contains("-"), iso).when(m.contains("."), dotted).otherwise(F.coalesce(slashed, other)))
+
+
+def _day_first(m: Column) -> Column:
+    """Whether a date with slashes has its day first: its first number is no month."""
+    return m.contains("/") & (F.substring_index(m, "/", 1).cast("int") > 12)
 
 
 def _card(m: Column, key: str, back: bool) -> Column:
@@ -206,17 +227,25 @@ def _ip(m: Column, key: str, back: bool) -> Column:
     return let(o, lambda x: F.array_join(F.transform(_network(F.slice(x, 1, 2), F.slice(x, 3, 2), base, base, key, "ip", back), lambda v: v.cast("string")), "."))
 
 
+#: Turns within which a walk ends, but for one date in 10^26: two days in five are no turn's end.
+_WALK = 64
+
+
 def _date(m: Column, key: str, back: bool) -> Column:
-    def made(n: Column) -> Column:
+    day = lambda n: F.date_add(F.lit("1900-01-01").cast("date"), n)
+
+    def turned(n: Column) -> Column:
         parts = _network(F.array(F.floor(n / _DAY_B).cast("int")), F.array((n % _DAY_B).cast("int")), F.array(F.lit(_DAY_A)), F.array(F.lit(_DAY_B)), key, "date", back)
+        return let(parts, lambda p: F.get(p, F.lit(0)) * _DAY_B + F.get(p, F.lit(1)))
 
-        def written(p: Column) -> Column:
-            day = F.date_add(F.lit("1900-01-01").cast("date"), F.get(p, F.lit(0)) * _DAY_B + F.get(p, F.lit(1)))
-            return F.when(m.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(m.contains("."), F.date_format(day, "dd.MM.yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+    def walked(n: Column) -> Column:
+        """Turned again until the day of the month is no month's number: a permutation of those dates."""
+        return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), turned(n), lambda at, _: F.when(F.dayofmonth(day(at)) > 12, at).otherwise(turned(at)))
 
-        return let(parts, written)
+    def written(n: Column) -> Column:
+        return F.when(m.contains("-"), F.date_format(day(n), "yyyy-MM-dd")).when(m.contains("."), F.date_format(day(n), "dd.MM.yyyy")).when(_day_first(m), F.date_format(day(n), "dd/MM/yyyy")).otherwise(F.date_format(day(n), "MM/dd/yyyy"))
 
-    return let(_day(m), made)
+    return let(let(_day(m), lambda n: F.when(_day_first(m), walked(n)).otherwise(turned(n))), written)
 
 
 _SSN = (898, 99, 9999)
@@ -238,15 +267,66 @@ def _ssn(m: Column, key: str, back: bool) -> Column:
     return let(new, written)
 
 
-def kind(m: Column) -> Column:
-    """The kind of a match, or null if it fails its check."""
-    whole = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
-    checks = {"date": _day(m).isNotNull(), "iban": _iban_in(m).isNotNull(), "card": _card_in(m).isNotNull()}
-    out = None
-    for k in PATTERNS:
-        told = F.when(checks[k], F.lit(k)) if k in checks else F.lit(k)
-        out = F.when(whole(k), told) if out is None else out.when(whole(k), told)
-    return out
+def _located(kind: str, m: Column) -> Column:
+    """The value within a match, as (before, value, after); null where the match holds none."""
+    whole = F.struct(F.lit("").alias("before"), m.alias("value"), F.lit("").alias("after"))
+    if kind == "iban":
+        return _iban_in(m)
+    if kind == "date":
+        return F.when(_day(m).isNotNull(), whole)
+    if kind != "card":
+        return whole
+
+    def both(f: Column) -> Column:
+        longer = lambda r: F.struct(f["before"].alias("before"), F.concat(f["value"], r["before"], r["value"]).alias("value"), r["after"].alias("after"))
+        return F.when(f.isNotNull(), let(_card_in(f["after"]), lambda r: F.when(r.isNotNull(), longer(r)).otherwise(f)))
+
+    return let(_card_in(m), both)
+
+
+def _part(t: Column, kind: str | None) -> Column:
+    return F.struct(t.alias("t"), F.lit(kind).cast("string").alias("kind"))
+
+
+def _cut(t: Column, kind: str, pattern: str) -> Column:
+    """An open text as parts (t, kind): the values of a kind, and what is open between them."""
+
+    def parts(at: Column) -> Column:
+        found, rest, place = at["found"], at["rest"], at["place"]
+        good = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.get(place, i).isNotNull())
+        # texts between matches and the matches in turn; an open part is what lies between two values
+        turn = F.flatten(F.transform(rest, lambda x, i: F.array(x, F.coalesce(F.get(found, i), F.lit("")))))
+
+        def between(marks: Column) -> Column:
+            def one(j: Column) -> Column:
+                a, b = F.get(marks, j), F.get(marks, j + 1)
+                own = F.array_join(F.slice(turn, 2 * a + 3, 2 * (b - a) - 1), "")
+                open_ = F.concat(F.coalesce(F.get(place, a)["after"], F.lit("")), own, F.coalesce(F.get(place, b)["before"], F.lit("")))
+                return F.array(_part(open_, None), _part(F.coalesce(F.get(place, b)["value"], F.lit("")), kind))
+
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.size(marks) - 2), one))
+
+        marks = F.concat(F.array(F.lit(-1)), good, F.array(F.size(found)))
+        return F.when(F.size(good) > 0, let(marks, between)).otherwise(F.array(_part(t, None)))
+
+    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    held = let(found, lambda f: F.when(F.size(f) > 0, F.struct(f.alias("found"), F.split(t, pattern, -1).alias("rest"), F.transform(f, lambda m: _located(kind, m)).alias("place"))))
+    return let(held, lambda h: F.when(h.isNull(), F.array(_part(t, None))).otherwise(parts(h)))
+
+
+def _pass(parts: Column, kind: str, pattern: str) -> Column:
+    """parts with the values of a kind cut out of what is open."""
+    return F.flatten(F.transform(parts, lambda s: F.when(s["kind"].isNull() & s["t"].rlike(SIGNS[kind]), _cut(s["t"], kind, pattern)).otherwise(F.array(s))))
+
+
+def sought(docs: DataFrame) -> DataFrame:
+    """docs with their text as __parts (t, kind), kind null for what is none: kinds are sought one after another in what is
+    open. Texts without a digit or @ have none. Each array of parts is made once, behind a Generate."""
+    start = F.when(F.col("text").rlike("[0-9@]"), F.array(_part(F.col("text"), None)))
+    out = docs.withColumn("__parts", F.explode(F.array(start)))
+    for kind, pattern in PASSES:
+        out = out.withColumn("__parts", F.explode(F.array(_pass(F.col("__parts"), kind, pattern))))
+    return out.withColumn("__parts", F.filter("__parts", lambda s: s["t"] != ""))
 
 
 def _cards(m: Column, key: str, back: bool) -> Column:
@@ -256,8 +336,8 @@ def _cards(m: Column, key: str, back: bool) -> Column:
     return let(_card_in(m), lambda f: F.coalesce(F.concat(f["before"], one(f["value"]), rest(f["after"])), m))
 
 
-def pseudonym(m: Column, key: str, back: bool = False) -> Column:
-    """The pseudonym of a match; a match that fails its check as it is."""
+def pseudonym(m: Column, kind: Column, key: str, back: bool = False) -> Column:
+    """The pseudonym of a value of a kind; what is of none as it is."""
     no = F.lit(False)
     value = F.length(F.regexp_extract(m, r"^[^=:]*[=:]\s?[\"']?", 0))
     secret = permuted(m, value, "secret", key, ~F.lower(F.substring(m, value + 1, F.length(m))).rlike("[g-z]"), back)
@@ -265,32 +345,24 @@ def pseudonym(m: Column, key: str, back: bool = False) -> Column:
     tld = F.length(F.regexp_extract(m, r"\.[A-Za-z]+$", 0))
     email = F.concat(permuted(F.substring(m, F.lit(1), F.length(m) - tld), F.lit(0), "email", key, no, back), F.right(m, tld))
     made = {
-        "email": email, "ip": _ip(m, key, back), "date": _date(m, key, back), "iban": let(_iban_in(m), lambda f: _within(f, lambda v: _iban(v, key, back))), "ssn": _ssn(m, key, back),
+        "email": email, "ip": _ip(m, key, back), "date": _date(m, key, back), "iban": _iban(m, key, back), "ssn": _ssn(m, key, back),
         "phone": permuted(m, code, "phone", key, no, back), "card": _cards(m, key, back), "key": permuted(m, F.lit(4), "key", key, no, back), "secret": secret,
     }
-
-    def chosen(k: Column) -> Column:
-        out = F.when(k.isNull(), m)
-        for name, c in made.items():
-            out = out.when(k == name, c)
-        return out
-
-    return let(kind(m), chosen)
+    out = F.when(kind.isNull(), m)
+    for name, c in made.items():
+        out = out.when(kind == name, c)
+    return out
 
 
 def pseudonymize(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     """docs with text replaced, and a count n_<kind> of what was replaced."""
     names = [c for c in docs.columns if c != "text" and c not in {f"n_{k}" for k in KINDS}]
     text = F.col("text")
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    new = F.transform("__found", lambda m: F.struct(pseudonym(m, key, back).alias("new"), kind(m).alias("kind")))
-    # what lies between the matches, then both in turn; the array of structs is made once, behind a Generate
-    done = docs.select(*names, "text", found.alias("__found")).select(*names, "text", F.explode(F.array(F.when(F.size("__found") > 0, new))).alias("__new"))
-    rest = F.split("text", ANY, -1)
-    whole = let(rest, lambda s: F.array_join(F.transform(s, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("__new"), i)["new"], F.lit("")))), ""))
-    kinds = F.transform("__new", lambda x: x["kind"])
-    counts = [F.coalesce(F.size(kinds) - F.size(F.array_remove(kinds, k)), F.lit(0)).alias(f"n_{k}") for k in KINDS]
-    return done.select(*names, F.when(F.col("__new").isNull(), text).otherwise(whole).alias("text"), *counts)
+    done = sought(docs.select(*names, "text"))
+    whole = F.array_join(F.transform("__parts", lambda s: pseudonym(s["t"], s["kind"], key, back)), "")
+    kinds = F.transform("__parts", lambda s: F.coalesce(s["kind"], F.lit("")))
+    counts = [F.coalesce(F.size(kinds) - F.size(F.array_remove(kinds, k)), F.lit(0)).alias(f"n_{k}") for k in sorted(KINDS)]
+    return done.select(*names, F.when(F.col("__parts").isNull(), text).otherwise(whole).alias("text"), *counts)
 
 
 def restore(docs: DataFrame, key: str) -> DataFrame:
