@@ -175,21 +175,15 @@ def inline(text: Column, limit: int) -> Column:
 
 
 def nfc(text: Column) -> Column:
-    """Composed Unicode; an Arrow function, for short tables such as labels."""
-    import unicodedata
-
-    import pandas as pd
-
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))
-
-    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "string")(text)
+    """Composed Unicode, by the library that Spark itself compares strings with. Texts below U+0300 are composed as they
+    are and pass untouched, as most do."""
+    made = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike("[^\\x00-\\u02FF]"), made).otherwise(text)
 
 
 def relation_key(label: Column) -> Column:
-    """A label without case, marks and extension, for comparison."""
-    return F.regexp_replace(folded(F.regexp_replace(label, r"\.md$", "")), "[^a-z0-9가-힣]+", "")
+    """A label composed, without case, marks and extension, for comparison."""
+    return F.regexp_replace(folded(F.regexp_replace(nfc(label), r"\.md$", "")), "[^a-z0-9가-힣]+", "")
 
 
 def label_forms(label: Column) -> Column:

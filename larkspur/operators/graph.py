@@ -192,13 +192,14 @@ def _order(edges: DataFrame) -> list[str]:
     return ["edge_ord"] if "edge_ord" in edges.columns else ["source", "target", "relation"]
 
 
-def _ordered_steps(edges: DataFrame, direction: str, relations: list[str] | None) -> DataFrame:
-    """(a, b, key, source, target, relation): moves with the place of their edge, an edge's own direction first."""
+def _ordered_steps(edges: DataFrame, direction: str, relations: list[str] | None, outgoing_first: bool = False) -> DataFrame:
+    """(a, b, key, source, target, relation): moves with the place of their edge, an edge's own direction first; with
+    outgoing_first all of a node's outgoing edges before any of its incoming ones."""
     if direction not in DIRECTIONS:
         raise ValueError(f"direction is one of {DIRECTIONS}")
     used = edges if not relations else edges.where(F.col("relation").isin(relations))
     order = _order(edges)
-    side = lambda a, b, n: used.select(F.col(a).alias("a"), F.col(b).alias("b"), F.struct(*order, F.lit(n).alias("side")).alias("key"), "source", "target", "relation")
+    side = lambda a, b, n: used.select(F.col(a).alias("a"), F.col(b).alias("b"), F.struct(*([F.lit(n).alias("side"), *order] if outgoing_first else [*order, F.lit(n).alias("side")])).alias("key"), "source", "target", "relation")
     out, into = side("source", "target", 0), side("target", "source", 1)
     return out if direction == "out" else into if direction == "in" else out.union(into)
 
@@ -208,12 +209,30 @@ def neighbors(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, di
     from, then by the place of the edge. Nodes (id, depth, place), limit at most, and the edges looked at on the way
     that have both ends among them, (place, source, target, relation), in the order they were looked at."""
     require_nodes(nodes, start)
-    spark, limit, depth = edges.sparkSession, max(1, min(limit, MAX_PATHS)), max(0, min(depth, MAX_DEPTH))
+    seen = edges.sparkSession.createDataFrame([(start, 0, 0)], "id string, depth int, place int")
+    return _walk(nodes, _ordered_steps(edges, direction, relations), seen, depth, max(1, min(limit, MAX_PATHS)))
+
+
+def around(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth: int = 1, direction: str = "both", relations: list[str] | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The neighbourhood of several seeds, named like resolved_seeds takes them, in their order: a walk as neighbors has
+    it, but all of a node's outgoing edges come before its incoming ones; limit nodes and limit edges at most. Seeds that
+    name no node count for nothing."""
+    spark, limit = edges.sparkSession, max(1, min(limit, MAX_PATHS))
+    named = spark.createDataFrame(list(enumerate(seeds)), "at int, seed string")
+    found = resolved_seeds(nodes, named.select("seed").distinct()).join(named, "seed").groupBy("id").agg(F.min(F.struct("at", "id")).alias("o"))
+    # a few ids a seed
+    seen = cut(found.orderBy("o").limit(limit).withColumn("place", F.row_number().over(W.orderBy("o")) - 1).select("id", F.lit(0).alias("depth"), "place"), "seeds")
+    shown, looked = _walk(nodes, _ordered_steps(edges, direction, relations, outgoing_first=True), seen, depth, limit)
+    return shown, looked.where(F.col("place") <= limit)
+
+
+def _walk(nodes: DataFrame, ordered: DataFrame, seen: DataFrame, depth: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """From the nodes seen (id, depth, place) along ordered moves, level by level."""
+    spark, depth = nodes.sparkSession, max(0, min(depth, MAX_DEPTH))
     known = nodes.select(F.col("id").alias("b"))
-    moves = cut(_ordered_steps(edges, direction, relations).join(known, "b", "left_semi"), "moves")
-    seen = spark.createDataFrame([(start, 0, 0)], "id string, depth int, place int")
-    looked, count, frontier = None, 1, seen
-    for level in range(1, depth + 1):
+    moves = cut(ordered.join(known, "b", "left_semi"), "moves")
+    looked, count, frontier = None, seen.count(), seen
+    for level in range(1, depth + 1 if 0 < count < limit else 1):
         # the frontier has limit rows at most
         met = moves.join(F.broadcast(frontier.select(F.col("id").alias("a"), "place")), "a").select("b", F.struct("place", "key").alias("at"), "source", "target", "relation")
         met = cut(met, "met")

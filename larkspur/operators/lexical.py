@@ -192,6 +192,20 @@ def fuse_variants(channels: list[DataFrame], limit: int) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "page_id", "path", "role", F.round("fused", 6).alias("score"), "rank")
 
 
+def search_variants(source: DataFrame | I.Index, primary: DataFrame, variants: list[DataFrame], limit: int = 8, analyzer: str = "legacy", min_score: float | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """A query and its variants (query_id, query) fused by reciprocal rank; each channel is searched by itself, limit
+    results a query. Where the primary query is one identifier, only pages that hold it count, in the variants too;
+    ranks stay those of the channel."""
+    index = source if isinstance(source, I.Index) else I.build(source, analyzer)
+    channels = [search(index, q, limit, min_score=min_score, excluded=excluded) for q in (primary, *variants)]
+    if index.analyzer == "english":
+        _, holders = exact_scores(index, primary)
+        bound = holders.select("query_id").distinct().withColumn("bound", F.lit(True))
+        held = holders.where("page_id is not null").withColumn("holds", F.lit(True))
+        channels = [c.join(bound, "query_id", "left").join(held, ["query_id", "page_id"], "left").where("bound is null or holds").select(*c.columns) for c in channels]
+    return fuse_variants(channels, limit)
+
+
 def rerank_in_bands(results: DataFrame, priors: DataFrame, band: float) -> DataFrame:
     """results (query_id, page_id, path, role, score) re-ranked within bands of score: a band starts at its best score
     and ends where scores fall more than ``band`` below it; inside, score plus prior, clamped to the band, decides.

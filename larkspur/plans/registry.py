@@ -154,7 +154,7 @@ def _vectors(s: SparkSession, d: str) -> tuple[str, dict]:
     about = embedding.identity(embedding.HashedProjection(), chunker="paragraphs-1")
     path = f"{shared_dir(s)}/larkspur/vectors-{signature(s, f'{d}/documents.parquet')}"
     if vector_store.manifest(s, path, about) is None:
-        vector_store.write(embedding.embedded(chunks.chunks(_pages(s, d)), "chunk"), path, about)
+        vector_store.write(embedding.embedded(chunks.chunks(corpus.texts(s, d)), "chunk"), path, about)
     return path, about
 
 

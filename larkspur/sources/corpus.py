@@ -18,9 +18,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Bytes of files up to which a table of a few numbers a row is sent to every task.
+SMALL = 16 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast where its files are small; beyond that a join shuffles."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= SMALL else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, title, text) of every page, for what needs no labels."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("page_id"), F.substring(F.split(body, "\n")[0], 1, 80).alias("title"), body.alias("text"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page a document; labels give its review state and status."""
-    d, l = spread(table(spark, sf_dir, "documents")).alias("d"), table(spark, sf_dir, "labels").alias("l")
+    d, l = spread(table(spark, sf_dir, "documents")).alias("d"), small(table(spark, sf_dir, "labels")).alias("l")
     body = F.coalesce(F.col("d.text"), F.lit(""))
     return d.join(l, F.col("d.doc_id") == F.col("l.doc_id"), "left").select(
         F.col("d.doc_id").alias("page_ord"),
