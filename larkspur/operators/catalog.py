@@ -72,6 +72,35 @@ def context_pack(evidence: DataFrame, orientation: DataFrame, pages: DataFrame,
     return packs.crossJoin(F.broadcast(head)).withColumn("n_evidence", F.size("evidence").cast("long"))
 
 
+def whole_pack(
+    queries: DataFrame, evidence: DataFrame, orientation: DataFrame, pages: DataFrame, graph: tuple[DataFrame, DataFrame], about: dict[str, str], include_drafts: bool = False, limit: int = X.SNIPPET_LIMIT
+) -> DataFrame:
+    """One row a query (query_id, query), also of those without evidence: what the wiki is (about: title, description,
+    adapter, implementation), its counts, whether the query is answerable, orientation and evidence as context_pack has
+    them, what limits the answer, and the first nodes of the shown graph with the edges among them. pages are all
+    pages; evidence, orientation and graph are those that may be shown."""
+    packs = context_pack(evidence, orientation.limit(0), pages, queries, limit).select("query_id", "evidence")
+    counts = pages.agg(F.count(F.lit(1)).alias("page_count"), F.count_if("approved").alias("approved_page_count"))
+    head = orientation.agg(F.sort_array(F.collect_list(F.struct("rank", "page_id", "path", "score"))).alias("orientation"))
+    shown, among = graph_part(*graph)
+    # one row each: the counts, three orientation pages, at most GRAPH_NODES nodes and edges
+    common = counts.join(F.broadcast(head)).join(F.broadcast(shown)).join(F.broadcast(among))
+    each = queries.select("query_id", "query").join(packs, "query_id", "left").join(F.broadcast(common))
+    n = F.coalesce(F.size("evidence"), F.lit(0))
+    withheld = F.col("page_count") - F.col("approved_page_count")
+    said = F.array(F.when(n == 0, "No matching approved page was found."), F.when((withheld > 0) & F.lit(not include_drafts), F.concat(withheld.cast("string"), F.lit(" draft or unapproved page(s) were withheld."))))
+    named = [F.lit(about.get(k, "")).alias(k) for k in ("title", "description", "adapter", "implementation")]
+    return each.select("query_id", "query", *named, "page_count", "approved_page_count", (n > 0).alias("answerable"), "orientation", F.when(n > 0, F.col("evidence")).alias("evidence"), n.cast("long").alias("n_evidence"), F.array_compact(said).alias("limitations"), "graph_nodes", "graph_edges")
+
+
+def graph_part(nodes: DataFrame, edges: DataFrame, most: int = GRAPH_NODES) -> tuple[DataFrame, DataFrame]:
+    """One row with the ids of the first nodes, and one with the first edges among them."""
+    from larkspur.operators import graph as G
+
+    first, among = G.bounded(nodes, edges, most)
+    return first.agg(F.sort_array(F.collect_list("id")).alias("graph_nodes")), among.agg(F.sort_array(F.collect_list(F.struct("source", "target", "relation"))).alias("graph_edges"))
+
+
 def bundle(pages: DataFrame, title: str, adapter: str, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
     """One row: the source's id and title, its manifest, and its references as an ordered array."""
     refs = source_refs(pages.where("approved")).agg(F.sort_array(F.collect_list(F.struct("id", "label", "n_pages", "linked_pages", "linked_page_ids"))).alias("source_refs"))

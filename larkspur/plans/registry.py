@@ -201,6 +201,24 @@ def _context(s: SparkSession, d: str) -> DataFrame:
     return each.select("query_id", "n_evidence", "orientation", "e.rank", "e.page_id", "e.score", "e.title", "e.snippet")
 
 
+def _whole_context(s: SparkSession, d: str) -> DataFrame:
+    """The packs of the visible pages, of the queries and one that finds nothing."""
+    p = _pages(s, d)
+    asked = corpus.queries(s, d).union(s.createDataFrame([(-1, "zzzzqqq")], "query_id long, query string"))
+    found = lexical.search(_index(s, d).visible(), asked)
+    shown = tuple(cut(t, "shown") for t in graph.approved(*_graph(s, d), p))
+    pack = catalog.whole_pack(asked, found, lexical.overview(lexical.visible(p), 3), p, shown, {"title": "corpus"})
+    names = F.transform("orientation", lambda x: x["page_id"])
+    return pack.select("query_id", "query", "page_count", "approved_page_count", "answerable", "n_evidence", names.alias("orientation"), F.array_join("limitations", "|").alias("limitations"), F.size("graph_nodes").cast("long").alias("n_graph_nodes"))
+
+
+def _around(s: SparkSession, d: str) -> DataFrame:
+    edges = corpus.relational_edges(s, d)
+    ids = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
+    nodes = ids.select("id", F.col("id").alias("label"), F.lit("").alias("path"))
+    return graph.around(nodes, edges, ["customer:1", "nation:3"], 1, "both", limit=40)[1]
+
+
 def _dispatched(s: SparkSession, d: str) -> DataFrame:
     """The queries, a blank one and one of marks only."""
     silent = s.createDataFrame([(-1, " "), (-2, "?!")], "query_id long, query string")
@@ -289,6 +307,8 @@ QUERIES = {
     "page_cards": lambda s, d: guidance.page_cards(_pages(s, d), corpus.queries(s, d)),
     "redacted_docs": lambda s, d: corpus.table(s, d, "documents").select("doc_id", guidance.redacted(F.col("text")).alias("text")),
     "context_pack": _context,
+    "context_whole": _whole_context,
+    "graph_around": _around,
     "content_signature": lambda s, d: catalog.content_signature(_pages(s, d)),
     "page_summaries": lambda s, d: _pages(s, d).select("page_id", "summary", X.headings(F.col("text")).alias("headings")),
     "quality_gates": _gates,

@@ -200,6 +200,25 @@ g as (select 'bm25' run_id, unnest([{{'gate': 'recall_at_5', 'value': r5, 'thres
   {{'gate': 'citation_precision', 'value': null, 'threshold': 0.95::double, 'passed': false}}, {{'gate': 'citation_recall', 'value': null, 'threshold': 0.85::double, 'passed': false}}, {{'gate': 'negative_false_positive_rate', 'value': null, 'threshold': 0.05::double, 'passed': false}}]) x from m
   union all select run_id, unnest([{{'gate': 'query_count', 'value': n::double, 'threshold': 50.0::double, 'passed': n >= 50}}, {{'gate': 'judged_query_count', 'value': n::double, 'threshold': 50.0::double, 'passed': n >= 50}}]) from m, (values ('bm25'), ('telemetry')) v(run_id))
 select run_id, x.gate, round(x.value, 8) "value", x.threshold, x.passed from g""",
+    "context_whole": f"""with recursive {CORPUS}, {QUERIES}, {PROJECTED}, seen as (select * from corpus where approved),
+asked as (select query_id, query, toks from qs join queries using (query_id) union all select -1, 'zzzzqqq', ['zzzzqqq']), {bm25('seen', 'asked')},
+h as (select role, min(path) path from seen where role <> 'topic' group by 1),
+o as (select c.page_id, row_number() over (order by case when h.path is not null then {ROLE_RANK.replace('role', 'c.role')} else 3 end, {ROLE_RANK.replace('role', 'c.role')}, c.path) rank from seen c left join h on h.role = c.role and h.path = c.path),
+good as (select 'page:' || page_id id, path from corpus where approved),
+keep as (select id from good union select id from nodes where id not like 'page:%' and path in (select path from good)
+  union select target from pedges where source in (select id from good) and target not like 'page:%'),
+num as (select (select count(*) from corpus) page_count, (select count(*) from seen) approved_page_count, (select list(page_id order by rank) from o where rank <= 3) orientation, (select least(count(*), 120) from nodes where id in (select id from keep)) n_graph_nodes),
+e as (select query_id, count(*) k from {top('whole', 8)} group by 1)
+select query_id, query, page_count, approved_page_count, coalesce(k, 0) > 0 answerable, coalesce(k, 0)::bigint n_evidence, orientation,
+  concat_ws('|', case when k is null then 'No matching approved page was found.' end, case when page_count > approved_page_count then (page_count - approved_page_count)::varchar || ' draft or unapproved page(s) were withheld.' end) limitations, n_graph_nodes
+from asked left join e using (query_id), num""",
+    "graph_around": f"""with {EDGES}, seeds as (select 'customer:1' id, 0 place union all select 'nation:3', 1),
+m as (select *, row_number() over (order by place, side, source, target, relation) k from (
+  select place, 0 side, source, target, relation, target other from edges join seeds on source = id union all select place, 1, source, target, relation, source from edges join seeds on target = id)),
+n as (select k, count(*) filter (where new) over (order by k) + 2 met from (select k, other not in (select id from seeds) and k = min(k) over (partition by other) new from m)),
+seen as (select m.* from m where k <= coalesce((select min(k) from n where met >= 40), 1000000000)),
+each as (select source, target, relation, min(k) k from seen group by all)
+select * from (select row_number() over (order by k) place, source, target, relation from each) where place <= 40""",
     "graph_neighbors": f"with {EDGES}, m as (select target id, source, target, relation, 0 side from edges where source = 'nation:3' union all select source, source, target, relation, 1 from edges where target = 'nation:3'), f as (select id, min((source, target, relation, side)) k from m where id <> 'nation:3' group by 1) select 'nation:3' id, 0 depth, 0 place union all select id, 1, place from (select id, row_number() over (order by k) place from f) where place < 500",
     "managed_orientation": f"""with {CORPUS}, {PROJECTED}, i as (select target id, count(*) i from pedges where target like 'page:%' group by 1), o as (select source id, count(*) o from pedges where source like 'page:%' group by 1),
 l as (select page_id, path, {CLEAN.format('text')} t, row_number() over (order by 2.0::double * coalesce(i, 0) + 0.4::double * coalesce(o, 0) + 0.5::double * (source_refs is not null)::int + 1.0::double / len(string_split(path, '/')) desc, path) rank from corpus left join i on i.id = 'page:' || page_id left join o on o.id = 'page:' || page_id where role = 'topic')
