@@ -28,13 +28,16 @@ def wiki_title(pages: DataFrame) -> DataFrame:
 
 def source_refs(pages: DataFrame) -> DataFrame:
     """(id, label, linked_pages, linked_page_ids, n_pages): references in order of id, pages in page order. Labels whose
-    slugs meet keep the slug for the first seen; the others get part of their digest."""
+    slugs meet keep the slug for the first seen; the others get part of their digest, and a number where that is taken."""
     each = pages.select("page_ord", "page_id", "path", F.posexplode("source_refs").alias("k", "label"))
     grouped = each.groupBy("label").agg(F.min(F.struct("page_ord", "k")).alias("seen"), F.sort_array(F.collect_set(F.struct("page_ord", "path", "page_id"))).alias("p"))
     w = W.partitionBy("base").orderBy("seen")
     named = grouped.withColumn("base", F.lower(X.slug(F.col("label")))).withColumn("r", F.row_number().over(w))
     ref = F.when(F.col("r") == 1, F.col("base")).otherwise(F.concat(F.col("base"), F.lit("-"), F.substring(F.sha2(F.col("label"), 256), 1, 8)))
-    return named.select(ref.alias("id"), "label", F.transform("p", lambda x: x["path"]).alias("linked_pages"), F.transform("p", lambda x: x["page_id"]).alias("linked_page_ids"), F.size("p").cast("long").alias("n_pages"))
+    again = W.partitionBy("ref").orderBy("r", "seen")
+    numbered = named.withColumn("ref", ref).withColumn("again", F.row_number().over(again))
+    ref = F.when(F.col("again") == 1, F.col("ref")).otherwise(F.concat_ws("-", "ref", F.col("again").cast("string")))
+    return numbered.select(ref.alias("id"), "label", F.transform("p", lambda x: x["path"]).alias("linked_pages"), F.transform("p", lambda x: x["page_id"]).alias("linked_page_ids"), F.size("p").cast("long").alias("n_pages"))
 
 
 def read(pages: DataFrame, page: str, include_drafts: bool = False) -> DataFrame:

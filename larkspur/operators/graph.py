@@ -90,6 +90,24 @@ def with_sidecar(edges: DataFrame, sidecar: DataFrame, pages: DataFrame) -> Data
     return edges.union(made).distinct()
 
 
+def sidecar_facts(sidecar: DataFrame, pages: DataFrame, file: str = "graph/graph.json") -> tuple[DataFrame, DataFrame]:
+    """What a sidecar file adds with what it says of it: nodes (id, label, kind, path, metadata) of ends that are no page,
+    with the path of the page at the other end, and edges (source, target, relation, metadata) with the file and the
+    confidence, where it is a number. merged_metadata brings repeated edges together."""
+    names = page_keys(pages).join(pages.select(F.col("page_id").alias("target"), "path"), "target")
+    end = lambda n: names.select(F.col("key").alias(f"k{n}"), F.col("target").alias(f"p{n}"), F.col("path").alias(f"path{n}"))
+    given = sidecar.where("source != '' and target != ''")
+    joined = given.join(end("a"), key(F.col("source")) == F.col("ka"), "left").join(end("b"), key(F.col("target")) == F.col("kb"), "left")
+    meta = lambda **kv: F.map_filter(F.create_map(*(x for k, v in kv.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+    number = F.when(F.col("confidence") == F.floor("confidence"), F.floor("confidence").cast("string")).otherwise(F.col("confidence").cast("string"))
+    told = meta(source=F.lit("graph.json"), path=F.lit(file), confidence=number)
+    edges = joined.select(F.coalesce(page_node(F.col("pa")), unresolved_id(F.col("source"))).alias("source"), F.coalesce(page_node(F.col("pb")), unresolved_id(F.col("target"))).alias("target"), X.relation(F.col("type")).alias("relation"), told.alias("metadata"))
+    lost = lambda value, own, other: joined.where(F.col(own).isNull()).select(unresolved_id(F.col(value)).alias("id"), F.col(value).alias("label"), link_kind(F.col(value)).alias("kind"), F.coalesce(other, F.lit("")).alias("path"))
+    both = lost("source", "pa", "pathb").union(lost("target", "pb", "patha"))
+    nodes = both.groupBy("id").agg(F.min(F.struct("label", "kind", "path")).alias("n")).select("id", "n.*", meta(unresolved=F.lit("true"), source=F.lit("graph.json")).alias("metadata"))
+    return nodes, edges
+
+
 def merged_metadata(edges: DataFrame) -> DataFrame:
     """One row an edge (source, target, relation), its metadata map merged: differing values of a key are listed in the
     order of edge_ord. edges: (source, target, relation, edge_ord, metadata map<string,string>)."""

@@ -141,6 +141,13 @@ def test_hierarchy_sidecar_and_metadata(spark, pages):
     assert one(graph.with_hierarchy(none, p)) == [("page:root.kid", "page:root", "child_of")]
     side = spark.createDataFrame([("K", "R", "Depends On", 0.5), ("K", "else", None, None)], "source string, target string, type string, confidence double")
     assert set(one(graph.with_sidecar(none, side, p))) == {("page:root.kid", "page:root", "depends_on"), ("page:root.kid", "placeholder:else", "related_to")}
+    nodes, edges = graph.sidecar_facts(side.union(spark.createDataFrame([("gone", "https://x.example/a", "Uses", 1.0)], side.schema)), p)
+    file = {"source": "graph.json", "path": "graph/graph.json"}
+    assert {(r["source"], r["target"], r["relation"], tuple(sorted(r["metadata"].items()))) for r in edges.collect()} == {
+        ("page:root.kid", "page:root", "depends_on", tuple(sorted((file | {"confidence": "0.5"}).items()))), ("page:root.kid", "placeholder:else", "related_to", tuple(sorted(file.items()))),
+        ("placeholder:gone", edges.where("relation = 'uses'").first()["target"], "uses", tuple(sorted((file | {"confidence": "1"}).items()))),
+    }
+    assert {(r["label"], r["kind"], r["path"], r["metadata"]["unresolved"]) for r in nodes.collect()} == {("else", "placeholder", "root.kid.md", "true"), ("gone", "placeholder", "", "true"), ("https://x.example/a", "external_ref", "", "true")}
     m = spark.createDataFrame([("a", "b", "r", 1, {"k": "1", "z": ""}), ("a", "b", "r", 0, {"k": "2", "q": "3"})], "source string, target string, relation string, edge_ord long, metadata map<string,string>")
     assert graph.merged_metadata(m).first()["metadata"] == {"k": ["2", "1"], "q": ["3"]}
 
