@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 
 # Sizes.
 MAX_CHARS, MAX_WORDS, MIN_ROOM = 1200, 180, 200
+#: Pages whose chunks a worker holds at a time.
+TOGETHER = 256
 _HEADING = re.compile(r"(#{1,6})\s+(.+)")
 _WORD = re.compile(r"\S+")
 
@@ -70,7 +72,9 @@ def chunks(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, k, *c) for p, t, x in zip(b["page_id"], b["title"], b["text"], strict=True) for k, c in enumerate(page_chunks(t or "", x or ""))]
-            yield pd.DataFrame(rows, columns=["page_id", "ordinal", "start", "end", "heading", "chunk"])
+            for at in range(0, max(len(b), 1), TOGETHER):
+                part = b.iloc[at : at + TOGETHER]
+                rows = [(p, k, *c) for p, t, x in zip(part["page_id"], part["title"], part["text"], strict=True) for k, c in enumerate(page_chunks(t or "", x or ""))]
+                yield pd.DataFrame(rows, columns=["page_id", "ordinal", "start", "end", "heading", "chunk"])
 
     return pages.select("page_id", "title", "text").mapInPandas(run, "page_id string, ordinal int, start int, end int, heading string, chunk string")

@@ -42,7 +42,7 @@ def identity_digest(about: dict[str, str | int]) -> str:
 class HashedProjection:
     provider_id, model_id, model_revision, distance_metric = "hashed-projection", "letter-grams", "1", "cosine"
 
-    def __init__(self, dimension: int = 256, buckets: int = 4096, gram: int = 4, seed: int = 20_240_501) -> None:
+    def __init__(self, dimension: int = 128, buckets: int = 4096, gram: int = 4, seed: int = 20_240_501) -> None:
         self.dimension, self.buckets, self.gram = dimension, buckets, gram
         self.signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0], dtype=np.float32), (buckets, dimension))
 

@@ -102,6 +102,13 @@ def manifest(spark: SparkSession, path: str, about: dict):
     return row if same else None
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One block at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _holds(block: dict, digest: str, dimension: int) -> bool:
     n = len(block["pages"] or [])
     sized = block["dimension"] == dimension and len(block["matrix"] or b"") == 4 * n * dimension and all(len(block[c] or []) == n for c in ("ordinals", "starts", "ends"))
@@ -113,9 +120,9 @@ def bad_blocks(spark: SparkSession, path: str, about: dict) -> DataFrame:
     digest, dimension = embedding.identity_digest(about), int(about["dimension"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad = [b for b in batch.to_pylist() if not _holds(b, digest, dimension)]
-            yield pa.record_batch([pa.array([b["bucket"] for b in bad], pa.int32()), pa.array([len(b["pages"] or []) for b in bad], pa.int32())], names=["bucket", "vectors"])
+        for b in _each(batches):
+            if not _holds(b, digest, dimension):
+                yield pa.record_batch([pa.array([b["bucket"]], pa.int32()), pa.array([len(b["pages"] or [])], pa.int32())], names=["bucket", "vectors"])
 
     return _all_blocks(spark, path).mapInArrow(run, "bucket int, vectors int")
 
@@ -148,12 +155,11 @@ def gathered(spark: SparkSession, path: str, about: dict, candidates: DataFrame
     digest, dimension = held["identity"], held["dimension"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in batch.to_pylist():
-                if _holds(b, digest, dimension):
-                    flat = pa.array(np.frombuffer(b["matrix"], dtype="<f4"))
-                    vectors = pa.FixedSizeListArray.from_arrays(flat, dimension).cast(pa.list_(pa.float32()))
-                    yield pa.record_batch([pa.array(b["pages"], pa.string()), *(pa.array(b[c], pa.int32()) for c in ("ordinals", "starts", "ends")), vectors], names=["page_id", "ordinal", "start", "end", "embedding"])
+        for b in _each(batches):
+            if _holds(b, digest, dimension):
+                flat = pa.array(np.frombuffer(b["matrix"], dtype="<f4"))
+                vectors = pa.FixedSizeListArray.from_arrays(flat, dimension).cast(pa.list_(pa.float32()))
+                yield pa.record_batch([pa.array(b["pages"], pa.string()), *(pa.array(b[c], pa.int32()) for c in ("ordinals", "starts", "ends")), vectors], names=["page_id", "ordinal", "start", "end", "embedding"])
 
     rows = _near(_all_blocks(spark, path), candidates, held["buckets"]).mapInArrow(run, "page_id string, ordinal int, start int, end int, embedding array<float>")
     return rows if candidates is None else rows.join(candidates.select("page_id").distinct(), "page_id", "left_semi")
@@ -164,24 +170,23 @@ def _scorer(asked, digest: str, dimension: int, most: int) -> Callable:
     ids, matrix = asked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in batch.to_pylist():
-                if not _holds(b, digest, dimension):
-                    continue
-                own = np.frombuffer(b["matrix"], dtype="<f4").reshape(-1, dimension).astype(np.float64)
-                scores = own @ matrix.T / np.sqrt(np.einsum("ij,ij->i", own, own))[:, None]
-                # rows are sorted by page and ordinal, so the first greatest of a page has its lowest ordinal
-                first = [k for k, p in enumerate(b["pages"]) if not k or p != b["pages"][k - 1]]
-                best = np.maximum.reduceat(scores, first, axis=0)
-                page = np.repeat(np.arange(len(first)), np.diff([*first, len(own)]))
-                least = np.sort(best, axis=0)[-most] if len(first) > most else np.full(best.shape[1], -np.inf)
-                out = []
-                for r, q in zip(*np.nonzero(best >= least), strict=True):
-                    k = first[r] + int(np.argmax(scores[page == r, q]))
-                    out.append((ids[q], b["pages"][k], b["ordinals"][k], b["starts"][k], b["ends"][k], float(best[r, q])))
-                kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-                columns = zip(*out, strict=True) if out else [[]] * 6
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "page_id", "ordinal", "start", "end", "score"])
+        for b in _each(batches):
+            if not _holds(b, digest, dimension):
+                continue
+            own = np.frombuffer(b["matrix"], dtype="<f4").reshape(-1, dimension).astype(np.float64)
+            scores = own @ matrix.T / np.sqrt(np.einsum("ij,ij->i", own, own))[:, None]
+            # rows are sorted by page and ordinal, so the first greatest of a page has its lowest ordinal
+            first = [k for k, p in enumerate(b["pages"]) if not k or p != b["pages"][k - 1]]
+            best = np.maximum.reduceat(scores, first, axis=0)
+            page = np.repeat(np.arange(len(first)), np.diff([*first, len(own)]))
+            least = np.sort(best, axis=0)[-most] if len(first) > most else np.full(best.shape[1], -np.inf)
+            out = []
+            for r, q in zip(*np.nonzero(best >= least), strict=True):
+                k = first[r] + int(np.argmax(scores[page == r, q]))
+                out.append((ids[q], b["pages"][k], b["ordinals"][k], b["starts"][k], b["ends"][k], float(best[r, q])))
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "page_id", "ordinal", "start", "end", "score"])
 
     return run
 
