@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.operators import hybrid, lexical, usage
+from larkspur.operators import guidance, hybrid, lexical, usage
 
 SUMMARY = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^#{1,6}\s+', '', 'g'), '\s+', ' ', 'g'))"
 CORPUS = f"""corpus as (select page_ord, page_id, path, title, text, case when length(s) <= 360 then s else rtrim(left(s, 359)) || '...' end summary, role, tags, source_refs, status, review_state, approved from (
@@ -14,6 +14,10 @@ CORPUS = f"""corpus as (select page_ord, page_id, path, title, text, case when l
 TOKEN = "[A-Za-z0-9][A-Za-z0-9_.-]*(?:[가-힣]+)?|[가-힣]+"
 
 
+#: The fixed pattern as an engine without lookbehind and possessive repeats reads it.
+SENSITIVE = guidance.SENSITIVE.replace("(?iU)", "(?i)").replace("(?<![a-z0-9-])-*+[a-z0-9][a-z0-9-]*+", "(?:^|[^a-z0-9-])-*[a-z0-9][a-z0-9-]*").replace("'", "''")
+
+
 def tokens(expr: str) -> str:
     return f"list_transform(regexp_extract_all({expr}, '{TOKEN}'), lambda x: lower(x))"
 
@@ -174,7 +178,7 @@ keep as (select id from good union select id from nodes where id not like 'page:
     "manifest": f"with {CORPUS}, {PROJECTED} select count(*) page_count, count(*) filter (where approved) approved_count, arg_min(path, page_ord) filter (where role = 'hot') hot_path, arg_min(path, page_ord) filter (where role = 'index') index_path, arg_min(path, page_ord) filter (where role = 'overview') overview_path, (select count(*) from nodes) node_count, (select count(*) from pedges) edge_count from corpus",
     "source_refs": f"with {CORPUS} select lower({SLUG.format('source_refs')}) id, source_refs as label, list(path order by page_ord) linked_pages, list(page_id order by page_ord) linked_page_ids, count(*) n_pages from corpus where approved and source_refs is not null group by source_refs",
     "read_page": f"with {CORPUS} select page_id, path, title, role from corpus where page_id = '7' order by page_ord limit 1",
-    "sensitive_docs": "select doc_id, coalesce(regexp_matches(text, '(?i)\\b(password|passwd|secret|api[_-]?key|access[_-]?token|bearer|credential|private[_-]?key)s?\\b\\s*[:=]|\\bAKIA[0-9A-Z]{16}\\b|https?://[^\\s/]*@'), false) is_sensitive from documents",
+    "sensitive_docs": f"select doc_id, coalesce(replace(lower(trim(text)), '-', '_') in {guidance.SENSITIVE_ALONE} or regexp_matches(text, '{SENSITIVE}'), false) is_sensitive from documents",
     "hit_counters": f"with recursive {HITS} select page_key, round(counter, 4) counter, round(last_hit, 3) last_hit from state",
     "usage_priors": f"with recursive {HITS}, n as (select max(last_hit) now from state), d as (select page_key, least({usage.CAP}, counter * pow(0.5, greatest(0, now - last_hit) / {usage.HALF_LIFE})) c from state, n) select page_key, round(c, 4) counter, round({usage.BOOST} * least(c, {usage.CAP}) / {usage.CAP}, 6) boost from d where c > {usage.FLOOR}",
     "orientation_scores": f"""with {CORPUS}, {PROJECTED}, i as (select target id, count(*) i from pedges where target like 'page:%' group by 1), o as (select source id, count(*) o from pedges where source like 'page:%' group by 1)
