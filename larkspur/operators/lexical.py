@@ -13,6 +13,8 @@ from larkspur.operators import index as I
 K1, B = 1.2, 0.75
 COMPOUND_WEIGHT, METADATA_WEIGHT = 0.85, 0.35
 RRF_K = 60
+#: Query tokens up to which they are sent to the postings instead of shuffling these.
+SENT = 100_000
 DIGITS = 4
 
 
@@ -68,6 +70,8 @@ def text_scores(index: I.Index, queries: DataFrame) -> DataFrame:
     postings = I.only(index.postings, wanted)
     weighted = wanted.join(I.only(index.term_stats, wanted), "token").crossJoin(F.broadcast(index.corpus_stats))
     score = idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl")) * F.col("weight")
+    if wanted.limit(SENT + 1).count() <= SENT:
+        weighted = F.broadcast(weighted)  # a row a query's token: the postings stay where they are
     return postings.join(weighted, "token").select("query_id", "page_id", score.alias("s")).groupBy("query_id", "page_id").agg(F.sum("s").alias("text_score"))
 
 
