@@ -54,8 +54,11 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,36}(?!\d|-\d)",
 }
-#: A card number grouped as cards are, which no phone number before it may take a group from.
-GROUPED = r"(?<![\d.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|3\d{3}([ -])\d{6}\2\d{5}|\d{13,19})(?!\d|-\d)"
+#: A card number grouped as cards are, which no phone number before it may take a group from, or two of them in a row.
+GROUPED = (
+    r"(?<![\d.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|3\d{3}([ -])\d{6}\2\d{5}|\d{13,19})"
+    r"(?:[ -](?:\d{4}([ -])\d{4}\3\d{4}\3\d{4}|3\d{3}([ -])\d{6}\4\d{5}|\d{13,19}))?(?!\d|-\d)"
+)
 #: The passes, in their order: a kind and what it is found by. What was found as one IBAN may hold another behind it.
 PASSES = [(k, PATTERNS[k]) for k in ("secret", "key", "email", "ip", "date", "iban", "iban")] + [("card", GROUPED)] + [(k, PATTERNS[k]) for k in ("ssn", "phone", "card")]
 #: What a text must hold to be read for a kind at all.
