@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns, weights and limits that the results depend on.
@@ -27,6 +27,17 @@ INLINE_TAG = r"(?U)(?<![\w/])#([A-Za-z0-9가-힣][A-Za-z0-9가-힣_./-]*)"
 TAGS_LINE = r"(?im)^\s*tags::\s*(.+?)\s*$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row, however often body uses it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def exploded(df: DataFrame, values: Column, name: str, *keep: str | Column) -> DataFrame:
+    """df's columns to keep and a row a value that is not null. The planner would put a test of its own before a plain
+    explode, which works out values twice more."""
+    return df.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def clean(text: Column) -> Column:
     """White space runs to one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -39,11 +50,17 @@ def folded(text: Column) -> Column:
 
 def clipped(text: Column, limit: int) -> Column:
     """At most limit code points, longer ones cut before the last and marked."""
+    return let(text, lambda t: _clipped(t, limit))
+
+
+def _clipped(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("...")))
 
 
 def summary(body: Column, limit: int = SUMMARY_LIMIT) -> Column:
-    return clipped(clean(F.regexp_replace(body, r"(?m)^#{1,6}\s+", "")), limit)
+    bare = lambda t: clean(F.regexp_replace(t, r"(?m)^#{1,6}\s+", ""))
+    # the start tells as much where it fills the limit; its last characters may be marks that the whole would drop
+    return let(bare(F.substring(body, 1, 8 * limit)), lambda head: F.when(F.length(head) > limit + 8, _clipped(head, limit)).otherwise(clipped(bare(body), limit)))
 
 
 def _pieces(token: Column) -> Column:
@@ -59,9 +76,13 @@ def _pieces(token: Column) -> Column:
 
 def legacy_tokens(text: Column) -> Column:
     """Tokens in order; the costly part only for texts with Hangul."""
-    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    plain = F.when(F.size(found) == 0, F.array().cast("array<string>")).otherwise(F.split(F.lower(F.array_join(found, " ")), " "))
-    return F.when(text.rlike("[가-힣]"), F.flatten(F.transform(plain, _pieces))).otherwise(plain)
+
+    def tokens(text: Column) -> Column:
+        lower = lambda found: F.when(F.size(found) == 0, F.array().cast("array<string>")).otherwise(F.split(F.lower(F.array_join(found, " ")), " "))
+        plain = let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lower)
+        return F.when(text.rlike("[가-힣]"), F.flatten(F.transform(plain, _pieces))).otherwise(plain)
+
+    return let(text, tokens)
 
 
 def english_raw_tokens(text: Column) -> Column:
@@ -170,8 +191,8 @@ def relation(value: Column) -> Column:
 
 def inline(text: Column, limit: int) -> Column:
     """White space and null characters to one space, the whole within limit, its cut marked by three dots."""
-    bare = clean(F.replace(text, F.lit("\x00"), F.lit(" ")))
-    return F.when(F.length(bare) <= limit, bare).otherwise(F.concat(F.rtrim(F.substring(bare, 1, max(0, limit - 3))), F.lit("...")))
+    cut = lambda bare: F.when(F.length(bare) <= limit, bare).otherwise(F.concat(F.rtrim(F.substring(bare, 1, max(0, limit - 3))), F.lit("...")))
+    return let(clean(F.replace(text, F.lit("\x00"), F.lit(" "))), cut)
 
 
 def nfc(text: Column) -> Column:
