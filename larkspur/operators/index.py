@@ -77,18 +77,22 @@ def complete(pages: DataFrame) -> DataFrame:
 
 def counted(pages: DataFrame, analyzer: str = "legacy") -> DataFrame:
     """pages with dl and terms (token, tf): a page's terms are counted within its own row."""
-    sorted_ = tokenized(pages, analyzer).withColumn("tokens", F.array_sort("tokens"))
-    # in sorted tokens a term ends where the next token differs; how many there are is the distance between ends
-    ends = F.filter(F.transform("tokens", lambda x, i: F.when(F.coalesce(F.get("tokens", i + 1) != x, F.lit(True)), i)), lambda i: i.isNotNull())
-    terms = F.transform("__ends", lambda at, k: F.struct(F.get("tokens", at).alias("token"), (at - F.coalesce(F.when(k > 0, F.get("__ends", k - 1)), F.lit(-1))).cast("long").alias("tf")))
-    return sorted_.withColumn("__ends", ends).withColumn("terms", terms).drop("tokens", "__ends")
+    # bound within one expression, as columns of their own may be put back into the lambdas and run for every token
+
+    def terms(tokens: Column) -> Column:
+        # in sorted tokens a term ends where the next token differs; how many there are is the distance between ends
+        ends = F.filter(F.transform(tokens, lambda x, i: F.when(F.coalesce(F.get(tokens, i + 1) != x, F.lit(True)), i)), lambda i: i.isNotNull())
+        each = lambda at, k, ends: F.struct(F.get(tokens, at).alias("token"), (at - F.coalesce(F.when(k > 0, F.get(ends, k - 1)), F.lit(-1))).cast("long").alias("tf"))
+        return X.let(ends, lambda ends: F.transform(ends, lambda at, k: each(at, k, ends)))
+
+    return tokenized(pages, analyzer).withColumn("terms", X.let(F.sort_array("tokens"), terms)).drop("tokens")
 
 
 def build(pages: DataFrame, analyzer: str = "legacy") -> Index:
     """The index of pages, without storing it; postings need no shuffle."""
     given = complete(pages)
     rows = counted(given, analyzer).select("page_id", "path", "role", "dl", "approved", "page_ord", "terms")
-    postings = rows.select("page_id", "dl", "approved", F.explode("terms").alias("x")).select("x.token", "page_id", "x.tf", "dl", "approved")
+    postings = X.exploded(rows, F.col("terms"), "x", "page_id", "dl", "approved").select("x.token", "page_id", "x.tf", "dl", "approved")
     docs = rows.drop("terms")
     extra = {}
     if analyzer == "english":
@@ -107,7 +111,7 @@ def exact_tokens(text: Column) -> Column:
 
 def exact_channel(pages: DataFrame, text: Column) -> DataFrame:
     """(token, page_id, tf, approved): identifiers of several parts, each once a page."""
-    found = pages.select("page_id", "approved", F.explode(exact_tokens(text)).alias("token"))
+    found = X.exploded(pages, exact_tokens(text), "token", "page_id", "approved")
     return found.select("token", "page_id", F.lit(1).cast("long").alias("tf"), "approved")
 
 

@@ -31,7 +31,7 @@ def small(df: DataFrame) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, title, text) of every page, for what needs no labels."""
     body = F.coalesce(F.col("text"), F.lit(""))
-    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("page_id"), F.substring(F.split(body, "\n")[0], 1, 80).alias("title"), body.alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("page_id"), F.substring(F.substring_index(body, "\n", 1), 1, 80).alias("title"), body.alias("text"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("d.doc_id").alias("page_ord"),
         F.col("d.doc_id").cast("string").alias("page_id"),
         F.concat_ws("/", "d.source", "d.lang", F.concat(F.col("d.doc_id").cast("string"), F.lit(".md"))).alias("path"),
-        F.substring(F.split(body, "\n")[0], 1, 80).alias("title"),
+        F.substring(F.substring_index(body, "\n", 1), 1, 80).alias("title"),
         body.alias("text"),
         X.summary(body).alias("summary"),
         F.when(F.col("d.doc_id") == 0, "hot").when(F.col("d.doc_id") == 1, "index").when(F.col("d.doc_id") == 2, "overview").otherwise("topic").alias("role"),
@@ -87,7 +87,8 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, link): every page names page n div 10, and web pages the targets of their anchors."""
     own = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page_id"), F.floor(F.col("doc_id") / 10).cast("string").alias("link"))
-    web = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_id"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))).alias("link"))
+    anchors = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))
+    web = X.exploded(table(spark, sf_dir, "pages"), anchors, "link", F.col("page_id").cast("string").alias("page_id"))
     return own.union(web)
 
 
