@@ -79,9 +79,18 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     half = F.substring("passage", F.lit(1), F.floor(F.length("passage") / 2).cast("int"))
     d = spread(table(spark, sf_dir, "documents"))
-    # the passages are the query set: every page is held against each of them
-    found = d.join(F.broadcast(b), d["text"].contains(half))
-    return found.select(F.col("item_id").alias("query_id"), F.col("doc_id").cast("string").alias("page_id"), F.when(d["text"].contains(F.col("passage")), 2).otherwise(1).alias("relevance"))
+    # a page that holds the half holds the half's words between two spaces as words of its own, so one of these names the
+    # pages to look at; a half without one is held against every page. The passages are the query set.
+    inner = F.filter(F.slice(F.split("half", " "), 2, F.greatest(F.size(F.split("half", " ")) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.aggregate(inner, F.lit(None).cast("string"), lambda a, w: F.when(a.isNull() | (F.length(w) > F.length(a)), w).otherwise(a))
+    halves = b.withColumn("half", half).withColumn("key", longest)
+    keys = halves.agg(F.collect_set("key").alias("keys"))
+    named = X.exploded(d.crossJoin(F.broadcast(keys)), F.array_intersect(F.split("text", " "), "keys"), "key", "doc_id", "text")
+    by_key = named.join(F.broadcast(halves.where("key is not null")), "key").where(F.col("text").contains(F.col("half")))
+    by_all = d.join(F.broadcast(halves.where("key is null")), d["text"].contains(F.col("half")))
+    columns = ["doc_id", "text", "item_id", "passage"]
+    found = by_key.select(*columns).unionByName(by_all.select(*columns))
+    return found.select(F.col("item_id").alias("query_id"), F.col("doc_id").cast("string").alias("page_id"), F.when(F.col("text").contains(F.col("passage")), 2).otherwise(1).alias("relevance"))
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
