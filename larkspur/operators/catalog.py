@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
+from larkspur.operators.cut import cut
 
 GRAPH_NODES = 120
 
@@ -68,7 +69,8 @@ def context_pack(evidence: DataFrame, orientation: DataFrame, pages: DataFrame,
     asked = evidence.select("query_id").distinct() if queries is None else queries.select("query_id", "query")
     words = F.array().cast("array<string>") if queries is None else F.array_distinct(X.legacy_tokens(F.col("query")))
     asked = asked.select("query_id", words.alias("tokens"))
-    shown = evidence.join(pages.select("page_id", "title", "text", "source_refs"), "page_id").join(F.broadcast(asked), "query_id")
+    # written, so that their size is known: few results go to the pages, instead of all texts to the results
+    shown = cut(evidence, "evidence").join(pages.select("page_id", "title", "text", "source_refs"), "page_id").join(F.broadcast(asked), "query_id")
     rows = shown.select("query_id", F.struct("rank", "page_id", "path", "score", "title", X.snippet(F.col("text"), F.col("tokens"), limit).alias("snippet"), "source_refs").alias("e"))
     packs = rows.groupBy("query_id").agg(F.sort_array(F.collect_list("e")).alias("evidence"))
     head = orientation.agg(F.sort_array(F.collect_list(F.struct("rank", "page_id", "path", "score"))).alias("orientation"))

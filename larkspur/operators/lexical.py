@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
 from larkspur.operators import index as I
+from larkspur.operators.cut import cut
 
 # Constants of the ranking.
 K1, B = 1.2, 0.75
@@ -146,10 +147,11 @@ def projected(results: DataFrame, pages: DataFrame, queries: DataFrame, fields:
     wanted = list(FIELDS) if fields is None else [f for f in FIELDS if f in {"page_id", *fields}]
     if fields is not None and not set(fields) <= set(FIELDS):
         raise ValueError(f"fields are {FIELDS}")
-    own = results.select("query_id", "rank", "page_id", "score")
+    # written, so that their size is known: few results go to the pages, instead of all texts to the results
+    own = cut(results.select("query_id", "rank", "page_id", "score"), "results")
     shown = own.join(pages.select("page_id", "path", "title", "role", "text", "summary", "tags", "source_refs"), "page_id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
-    cut = X.snippet(F.col("text"), F.array_distinct(X.legacy_tokens(F.col("query"))), snippet)
-    return shown.withColumn("snippet", cut).select("query_id", "rank", *wanted)
+    window = X.snippet(F.col("text"), F.array_distinct(X.legacy_tokens(F.col("query"))), snippet)
+    return shown.withColumn("snippet", window).select("query_id", "rank", *wanted)
 
 
 def literal(pages: DataFrame, queries: DataFrame, limit: int = 8, min_score: float | None = None) -> DataFrame:

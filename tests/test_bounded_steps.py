@@ -31,3 +31,11 @@ def test_judgements_by_an_inner_word_are_those_of_all_pairs(spark, tmp_path):
     want = sorted((i, str(d), 2 if p in t else 1) for i, p in items if p is not None for d, t in docs if t is not None and p[: len(p) // 2] in t)
     assert sorted(map(tuple, found.collect())) == want
     assert "array_intersect" in physical(found)
+
+
+def test_results_go_to_the_pages(spark):
+    asked = spark.createDataFrame([(1, "alpha word3")], "query_id long, query string")
+    found = lexical.search(pages(spark), asked, 5)
+    for made in (lexical.projected(found, pages(spark), asked), catalog.context_pack(found, lexical.overview(pages(spark), 3), pages(spark), asked)):
+        assert "SortMergeJoin" not in physical(made) and "BroadcastHashJoin" in physical(made)
+        assert made.count() in (1, 5)
