@@ -48,12 +48,13 @@ class Index:
     analyzer: str = "legacy"
     compound: DataFrame | None = None
     metadata: DataFrame | None = None
+    parts: int | None = None  # tasks that searches deal their scores to; none leaves it to the session
 
     def visible(self) -> Index:
         """The index of the approved pages: statistics come from the postings left."""
         seen = lambda t: t.where("approved") if t is not None else None
         postings, docs = seen(self.postings), seen(self.doc_stats)
-        return Index(postings, docs, frequencies(postings), totals(docs), self.analyzer, seen(self.compound), seen(self.metadata))
+        return Index(postings, docs, frequencies(postings), totals(docs), self.analyzer, seen(self.compound), seen(self.metadata), self.parts)
 
 
 #: Tokens of a query set up to which they are pushed into the scan of the postings.

@@ -73,7 +73,10 @@ def text_scores(index: I.Index, queries: DataFrame) -> DataFrame:
     score = idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl")) * F.col("weight")
     if wanted.limit(SENT + 1).count() <= SENT:
         weighted = F.broadcast(weighted)  # a row a query's token: the postings stay where they are
-    return postings.join(weighted, "token").select("query_id", "page_id", score.alias("s")).groupBy("query_id", "page_id").agg(F.sum("s").alias("text_score"))
+    scores = postings.join(weighted, "token").select("query_id", "page_id", score.alias("s"))
+    # dealt by page once, for the sums and for what is joined to them; tasks grow in number with the index, not in size
+    dealt = scores.repartition("page_id") if index.parts is None else scores.repartition(index.parts, "page_id")
+    return dealt.groupBy("query_id", "page_id").agg(F.sum("s").alias("text_score"))
 
 
 def exact_scores(index: I.Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,13 +115,15 @@ def search(source: DataFrame | I.Index, queries: DataFrame, limit: int = 8, anal
         bound = holders.select("query_id").distinct().withColumn("bound", F.lit(True))
         held = holders.where("page_id is not null").withColumn("holds", F.lit(True))
         scored = both.join(bound, "query_id", "left").join(held, ["query_id", "page_id"], "left").where("bound is null or holds").select("query_id", "page_id", "text_score")
-    placed = scored.where("text_score > 0").join(index.doc_stats.select("page_id", "path", "role"), "page_id")
+    # pages are left out of the list of pages, which is shorter than the scores of all queries
+    docs = without(index.doc_stats.select("page_id", "path", "role"), excluded)
+    if within is not None:
+        docs = docs.join(within.select("page_id"), "page_id", "left_semi")
+    placed = scored.where("text_score > 0").join(docs, "page_id")
     whole = placed.withColumn("whole", F.col("text_score") * role_multiplier(F.col("role")))
     if min_score is not None:
         whole = whole.where(F.col("whole") >= min_score)
-    if within is not None:
-        whole = whole.join(within.select("page_id"), "page_id", "left_semi")
-    return ranked(without(whole, excluded).withColumn("score", F.round("whole", DIGITS)), limit).select("query_id", "page_id", "path", "role", "score", "rank")
+    return ranked(whole.withColumn("score", F.round("whole", DIGITS)), limit).select("query_id", "page_id", "path", "role", "score", "rank")
 
 
 RESULT = ("query_id", "page_id", "path", "role", "score", "rank")

@@ -31,6 +31,8 @@ from larkspur.operators.cut import cut, shared_dir, signature
 #: What is stored, or how pages are tokenized, has changed since the last version: older folders are not read.
 VERSION = 1
 MOST, SHARE = 8, 0.2
+#: Bytes of files a task sorts or scores.
+TASK_BYTES = 4 << 20
 
 _DOCS = ("page_id", "path", "role", "dl", "approved", "page_ord")
 _ROWS = (*_DOCS, "digest", "terms", "compound", "metadata")
@@ -98,13 +100,19 @@ def _write_segment(spark: SparkSession, at: str, rows: DataFrame, analyzer: str)
     rows.write.parquet(f"{at}/pages")
     own = _read(spark, at, "pages")
     postings = own.select(F.explode("terms").alias("x"), "page_id", "dl", "approved").select("x.token", "page_id", "x.tf", "dl", "approved")
-    postings.repartitionByRange("token", "page_id").sortWithinPartitions("token", "page_id").write.parquet(f"{at}/postings")
+    postings.repartitionByRange(_parts(spark, own), "token", "page_id").sortWithinPartitions("token", "page_id").write.parquet(f"{at}/postings")
     I.frequencies(_read(spark, at, "postings")).write.parquet(f"{at}/terms")
     for channel in ("compound", "metadata") if analyzer == "english" else ():
         each = own.select(F.explode(channel).alias("token"), "page_id", F.lit(1).cast("long").alias("tf"), "approved")
         each.repartitionByRange("token", "page_id").sortWithinPartitions("token", "page_id").write.parquet(f"{at}/{channel}")
 
 
+def _parts(spark: SparkSession, *tables: DataFrame) -> int:
+    """Tasks for tables read from files: as many as the session's, more beyond TASK_BYTES each."""
+    size = sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
 def _without(rows: DataFrame, ended: DataFrame | None) -> DataFrame:
     if ended is None:
         return rows
@@ -202,7 +210,8 @@ def read(spark: SparkSession, path: str, analyzer: str = "legacy") -> I.Index:
     ended = [_read(spark, f"{path}/{s}", "less").select("token", (-F.col("df")).alias("df")) for s in segments[1:]]
     terms = added[0] if len(segments) == 1 else reduce(DataFrame.union, [*added, *ended]).groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
     extra = {c: _live(spark, path, segments, c) for c in ("compound", "metadata")} if analyzer == "english" else {}
-    return I.Index(_live(spark, path, segments, "postings"), docs, terms, I.totals(docs), analyzer, **extra)
+    parts = _parts(spark, *[_read(spark, f"{path}/{s}", "postings") for s in segments])
+    return I.Index(_live(spark, path, segments, "postings"), docs, terms, I.totals(docs), analyzer, **extra, parts=parts)
 
 
 def opened(spark: SparkSession, name: str, inputs: list[str], pages: DataFrame, analyzer: str = "legacy", fresh: bool = False) -> I.Index:

@@ -33,6 +33,19 @@ def test_judgements_by_an_inner_word_are_those_of_all_pairs(spark, tmp_path):
     assert "array_intersect" in physical(found)
 
 
+def test_scores_are_dealt_to_more_tasks_as_the_index_grows(spark, tmp_path, monkeypatch):
+    asked = spark.createDataFrame([(1, "alpha word3"), (2, "beta")], "query_id long, query string")
+    out = spark.createDataFrame([("p3",), ("d/p8.md",), (" ",), (None,)], "key string")
+    wanted = [sorted(map(tuple, lexical.search(pages(spark), asked, 5, excluded=e).collect())) for e in (None, out)]
+    monkeypatch.setattr(stored, "TASK_BYTES", 100)
+    stored.refresh(spark, str(tmp_path / "i"), pages(spark))
+    built = stored.read(spark, str(tmp_path / "i"))
+    assert built.parts > 10 and built.visible().parts == built.parts
+    found = [lexical.search(built, asked, 5, excluded=e) for e in (None, out)]
+    assert [sorted(map(tuple, f.collect())) for f in found] == wanted
+    assert f", {built.parts})" in physical(found[0])
+
+
 def test_results_go_to_the_pages(spark):
     asked = spark.createDataFrame([(1, "alpha word3")], "query_id long, query string")
     found = lexical.search(pages(spark), asked, 5)
