@@ -42,7 +42,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 HEAD = 100_000
 #: Bytes of text encoded at a time.
-BYTES = 8_000_000
+BYTES = 2_000_000
 #: Characters up to which a word is folded among others; a longer one goes through a queue.
 TOGETHER = 200
 #: From the finest cut to the coarsest; the first one that cuts no piece is used.
