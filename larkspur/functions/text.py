@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +76,15 @@ def _pieces(token: Column) -> Column:
     )
 
 
+def pieces(token: str) -> list[str]:
+    """_pieces of one token in Python."""
+    if token.isascii():
+        return [token]
+    if m := re.fullmatch("([a-z0-9]+)([가-힣]+)", token):
+        return [token, m[1], m[2]]
+    return [token, *(token[k : k + 2] for k in range(len(token) - 1))] if re.fullmatch("[가-힣]{3,}", token) else [token]
+
+
 def legacy_tokens(text: Column) -> Column:
     """Tokens in order; the costly part only for texts with Hangul."""
 

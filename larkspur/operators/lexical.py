@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,10 @@ COMPOUND_WEIGHT, METADATA_WEIGHT = 0.85, 0.35
 RRF_K = 60
 #: Query tokens up to which they are sent to the postings instead of shuffling these.
 SENT = 100_000
+#: Query tokens up to which pages are read for them alone, without an index of everything else.
+ASKED = 20_000
+#: Scores of queries over pages that a task sums.
+SCORES = 1_000_000
 DIGITS = 4
 
 
@@ -65,18 +71,45 @@ def query_tokens(queries: DataFrame, analyzer: str = "legacy") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens)).alias("token")).withColumn("weight", X.token_weight(F.col("token")))
 
 
-def text_scores(index: I.Index, queries: DataFrame) -> DataFrame:
-    """(query_id, page_id, text_score) of every page that holds a query token; statistics are those of the index."""
+def asked(pages: DataFrame, queries: DataFrame, analyzer: str = "legacy") -> I.Index | None:
+    """The index of pages as far as the queries (query_id, query) look at it, in one pass over the pages; None for more
+    tokens than a task can hold, which are what an index is stored for."""
+    names = lambda df: [r["token"] for r in df.select("token").distinct().limit(ASKED + 1).collect()]
+    english = analyzer == "english"
+    lists = [names(query_tokens(queries, analyzer)), *([names(single_identifiers(queries)), names(identifiers(queries))] if english else [])]
+    if max(map(len, lists)) > ASKED:
+        return None
+    made = I.narrowed(pages, lists[0], analyzer, *lists[1:])
+    return replace(made, parts=_tasks(made.doc_stats, queries))
+
+
+def _tasks(docs: DataFrame, queries: DataFrame) -> int:
+    """Tasks for the scores of queries over pages: as many as the session's, more beyond SCORES each."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() * queries.count() // SCORES))
+
+
+def text_scores(index: I.Index, queries: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(query_id, page_id, text_score) of every page that holds a query token; statistics are those of the index. more:
+    (query_id, page_id, s) that count too."""
     wanted = query_tokens(queries, index.analyzer)
-    postings = I.only(index.postings, wanted)
     weighted = wanted.join(I.only(index.term_stats, wanted), "token").crossJoin(F.broadcast(index.corpus_stats))
     score = idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl")) * F.col("weight")
-    if wanted.limit(SENT + 1).count() <= SENT:
-        weighted = F.broadcast(weighted)  # a row a query's token: the postings stay where they are
-    scores = postings.join(weighted, "token").select("query_id", "page_id", score.alias("s"))
     # dealt by page once, for the sums and for what is joined to them; tasks grow in number with the index, not in size
-    dealt = scores.repartition("page_id") if index.parts is None else scores.repartition(index.parts, "page_id")
-    return dealt.groupBy("query_id", "page_id").agg(F.sum("s").alias("text_score"))
+    dealt = lambda df: df.repartition("page_id") if index.parts is None else df.repartition(index.parts, "page_id")
+    if wanted.limit(SENT + 1).count() <= SENT:
+        # a row a query's token is sent to the postings, which are dealt before the queries multiply them
+        near = I.unrolled(dealt(index.rows)) if index.rows is not None else dealt(I.only(index.postings, wanted))
+        scores = near.join(F.broadcast(weighted), "token").select("query_id", "page_id", score.alias("s"))
+    else:
+        scores = dealt(I.only(index.postings, wanted).join(weighted, "token").select("query_id", "page_id", score.alias("s")))
+    if more is not None:
+        scores = scores.union(dealt(more.select("query_id", "page_id", "s")))
+    return scores.groupBy("query_id", "page_id").agg(F.sum("s").alias("text_score"))
+
+
+def identifiers(queries: DataFrame) -> DataFrame:
+    """(query_id, token): every identifier of several parts in the queries."""
+    return queries.select("query_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit(X.COMPOUND), F.lit(0)), lambda t: F.lower(t)))).alias("token"))
 
 
 def exact_scores(index: I.Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +117,7 @@ def exact_scores(index: I.Index, queries: DataFrame) -> tuple[DataFrame, DataFra
     (query_id, page_id); such queries are listed with a null page where no page does."""
     total = index.corpus_stats.select("n")
     single = single_identifiers(queries)
-    every = queries.select("query_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit(X.COMPOUND), F.lit(0)), lambda t: F.lower(t)))).alias("token"))
+    every = identifiers(queries)
 
     def channel(postings: DataFrame, wanted: DataFrame, weight: float) -> DataFrame:
         near = I.only(postings, wanted)
@@ -108,18 +141,18 @@ def search(source: DataFrame | I.Index, queries: DataFrame, limit: int = 8, anal
     Exclusion, the pages (page_id) allowed within, and the least score come after scoring and change no statistics; the
     least score looks at the score before it is rounded. A query of one identifier finds only pages that hold it."""
     index = source if isinstance(source, I.Index) else I.build(source, analyzer)
-    scored = text_scores(index, queries)
-    if index.analyzer == "english":
-        extra, holders = exact_scores(index, queries)
-        both = scored.select("query_id", "page_id", F.col("text_score").alias("s")).union(extra).groupBy("query_id", "page_id").agg(F.sum("s").alias("text_score"))
+    extra, holders = exact_scores(index, queries) if index.analyzer == "english" else (None, None)
+    scored = text_scores(index, queries, extra)
+    if index.analyzer == "english" and single_identifiers(queries).limit(1).count():
         bound = holders.select("query_id").distinct().withColumn("bound", F.lit(True))
         held = holders.where("page_id is not null").withColumn("holds", F.lit(True))
-        scored = both.join(bound, "query_id", "left").join(held, ["query_id", "page_id"], "left").where("bound is null or holds").select("query_id", "page_id", "text_score")
+        scored = scored.join(bound, "query_id", "left").join(held, ["query_id", "page_id"], "left").where("bound is null or holds").select("query_id", "page_id", "text_score")
     # pages are left out of the list of pages, which is shorter than the scores of all queries
     docs = without(index.doc_stats.select("page_id", "path", "role"), excluded)
     if within is not None:
         docs = docs.join(within.select("page_id"), "page_id", "left_semi")
-    placed = scored.where("text_score > 0").join(docs, "page_id")
+    # a part's pages are held, its scores of all queries pass by
+    placed = scored.where("text_score > 0").join(docs.hint("shuffle_hash"), "page_id")
     whole = placed.withColumn("whole", F.col("text_score") * role_multiplier(F.col("role")))
     if min_score is not None:
         whole = whole.where(F.col("whole") >= min_score)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import catalog, lexical, stored
+from larkspur.operators import catalog, index, lexical, stored
 from larkspur.sources import corpus
 
 PAGE = "page_id string, path string, title string, text string, summary string, role string, tags array<string>, source_refs array<string>, approved boolean"
@@ -52,3 +52,24 @@ def test_results_go_to_the_pages(spark):
     for made in (lexical.projected(found, pages(spark), asked), catalog.context_pack(found, lexical.overview(pages(spark), 3), pages(spark), asked)):
         assert "SortMergeJoin" not in physical(made) and "BroadcastHashJoin" in physical(made)
         assert made.count() in (1, 5)
+
+
+def test_an_index_of_the_queries_tokens_finds_what_the_whole_index_finds(spark, monkeypatch):
+    texts = ["Alpha alpha BETA_x.1 e.x-y 한글말 a가나 가", "", None, "the beta's running runs e.x-y", "alpha.beta 0-1 ___ -a İK alpha’s", "가나다라 a가나 beta " * 3, "only other words here"]
+    rows = [(f"p{i}", f"d/e.x-y{i}.md", f"T {i}", t, "", ("hot", "topic")[i > 0], ["en"], [f"ref-{i}.a"], i % 3 > 0) for i, t in enumerate(texts * 3)]
+    told = spark.createDataFrame(rows, PAGE)
+    asked = spark.createDataFrame([(1, "alpha 한글말"), (2, "e.x-y"), (3, "running beta a가나 e.x-y"), (4, "0-1 ref-3.a"), (5, ""), (6, "zzz-none"), (7, "가나다라 가")], "query_id long, query string")
+    for analyzer in ("legacy", "english"):
+        near, whole = lexical.asked(told, asked, analyzer), index.build(told, analyzer)
+        assert near.rows is not None
+        a, b = (sorted(map(tuple, lexical.search(i, asked, 6).collect())) for i in (near, whole))
+        assert a == b and len(a) > 10
+        assert sorted(near.doc_stats.select("page_id", "dl").collect()) == sorted(whole.doc_stats.select("page_id", "dl").collect())
+    monkeypatch.setattr(lexical, "SCORES", 10)
+    many = lexical.asked(told, asked)
+    assert many.parts == 15
+    # the pages' counts are dealt, not the scores of all queries
+    plan = physical(lexical.text_scores(many, asked))
+    assert plan.index("Generate explode") < plan.index("hashpartitioning(page_id") and plan.count("hashpartitioning(page_id") == 1
+    monkeypatch.setattr(lexical, "ASKED", 2)
+    assert lexical.asked(told, asked) is None
