@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
 from larkspur.operators.cut import cut
+from larkspur.sources.corpus import small
 
 MAX_DEPTH, MAX_PATH, MAX_PATHS = 4, 8, 500
 DIRECTIONS = ("out", "in", "both")
+#: Values up to which a filter takes the place of a join.
+FILTERED = 1000
 
 
 def link_kind(link: Column) -> Column:
@@ -161,13 +164,27 @@ def shown_metadata(nodes: DataFrame, edges: DataFrame, pages: DataFrame) -> Data
     return j.withColumn("path", F.when(page, F.col("path")).otherwise(F.coalesce("near", "path"))).withColumn("metadata", F.map_filter("metadata", lambda k, v: page | ~F.coalesce(F.array_contains("bad", k), F.lit(False)))).select(*nodes.columns)
 
 
+def listed(values: DataFrame) -> list | None:
+    """The different values of the one column, or None for more than a filter takes."""
+    found = [r[0] for r in values.distinct().limit(FILTERED + 1).collect()]
+    return found if len(found) <= FILTERED else None
+
+
 def resolved_seeds(nodes: DataFrame, seeds: DataFrame, most: int = 10) -> DataFrame:
     """(seed, id): by id, by page id, by page slug, else up to ten nodes whose id, label or path has the same key."""
-    n = nodes.select("id", key(F.col("id")).alias("k1"), key(F.col("label")).alias("k2"), key(F.col("path")).alias("k3"))
     s = seeds.select("seed", F.array(F.col("seed"), page_node(F.col("seed")), page_node(X.slug(F.col("seed")))).alias("ids"), key(F.col("seed")).alias("k"))
-    direct = s.select("seed", F.posexplode("ids").alias("p", "id")).join(nodes.select("id"), "id", "left_semi")
+    named = s.select("seed", F.posexplode("ids").alias("p", "id"))
+    few = listed(named.select("id"))
+    # few names become a filter, which reaches the files that nodes are read from; more are a join
+    there = nodes.select("id") if few is None else nodes.select("id").where(F.col("id").isin(few))
+    direct = named.join(cut(there, "named") if few is not None else there, "id", "left_semi")
     best = direct.groupBy("seed").agg(F.min_by("id", "p").alias("id"))
     loose = s.join(best, "seed", "left_anti").where("k != ''")
+    keys = listed(loose.select("k"))
+    if keys == []:
+        return best
+    held = nodes if keys is None else nodes.where(key(F.col("id")).isin(keys) | key(F.col("label")).isin(keys) | key(F.col("path")).isin(keys))
+    n = held.select("id", key(F.col("id")).alias("k1"), key(F.col("label")).alias("k2"), key(F.col("path")).alias("k3"))
     keyed = n.select("id", F.explode(F.array_distinct(F.array("k1", "k2", "k3"))).alias("k"))
     fuzzy = loose.join(keyed, "k").select("seed", "id").distinct().withColumn("r", F.row_number().over(W.partitionBy("seed").orderBy("id"))).where(F.col("r") <= most)
     return best.unionByName(fuzzy.select("seed", "id"))
@@ -247,13 +264,16 @@ def around(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth: int = 1,
 def _walk(nodes: DataFrame, ordered: DataFrame, seen: DataFrame, depth: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """From the nodes seen (id, depth, place) along ordered moves, level by level."""
     spark, depth = nodes.sparkSession, max(0, min(depth, MAX_DEPTH))
-    known = nodes.select(F.col("id").alias("b"))
-    moves = cut(ordered.join(known, "b", "left_semi"), "moves")
     looked, count, frontier = None, seen.count(), seen
     for level in range(1, depth + 1 if 0 < count < limit else 1):
-        # the frontier has limit rows at most
-        met = moves.join(F.broadcast(frontier.select(F.col("id").alias("a"), "place")), "a").select("b", F.struct("place", "key").alias("at"), "source", "target", "relation")
+        # the frontier has limit rows at most: a filter, which reaches the files that edges are read from
+        at = [r["id"] for r in frontier.select("id").collect()]
+        met = ordered.where(F.col("a").isin(at)).join(F.broadcast(frontier.select(F.col("id").alias("a"), "place")), "a").select("b", F.struct("place", "key").alias("at"), "source", "target", "relation")
         met = cut(met, "met")
+        # which of their ends are nodes: the ends go to the nodes where they are few
+        ends = small(cut(met.select("b").distinct(), "ends"))
+        known = cut(nodes.select(F.col("id").alias("b")).join(ends, "b", "left_semi"), "known")
+        met = met.join(known, "b", "left_semi")
         first = met.join(F.broadcast(seen.select(F.col("id").alias("b"))), "b", "left_anti").groupBy("b").agg(F.min("at").alias("at"))
         new = first.orderBy("at").limit(limit - count).withColumn("place", F.row_number().over(W.orderBy("at")) + (count - 1))  # limit rows
         new = cut(new, "frontier")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import catalog, index, lexical, stored
+from larkspur.operators import catalog, graph, index, lexical, stored
 from larkspur.sources import corpus
 
 PAGE = "page_id string, path string, title string, text string, summary string, role string, tags array<string>, source_refs array<string>, approved boolean"
@@ -73,3 +73,22 @@ def test_an_index_of_the_queries_tokens_finds_what_the_whole_index_finds(spark,
     assert plan.index("Generate explode") < plan.index("hashpartitioning(page_id") and plan.count("hashpartitioning(page_id") == 1
     monkeypatch.setattr(lexical, "ASKED", 2)
     assert lexical.asked(told, asked) is None
+
+
+def test_a_walk_writes_only_the_edges_it_meets(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"n{i}", f"n{(i * 7 + k) % 300}", "to") for i in range(300) for k in (1, 2)] + [("n0", "ghost", "to"), ("ghost", "n5", "to")], "source string, target string, relation string")
+    nodes = spark.createDataFrame([(f"n{i}", f"Label {i}", f"d/n{i}.md") for i in range(300)], "id string, label string, path string")
+    sizes, whole = [], graph.cut
+
+    def seen(df, name="cut"):
+        out = whole(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", seen)
+    found, shown = graph.neighbors(nodes, edges, "n0", 1, "both")
+    near = {t for s, t, _ in edges.collect() if s == "n0"} | {s for s, t, _ in edges.collect() if t == "n0"}
+    assert {r["id"] for r in found.collect()} == near - {"ghost"} | {"n0"}
+    around, _ = graph.around(nodes, edges, ["n0", "LABEL 9", "nothing"], 1)
+    assert {"n0", "n9"} < {r["id"] for r in around.collect()} and "ghost" not in {r["id"] for r in around.collect()}
+    assert max(sizes) < 30
