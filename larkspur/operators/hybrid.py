@@ -95,8 +95,8 @@ def page_names(pages: DataFrame) -> DataFrame:
     return each.groupBy("key").agg(F.min_by("page_id", F.struct("page_ord", "page_id")).alias("page_id"))
 
 
-def pools(seed_pages: DataFrame, pages: DataFrame, links: DataFrame, queries: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """(query_id, seed_id, page_id): the pages that a seed's links lead to, and those that share a source or tag with
+def pools(seed_pages: DataFrame, pages: DataFrame, links: DataFrame, queries: DataFrame, excluded: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
+    """(query_id, seed_id, page_id), of the pages among (page_id) if given: the pages that a seed's links lead to, and those that share a source or tag with
     it, as far as the seed's evidence or the query names the label. links: (page_id, link)."""
     hubs = pages.where(HUB)
     labels = links.join(hubs.select("page_id"), "page_id").select("page_id", F.lit("link").alias("kind"), F.col("link").alias("label"))
@@ -108,6 +108,8 @@ def pools(seed_pages: DataFrame, pages: DataFrame, links: DataFrame, queries: Da
     targets = page_names(pages).select(F.lit("link").alias("kind"), "key", "page_id")
     for kind, column in (("source", "source_refs"), ("tag", "tags")):
         targets = targets.union(pages.select(F.lit(kind), F.explode(column).alias("label"), "page_id").select(F.lit(kind), X.relation_key(F.col("label")), "page_id"))
+    if among is not None:
+        targets = targets.join(among.select("page_id"), "page_id", "left_semi").select("kind", "key", "page_id")
     # few labels are seen: they are broadcast, and the pages are read once
     found = targets.join(seen, ["kind", "key"]).where("page_id != seed_id").select("query_id", "seed_id", "page_id").distinct()
     return without(found.join(pages.select("page_id", "path"), "page_id"), excluded).select("query_id", "seed_id", "page_id")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import catalog, graph, index, lexical, stored
+from larkspur.operators import catalog, graph, hybrid, index, lexical, stored, vector
 from larkspur.sources import corpus
 
 PAGE = "page_id string, path string, title string, text string, summary string, role string, tags array<string>, source_refs array<string>, approved boolean"
@@ -92,3 +92,24 @@ def test_a_walk_writes_only_the_edges_it_meets(spark, monkeypatch):
     around, _ = graph.around(nodes, edges, ["n0", "LABEL 9", "nothing"], 1)
     assert {"n0", "n9"} < {r["id"] for r in around.collect()} and "ghost" not in {r["id"] for r in around.collect()}
     assert max(sizes) < 30
+
+
+def test_nearest_pages_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    vec = lambda: [rng.choice([-1.0, 0.5, 2.0, 0.1]) for _ in range(3)]
+    chunks = spark.createDataFrame([(f"p{i % 70}", i // 70, vec()) for i in range(140)] + [("p1", 7, None), ("p2", 8, [0.0, 0.0, 0.0]), ("lost", 0, [1.0, 1.0, 1.0]), ("p3", 9, [1.0, None, 2.0])], "page_id string, ordinal int, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 2.0, 0.5]), (2, [-1.0, 0.1, 0.1]), (3, [0.0, 0.0, 0.0])], "query_id long, vector array<float>")
+    found = vector.nearest(chunks, asked, pages(spark), 4)
+    want = vector.top_pages(vector.best_chunks(vector.scores(chunks, asked)), pages(spark), 4)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 8
+    each = list(vector._near([(1, 3, [1.0, 2.0, 0.5])], 4)(iter(chunks.where("embedding is not null and page_id = 'lost' or ordinal < 2").toArrow().to_batches())))
+    assert sum(b.num_rows for b in each) < 100  # pairs that cannot be among the first stay in their batch
+
+
+def test_pools_hold_only_the_pages_among_which_they_are_sought(spark):
+    told = pages(spark).withColumn("page_ord", F.monotonically_increasing_id()).withColumn("role", F.when(F.col("page_id") == "p0", "hot").otherwise(F.col("role")))
+    seeds = spark.createDataFrame([(1, "p0", "x")], "query_id long, page_id string, evidence string")
+    links, asked = spark.createDataFrame([("p0", "p5")], "page_id string, link string"), spark.createDataFrame([(1, "x p5 en")], "query_id long, query string")
+    whole = {r["page_id"] for r in hybrid.pools(seeds, told, links, asked).collect()}
+    among = spark.createDataFrame([("p5",), ("p9",), ("other",), ("p0",)], "page_id string")
+    assert len(whole) == 59 and {r["page_id"] for r in hybrid.pools(seeds, told, links, asked, among=among).collect()} == {"p5", "p9"}
