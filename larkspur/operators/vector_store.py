@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators import embedding, lexical, vector
+from larkspur.operators.cut import cut
 
 BLOCK, BUCKETS = 2048, 64
 #: Of the tables; a store of another number is a miss.
@@ -153,16 +154,22 @@ def gathered(spark: SparkSession, path: str, about: dict, candidates: DataFrame
     if held is None:
         raise FileNotFoundError(f"no vectors of this identity under {path}")
     digest, dimension = held["identity"], held["dimension"]
+    few = None
+    if candidates is not None:
+        candidates = cut(candidates.select("page_id").distinct(), "candidates")
+        if candidates.count() <= lexical.SENT:
+            few = frozenset(r["page_id"] for r in candidates.collect())  # go to the blocks, whose vectors stay where they are
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _each(batches):
             if _holds(b, digest, dimension):
                 flat = pa.array(np.frombuffer(b["matrix"], dtype="<f4"))
                 vectors = pa.FixedSizeListArray.from_arrays(flat, dimension).cast(pa.list_(pa.float32()))
-                yield pa.record_batch([pa.array(b["pages"], pa.string()), *(pa.array(b[c], pa.int32()) for c in ("ordinals", "starts", "ends")), vectors], names=["page_id", "ordinal", "start", "end", "embedding"])
+                rows = pa.record_batch([pa.array(b["pages"], pa.string()), *(pa.array(b[c], pa.int32()) for c in ("ordinals", "starts", "ends")), vectors], names=["page_id", "ordinal", "start", "end", "embedding"])
+                yield rows if few is None else rows.filter(pa.array([p in few for p in b["pages"]], pa.bool_()))
 
     rows = _near(_all_blocks(spark, path), candidates, held["buckets"]).mapInArrow(run, "page_id string, ordinal int, start int, end int, embedding array<float>")
-    return rows if candidates is None else rows.join(candidates.select("page_id").distinct(), "page_id", "left_semi")
+    return rows if candidates is None or few is not None else rows.join(candidates, "page_id", "left_semi")
 
 
 def _scorer(asked, digest: str, dimension: int, most: int) -> Callable:
@@ -211,7 +218,7 @@ def search(spark: SparkSession, path: str, about: dict, queries: DataFrame, page
 def _placed(scored: DataFrame, pages: DataFrame, limit: int) -> DataFrame:
     best = scored.groupBy("query_id", "page_id").agg(F.max(F.struct("score", (-F.col("ordinal")).alias("o"), "start", "end")).alias("b"))
     flat = best.select("query_id", "page_id", "b.score", (-F.col("b.o")).alias("ordinal"), "b.start", "b.end")
-    return vector.top_pages(flat, pages, limit).join(flat.select("query_id", "page_id", "ordinal", "start", "end"), ["query_id", "page_id"])
+    return vector.top_pages(flat, pages, limit, "ordinal", "start", "end")
 
 
 def answered(found: DataFrame, queries: DataFrame, pages: DataFrame, limit: int = 8) -> DataFrame:

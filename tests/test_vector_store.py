@@ -161,3 +161,18 @@ def test_hashed_projection_is_near_for_shared_words():
     text = "abcab abc"
     grams = [f" {text} "[k : k + 4] for k in range(len(text) - 1)]
     assert p.counts([text, "x"]).sum(axis=1).tolist() == [len(grams), 0] and (p.counts([text]) > 0).sum() <= len(set(grams))
+
+
+def test_few_candidates_go_to_the_blocks(spark, tmp_path, monkeypatch):
+    about = {"provider_id": "t", "dimension": 2}
+    rows = [(f"p{i}", k, 0, 1, [float(i + 1), float(k - i % 3)]) for i in range(40) for k in range(2)]
+    vector_store.write(spark.createDataFrame(rows, "page_id string, ordinal int, start int, end int, embedding array<float>"), str(tmp_path / "v"), about, buckets=4)
+    asked = spark.createDataFrame([("p3",), ("p3",), ("p7",), ("none",), (None,)], "page_id string")
+    found = vector_store.gathered(spark, str(tmp_path / "v"), about, asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    want = sorted((p, k) for p, k, *_ in rows if p in ("p3", "p7"))
+    assert sorted((r["page_id"], r["ordinal"]) for r in found.collect()) == want
+    monkeypatch.setattr(vector_store.lexical, "SENT", 1)
+    joined = vector_store.gathered(spark, str(tmp_path / "v"), about, asked)
+    assert sorted((r["page_id"], r["ordinal"]) for r in joined.collect()) == want
