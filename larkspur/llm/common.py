@@ -136,22 +136,21 @@ def numbered(df: DataFrame, group: str, order: list[str], out: str, rows_a_bucke
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node reachable. Alternating large-star and
     small-star rounds over tables in the shared folder; each round ends with as many rows as edges at most."""
-    spark = edges.sparkSession
     pairs = stash(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     for _ in range(max_rounds):
-        both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        # large star: every larger neighbour is linked to the least node of the neighbourhood
-        large = large.where("u != v").distinct()
+        low = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
+        # large star: every larger neighbour is linked to the least node of the neighbourhood, one row a pair; only a
+        # node with smaller neighbours is not the least one itself
+        large = pairs.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         # small star: every smaller neighbour, and the node itself, is linked to the least one
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        new = stash(small.union(down.select("u", F.col("m").alias("v"))).distinct(), "links")
-        roots = new.groupBy("u").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count()
-        inner = new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() if not roots else 1
+        small = large.join(down, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u != v")
+        new = stash(small.distinct(), "links")
+        unstash(pairs)
         pairs = new
-        if not roots and not inner:
+        # settled when no node has two smaller neighbours, or a smaller and a larger one
+        ends = new.select(F.posexplode(F.array("u", "v")).alias("low", "x")).groupBy("x").agg(F.sum(1 - F.col("low")).alias("up"), F.max("low").alias("low"))
+        if not ends.where("up > 1 or up = 1 and low = 1").limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")

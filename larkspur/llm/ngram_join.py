@@ -189,7 +189,7 @@ def _frequent(docs: DataFrame, total: int) -> np.ndarray:
     sets = sample.mapInArrow(_sets, "id long, s array<long>").where("size(s) > 0").select("s").distinct()
     often = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
     most = often.orderBy(F.desc("c"), "h").limit(ORDER_KEEP).select("h")
-    return np.sort(most.toPandas()["h"].to_numpy(dtype=np.int64).astype(np.uint64))
+    return np.sort(most.toArrow()["h"].to_numpy().astype(np.uint64))
 
 
 def _hits(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -75,7 +75,8 @@ class Pieces:
         return Pieces(rows, tuple(codes[b] for b in range(256)) if len(codes) == 256 else (), texts, m.unk_id(), max(len(p) for p, _, _ in rows), cut)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(pd.DataFrame(self.rows, columns=["piece", "score", "id"]), "piece string, score double, id int")
+        piece, score, id_ = zip(*self.rows, strict=True) if self.rows else ((), (), ())
+        return spark.createDataFrame(pa.table({"piece": pa.array(piece, pa.string()), "score": pa.array(score, pa.float64()), "id": pa.array(id_, pa.int32())}))
 
 
 def escaped(text: Column) -> Column:
@@ -176,6 +177,13 @@ class _Words:
         ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]).astype(np.int64)
         return _Words({w: k for k, w in enumerate(words)}, np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1])), ends)
 
+    @staticmethod
+    def read(table_: pa.Table) -> _Words:
+        """Of (word, ids), as the driver got them and sent them on: columns, of which only tasks make words."""
+        ids = table_["ids"].combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())]).astype(np.int64)
+        return _Words({w: k for k, w in enumerate(table_["word"].to_pylist())}, ids.flatten().to_numpy().astype(np.int32), ends)
+
 
 class _Batch:
     """Encodes texts; what the broadcast table lacks it folds, and remembers until the next stretch of text."""
@@ -387,13 +395,14 @@ def encode(docs: DataFrame, pieces: Pieces, head: int = HEAD) -> DataFrame:
     spark = docs.sparkSession
     counts, frequent = frequent_words(docs, pieces, head)
     encoded = stash(encode_words(frequent, pieces), "head")
-    known = encoded.toPandas()
+    known = encoded.toArrow()
     unstash(counts, encoded)
     # at most ``head`` words of at most 200 characters
-    shared = spark.sparkContext.broadcast((pieces, _Words.of(known["word"].tolist(), known["ids"].tolist())))
+    shared = spark.sparkContext.broadcast((pieces, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _Batch(*shared.value)
+        known_pieces, table_ = shared.value
+        coder = _Batch(known_pieces, _Words.read(table_))
         for batch in batches:
             # cut where another BYTES of text have gone by
             gone = np.cumsum(pc.binary_length(batch["__text"]).fill_null(0).to_numpy(zero_copy_only=False)) // BYTES

@@ -61,6 +61,46 @@ def test_components_find_the_least_node(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_tasks_a_round(spark):
+    """The driver keeps a record of every task; a round over P partitions has four stages of P tasks, its end check one."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    pairs = spark.createDataFrame([(k, 7) for k in range(8, 60)] + [(60 + k, 60) for k in range(1, 20)], "a long, b long")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-tasks", "")
+        got = {r["node"]: r["root"] for r in common.components(pairs).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds]
+    assert got == {k: 7 if k < 60 else 60 for k in range(7, 80)}
+    # one round: the links, the round, its check, and the roots of the result
+    assert 0 < sum(s.numCompletedTasks for s in stages if s) <= 40 * 9
+
+
+def test_driver_gets_columns_not_rows(spark, monkeypatch):
+    """Of the frequent words' table and of the frequent shingles the driver makes no object a row."""
+
+    def rows(*_):
+        raise AssertionError("rows were made in the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", rows)
+    texts = ["the cat and the hat", "the cat sat", None, ""] * 3
+    docs = docs_of(spark, [(k, t, "a") for k, t in enumerate(texts)])
+    pieces = piece_lattice.Pieces.load()
+    ids = {r["doc_id"]: r["ids"] for r in piece_lattice.encode(docs, pieces).collect()}
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_lattice.MODEL)
+    assert ids == {k: None if t is None else model.encode(t) for k, t in enumerate(texts)}
+    assert len(ngram_join._frequent(docs.select("text", F.col("doc_id").alias("r1")), docs.count())) == 0
+
+
 def test_join_hot_salts_beyond_the_threshold(spark):
     big = spark.range(200).select((F.col("id") % 3).alias("k"), "id")
     small = spark.createDataFrame([(0, "x"), (1, "y")], "k long, v string")
